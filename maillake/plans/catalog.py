@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maillake.operators import stats
+from maillake.functions.predicates import is_deleted
+from maillake.operators import counters, dedup, stats, timegrid
 from maillake.plans import params as P
 from maillake.sources.driver import MailViews
 
@@ -80,3 +81,58 @@ def folder_status(v: MailViews) -> DataFrame:
 @query("copy_totals")
 def copy_totals(v: MailViews) -> DataFrame:
     return stats.copy_totals(v.messages)
+
+
+def _events_grid(v: MailViews) -> DataFrame:
+    return timegrid.grid_long(v.mail_events, "ts", timegrid.WEEKDAY_BY_HOUR)
+
+
+@query("timewheel_long")
+def timewheel_long(v: MailViews) -> DataFrame:
+    """P35 + A5: weekday x hour counts of mail events (long form)."""
+    return _events_grid(v)
+
+
+@query("timewheel_pivot")
+def timewheel_pivot(v: MailViews) -> DataFrame:
+    """A5 + W10: the same grid as a crosstab, one row per weekday."""
+    return timegrid.grid_pivot(_events_grid(v), timegrid.WEEKDAY_BY_HOUR)
+
+
+@query("grid_scaled")
+def grid_scaled(v: MailViews) -> DataFrame:
+    return timegrid.grid_scaled(_events_grid(v))
+
+
+@query("dedup_keep_newest")
+def dedup_keep_newest(v: MailViews) -> DataFrame:
+    return dedup.dedup_keep_newest(v.messages)
+
+
+@query("dup_running")
+def dup_running(v: MailViews) -> DataFrame:
+    return dedup.dup_running(v.messages)
+
+
+@query("mailbox_counters")
+def mailbox_counters(v: MailViews) -> DataFrame:
+    return counters.mailbox_counters(v.messages, v.mailboxes, v.mail_labels)
+
+
+@query("unread_adjusted")
+def unread_adjusted(v: MailViews) -> DataFrame:
+    return counters.unread_adjusted(v.messages, v.mailboxes, v.mail_labels)
+
+
+@query("orphan_addresses")
+def orphan_addresses(v: MailViews) -> DataFrame:
+    return counters.orphan_addresses(v.addresses, v.messages, v.recipients).select(
+        "rowid", "address", "comment")
+
+
+@query("cascade_recipients")
+def cascade_recipients(v: MailViews) -> DataFrame:
+    """Recipients left after deleting the messages flagged deleted."""
+    gone = v.messages.filter(is_deleted(F.col("flags"))).select("rowid")
+    return counters.cascade_delete(v.recipients, gone).select(
+        "message_rowid", "type", "address_id", "position")

@@ -61,7 +61,11 @@ mail_events AS (
 
 
 def with_views(body: str) -> str:
-    return "WITH " + VIEWS_SQL.strip() + "\n" + body.strip()
+    """Prefix the view CTEs; a body that starts with its own WITH list is merged in."""
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        return "WITH " + VIEWS_SQL.strip() + ",\n" + body[5:]
+    return "WITH " + VIEWS_SQL.strip() + "\n" + body
 
 
 ORACLE: dict[str, str] = {}
@@ -155,3 +159,99 @@ SELECT mailbox,
        CAST(count(*) FILTER (WHERE flags & 2 <> 0) AS BIGINT) AS expunged,
        CAST(sum(CASE WHEN flags & 2 = 0 THEN bytes ELSE 0 END) AS BIGINT) AS bytes_copied
 FROM messages GROUP BY mailbox"""
+
+
+@oracle("timewheel_long")
+def _():
+    return """
+SELECT CAST(isodow(ts) - 1 AS INTEGER) AS ring, CAST(hour(ts) AS INTEGER) AS division,
+       CAST(count(*) AS BIGINT) AS n
+FROM mail_events GROUP BY 1, 2"""
+
+
+@oracle("timewheel_pivot")
+def _():
+    cols = ",\n  ".join(f"CAST(sum(CASE WHEN division = {i} THEN n END) AS BIGINT) AS d{i:02d}"
+                        for i in range(24))
+    return f"""
+WITH grid AS (
+  SELECT isodow(ts) - 1 AS ring, hour(ts) AS division, count(*) AS n FROM mail_events GROUP BY 1, 2)
+SELECT CAST(ring AS INTEGER) AS ring,
+  {cols}
+FROM grid GROUP BY ring"""
+
+
+@oracle("grid_scaled")
+def _():
+    return """
+WITH grid AS (
+  SELECT CAST(isodow(ts) - 1 AS INTEGER) AS ring, CAST(hour(ts) AS INTEGER) AS division,
+         CAST(count(*) AS BIGINT) AS n FROM mail_events GROUP BY 1, 2),
+b AS (SELECT min(n) AS lo, max(n) AS hi FROM grid)
+SELECT ring, division, n, lo, hi,
+       CASE WHEN hi = lo THEN 0.0 ELSE CAST(n - lo AS DOUBLE) / (hi - lo) END AS level
+FROM grid, b"""
+
+
+@oracle("dedup_keep_newest")
+def _():
+    return """
+SELECT mailbox, message_id, rowid FROM (
+  SELECT mailbox, message_id, rowid, max(rowid) OVER (PARTITION BY mailbox, message_id) AS keep
+  FROM messages WHERE flags & 2 = 0 AND message_id IS NOT NULL) t
+WHERE rowid < keep"""
+
+
+@oracle("dup_running")
+def _():
+    return """
+SELECT mailbox, message_id, rowid, is_dup,
+       CAST(sum(CAST(is_dup AS BIGINT)) OVER (PARTITION BY mailbox ORDER BY rowid
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS seen_count
+FROM (SELECT mailbox, message_id, rowid,
+             rowid > min(rowid) OVER (PARTITION BY mailbox, message_id) AS is_dup
+      FROM messages) t"""
+
+
+MEMBERSHIP_SQL = """
+WITH mem AS (
+  SELECT m.mailbox AS mailbox_id, m.rowid, m.message_id, m.flags
+  FROM messages m JOIN mailboxes b ON b.rowid = m.mailbox AND b.source IS NULL
+  UNION ALL
+  SELECT l.mailbox_id, m.rowid, m.message_id, m.flags
+  FROM mail_labels l JOIN mailboxes b ON b.rowid = l.mailbox_id
+  JOIN messages m ON m.rowid = l.message_rowid AND b.source = m.mailbox)"""
+
+
+@oracle("mailbox_counters")
+def _():
+    return MEMBERSHIP_SQL + """
+SELECT mailbox_id, CAST(count(*) AS BIGINT) AS total_count,
+       CAST(count(*) FILTER (WHERE flags & 1 = 0) AS BIGINT) AS unseen_count,
+       CAST(count(*) FILTER (WHERE flags & 2 <> 0) AS BIGINT) AS deleted_count,
+       CAST(count(*) FILTER (WHERE flags & 1 = 0 AND flags & 2 = 0) AS BIGINT) AS unread_count
+FROM mem GROUP BY mailbox_id"""
+
+
+@oracle("unread_adjusted")
+def _():
+    return MEMBERSHIP_SQL + """
+SELECT mailbox_id, CAST(count(*) AS BIGINT) AS unread_count,
+       CAST(count(DISTINCT message_id) + count(*) FILTER (WHERE message_id IS NULL) AS BIGINT)
+         AS unread_count_adjusted_for_duplicates
+FROM mem WHERE flags & 1 = 0 AND flags & 2 = 0 GROUP BY mailbox_id"""
+
+
+@oracle("orphan_addresses")
+def _():
+    return """
+SELECT rowid, address, comment FROM addresses a
+WHERE NOT EXISTS (SELECT 1 FROM messages m WHERE m.sender = a.rowid)
+  AND NOT EXISTS (SELECT 1 FROM recipients r WHERE r.address_id = a.rowid)"""
+
+
+@oracle("cascade_recipients")
+def _():
+    return """
+SELECT message_rowid, type, address_id, position FROM recipients r
+WHERE NOT EXISTS (SELECT 1 FROM messages m WHERE m.rowid = r.message_rowid AND m.flags & 2 <> 0)"""
