@@ -15,3 +15,22 @@ NOT_ME = ["customer.000000015%", "supplier.000000009%"]
 TOP_N = 10
 TOP_FLOWS_N = 30
 LISTING_N = 100
+
+# Discovery (F3/F4) over documents: search words and the privileged pattern
+# (case-sensitive, searched in the To/From/Cc stand-ins lang/source).
+SEARCH_RE = "(licensed|license|released under)"
+PRIVILEGED_RE = "(src1|src7)"
+
+# Form requests (P11) and replies.
+FORM_KEEP = ["name", "email", "segment"]
+REPLY_TEMPLATE = ("Dear %name%,\nwe received your request from %email% (segment %segment%).\n"
+                  "Reply to %from_address%, copy to %cc_address%.\n")
+RESPONDER_ADDRESS = "responder@mail.example.org"
+CC_ADDRESS = "archive@mail.example.org"
+
+# Mail merge (P19-P22) and send schedule.
+MERGE_TEMPLATE = ("To: %to%\nFrom: %from%\nSubject: Your account\n\n"
+                  "Hello %firstname%! Your segment is %segment%, %firstname%.\n")
+MERGE_DEFAULTS = {"from": "accounts@mail.example.org"}
+SEND_START = "2001-09-01 08:00:00"
+SEND_DELAY_SECONDS = 45
