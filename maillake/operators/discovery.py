@@ -43,7 +43,7 @@ def discovery(df: DataFrame, *, raw: str, to: Column, cc: Column, from_: Column,
         *[F.col(c) for c in order if c != "query"],
         F.col("query"),
         to.alias("_to"), cc.alias("_cc"), from_.alias("_from"), subject.alias("_subject"),
-        date.alias("_date"), message_id.alias("_mid"), line_count(F.col(raw)).alias("_lines"),
+        date.alias("_date"), message_id.alias("_mid"), line_count(F.col(raw)).cast("long").alias("_lines"),
         original_file.alias("_file"))
     kept = dedup_keep_first(cols, "_mid", list(order), min_id_len)
     numbered = global_row_number(kept, list(order), name="snum")
