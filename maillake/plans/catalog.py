@@ -141,3 +141,4 @@ def cascade_recipients(v: MailViews) -> DataFrame:
 # Further registrations live in per-area modules; importing them fills CATALOG.
 from maillake.plans import queries_text  # noqa: E402,F401
 from maillake.plans import queries_lists  # noqa: E402,F401
+from maillake.plans import queries_pages  # noqa: E402,F401

@@ -260,3 +260,4 @@ WHERE NOT EXISTS (SELECT 1 FROM messages m WHERE m.rowid = r.message_rowid AND m
 # Further SQL twins live in per-area modules; importing them fills ORACLE.
 from maillake.plans import oracle_text  # noqa: E402,F401
 from maillake.plans import oracle_lists  # noqa: E402,F401
+from maillake.plans import oracle_pages  # noqa: E402,F401
