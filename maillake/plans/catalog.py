@@ -142,3 +142,4 @@ def cascade_recipients(v: MailViews) -> DataFrame:
 from maillake.plans import queries_text  # noqa: E402,F401
 from maillake.plans import queries_lists  # noqa: E402,F401
 from maillake.plans import queries_pages  # noqa: E402,F401
+from maillake.plans import queries_misc  # noqa: E402,F401

@@ -261,3 +261,4 @@ WHERE NOT EXISTS (SELECT 1 FROM messages m WHERE m.rowid = r.message_rowid AND m
 from maillake.plans import oracle_text  # noqa: E402,F401
 from maillake.plans import oracle_lists  # noqa: E402,F401
 from maillake.plans import oracle_pages  # noqa: E402,F401
+from maillake.plans import oracle_misc  # noqa: E402,F401
