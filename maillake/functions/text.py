@@ -174,18 +174,25 @@ def first_email(text: Column, unicode_word: bool = False) -> Column:
     """First address-looking token; NULL when there is none."""
     pat = EMAIL_RE_UNICODE if unicode_word else EMAIL_RE
     found = F.regexp_extract(text, pat, 1)
-    return F.when(found != "", found)
+    # An address needs an '@': a literal scan skips the regex (which backtracks
+    # at every word) on texts that cannot match.
+    return F.when(F.instr(text, "@") > 0, F.when(found != "", found))
 
 
 def ascii_fold(c: Column) -> Column:
     """Latin-1 letters and signs to ASCII look-alikes; other non-ASCII dropped."""
     pairs = fold_pairs()
     one = [(s, r) for s, r in pairs if len(r) == 1]
-    out = F.translate(c, "".join(s for s, _ in one), "".join(r for _, r in one))
+    gone = [s for s, r in pairs if r == ""]
+    # One translate pass maps the 1:1 pairs and deletes the characters that
+    # map to nothing (they sit past the end of the replacement string).
+    out = F.translate(c, "".join(s for s, _ in one) + "".join(gone), "".join(r for _, r in one))
     for s, r in pairs:
-        if len(r) != 1:
+        if len(r) > 1:
             out = F.replace(out, F.lit(s), F.lit(r))
-    return F.regexp_replace(out, "[^\\x00-\\x7F]", "")
+    folded = F.regexp_replace(out, "[^\\x00-\\x7F]", "")
+    # Pure-ASCII texts (most mail) skip the replacement passes entirely.
+    return F.when(c.rlike("[^\\x00-\\x7F]"), folded).otherwise(c)
 
 
 def unescape_entities(c: Column) -> Column:
