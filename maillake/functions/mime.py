@@ -12,11 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType, StructField, StructType
 
 from maillake.functions.text import fold_weights, html_to_text
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _decode_rfc2047(values: pd.Series) -> pd.Series:
     from email.header import decode_header, make_header
 
@@ -35,7 +36,7 @@ def decode_words(value: Column) -> Column:
     return F.when(value.contains("=?"), _decode_rfc2047(value)).otherwise(value)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _decode_qp(values: pd.Series, charsets: pd.Series) -> pd.Series:
     import quopri
 
@@ -56,7 +57,7 @@ def decode_part(body: Column, encoding: Column, charset: Column) -> Column:
     """Content-Transfer-Encoding: base64 in the JVM, quoted-printable via pandas UDF."""
     enc = F.lower(F.trim(F.coalesce(encoding, F.lit(""))))
     cs = F.coalesce(charset, F.lit("utf-8"))
-    b64 = F.decode(F.unbase64(F.regexp_replace(body, r"\s", "")), "UTF-8")
+    b64 = F.try_validate_utf8(F.unbase64(F.regexp_replace(body, r"\s", "")).cast("string"))
     return (F.when(enc == "base64", b64)
             .when(enc == "quoted-printable", _decode_qp(body, cs))
             .otherwise(body))
@@ -144,7 +145,7 @@ def _guess_one(b: bytes, weights: dict[str, int]) -> tuple[str, str]:
     return best, b.decode(best, "replace")
 
 
-@pandas_udf("struct<charset:string,text:string>")
+@pandas_udf(StructType([StructField("charset", StringType()), StructField("text", StringType())]))
 def _guess(values: pd.Series) -> pd.DataFrame:
     weights = fold_weights()
     rows = [(None, None) if v is None else _guess_one(bytes(v), weights) for v in values]
@@ -157,9 +158,9 @@ def guess_charset(raw: Column) -> Column:
     ASCII and valid UTF-8 are settled in the JVM (a lossless decode/encode
     round trip); only the other rows reach the Python scorer.
     """
-    decoded = F.decode(raw, "UTF-8")
+    decoded = raw.cast("string")          # no validation; checked next
+    utf8_ok = F.is_valid_utf8(decoded)
     ascii_ok = ~decoded.rlike("[^\\x00-\\x7F]")
-    utf8_ok = F.encode(decoded, "UTF-8") == raw
     return (F.when(raw.isNull(), F.lit(None))
             .when(utf8_ok & ascii_ok, F.struct(F.lit("ascii").alias("charset"), decoded.alias("text")))
             .when(utf8_ok, F.struct(F.lit("utf8").alias("charset"), decoded.alias("text")))

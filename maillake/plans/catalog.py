@@ -144,3 +144,4 @@ from maillake.plans import queries_lists  # noqa: E402,F401
 from maillake.plans import queries_pages  # noqa: E402,F401
 from maillake.plans import queries_misc  # noqa: E402,F401
 from maillake.plans import queries_stream  # noqa: E402,F401
+from maillake.plans import queries_wishes  # noqa: E402,F401

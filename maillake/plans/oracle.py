@@ -263,3 +263,4 @@ from maillake.plans import oracle_lists  # noqa: E402,F401
 from maillake.plans import oracle_pages  # noqa: E402,F401
 from maillake.plans import oracle_misc  # noqa: E402,F401
 from maillake.plans import oracle_stream  # noqa: E402,F401
+from maillake.plans import oracle_wishes  # noqa: E402,F401
