@@ -153,3 +153,131 @@ def lda_topics(df: DataFrame, id_col: str, text: str, k: int = 5, vocab: int = 2
 
 def months_back(ts: Column, n: int = 1) -> Column:
     return F.add_months(F.to_date(ts), -n)
+
+
+# --- R3: more grid specs ---------------------------------------------------------
+def weekend(ts: Column) -> Column:
+    """0 = weekday, 1 = weekend (Saturday/Sunday)."""
+    return F.when(F.weekday(ts) >= 5, F.lit(1)).otherwise(F.lit(0))
+
+
+def grid_mean(df: DataFrame, ts: str, ring, division, value: str) -> DataFrame:
+    """A grid of means instead of sums (ring, division, mean, n)."""
+    t = F.col(ts)
+    return (df.select(ring(t).alias("ring"), division(t).alias("division"), F.col(value).alias("_v"))
+            .groupBy("ring", "division").agg(F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n")))
+
+
+# --- R4: calendar entries -----------------------------------------------------------
+VEVENT_RE = r"(?s)BEGIN:VEVENT(.*?)END:VEVENT"
+
+
+def calendar_events(parts: DataFrame, id_col: str, text: str = "text") -> DataFrame:
+    """One row per VEVENT block of a part: summary, start, end, location."""
+    ev = parts.select(id_col, F.explode(F.regexp_extract_all(F.col(text), F.lit(VEVENT_RE), 1)).alias("ev"))
+
+    def prop(name):
+        v = F.regexp_extract(F.col("ev"), rf"(?m)^{name}[^:\r\n]*:(.*?)\r?$", 1)
+        return F.when(v != "", v)
+    return ev.select(id_col, prop("SUMMARY").alias("summary"), prop("DTSTART").alias("dtstart"),
+                     prop("DTEND").alias("dtend"), prop("LOCATION").alias("location"))
+
+
+# --- R10 / R11: Received headers ----------------------------------------------------
+IPV4_RE = r"\[?((?:\d{1,3}\.){3}\d{1,3})\]?"
+
+
+def routing_table(msgs: DataFrame, id_col: str = "rowid", headers: str = "headers") -> DataFrame:
+    """One row per Received hop (hop 0 = nearest to the recipient) with
+    from-host, by-host, IP and the hop's date text."""
+    rec = msgs.select(id_col, F.posexplode(F.filter(F.col(headers),
+                                                     lambda h: F.lower(h["name"]) == "received")).alias("hop", "h"))
+    v = F.col("h.value")
+
+    def grab(rx):
+        x = F.regexp_extract(v, rx, 1)
+        return F.when(x != "", x)
+    return rec.select(id_col, "hop", grab(r"from\s+(\S+)").alias("from_host"),
+                      grab(r"by\s+(\S+)").alias("by_host"), grab(IPV4_RE).alias("ip"),
+                      grab(r";\s*(.*)$").alias("date_text"))
+
+
+def ips_per_person(routes: DataFrame, msgs: DataFrame, id_col: str = "rowid",
+                   person: str = "sender_email", ts: str = "date_sent") -> DataFrame:
+    """Per person and month the dominant /16 of their first-hop IPs and whether it
+    changed from the previous month ("has moved")."""
+    from pyspark.sql import Window
+    first_hop = routes.groupBy(id_col).agg(F.max_by("ip", "hop").alias("ip"))
+    j = first_hop.join(msgs.select(id_col, person, ts), id_col).filter(F.col("ip").isNotNull())
+    j = j.withColumn("net16", F.regexp_extract("ip", r"^(\d+\.\d+)\.", 1)) \
+         .withColumn("month", F.trunc(F.to_date(ts), "month"))
+    cnt = j.groupBy(person, "month", "net16").agg(F.count(F.lit(1)).alias("n"))
+    dom = cnt.groupBy(person, "month").agg(F.max_by("net16", F.struct("n", "net16")).alias("net16"))
+    w = Window.partitionBy(person).orderBy("month")
+    prev = F.lag("net16").over(w)
+    return dom.withColumn("moved", F.coalesce(prev != F.col("net16"), F.lit(False)))
+
+
+def ip_clusters(routes: DataFrame, k: int = 8, seed: int = 1) -> DataFrame:
+    """K-means over the IPv4 octets of the hops (pyspark.ml KMeans)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    oct_ = routes.filter(F.col("ip").isNotNull()).select(
+        "ip", *[F.split("ip", r"\.")[i].cast("double").alias(f"o{i}") for i in range(4)]).distinct()
+    feats = VectorAssembler(inputCols=[f"o{i}" for i in range(4)], outputCol="features").transform(oct_)
+    model = KMeans(k=k, seed=seed).fit(feats)
+    return model.transform(feats).select("ip", F.col("prediction").alias("cluster"))
+
+
+# --- R12: header predicates --------------------------------------------------------
+def lacks_spf(headers: Column) -> Column:
+    """No Received-SPF header with a pass result."""
+    return ~F.exists(headers, lambda h: (F.lower(h["name"]) == "received-spf")
+                     & F.lower(h["value"]).startswith("pass"))
+
+
+def flagged_spam(headers: Column) -> Column:
+    """An X-Spam-Flag: YES or X-Spam-Status: Yes header."""
+    return F.exists(headers, lambda h: F.lower(h["name"]).isin("x-spam-flag", "x-spam-status")
+                    & F.lower(h["value"]).startswith("yes"))
+
+
+# --- R13: attachments ----------------------------------------------------------------
+def attachment_hashes(parts: DataFrame, id_col: str, content: str = "content") -> DataFrame:
+    """SHA-256 of every attachment's bytes."""
+    return parts.select(id_col, F.sha2(F.col(content), 256).alias("sha256"))
+
+
+def known_attachments(hashes: DataFrame, hash_set: DataFrame) -> DataFrame:
+    """Attachments whose hash is in a supplied hash set (semi join)."""
+    return hashes.join(hash_set.select("sha256"), "sha256", "left_semi")
+
+
+def same_attachments(hashes: DataFrame, id_col: str) -> DataFrame:
+    """Attachment hashes shared by more than one message, with their messages."""
+    g = hashes.groupBy("sha256").agg(F.count_distinct(id_col).alias("messages"))
+    return g.filter(F.col("messages") > 1)
+
+
+# --- R14: suspicious URLs / keywords ---------------------------------------------------
+URL_RE = r"(https?://[^\s\"'<>]+)"
+
+
+def urls(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Every URL of the whole text with its host."""
+    u = df.select(id_col, F.explode(F.regexp_extract_all(F.col(text), F.lit(URL_RE), 1)).alias("url"))
+    return u.withColumn("host", F.lower(F.regexp_extract("url", r"https?://([^/:?#]+)", 1)))
+
+
+# --- R17: digest assembly --------------------------------------------------------------
+def digest(msgs: DataFrame, issued: DataFrame, keywords: Sequence[str], delete_keywords: Sequence[str],
+           id_col: str = "rowid", subject: str = "subject", body: str = "body") -> DataFrame:
+    """Messages whose subject has a keyword and none of the delete keywords, not
+    issued before, numbered in id order (item number) with their bodies."""
+    from maillake.functions.text import contains_any
+    from maillake.plans.sequential import global_row_number
+    s = F.lower(F.col(subject))
+    pick = msgs.filter(contains_any(s, [k.lower() for k in keywords])
+                       & ~contains_any(s, [k.lower() for k in delete_keywords]))
+    fresh = pick.join(issued.select(id_col), id_col, "left_anti")
+    return global_row_number(fresh.select(id_col, subject, body), [id_col], name="item")

@@ -81,6 +81,24 @@ sc AS (SELECT tf.doc_id, sum(tf.tf * ln(CAST(n.n AS DOUBLE) / df.df)) AS score
 SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY score DESC, doc_id LIMIT 10"""
 
 
+@oracle("weekend_grid")
+def _():
+    return """
+SELECT CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS ring, CAST(hour(ts) AS INTEGER) AS division,
+       avg(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS mean, count(*) AS n
+FROM mail_events GROUP BY 1, 2"""
+
+
+@oracle("digest")
+def _():
+    return """
+WITH f AS (SELECT rowid, subject FROM messages
+           WHERE (contains(lower(subject), 'urgent') OR contains(lower(subject), 'high'))
+             AND NOT contains(lower(subject), 're:')
+             AND rowid NOT IN (SELECT rowid FROM messages WHERE date_sent < TIMESTAMP '1998-01-01 00:00:00'))
+SELECT row_number() OVER (ORDER BY rowid) AS item, rowid, subject FROM f"""
+
+
 @oracle("rfc2047")
 def _():
     return "SELECT doc_id, split_part(text, chr(10), 1) AS subject FROM documents"

@@ -78,6 +78,22 @@ def address_components(v: MailViews) -> DataFrame:
     return wishes.connected_components(e).select("node", "label")
 
 
+@query("weekend_grid")
+def weekend_grid(v: MailViews) -> DataFrame:
+    """weekday/weekend x hour grid of the mean event score (props.k)."""
+    e = v.mail_events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return wishes.grid_mean(e, "ts", wishes.weekend, F.hour, "k")
+
+
+@query("digest")
+def digest(v: MailViews) -> DataFrame:
+    """Urgent / high-priority subjects that are not replies and were not issued
+    before (issued = mail before 1998), numbered into a digest."""
+    m = v.messages.select("rowid", "subject", F.col("priority").alias("body"), "date_sent")
+    issued = m.filter(F.col("date_sent") < F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00")))
+    return wishes.digest(m, issued, ["urgent", "high"], ["re:"]).select("item", "rowid", "subject")
+
+
 @query("topics")
 def topics(v: MailViews) -> DataFrame:
     """Dominant LDA topic of each document (iterative model fit: rows-only check)."""

@@ -106,7 +106,10 @@ def read_maildir(spark: SparkSession, root: str) -> DataFrame:
     """
     f = _files(spark, root, None)
     f = f.filter(F.col("path").rlike(r"/(cur|new)/[^/]+$") & (F.col("length") > 0))
-    letters = F.regexp_extract(F.col("path"), r":2,([A-Za-z]*)$", 1)
+    # Hadoop paths cannot contain ':', so maildirs kept on distributed storage
+    # use ';' or '!' as the info separator (a common maildir setting); all
+    # three are accepted.
+    letters = F.regexp_extract(F.col("path"), r"[:;!]2,([A-Za-z]*)$", 1)
     flags = FL.imap_flags(letters, "maildir")
     flags = F.when(F.col("path").rlike(r"/new/[^/]+$"),
                    F.array_union(flags, F.array(F.lit(FL.RECENT)))).otherwise(flags)
