@@ -64,7 +64,10 @@ def nearest_place(points: DataFrame, places: DataFrame, pid: str = "point_id",
 
     Output: pid, place, distance_km.  Ties go to the smaller place name.
     """
-    todo = points.select(pid, "lat", "lon")
+    from maillake.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(points.sparkSession)
+    todo = points.select(pid, "lat", "lon").checkpoint()
     pl = places.select("place", "plat", "plon")
     out = None
     all_levels = list(levels) + [GLOBAL_CELL_DEG]
@@ -91,7 +94,9 @@ def nearest_place(points: DataFrame, places: DataFrame, pid: str = "point_id",
         got = ok.select(pid, F.col("_b.place").alias("place"), F.col("_b._d").alias("distance_km"))
         out = got if out is None else out.unionByName(got)
         if not last:
-            todo = todo.join(ok.select(pid), pid, "left_anti")
+            # Checkpoint the unsettled points: the next level reads them
+            # instead of re-running every earlier level's joins.
+            todo = todo.join(ok.select(pid), pid, "left_anti").checkpoint()
     return out
 
 

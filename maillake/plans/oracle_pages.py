@@ -67,6 +67,46 @@ SELECT tp.term, cnt.n_pages, arg_max(tp.form, tp.page) AS title,
 FROM tp JOIN cnt ON tp.term = cnt.term GROUP BY tp.term, cnt.n_pages"""
 
 
+GEOMETRY_SQL = """
+WITH t AS (SELECT conv_id AS doc, turn AS page, role, text FROM conversations),
+lines AS (SELECT doc, page, role, unnest(string_split(text, chr(10))) AS line,
+                 unnest(range(len(string_split(text, chr(10))))) AS line_no FROM t),
+words AS (SELECT doc, page, line_no, unnest(string_split(trim(line), ' ')) AS text,
+                 unnest(range(len(string_split(trim(line), ' ')))) AS word_no FROM lines),
+spans AS (SELECT doc, page, CAST(line_no * 100000 + word_no AS BIGINT) AS pos, text,
+                 line_no * 12.0 AS y0, line_no * 12.0 + 10 AS y1 FROM words WHERE text <> ''),
+links AS (SELECT doc, page, CAST(line_no AS BIGINT) AS pos,
+                 CASE WHEN role = 'user' THEN 2 ELSE 1 END AS kind,
+                 'mailto:' || role || CAST(doc AS VARCHAR) || '@chat.example' AS uri,
+                 line_no * 12.0 + 2 AS y0, line_no * 12.0 + 6 AS y1 FROM lines),
+lk AS (SELECT doc, page, pos AS link_pos, uri, (y0 + y1) / 2 AS mid FROM links
+       WHERE kind = 2 AND starts_with(uri, 'mailto:')),
+labelled AS (
+  SELECT lk.doc, lk.page, lk.link_pos, replace(lower(arg_min(s.text, s.pos)), ':', '') AS label,
+         replace(lk.uri, 'mailto:', '') AS address
+  FROM lk JOIN spans s ON lk.doc = s.doc AND lk.page = s.page AND lk.mid BETWEEN s.y0 AND s.y1
+  GROUP BY lk.doc, lk.page, lk.link_pos, lk.uri)"""
+
+
+@oracle("link_labels")
+def _():
+    return GEOMETRY_SQL + "\nSELECT doc, page, link_pos, label, address FROM labelled"
+
+
+@oracle("beside_label")
+def _():
+    return GEOMETRY_SQL + """,
+lab AS (SELECT doc, page, min(pos) AS lpos, arg_min(y0, pos) AS y0, arg_min(y1, pos) AS y1
+        FROM spans WHERE text = 'the' GROUP BY doc, page),
+beside AS (SELECT s.doc, s.page, 'beside' AS kind, 'the' AS label,
+                  string_agg(s.text, ' ' ORDER BY s.pos) AS value
+           FROM spans s JOIN lab l ON s.doc = l.doc AND s.page = l.page AND s.y0 = l.y0 AND s.y1 = l.y1
+           WHERE s.pos <> l.lpos GROUP BY s.doc, s.page),
+fields AS (SELECT doc, page, 'links' AS kind, label, string_agg(address, ' ' ORDER BY link_pos) AS value
+           FROM labelled GROUP BY doc, page, label)
+SELECT * FROM beside UNION ALL SELECT * FROM fields"""
+
+
 @oracle("message_keywords")
 def _():
     return f"""

@@ -51,6 +51,54 @@ def term_index(v: MailViews) -> DataFrame:
     return pages.term_index(d).select("term", "n_pages", "title", "pages")
 
 
+LINE_HEIGHT = 12.0
+WORD_WIDTH = 10.0
+BESIDE_LABEL = "the"
+
+
+def page_geometry(v: MailViews) -> tuple[DataFrame, DataFrame]:
+    """Page tables derived from conversation turns (S13 shape).
+
+    Spans: one per word (line i of the turn at y0 = 12 i, word j at x0 = 10 j),
+    ``pos`` = document order.  Links: one per line, a mailto link of the
+    speaker (kind 2 for user turns, 1 otherwise) centred on that line.
+    """
+    t = v.threads.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "role", "text")
+    lines = t.select("doc", "page", "role", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    words = lines.select("doc", "page", "line_no",
+                         F.posexplode(F.split(F.trim("line"), " ", -1)).alias("word_no", "text"))
+    words = words.filter(F.col("text") != "")
+    spans = words.select(
+        "doc", "page", (F.col("line_no") * 100000 + F.col("word_no")).cast("long").alias("pos"), "text",
+        (F.col("word_no") * WORD_WIDTH).alias("x0"), (F.col("line_no") * LINE_HEIGHT).alias("y0"),
+        (F.col("word_no") * WORD_WIDTH + WORD_WIDTH - 1).alias("x1"),
+        (F.col("line_no") * LINE_HEIGHT + LINE_HEIGHT - 2).alias("y1"))
+    links = lines.select(
+        "doc", "page", F.col("line_no").cast("long").alias("pos"),
+        F.when(F.col("role") == "user", F.lit(2)).otherwise(F.lit(1)).alias("kind"),
+        F.concat(F.lit("mailto:"), F.col("role"), F.col("doc").cast("string"), F.lit("@chat.example")).alias("uri"),
+        (F.col("line_no") * LINE_HEIGHT + 2).alias("y0"), (F.col("line_no") * LINE_HEIGHT + 6).alias("y1"))
+    return spans, links
+
+
+@query("link_labels")
+def link_labels(v: MailViews) -> DataFrame:
+    """J6 + P24: label of each mailto link = first span (document order) holding its mid-y."""
+    spans, links = page_geometry(v)
+    return pages.link_labels(links, spans).select("doc", "page", "link_pos", "label", "address")
+
+
+@query("beside_label")
+def beside_label(v: MailViews) -> DataFrame:
+    """J7 + A10: text beside a label span, and link addresses concatenated per label."""
+    spans, links = page_geometry(v)
+    beside = pages.text_beside(spans, BESIDE_LABEL).select(
+        "doc", "page", F.lit("beside").alias("kind"), F.lit(BESIDE_LABEL).alias("label"), "value")
+    fields = pages.link_fields(pages.link_labels(links, spans)).select(
+        "doc", "page", F.lit("links").alias("kind"), "label", "value")
+    return beside.unionByName(fields)
+
+
 @query("message_keywords")
 def message_keywords(v: MailViews) -> DataFrame:
     """Distinct (keyword id, message) pairs; a document body is a message, its
