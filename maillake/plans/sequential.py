@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maillake.session import ensure_checkpoint_dir, shuffle_partitions
+from maillake.session import ensure_checkpoint_dir
 
 _PID = "_seq_pid"
 _MID = "_seq_mid"
@@ -43,9 +43,14 @@ def _ranged(df: DataFrame, order: Sequence[str | Column], num_partitions: int |
     pins the assignment once; it also cuts the lineage, so a lost executor
     re-reads the checkpoint instead of re-running the upstream joins.
     """
-    n = num_partitions or shuffle_partitions(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
-    r = (df.repartitionByRange(n, *_cols(order))
+    # Without an explicit count the range exchange uses the session's
+    # partition count and AQE coalesces adjacent ranges to its advisory size
+    # (order is kept: only neighbouring ranges merge).  The partition id is
+    # read after that, and the checkpoint pins it.
+    ranged = (df.repartitionByRange(num_partitions, *_cols(order)) if num_partitions
+              else df.repartitionByRange(*_cols(order)))
+    r = (ranged
          .sortWithinPartitions(*_cols(order))
          .withColumn(_PID, F.spark_partition_id()))
     if with_mid:

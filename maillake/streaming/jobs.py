@@ -167,13 +167,27 @@ def counters_batch_writer(state_dir: str, counters_dir: str, key: str = "rowid",
 
 
 def run_available_now(df: DataFrame, checkpoint: str, writer: Callable | None = None,
-                      out_dir: str | None = None, output_mode: str = "append") -> StreamingQuery:
-    """Start a stream that drains what has landed and stops (T2 ``availableNow``)."""
+                      out_dir: str | None = None, output_mode: str = "append",
+                      state_partitions: int | None = None) -> StreamingQuery:
+    """Start a stream that drains what has landed and stops (T2 ``availableNow``).
+
+    A stateful stream fixes its number of state partitions when it first
+    starts (it is kept in the checkpoint); ``state_partitions`` sets it
+    (default: the cluster's default parallelism) instead of inheriting the
+    batch shuffle setting.
+    """
+    spark = df.sparkSession
+    n = state_partitions or spark.sparkContext.defaultParallelism
     w = df.writeStream.option("checkpointLocation", checkpoint).outputMode(output_mode)
     if writer is not None:
         w = w.foreachBatch(writer)
     else:
         w = w.format("parquet").option("path", out_dir)
-    q = w.trigger(availableNow=True).start()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        q = w.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
     return q
