@@ -73,6 +73,14 @@ def orphan_addresses(addresses: DataFrame, messages: DataFrame,
     return addresses.join(senders, "rowid", "left_anti").join(rcpts, "rowid", "left_anti")
 
 
+def fix_dangling(messages: DataFrame, col: str = "fuzzy_ancestor") -> DataFrame:
+    """A thread ancestor that names no stored message becomes -1."""
+    have = messages.select(F.col("rowid").alias("_anc"), F.lit(True).alias("_ok"))
+    j = messages.join(have, messages[col] == have["_anc"], "left")
+    return (j.withColumn(col, F.when(F.col(col).isNull() | F.col("_ok"), F.col(col)).otherwise(F.lit(-1)))
+            .drop("_anc", "_ok"))
+
+
 def cascade_delete(child: DataFrame, deleted_ids: DataFrame,
                    child_key: str = "message_rowid") -> DataFrame:
     """Child rows that survive deleting the given message ids (ON DELETE CASCADE)."""

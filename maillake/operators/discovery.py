@@ -15,6 +15,7 @@ from maillake.functions.predicates import any_header_matches
 from maillake.functions.text import ellipsis, line_count
 from maillake.operators.dedup import dedup_keep_first
 from maillake.plans.sequential import global_row_number
+from maillake.session import ensure_checkpoint_dir
 
 REPORT_COLUMNS = ["snum", "query", "to", "cc", "from", "subject", "date", "message-id",
                   "lines", "original file"]
@@ -45,6 +46,10 @@ def discovery(df: DataFrame, *, raw: str, to: Column, cc: Column, from_: Column,
         to.alias("_to"), cc.alias("_cc"), from_.alias("_from"), subject.alias("_subject"),
         date.alias("_date"), message_id.alias("_mid"), line_count(F.col(raw)).cast("long").alias("_lines"),
         original_file.alias("_file"))
+    # The hits are a (small, narrow) subset of the mail: checkpoint them once so
+    # the de-dup branches and the numbering do not re-run the text search.
+    ensure_checkpoint_dir(df.sparkSession)
+    cols = cols.checkpoint(eager=True)
     kept = dedup_keep_first(cols, "_mid", list(order), min_id_len)
     numbered = global_row_number(kept, list(order), name="snum")
     priv = any_header_matches([F.col("_to"), F.col("_from"), F.col("_cc")], privileged_pattern)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,18 +45,24 @@ def _ranged(df: DataFrame, order: Sequence[str | Column], num_partitions: int |
     re-reads the checkpoint instead of re-running the upstream joins.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    # The range exchange reads its input twice (bound sampling, then the
+    # shuffle); persisting the input computes it once.  A lost cached block
+    # is recomputed from the lineage, so this is safe on executor loss.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
     # Without an explicit count the range exchange uses the session's
     # partition count and AQE coalesces adjacent ranges to its advisory size
     # (order is kept: only neighbouring ranges merge).  The partition id is
     # read after that, and the checkpoint pins it.
-    ranged = (df.repartitionByRange(num_partitions, *_cols(order)) if num_partitions
-              else df.repartitionByRange(*_cols(order)))
+    ranged = (src.repartitionByRange(num_partitions, *_cols(order)) if num_partitions
+              else src.repartitionByRange(*_cols(order)))
     r = (ranged
          .sortWithinPartitions(*_cols(order))
          .withColumn(_PID, F.spark_partition_id()))
     if with_mid:
         r = r.withColumn(_MID, F.monotonically_increasing_id())
-    return r.checkpoint(eager=True)
+    out = r.checkpoint(eager=True)
+    src.unpersist()
+    return out
 
 
 def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str = "row_no",

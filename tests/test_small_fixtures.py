@@ -202,3 +202,29 @@ def test_sequential_helpers_brute_force_with_hot_group(spark):
         assert cf[r.o] == last.get(r.g)
     assert sorted(rn.values()) == list(range(1, 3001))
     assert all(rn[o] == o + 1 for o in rn)
+
+
+def test_dimension_build_is_idempotent(spark):
+    from maillake.operators import model
+    vals = spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "subject string")
+    dim = model.build_dimension(vals, ["subject"])
+    assert sorted((r.rowid, r.subject) for r in dim.collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    again = model.build_dimension(vals, ["subject"], existing=dim)
+    assert sorted((r.rowid, r.subject) for r in again.collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    more = spark.createDataFrame([("d",), ("a",)], "subject string")
+    grown = model.build_dimension(more, ["subject"], existing=dim)
+    assert sorted((r.rowid, r.subject) for r in grown.collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+
+
+def test_fix_dangling_ancestor(spark):
+    from maillake.operators import counters
+    m = spark.createDataFrame([(1, None), (2, 1), (3, 99)], "rowid long, fuzzy_ancestor long")
+    got = {r.rowid: r.fuzzy_ancestor for r in counters.fix_dangling(m).collect()}
+    assert got == {1: None, 2: 1, 3: -1}
+
+
+def test_top_n_reference_extra_row(spark):
+    from maillake.operators import stats
+    df = spark.createDataFrame([(k,) for k in "aabbbcd"], "k string")
+    assert [r.k for r in stats.top_n(df, ["k"], 2).collect()] == ["b", "a"]
+    assert len(stats.top_n(df, ["k"], 2, reference_extra_row=True).collect()) == 3
