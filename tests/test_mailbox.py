@@ -108,6 +108,29 @@ def test_star_schema(spark, mbox_file):
     assert "list@l.example" in addrs and "ann1@g.example" in addrs
 
 
+def test_ingest_then_report(spark, mbox_file, tmp_path):
+    """Mailbox -> stored star schema -> titled SQL report over the store."""
+    from maillake.plans import ingest, reports
+    from maillake.sources import tables
+    root = str(tmp_path / "store")
+    ingest.ingest_mailbox(spark, mbox_file, root)
+    store = tables.read_store(spark, root)
+    assert set(store) >= {"messages", "subjects", "addresses", "recipients", "message_text"}
+    assert store["messages"].filter("sent_month = '2010-11'").count() == 4
+    reports.register_views({"s_messages": store["messages"], "s_addresses": store["addresses"]})
+    res = reports.titled(spark, [("Top senders", "SELECT a.address AS key, count(*) AS n FROM s_messages m "
+                                                 "JOIN s_addresses a ON m.sender_id = a.rowid "
+                                                 "GROUP BY a.address ORDER BY n DESC, key DESC LIMIT 10")])
+    got = {r.key: r.n for r in res["Top senders"].collect()}
+    assert got == {"ann1@g.example": 1, "bea2@g.example": 1, "cy3@g.example": 1, "di4@g.example": 1}
+    try:
+        ingest.ingest_mailbox(spark, mbox_file, root)
+        raise AssertionError("a second load into the same store must fail unless zapped")
+    except Exception as e:  # noqa: BLE001
+        assert "exist" in str(e).lower()
+    ingest.ingest_mailbox(spark, mbox_file, root, zap=True)
+
+
 def test_mime_body(spark, mbox_file):
     from maillake.functions.mime import choose_body, mime_parts
     m = _msgs(spark, mbox_file).select("seq", "headers", "body")
