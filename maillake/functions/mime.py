@@ -72,36 +72,67 @@ def param(headers_value: Column, name: str) -> Column:
     return F.when(v != "", v)
 
 
-def mime_parts(df: DataFrame, id_col: str, headers: str, body: str) -> DataFrame:
-    """P9 input: one row per leaf part (id, part_no, content_type, charset, text).
+MAX_MIME_DEPTH = 4   # multipart nesting levels walked (mixed > alternative > related > leaf)
+
 
-    A multipart body is split on its boundary (one level); the preamble and
-    the closing epilogue are dropped; each part's own headers give its type
-    and transfer encoding.  A non-multipart message is its own single part.
+def mime_leaves(df: DataFrame, id_col: str, headers: str, body: str,
+                max_depth: int = MAX_MIME_DEPTH) -> DataFrame:
+    """All leaf parts of each message, depth first like ``Message.walk()``.
+
+    Output: (id, part_path ARRAY<INT>, part_no, content_type, charset,
+    disposition, filename, encoding, raw_body).  Each level is one explode:
+    a multipart node's body is split on its boundary (``\\Q..\\E`` quoting),
+    the preamble and the closing delimiter are dropped, and each child's own
+    headers decide whether it is a leaf or the next level.
     """
     from maillake.functions.headers import body_text, header, parse_headers
 
-    ct_val = header(F.col(headers), "content-type")
-    is_multi = content_type(ct_val).startswith("multipart/")
-    boundary = param(ct_val, "boundary")
-    # \Q...\E quotes the boundary so its characters are literal in the split pattern.
-    split_parts = F.split(F.col(body), F.concat(F.lit("\\Q--"), boundary, F.lit("\\E")))
-    single = F.array(F.concat(F.lit("Content-Type: "), F.coalesce(ct_val, F.lit("text/plain")),
-                              F.lit("\nContent-Transfer-Encoding: "),
-                              F.coalesce(header(F.col(headers), "content-transfer-encoding"),
-                                         F.lit("7bit")),
-                              F.lit("\n\n"), F.col(body)))
-    parts = F.when(is_multi, F.slice(split_parts, 2, 1 << 20)).otherwise(single)
-    exploded = df.select(F.col(id_col), F.posexplode(parts).alias("part_no", "part"))
-    exploded = exploded.filter(~F.col("part").startswith("--"))      # closing delimiter
-    ph = parse_headers(F.regexp_replace(F.col("part"), r"^\r?\n", ""))
-    pct = header(ph, "content-type")
-    return exploded.select(
-        id_col, "part_no",
-        content_type(pct).alias("content_type"),
-        param(pct, "charset").alias("charset"),
-        decode_part(body_text(F.regexp_replace(F.col("part"), r"^\r?\n", "")),
-                    header(ph, "content-transfer-encoding"), param(pct, "charset")).alias("text"))
+    level = df.select(F.col(id_col), F.array().cast("array<int>").alias("part_path"),
+                      F.col(headers).alias("_h"), F.col(body).alias("_b"))
+    leaves = None
+    for depth in range(max_depth + 1):
+        ct_val = header(F.col("_h"), "content-type")
+        multi = content_type(ct_val).startswith("multipart/") & param(ct_val, "boundary").isNotNull()
+        if depth == max_depth:
+            multi = F.lit(False)
+        disp = header(F.col("_h"), "content-disposition")
+        leaf = level.filter(~multi).select(
+            id_col, "part_path",
+            content_type(ct_val).alias("content_type"),
+            param(ct_val, "charset").alias("charset"),
+            F.lower(F.trim(F.substring_index(F.coalesce(disp, F.lit("")), ";", 1))).alias("disposition"),
+            F.coalesce(param(disp, "filename"), param(ct_val, "name")).alias("filename"),
+            header(F.col("_h"), "content-transfer-encoding").alias("encoding"),
+            F.col("_b").alias("raw_body"))
+        leaves = leaf if leaves is None else leaves.unionByName(leaf)
+        if depth == max_depth:
+            break
+        boundary = param(ct_val, "boundary")
+        pieces = F.split(F.col("_b"), F.concat(F.lit("\\Q--"), boundary, F.lit("\\E")))
+        kids = (level.filter(multi)
+                .select(id_col, "part_path", F.posexplode(F.slice(pieces, 2, 1 << 20)).alias("_i", "_p"))
+                .filter(~F.col("_p").startswith("--")))
+        part = F.regexp_replace(F.col("_p"), r"^\r?\n", "")
+        level = kids.select(id_col, F.concat("part_path", F.array(F.col("_i"))).alias("part_path"),
+                            parse_headers(part).alias("_h"), body_text(part).alias("_b"))
+    return leaves.withColumn("part_no", F.array_join(F.col("part_path").cast("array<string>"), "."))
+
+
+def mime_parts(df: DataFrame, id_col: str, headers: str, body: str) -> DataFrame:
+    """P9 input: text of every leaf part (id, part_path, part_no, content_type, charset, text)."""
+    leaves = mime_leaves(df, id_col, headers, body)
+    return leaves.select(id_col, "part_path", "part_no", "content_type", "charset",
+                         decode_part(F.col("raw_body"), F.col("encoding"), F.col("charset")).alias("text"))
+
+
+def attachments(df: DataFrame, id_col: str, headers: str, body: str) -> DataFrame:
+    """Attachment leaves with their decoded bytes (R13 input): (id, part_no, filename, content)."""
+    leaves = mime_leaves(df, id_col, headers, body)
+    att = leaves.filter((F.col("disposition") == "attachment") | F.col("filename").isNotNull())
+    enc = F.lower(F.trim(F.coalesce(F.col("encoding"), F.lit(""))))
+    content = F.when(enc == "base64", F.unbase64(F.regexp_replace("raw_body", r"\s", ""))) \
+        .otherwise(F.encode("raw_body", "UTF-8"))
+    return att.select(id_col, "part_no", "filename", content.alias("content"))
 
 
 def choose_body(parts: DataFrame, id_col: str) -> DataFrame:
@@ -112,7 +143,7 @@ def choose_body(parts: DataFrame, id_col: str) -> DataFrame:
             .when(F.col("content_type") == "text/html", F.lit(1)))
     cand = leaf.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
     best = cand.groupBy(id_col).agg(
-        F.min_by(F.struct("content_type", "text"), F.struct("_rank", "part_no")).alias("_b"))
+        F.min_by(F.struct("content_type", "text"), F.struct("_rank", "part_path")).alias("_b"))
     txt = F.when(F.col("_b.content_type") == "text/html", html_to_text(F.col("_b.text")))\
         .otherwise(F.col("_b.text"))
     return best.select(id_col, F.col("_b.content_type").alias("content_type"), txt.alias("text"))

@@ -42,6 +42,28 @@ def test_addresses_repeated_headers_and_quoted_comma(spark, tmp_path):
         (0, 0, "a@x"), (0, 1, "jo@x"), (1, 0, "c@x")]
 
 
+def test_nested_multipart_and_attachment(spark, tmp_path):
+    import base64
+    from maillake.functions.mime import attachments
+    att = base64.b64encode(b"PDFDATA").decode()
+    raw = ("From a Mon Nov  1 08:00:00 2010\nSubject: nested\n"
+           'Content-Type: multipart/mixed; boundary="OUT"\n\npreamble\n'
+           "--OUT\nContent-Type: multipart/alternative; boundary=IN\n\n"
+           "--IN\nContent-Type: text/html\n\n<html><body>H</body></html>\n"
+           "--IN\nContent-Type: text/plain\n\nPlain text\n--IN--\n"
+           "--OUT\nContent-Type: application/pdf; name=\"a.pdf\"\nContent-Disposition: attachment; filename=\"a.pdf\"\n"
+           f"Content-Transfer-Encoding: base64\n\n{att}\n--OUT--\n")
+    p = tmp_path / "n.mbox"
+    p.write_text(raw)
+    m = _parse(spark, p).select("seq", "headers", "body")
+    parts = mime_parts(m, "seq", "headers", "body")
+    kinds = sorted((r.part_no, r.content_type) for r in parts.collect())
+    assert kinds == [("0.0", "text/html"), ("0.1", "text/plain"), ("1", "application/pdf")]
+    assert choose_body(parts, "seq").first().text.strip() == "Plain text"
+    a = attachments(m, "seq", "headers", "body").first()
+    assert (a.filename, bytes(a.content)) == ("a.pdf", b"PDFDATA")
+
+
 def test_rfc2047_latin1_html_and_bad_date(spark, tmp_path):
     p = tmp_path / "v.mbox"
     body_html = "<html><body><div>Hello &amp; bye</div></body></html>"
