@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maillake.functions.text import (first_email, form_key, form_matches, form_value,
-                                     render, render_map, template_fields)
+                                     render_map, template_fields)
 from maillake.plans.sequential import global_row_number
 
 
