@@ -91,6 +91,20 @@ FROM flat f LEFT JOIN subj s ON f.subject = s.subject
 LEFT JOIN addr a ON f.sender_email = a.sender_email"""
 
 
+@oracle("parse_roundtrip")
+def _():
+    return """
+WITH to_ AS (SELECT r.message_rowid, count(*) AS n_to FROM recipients r JOIN addresses a ON r.address_id = a.rowid
+             WHERE r.type = 0 GROUP BY 1)
+SELECT m.rowid, 'Sender ' || CAST(m.sender AS VARCHAR) AS from_name, a.address AS from_email,
+       CAST(coalesce(t.n_to, 0) AS INTEGER) AS n_to, m.subject,
+       m.date_sent + to_hours(CAST(m.rowid % 24 AS INTEGER)) AS date_utc,
+       CASE WHEN m.rowid % 2 = 1 THEN 60 ELSE -300 END AS tz_offset_min,
+       '<' || CAST(m.rowid AS VARCHAR) || '@mail.example>' AS message_id,
+       CASE WHEN t.n_to IS NULL THEN 9 ELSE 10 END AS lines
+FROM messages m LEFT JOIN addresses a ON m.sender = a.rowid LEFT JOIN to_ t ON m.rowid = t.message_rowid"""
+
+
 REQUESTS_SQL = """
 WITH req AS (
   SELECT c.c_custkey AS request_id,

@@ -81,6 +81,50 @@ def request_bodies(v: MailViews) -> DataFrame:
                     F.concat_ws("\n", name_line, old_line, new_line, seg_line).alias("body"))
 
 
+def rendered_messages(v: MailViews) -> DataFrame:
+    """Driver messages as RFC 822 text: display-name From, To list (recipient
+    order), Subject, Date in a local zone (+0100 for odd ids, -0500 otherwise),
+    Message-ID, a folded header line and a one-line body."""
+    a = v.addresses.select(F.col("rowid").alias("_aid"), "address")
+    to = (v.recipients.filter(F.col("type") == 0).join(a, F.col("address_id") == F.col("_aid"))
+          .groupBy("message_rowid")
+          .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "address"))),
+                                        lambda s: s["address"]), ", ").alias("to_line")))
+    m = (v.messages.select("rowid", "sender", "subject", "date_sent")
+         .join(a, F.col("sender") == F.col("_aid"), "left")
+         .join(to, F.col("rowid") == F.col("message_rowid"), "left"))
+    utc = F.col("date_sent") + F.make_dt_interval(hours=(F.col("rowid") % 24).cast("int"))
+    east = F.col("rowid") % 2 == 1
+    local = utc + F.make_dt_interval(mins=F.when(east, F.lit(60)).otherwise(F.lit(-300)))
+    zone = F.when(east, F.lit("+0100")).otherwise(F.lit("-0500"))
+    raw = F.concat(
+        F.lit("Received: from relay.example\n\tby mx.example\n"),
+        F.lit('From: "Sender '), F.col("sender").cast("string"), F.lit('" <'), F.col("address"), F.lit(">\n"),
+        F.when(F.col("to_line").isNotNull(), F.concat(F.lit("To: "), F.col("to_line"), F.lit("\n")))
+         .otherwise(F.lit("")),
+        F.lit("Subject: "), F.col("subject"), F.lit("\n"),
+        F.lit("Date: "), F.date_format(local, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" "), zone, F.lit("\n"),
+        F.lit("Message-ID: <"), F.col("rowid").cast("string"), F.lit("@mail.example>\n\nbody\n"))
+    return m.select("rowid", raw.alias("raw"))
+
+
+@query("parse_roundtrip")
+def parse_roundtrip(v: MailViews) -> DataFrame:
+    """P1-P5 + P16 over every driver message rendered as RFC 822 text."""
+    from maillake.functions import headers as H
+    from maillake.functions.dates import parse_header_date
+    r = rendered_messages(v).withColumn("h", H.parse_headers(F.col("raw")))
+    frm = H.parse_address(H.header(F.col("h"), "from"))
+    d = parse_header_date(H.header(F.col("h"), "date"))
+    return r.select(
+        "rowid", frm["name"].alias("from_name"), frm["email"].alias("from_email"),
+        F.coalesce(F.size(H.parse_addresses(H.header(F.col("h"), "to"))), F.lit(0)).alias("n_to"),
+        H.header(F.col("h"), "subject").alias("subject"),
+        d["utc"].alias("date_utc"), d["tz_offset_min"].alias("tz_offset_min"),
+        H.header(F.col("h"), "message-id").alias("message_id"),
+        T.line_count(F.col("raw")).alias("lines"))
+
+
 @query("form_fields")
 def form_fields(v: MailViews) -> DataFrame:
     """P11 + F11: extracted fields per request and ok / error status."""
