@@ -136,12 +136,3 @@ def cascade_recipients(v: MailViews) -> DataFrame:
     gone = v.messages.filter(is_deleted(F.col("flags"))).select("rowid")
     return counters.cascade_delete(v.recipients, gone).select(
         "message_rowid", "type", "address_id", "position")
-
-
-# Further registrations live in per-area modules; importing them fills CATALOG.
-from maillake.plans import queries_text  # noqa: E402,F401
-from maillake.plans import queries_lists  # noqa: E402,F401
-from maillake.plans import queries_pages  # noqa: E402,F401
-from maillake.plans import queries_misc  # noqa: E402,F401
-from maillake.plans import queries_stream  # noqa: E402,F401
-from maillake.plans import queries_wishes  # noqa: E402,F401

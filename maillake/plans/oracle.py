@@ -255,12 +255,3 @@ def _():
     return """
 SELECT message_rowid, type, address_id, position FROM recipients r
 WHERE NOT EXISTS (SELECT 1 FROM messages m WHERE m.rowid = r.message_rowid AND m.flags & 2 <> 0)"""
-
-
-# Further SQL twins live in per-area modules; importing them fills ORACLE.
-from maillake.plans import oracle_text  # noqa: E402,F401
-from maillake.plans import oracle_lists  # noqa: E402,F401
-from maillake.plans import oracle_pages  # noqa: E402,F401
-from maillake.plans import oracle_misc  # noqa: E402,F401
-from maillake.plans import oracle_stream  # noqa: E402,F401
-from maillake.plans import oracle_wishes  # noqa: E402,F401
