@@ -63,6 +63,8 @@ mail_events AS (
 def with_views(body: str) -> str:
     """Prefix the view CTEs; a body that starts with its own WITH list is merged in."""
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + VIEWS_SQL.strip() + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + VIEWS_SQL.strip() + ",\n" + body[5:]
     return "WITH " + VIEWS_SQL.strip() + "\n" + body

@@ -99,6 +99,16 @@ WITH f AS (SELECT rowid, subject FROM messages
 SELECT row_number() OVER (ORDER BY rowid) AS item, rowid, subject FROM f"""
 
 
+@oracle("address_components")
+def _():
+    return """
+WITH RECURSIVE e0 AS (SELECT DISTINCT m.sender AS src, r.address_id AS dst
+                      FROM messages m JOIN recipients r ON r.message_rowid = m.rowid),
+e AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0),
+reach(node, label) AS (SELECT src, src FROM e UNION SELECT e.dst, r.label FROM reach r JOIN e ON e.src = r.node)
+SELECT node, min(label) AS label FROM reach GROUP BY node"""
+
+
 @oracle("rfc2047")
 def _():
     return "SELECT doc_id, split_part(text, chr(10), 1) AS subject FROM documents"

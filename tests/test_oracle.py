@@ -37,10 +37,10 @@ def test_every_query_has_twin_or_is_declared():
     rows_only = set(QUERIES) - set(SQL)
     # Non-SQL operators (Python charset scoring, RFC 2047, streaming) are
     # listed here on purpose; anything else must have an SQL twin.
-    assert rows_only <= {"charset_guess", "topics", "address_components"}, rows_only
+    assert rows_only <= {"charset_guess", "topics"}, rows_only
 
 
-@pytest.mark.parametrize("name", ["charset_guess", "topics", "address_components"])
+@pytest.mark.parametrize("name", ["charset_guess", "topics"])
 def test_rows_only_queries_run(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.count() > 0

@@ -204,6 +204,33 @@ def test_sequential_helpers_brute_force_with_hot_group(spark):
     assert all(rn[o] == o + 1 for o in rn)
 
 
+def test_connected_components_brute_force(spark):
+    from maillake.operators import wishes
+    rnd = random.Random(5)
+    edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(220)]
+    edges += [(1000 + i, 1001 + i) for i in range(60)]          # a long chain (diameter 60)
+    edges += [(5000, 5000 + i) for i in range(1, 80)]           # a hub
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    for a, b in edges:
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+    comp = {}
+    for n in list(parent):
+        comp.setdefault(find(n), []).append(n)
+    want = {n: min(members) for members in comp.values() for n in members}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {r.node: r.label for r in wishes.connected_components(df).collect()}
+    assert got == want
+
+
 def test_dimension_build_is_idempotent(spark):
     from maillake.operators import model
     vals = spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "subject string")
