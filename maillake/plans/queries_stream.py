@@ -71,7 +71,7 @@ def stream_counters(v: MailViews) -> DataFrame:
     out = jobs.scratch_dir(v.spark, "counters")
     jobs.run_available_now(s, out + "/_checkpoint",
                            writer=jobs.counters_batch_writer(out + "/state", out + "/counters"))
-    return v.spark.read.parquet(out + "/counters").drop("epoch")
+    return v.spark.read.parquet(out + "/counters/current")
 
 
 @query("stream_requests")

@@ -119,50 +119,83 @@ def triage_batch_writer(out_dir: str, rules: Sequence[Rule], **kw) -> Callable[[
 
 
 # --- T5 ---------------------------------------------------------------------------------
-def counters_batch_writer(state_dir: str, counters_dir: str, key: str = "rowid",
-                          ts: str = "event_ts") -> Callable[[DataFrame, int], None]:
-    """T5: per micro-batch, keep the latest event per message (max event time),
-    merge it into the state table, then recount only the folders touched.
+COUNTER_NAMES = ["total_count", "unseen_count", "deleted_count", "unread_count"]
+
+
+def _contribution(rows: DataFrame, sign: int) -> DataFrame:
+    """Counter contribution of message rows (removed rows count nothing)."""
+    f = F.col("flags")
+    live = ~F.col("removed")
+    vals = [live, live & ~is_seen(f), live & is_deleted(f), live & is_unread(f)]
+    return rows.select("mailbox", *[(F.when(v, F.lit(sign)).otherwise(F.lit(0))).cast("long").alias(n)
+                                    for v, n in zip(vals, COUNTER_NAMES)])
+
 
-    State and counters are Parquet tables (re-written per batch: a table
-    format with MERGE would upsert in place).
+def counters_batch_writer(state_dir: str, counters_dir: str, key: str = "rowid",
+                          ts: str = "event_ts", buckets: int | None = None
+                          ) -> Callable[[DataFrame, int], None]:
+    """T5: counters kept incrementally, as the store's triggers keep them.
+
+    Per micro-batch: the latest event per message (max event time); the old
+    rows of those messages, read only from the touched hash buckets of the
+    state table; each folder's delta = new contributions - old ones, added to
+    the per-folder counters (a table with one row per folder); then only the
+    touched state buckets are rewritten (dynamic partition overwrite).  The
+    cost follows the batch, not the whole state.  ``counters_dir/current``
+    holds the counters; ``counters_dir/log`` gets the touched folders' values
+    per epoch.
     """
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        # State buckets: fixed for the life of the state table (default: the
+        # cluster's total cores, so bucket files grow with the deployment).
+        n_buckets = buckets or max(spark.sparkContext.defaultParallelism, 1)
+        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
         latest = (batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), ts).alias("_r"))
-                  .select("_r.*"))
+                  .select("_r.*").withColumn("_bucket", bucket))
+        # Bucket ids are at most ``buckets`` values: a bounded list for pruning.
+        touched_buckets = [r[0] for r in latest.select("_bucket").distinct().collect()]
         try:
-            state = spark.read.parquet(state_dir)
+            state = spark.read.parquet(state_dir).filter(F.col("_bucket").isin(touched_buckets))
+            old = state.join(latest.select(key), key, "left_semi")
         except Exception:  # noqa: BLE001 - first batch: no state yet
-            state = None
-        if state is not None:
-            merged = (state.unionByName(latest)
-                      .groupBy(key).agg(F.max_by(F.struct(*latest.columns), ts).alias("_r"))
-                      .select("_r.*"))
+            state, old = None, None
+        if old is not None:
+            # keep an old row when it is newer than the batch's (late events)
+            newer = (latest.alias("n").join(old.alias("o"), F.col(f"n.{key}") == F.col(f"o.{key}"), "left")
+                     .filter(F.col(f"o.{ts}").isNull() | (F.col(f"n.{ts}") >= F.col(f"o.{ts}")))
+                     .select("n.*"))
+            changed_old = old.join(newer.select(key), key, "left_semi")
         else:
-            merged = latest
-        # Write the new state beside the old one, then swap (the old state is
-        # still being read by this plan, so it cannot be overwritten in place).
-        tmp = f"{state_dir}.next-{epoch}"
-        merged.write.mode("overwrite").parquet(tmp)
-        fresh = spark.read.parquet(tmp)
-        # Touched folders: where changed messages are now, and where they were.
-        touched = latest.select("mailbox")
+            newer, changed_old = latest, None
+        delta = _contribution(newer, 1)
+        if changed_old is not None:
+            delta = delta.unionByName(_contribution(changed_old, -1))
+        delta = delta.groupBy("mailbox").agg(*[F.sum(n).alias(n) for n in COUNTER_NAMES])
+        try:
+            current = spark.read.parquet(f"{counters_dir}/current")
+        except Exception:  # noqa: BLE001 - first batch
+            current = spark.createDataFrame([], "mailbox string, " + ", ".join(f"{n} long" for n in COUNTER_NAMES))
+        j = current.join(delta.select("mailbox", *[F.col(n).alias(f"_d_{n}") for n in COUNTER_NAMES]),
+                         "mailbox", "full")
+        updated = j.select("mailbox", *[(F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_d_{n}"), F.lit(0)))
+                                        .cast("long").alias(n) for n in COUNTER_NAMES])
+        # Small table (one row per folder): write beside, then swap.
+        updated.write.mode("overwrite").parquet(f"{counters_dir}/next-{epoch}")
+        fresh_counts = spark.read.parquet(f"{counters_dir}/next-{epoch}")
+        fresh_counts.join(delta.select("mailbox"), "mailbox", "left_semi") \
+            .withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{counters_dir}/log")
+        fresh_counts.write.mode("overwrite").parquet(f"{counters_dir}/current")
+        # State: rewrite only the touched buckets.
         if state is not None:
-            touched = touched.unionByName(
-                state.join(latest.select(key), key, "left_semi").select("mailbox"))
-        touched = touched.distinct()
-        f = F.col("flags")
-        names = ["total_count", "unseen_count", "deleted_count", "unread_count"]
-        counts = (fresh.filter(~F.col("removed")).join(touched, "mailbox", "left_semi")
-                  .groupBy("mailbox").agg(F.count(F.lit(1)).alias(names[0]),
-                                          F.count_if(~is_seen(f)).alias(names[1]),
-                                          F.count_if(is_deleted(f)).alias(names[2]),
-                                          F.count_if(is_unread(f)).alias(names[3])))
-        # A folder that lost its last message reports zeros.
-        counts = touched.join(counts, "mailbox", "left").fillna(0, subset=names)
-        counts.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(counters_dir)
-        fresh.write.mode("overwrite").parquet(state_dir)
+            keep = state.join(newer.select(key), key, "left_anti")
+            new_state = keep.unionByName(newer.select(*keep.columns))
+        else:
+            new_state = newer
+        staged = f"{state_dir}.stage-{epoch}"
+        new_state.write.mode("overwrite").partitionBy("_bucket").parquet(staged)
+        (spark.read.parquet(staged).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(state_dir))
     return write
 
 

@@ -64,10 +64,17 @@ def test_live_counters_two_batches(spark, tmp_path):
     spark.createDataFrame([(1, "B", 1, False, t1), (2, "A", 1, True, t1)], schema) \
         .coalesce(1).write.parquet(str(land / "b2"))
     jobs.run_available_now(stream, ck, writer=jobs.counters_batch_writer(st, cn))
-    c = spark.read.parquet(cn)
+    c = spark.read.parquet(f"{cn}/log")
     last = {r.mailbox: (r.total_count, r.unseen_count) for r in
             c.filter(F.col("epoch") == c.agg(F.max("epoch")).first()[0]).collect()}
     assert last == {"A": (0, 0), "B": (1, 0)}
+    cur = {r.mailbox: r.total_count for r in spark.read.parquet(f"{cn}/current").collect()}
+    assert cur == {"A": 0, "B": 1}
+    # a late event older than the stored state changes nothing
+    spark.createDataFrame([(1, "A", 0, False, t0)], schema).coalesce(1).write.parquet(str(land / "b3"))
+    jobs.run_available_now(stream, ck, writer=jobs.counters_batch_writer(st, cn))
+    cur = {r.mailbox: r.total_count for r in spark.read.parquet(f"{cn}/current").collect()}
+    assert cur == {"A": 0, "B": 1}
 
 
 def test_archive_once_batch_equals_stream(spark, tmp_path):
