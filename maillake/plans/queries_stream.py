@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from maillake.functions import flags as FL
 from maillake.operators import forms
+from maillake.plans import params as P
 from maillake.plans.catalog import query
 from maillake.plans.queries_text import request_bodies
 from maillake.sources.driver import MailViews, message_id_expr
@@ -89,6 +90,11 @@ def stream_requests(v: MailViews) -> DataFrame:
         bodies = request_bodies(_V)
         fields = forms.form_fields(bodies, "request_id", "body", ["name", "email", "segment"])
         fields.write.mode("append").partitionBy("status").parquet(out + "/fields")
+        done = batch.sparkSession.read.parquet(out + "/fields").filter(F.col("status") == "ok")
+        replies = forms.reply_render(done.join(bodies.select("request_id"), "request_id", "left_semi"),
+                                     "request_id", P.REPLY_TEMPLATE, ["name", "email", "segment"],
+                                     P.RESPONDER_ADDRESS, P.CC_ADDRESS)
+        replies.write.mode("append").parquet(out + "/replies")
 
     jobs.run_available_now(cust, out + "/_checkpoint", writer=write)
     return v.spark.read.parquet(out + "/fields")

@@ -111,6 +111,14 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], default_folder: str = "INB
              .withColumn("wants_full", full)
 
 
+def full_pass(triaged: DataFrame, bodies: DataFrame, key: str,
+              transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """X2 second pass (late materialisation): only messages whose header rules
+    asked for the full text are joined to the body table and transformed."""
+    wanted = triaged.filter(F.col("wants_full")).select(key)
+    return transform(bodies.join(wanted, key, "left_semi"))
+
+
 def triage_batch_writer(out_dir: str, rules: Sequence[Rule], **kw) -> Callable[[DataFrame, int], None]:
     """T3 sink: each micro-batch is triaged and appended partitioned by folder."""
     def write(batch: DataFrame, epoch: int) -> None:
