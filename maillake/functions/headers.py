@@ -16,18 +16,22 @@ ADDRESS_SPLIT_RE = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def normalize_newlines(raw: Column) -> Column:
-    return F.replace(raw, F.lit("\r\n"), F.lit("\n"))
+    """CRLF -> LF (texts without a CR pass untouched)."""
+    return F.when(F.instr(raw, "\r") > 0, F.replace(raw, F.lit("\r\n"), F.lit("\n"))).otherwise(raw)
 
 
 def head_text(raw: Column) -> Column:
-    """The header block = text up to the first blank line."""
-    return F.element_at(F.split(normalize_newlines(raw), "\n\n", 2), 1)
+    """The header block = text up to the first blank line (literal search, no regex)."""
+    t = normalize_newlines(raw)
+    cut = F.instr(t, "\n\n")
+    return F.when(cut > 0, F.substring(t, F.lit(1), cut - 1)).otherwise(t)
 
 
 def body_text(raw: Column) -> Column:
     """Text after the first blank line ('' when there is none)."""
-    parts = F.split(normalize_newlines(raw), "\n\n", 2)
-    return F.when(F.size(parts) > 1, F.element_at(parts, 2)).otherwise(F.lit(""))
+    t = normalize_newlines(raw)
+    cut = F.instr(t, "\n\n")
+    return F.when(cut > 0, F.substring(t, cut + 2, F.lit(1 << 30))).otherwise(F.lit(""))
 
 
 def parse_headers(raw: Column) -> Column:
