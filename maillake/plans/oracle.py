@@ -29,7 +29,8 @@ messages AS (
          CAST(c.c_nationkey AS BIGINT) AS mailbox,
          CAST(floor(o.o_totalprice) AS BIGINT) AS bytes,
          o.o_orderpriority AS priority
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+  FROM orders o LEFT JOIN (SELECT c_custkey, max(c_nationkey) AS c_nationkey FROM customer GROUP BY c_custkey) c
+    ON o.o_custkey = c.c_custkey),
 addresses AS (
   SELECT c.c_custkey AS rowid,
          lower(replace(c.c_name, '#', '.')) || '@' || lower(n.n_name) || '.example.org' AS address,
