@@ -204,6 +204,14 @@ def test_sequential_helpers_brute_force_with_hot_group(spark):
     assert all(rn[o] == o + 1 for o in rn)
 
 
+def test_term_index_with_senders(spark):
+    pg = spark.createDataFrame([(1, "We met Ann Lee there."), (2, "Then we saw Ann Lee again."),
+                                (3, "Nothing here.")], "page int, text string")
+    ps = spark.createDataFrame([(1, "a@x"), (2, "b@x")], "page int, sender string")
+    r = pages.term_index_with_senders(pg, ps).first()
+    assert (r.term, r.title, r.pages, r.senders) == ("ann lee", "Ann Lee", "1,2", "a@x,b@x")
+
+
 def test_connected_components_brute_force(spark):
     from maillake.operators import wishes
     rnd = random.Random(5)
