@@ -6,10 +6,11 @@ The reference calls a user object once per message or per mailbox.  Here:
   hook: it stays in Catalyst;
 * ``per_message`` runs a pandas function over Arrow batches of messages
   (``mapInPandas``) when the logic needs Python;
-* ``per_mailbox`` runs a pandas function once per folder
-  (``groupBy(...).applyInPandas``).  A folder's rows meet in one task, so
-  use it for summaries of bounded folders; unbounded folders should use
-  aggregate functions instead.
+* ``per_mailbox`` computes a per-folder summary in two phases, like a
+  combiner: ``partial`` summarises each Arrow batch per folder, the partial
+  rows (one per batch and folder) are shuffled by folder, and ``combine``
+  merges them.  No folder -- however large -- is ever gathered into one
+  task; only its partial summaries are.
 """
 
 from __future__ import annotations
@@ -35,7 +36,18 @@ def per_message(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
     return df.mapInPandas(run, schema)
 
 
-def per_mailbox(df: DataFrame, folder: str, fn: Callable[[pd.DataFrame], pd.DataFrame],
-                schema) -> DataFrame:
-    """``fn`` gets all messages of one folder (e.g. a mailbox statistics class)."""
-    return df.groupBy(folder).applyInPandas(fn, schema)
+def per_mailbox(df: DataFrame, folder: str,
+                partial: Callable[[pd.DataFrame], pd.DataFrame], partial_schema,
+                combine: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+    """Per-folder summary (e.g. a mailbox statistics class).
+
+    ``partial(batch)`` returns one row per folder present in the batch (with
+    the ``folder`` column); ``combine(rows)`` gets all partial rows of one
+    folder and returns its final row(s).
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield partial(b)
+    partials = df.mapInPandas(run, partial_schema)
+    return partials.groupBy(folder).applyInPandas(combine, schema)

@@ -79,10 +79,16 @@ def test_hooks(spark):
     doubled = hooks.per_message(df, lambda p: p.assign(size=p["size"] * 2), df.schema)
     assert sorted(r.size for r in doubled.collect()) == [2, 6, 10]
 
-    def stats_(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"folder": [p["folder"].iloc[0]], "n": [len(p)], "bytes": [int(p["size"].sum())]})
+    def partial(p: pd.DataFrame) -> pd.DataFrame:
+        g = p.groupby("folder")["size"].agg(["count", "sum"]).reset_index()
+        return g.rename(columns={"count": "n", "sum": "bytes"})
+
+    def combine(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"folder": [p["folder"].iloc[0]], "n": [int(p["n"].sum())],
+                             "bytes": [int(p["bytes"].sum())]})
+    sch = "folder string, n long, bytes long"
     out = {r.folder: (r.n, r.bytes) for r in hooks.per_mailbox(
-        df, "folder", stats_, "folder string, n long, bytes long").collect()}
+        df.repartition(3), "folder", partial, sch, combine, sch).collect()}
     assert out == {"A": (2, 8), "B": (1, 1)}
 
 
