@@ -14,7 +14,7 @@ size is checked before they are compiled into one expression.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_Q = 8                  # longest key gram; entries shorter than this use their length
@@ -23,15 +23,15 @@ MAX_REGEX_ENTRIES = 5000   # regex lists are configuration; larger lists are ref
 
 def read_list_file(spark: SparkSession, path: str) -> DataFrame:
     """One entry per line; blank lines dropped; ``line_no`` keeps file order."""
+    # Line numbers only need to follow file order (first / last entry wins),
+    # so no window is needed: split start x 10^8 + position inside the split
+    # (a split holds far fewer than 10^8 lines).  Every split is numbered by
+    # its own task, however long the list.
+    pid = F.spark_partition_id().cast("long")
+    local = F.monotonically_increasing_id() - F.shiftleft(pid, 33)
     raw = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_f"),
-        F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_i"))
-    # A list file is configuration (small); its lines are numbered in file
-    # order: split start first, then position inside the split.
-    w = Window.partitionBy("_f").orderBy("_b", "_i")
-    return (raw.withColumn("line_no", F.row_number().over(w))
-            .select("line_no", F.trim(F.col("value")).alias("entry"))
+        "value", (F.col("_metadata.file_block_start") * F.lit(100_000_000) + local).alias("line_no"))
+    return (raw.select("line_no", F.trim(F.col("value")).alias("entry"))
             .filter(F.col("entry") != ""))
 
 

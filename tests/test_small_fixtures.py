@@ -95,6 +95,23 @@ def test_list_contains_brute_force(spark):
         assert got[v] == any(e in v for e in ents), v
 
 
+def test_list_files_keep_file_order(spark, tmp_path):
+    p = tmp_path / "repl.txt"
+    lines = [f"key{i % 50} :: value{i}" for i in range(5000)] + ["", "@gmail.com :: G"]
+    p.write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")   # many splits
+        repl = lists.read_replacement_file(spark, str(p))
+        assert repl.count() == 5001
+        vals = spark.createDataFrame([("key7",), ("xkey7x",), ("a@gmail.com",)], "v string")
+        got = {r.v: r.replaced for r in lists.replace_lookup(vals, "v", repl).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    # exact: the last line wins; partial: the first line in file order wins
+    assert got == {"key7": "value4957", "xkey7x": "value7", "a@gmail.com": "G"}
+
+
 def test_regex_list(spark):
     df = spark.createDataFrame([("alice@x",), ("bob@y",)], "v string")
     out = lists.regex_replace_lookup(df, "v", ["b.*", "a.*@x"], ["B", "AX"]).collect()
