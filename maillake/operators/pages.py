@@ -110,6 +110,23 @@ def text_beside(spans: DataFrame, label: str) -> DataFrame:
                                           lambda s: s["text"]), " ").alias("value")))
 
 
+def first_page_fields(links: DataFrame, spans: DataFrame) -> DataFrame:
+    """E4 first-page record: per (doc, page) with at least one labelled mailto link,
+    the to / from / cc addresses (A10), the subject and date text beside their
+    labels (J7), the parsed date (P6); missing to / from / subject are ''."""
+    from maillake.functions.dates import parse_pdf_date
+
+    f = link_fields(link_labels(links, spans))
+    wide = f.groupBy("doc", "page").pivot("label", ["to", "from", "cc"]).agg(F.first("value"))
+    subj = text_beside(spans, "Subject:").withColumnRenamed("value", "subject")
+    date = text_beside(spans, "Date:").withColumnRenamed("value", "date_text")
+    out = wide.join(subj, ["doc", "page"], "left").join(date, ["doc", "page"], "left")
+    return out.select("doc", "page",
+                      F.coalesce("to", F.lit("")).alias("to"), F.coalesce("from", F.lit("")).alias("from"),
+                      "cc", F.coalesce("subject", F.lit("")).alias("subject"), "date_text",
+                      parse_pdf_date(F.col("date_text")).alias("date"))
+
+
 def noun_runs(text: Column) -> Column:
     """P25 (re-aimed): sorted distinct runs of capitalised words, per sentence,
     the sentence's first word skipped; a run touching a ``.pdf`` token is dropped;

@@ -167,6 +167,21 @@ def test_pages_carry_and_labels(spark):
     assert pages.text_beside(spans, "Subject:").first().value == "Hello world"
 
 
+def test_first_page_fields(spark):
+    spans = spark.createDataFrame([
+        (1, 1, 0, "From:", 0.0, 0.0, 30.0, 8.0), (1, 1, 1, "To:", 0.0, 10.0, 30.0, 20.0),
+        (1, 1, 2, "Subject:", 0.0, 30.0, 40.0, 40.0), (1, 1, 3, "Budget", 50.0, 30.0, 90.0, 40.0),
+        (1, 1, 4, "Date:", 0.0, 50.0, 40.0, 60.0),
+        (1, 1, 5, "Monday, June 1, 2020 08:00:00 PM", 50.0, 50.0, 200.0, 60.0)],
+        "doc int, page int, pos int, text string, x0 double, y0 double, x1 double, y1 double")
+    links = spark.createDataFrame([(1, 1, 0, 2, "mailto:a@x.example", 2.0, 6.0),
+                                   (1, 1, 1, 2, "mailto:b@x.example", 12.0, 18.0)],
+                                  "doc int, page int, pos int, kind int, uri string, y0 double, y1 double")
+    r = pages.first_page_fields(links, spans).first()
+    assert (r["from"], r.to, r.subject, str(r.date)) == ("a@x.example", "b@x.example", "Budget",
+                                                          "2020-06-01 20:00:00")
+
+
 def test_noun_runs(spark):
     df = spark.createDataFrame([("The team met Ann Smith in New York today. Bob saw "
                                  "Report Final.pdf twice. Then Carol ran.",)], "t string")
