@@ -6,6 +6,7 @@ expressions (whole-stage codegen, no Python) and work on whole texts.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -191,10 +192,13 @@ def ascii_fold(c: Column) -> Column:
     # One translate pass maps the 1:1 pairs and deletes the characters that
     # map to nothing (they sit past the end of the replacement string).
     out = F.translate(c, "".join(s for s, _ in one) + "".join(gone), "".join(r for _, r in one))
-    for s, r in pairs:
-        if len(r) > 1:
-            out = F.replace(out, F.lit(s), F.lit(r))
-    folded = F.regexp_replace(out, "[^\\x00-\\x7F]", "")
+    multi = [(s, r) for s, r in pairs if len(r) > 1]
+    chained = out
+    for s, r in multi:
+        chained = F.replace(chained, F.lit(s), F.lit(r))
+    # The 1:n replacements run only on texts that hold one of their characters.
+    has_multi = out.rlike("[" + "".join(re.escape(s) for s, _ in multi) + "]")
+    folded = F.regexp_replace(F.when(has_multi, chained).otherwise(out), "[^\\x00-\\x7F]", "")
     # Pure-ASCII texts (most mail) skip the replacement passes entirely.
     return F.when(c.rlike("[^\\x00-\\x7F]"), folded).otherwise(c)
 
