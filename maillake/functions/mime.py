@@ -31,11 +31,31 @@ def _decode_rfc2047(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+def only_where(df: DataFrame, need: Column, python_cols: dict, jvm_cols: dict) -> DataFrame:
+    """Run Python-backed columns only on the rows that need them.
+
+    Spark lifts a pandas UDF out of a ``when`` and feeds it every row, so the
+    gate has to be a filter: the rows matching ``need`` get ``python_cols``,
+    the others ``jvm_cols`` (same names), and the two branches are unioned.
+    """
+    cond = F.coalesce(need, F.lit(False))
+    py = df.filter(cond).withColumns(python_cols)
+    jvm = df.filter(~cond).withColumns(jvm_cols)
+    return py.unionByName(jvm)
+
+
 def decode_words(value: Column) -> Column:
-    """Decode ``=?charset?Q|B?...?=`` words; values without them pass unchanged."""
+    """P8 as a Column: decode ``=?charset?Q|B?...?=`` words.  Python sees every row
+    of the frame; prefer ``with_decoded_words`` on large frames."""
     return F.when(value.contains("=?"), _decode_rfc2047(value)).otherwise(value)
 
 
+def with_decoded_words(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``out`` = ``col`` with RFC 2047 words decoded; only values holding ``=?`` go to Python."""
+    return only_where(df, F.col(col).contains("=?"), {out: _decode_rfc2047(F.col(col))},
+                      {out: F.col(col)})
+
+
 @pandas_udf(StringType())
 def _decode_qp(values: pd.Series, charsets: pd.Series) -> pd.Series:
     import quopri
@@ -54,7 +74,9 @@ def _decode_qp(values: pd.Series, charsets: pd.Series) -> pd.Series:
 
 
 def decode_part(body: Column, encoding: Column, charset: Column) -> Column:
-    """Content-Transfer-Encoding: base64 in the JVM, quoted-printable via pandas UDF."""
+    """Content-Transfer-Encoding as a Column: base64 in the JVM, quoted-printable via
+    pandas UDF.  Python sees every row of the frame; ``mime_parts`` routes only
+    quoted-printable parts to Python."""
     enc = F.lower(F.trim(F.coalesce(encoding, F.lit(""))))
     cs = F.coalesce(charset, F.lit("utf-8"))
     b64 = F.try_validate_utf8(F.unbase64(F.regexp_replace(body, r"\s", "")).cast("string"))
@@ -119,10 +141,19 @@ def mime_leaves(df: DataFrame, id_col: str, headers: str, body: str,
 
 
 def mime_parts(df: DataFrame, id_col: str, headers: str, body: str) -> DataFrame:
-    """P9 input: text of every leaf part (id, part_path, part_no, content_type, charset, text)."""
+    """P9 input: text of every leaf part (id, part_path, part_no, content_type, charset, text).
+
+    base64 and 7bit/8bit parts are decoded in the JVM; only quoted-printable
+    parts are routed (by a filter) to the Python decoder.
+    """
     leaves = mime_leaves(df, id_col, headers, body)
-    return leaves.select(id_col, "part_path", "part_no", "content_type", "charset",
-                         decode_part(F.col("raw_body"), F.col("encoding"), F.col("charset")).alias("text"))
+    enc = F.lower(F.trim(F.coalesce(F.col("encoding"), F.lit(""))))
+    cs = F.coalesce(F.col("charset"), F.lit("utf-8"))
+    b64 = F.try_validate_utf8(F.unbase64(F.regexp_replace("raw_body", r"\s", "")).cast("string"))
+    jvm_text = F.when(enc == "base64", b64).otherwise(F.col("raw_body"))
+    out = only_where(leaves, enc == "quoted-printable", {"text": _decode_qp(F.col("raw_body"), cs)},
+                     {"text": jvm_text})
+    return out.select(id_col, "part_path", "part_no", "content_type", "charset", "text")
 
 
 def attachments(df: DataFrame, id_col: str, headers: str, body: str) -> DataFrame:
@@ -183,8 +214,22 @@ def _guess(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["charset", "text"])
 
 
+def with_guessed_charset(df: DataFrame, raw_col: str, out: str) -> DataFrame:
+    """P18 as a frame operation: ASCII / valid UTF-8 rows are settled in the JVM,
+    only the rest are routed (by a filter) to the Python scorer."""
+    raw = F.col(raw_col)
+    decoded = raw.cast("string")
+    utf8_ok = F.coalesce(F.is_valid_utf8(decoded), F.lit(False))
+    ascii_ok = ~decoded.rlike("[^\\x00-\\x7F]")
+    jvm = F.when(raw.isNull(), F.lit(None)).when(
+        ascii_ok, F.struct(F.lit("ascii").alias("charset"), decoded.alias("text"))).otherwise(
+        F.struct(F.lit("utf8").alias("charset"), decoded.alias("text")))
+    return only_where(df, raw.isNotNull() & ~utf8_ok, {out: _guess(raw)}, {out: jvm})
+
+
 def guess_charset(raw: Column) -> Column:
-    """struct(charset, text) of binary text.
+    """P18 as a Column: struct(charset, text) of binary text.  Python sees every
+    row of the frame; ``with_guessed_charset`` routes only undecided rows.
 
     ASCII and valid UTF-8 are settled in the JVM (a lossless decode/encode
     round trip); only the other rows reach the Python scorer.

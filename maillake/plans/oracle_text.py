@@ -91,6 +91,11 @@ FROM flat f LEFT JOIN subj s ON f.subject = s.subject
 LEFT JOIN addr a ON f.sender_email = a.sender_email"""
 
 
+@oracle("mime_bodies")
+def _():
+    return "SELECT doc_id, 'text/plain' AS content_type, text FROM documents"
+
+
 @oracle("parse_roundtrip")
 def _():
     return """

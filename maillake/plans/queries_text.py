@@ -125,6 +125,36 @@ def parse_roundtrip(v: MailViews) -> DataFrame:
         T.line_count(F.col("raw")).alias("lines"))
 
 
+def multipart_documents(v: MailViews) -> DataFrame:
+    """Each document as a multipart/alternative message: an HTML part first, then
+    the whole text as text/plain (base64 for non-English documents, 7bit else)."""
+    d = v.bodies.select("doc_id", "text", "lang")
+    b = F.concat(F.lit("=_b"), F.col("doc_id").cast("string"))
+    b64 = F.col("lang") != "en"
+    plain_body = F.when(b64, F.base64(F.encode("text", "UTF-8"))).otherwise(F.col("text"))
+    raw = F.concat(
+        F.lit("From: docs@mail.example\nSubject: document "), F.col("doc_id").cast("string"),
+        F.lit('\nMIME-Version: 1.0\nContent-Type: multipart/alternative; boundary="'), b, F.lit('"\n\n'),
+        F.lit("--"), b, F.lit("\nContent-Type: text/html; charset=utf-8\n\n<html><body><p>"),
+        F.col("doc_id").cast("string"), F.lit("</p></body></html>\n"),
+        F.lit("--"), b, F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: "),
+        F.when(b64, F.lit("base64")).otherwise(F.lit("7bit")), F.lit("\n\n"), plain_body, F.lit("\n"),
+        F.lit("--"), b, F.lit("--\n"))
+    return d.select("doc_id", raw.alias("raw"))
+
+
+@query("mime_bodies")
+def mime_bodies(v: MailViews) -> DataFrame:
+    """P9 (+P10 ranking): the preferred body part of every multipart document message."""
+    from maillake.functions import headers as H
+    from maillake.functions.mime import choose_body, mime_parts
+    m = multipart_documents(v).select("doc_id", H.parse_headers(F.col("raw")).alias("headers"),
+                                      H.body_text(F.col("raw")).alias("body"))
+    best = choose_body(mime_parts(m, "doc_id", "headers", "body"), "doc_id")
+    # the part ends before the newline that precedes the next delimiter
+    return best.select("doc_id", "content_type", F.regexp_replace("text", "\n$", "").alias("text"))
+
+
 @query("form_fields")
 def form_fields(v: MailViews) -> DataFrame:
     """P11 + F11: extracted fields per request and ok / error status."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maillake.functions.mime import decode_words, guess_charset
+from maillake.functions.mime import with_decoded_words, with_guessed_charset
 from maillake.operators import stats, wishes
 from maillake.plans import params as P
 from maillake.plans.catalog import query
@@ -107,13 +107,14 @@ def rfc2047(v: MailViews) -> DataFrame:
     # Spark's base64 breaks long output into MIME lines; an encoded word is one token.
     b64 = F.regexp_replace(F.base64(F.encode(first, "UTF-8")), "[\\r\\n]", "")
     enc = F.concat(F.lit("=?UTF-8?B?"), b64, F.lit("?="))
-    return v.bodies.select("doc_id", decode_words(enc).alias("subject"))
+    encoded = v.bodies.select("doc_id", enc.alias("encoded"))
+    return with_decoded_words(encoded, "encoded", "subject").select("doc_id", "subject")
 
 
 @query("charset_guess")
 def charset_guess(v: MailViews) -> DataFrame:
     """Bodies stored in UTF-16 (non-English) or UTF-8; the guess picks the encoding."""
     raw = F.when(F.col("lang") == "en", F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16LE"))
-    g = guess_charset(raw)
-    return v.bodies.select("doc_id", g["charset"].alias("charset"),
-                           (g["text"] == F.col("text")).alias("round_trip"))
+    g = with_guessed_charset(v.bodies.select("doc_id", "text", raw.alias("raw")), "raw", "g")
+    return g.select("doc_id", F.col("g.charset").alias("charset"),
+                    (F.col("g.text") == F.col("text")).alias("round_trip"))

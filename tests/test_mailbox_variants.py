@@ -42,6 +42,23 @@ def test_addresses_repeated_headers_and_quoted_comma(spark, tmp_path):
         (0, 0, "a@x"), (0, 1, "jo@x"), (1, 0, "c@x")]
 
 
+def test_python_only_on_rows_that_need_it(spark):
+    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.types import LongType
+    import pandas as pd
+    from maillake.functions.mime import only_where, with_decoded_words
+
+    @pandas_udf(LongType())
+    def batch_size(s: pd.Series) -> pd.Series:
+        return pd.Series([len(s)] * len(s))
+    df = spark.range(1000).repartition(1)
+    out = only_where(df, F.col("id") < 10, {"x": batch_size("id")}, {"x": F.lit(-1).cast("long")})
+    assert out.agg(F.max("x")).first()[0] == 10          # Python saw the 10 rows only
+    vals = spark.createDataFrame([("=?UTF-8?Q?caf=C3=A9?=",), ("plain",), (None,)], "s string")
+    got = {r.s: r.d for r in with_decoded_words(vals, "s", "d").collect()}
+    assert got == {"=?UTF-8?Q?caf=C3=A9?=": "café", "plain": "plain", None: None}
+
+
 def test_nested_multipart_and_attachment(spark, tmp_path):
     import base64
     from maillake.functions.mime import attachments
