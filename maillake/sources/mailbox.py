@@ -88,8 +88,10 @@ def read_rmail(spark: SparkSession, paths, glob: str | None = None) -> DataFrame
     df = _delimited(spark, paths, RMAIL_SEP, glob, False)
     first = (F.col("file_block_start") == 0) & (F.col("seq") == 0)
     body = F.expr("substr(record, locate('\\n', record, 3) + 1)")
-    return df.filter(~first).select("path", "file_block_start", "seq",
-                                    F.lit(None).cast("string").alias("envelope"), body.alias("raw"))
+    # PDF files found while walking a mail folder are not mail.
+    return (df.filter(~first & ~F.lower(F.col("path")).endswith(".pdf"))
+            .select("path", "file_block_start", "seq",
+                    F.lit(None).cast("string").alias("envelope"), body.alias("raw")))
 
 
 def _files(spark: SparkSession, paths, glob: str | None, recursive: bool = True) -> DataFrame:
@@ -170,5 +172,17 @@ def read_mail(spark: SparkSession, path: str | Sequence[str], fmt: str = "mbox")
     return reader(spark, path)
 
 
+def read_configured(spark: SparkSession, mailboxes: dict[str, tuple[str, str]]) -> DataFrame:
+    """S6 configuration sections: ``{name: (path, format)}`` -> one raw frame with a
+    ``mailbox`` column (U1: the union of every named mailbox)."""
+    out = None
+    for name, (path, fmt) in mailboxes.items():
+        part = read_mail(spark, path, fmt).select(F.lit(name).alias("mailbox"), *RAW_COLUMNS)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no mailboxes configured")
+    return out
+
+
 def raw_hash(raw: Column) -> Column:
     return F.sha2(raw, 256)

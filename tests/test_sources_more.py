@@ -52,6 +52,17 @@ def test_rmail_and_mmdf(spark, tmp_path):
     assert _ids(mailbox.read_mail(spark, str(tmp_path / "box.mmdf"), "mmdf")) == ["<a1@x>", "<a2@x>"]
 
 
+def test_configured_mailboxes_and_pdf_skip(spark, tmp_path):
+    (tmp_path / "a.mbox").write_text(f"From x Mon Nov  1 08:00:00 2010\n{MSG.format(s='k1')}")
+    rm = "BABYL OPTIONS:\n" + f"\x1f\x0c\n1,,\n{MSG.format(s='k2')}"
+    (tmp_path / "RMAIL").write_text(rm)
+    (tmp_path / "scan.pdf").write_text(rm)
+    df = mailbox.read_configured(spark, {"inbox": (str(tmp_path / "a.mbox"), "mbox"),
+                                         "old": (str(tmp_path / "RMAIL"), "rmail")})
+    assert sorted((r.mailbox, r.seq >= 0) for r in df.collect()) == [("inbox", True), ("old", True)]
+    assert mailbox.read_rmail(spark, str(tmp_path / "scan.pdf")).count() == 0
+
+
 def test_crlf_mbox(spark, tmp_path):
     text = "".join(f"From a@x Mon Nov  1 08:00:00 2010\r\n{MSG.format(s=s)}".replace("\n", "\r\n")
                    .replace("\r\r\n", "\r\n") for s in ("c1", "c2"))
