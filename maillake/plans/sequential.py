@@ -48,7 +48,8 @@ def _ranged(df: DataFrame, order: Sequence[str | Column], num_partitions: int |
     # The range exchange reads its input twice (bound sampling, then the
     # shuffle); persisting the input computes it once.  A lost cached block
     # is recomputed from the lineage, so this is safe on executor loss.
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    mine = not df.is_cached            # never drop a cache the caller made
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if mine else df
     # Without an explicit count the range exchange uses the session's
     # partition count and AQE coalesces adjacent ranges to its advisory size
     # (order is kept: only neighbouring ranges merge).  The partition id is
@@ -61,7 +62,8 @@ def _ranged(df: DataFrame, order: Sequence[str | Column], num_partitions: int |
     if with_mid:
         r = r.withColumn(_MID, F.monotonically_increasing_id())
     out = r.checkpoint(eager=True)
-    src.unpersist()
+    if mine:
+        src.unpersist()
     return out
 
 
