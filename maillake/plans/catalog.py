@@ -21,9 +21,21 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, QueryFn] = {}
 
 
+def dates_as_text(df: DataFrame) -> DataFrame:
+    """Registered results carry dates and timestamps as ISO text (``yyyy-MM-dd``,
+    ``yyyy-MM-dd HH:mm:ss``): every engine renders that the same way, whereas
+    date and timestamp values come back as different Python/pandas types."""
+    from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+    kinds = (DateType, TimestampType, TimestampNTZType)
+    if not any(isinstance(f.dataType, kinds) for f in df.schema.fields):
+        return df
+    return df.select(*[F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, kinds)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
 def query(name: str):
     def deco(fn):
-        CATALOG[name] = lambda spark, sf_dir: fn(MailViews(spark, sf_dir))
+        CATALOG[name] = lambda spark, sf_dir: dates_as_text(fn(MailViews(spark, sf_dir)))
         CATALOG[name].__doc__ = fn.__doc__
         return fn
     return deco

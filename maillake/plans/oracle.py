@@ -73,10 +73,24 @@ def with_views(body: str) -> str:
 
 ORACLE: dict[str, str] = {}
 
+# Date / timestamp output columns, rendered as ISO text like the Spark side
+# (``catalog.dates_as_text``).
+TEXT_COLUMNS = {
+    "messages_per_day": ["date"], "message_listing": ["date"], "holiday_counts": ["day"],
+    "epoch_dates": ["utc_ts", "utc_date"], "pdf_dates": ["parsed"], "internal_date": ["internal_date"],
+    "activity_per_day": ["day"], "top_per_month": ["month"], "mail_gaps": ["date"],
+    "since_date": ["internal_date"], "parse_roundtrip": ["date_utc"], "send_schedule": ["send_at"],
+}
+
 
 def oracle(name: str):
     def deco(fn):
-        ORACLE[name] = with_views(fn())
+        body = fn()
+        cols = TEXT_COLUMNS.get(name)
+        if cols:
+            repl = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols)
+            body = f"SELECT * REPLACE ({repl}) FROM (\n{body.strip()}\n) AS _q"
+        ORACLE[name] = with_views(body)
         return fn
     return deco
 
