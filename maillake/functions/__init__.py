@@ -1,0 +1 @@
+"""Column expressions: headers, dates, text, flags, predicates, MIME."""

@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators over the mail tables."""

@@ -1,0 +1 @@
+"""Readers: mailbox files, stored tables, CSV/list files, driver-table mail views."""

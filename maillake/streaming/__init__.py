@@ -1,0 +1 @@
+"""Structured Streaming jobs over a landing folder of arriving mail."""
