@@ -49,6 +49,8 @@ def day_name(ts: Column) -> Column:
 # The two specs of the reference's time wheel module.
 WEEKDAY_BY_HOUR = GridSpec("weekday_hour", weekday, 7, hour, 24)
 MONTHDAY_BY_HOUR = GridSpec("monthday_hour", day_of_month, 31, hour, 24)
+# Year x month (one ring per year present; rings = 0 means open-ended).
+YEAR_BY_MONTH = GridSpec("year_month", F.year, 0, lambda t: F.month(t) - 1, 12)
 
 
 def grid_long(df: DataFrame, ts: str | Column, spec: GridSpec,

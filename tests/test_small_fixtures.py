@@ -290,6 +290,17 @@ def test_fix_dangling_ancestor(spark):
     assert got == {1: None, 2: 1, 3: -1}
 
 
+def test_year_month_grid(spark):
+    import datetime as dt
+    from maillake.operators import timegrid
+    df = spark.createDataFrame([(dt.datetime(2019, 1, 5),), (dt.datetime(2019, 1, 9),), (dt.datetime(2020, 12, 1),)],
+                               "ts timestamp_ntz")
+    long = timegrid.grid_long(df, "ts", timegrid.YEAR_BY_MONTH)
+    assert {(r.ring, r.division): r.n for r in long.collect()} == {(2019, 0): 2, (2020, 11): 1}
+    wide = {r.ring: (r.d00, r.d11) for r in timegrid.grid_pivot(long, timegrid.YEAR_BY_MONTH).collect()}
+    assert wide == {2019: (2, None), 2020: (None, 1)}
+
+
 def test_top_n_reference_extra_row(spark):
     from maillake.operators import stats
     df = spark.createDataFrame([(k,) for k in "aabbbcd"], "k string")
