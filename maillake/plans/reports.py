@@ -52,10 +52,13 @@ def run_titled(v) -> DataFrame:
     """The registered report query: flat view, report list, plus the X6 total row."""
     a = v.addresses.select(F.col("rowid").alias("sender"), F.col("address").alias("sender_email"))
     flat = v.messages.select("rowid", "sender", "subject").join(a, "sender", "left")
+    import uuid
     spark = v.spark
-    register_views({"ml_flat": flat})
-    res = titled(spark, DEFAULT_REPORTS)
-    total = select_one(spark, TOTAL_SQL)
+    # A view name of our own, so a user's views (or a concurrent call) are untouched.
+    view = f"ml_flat_{uuid.uuid4().hex[:12]}"
+    register_views({view: flat})
+    res = titled(spark, [(t, sql.replace("ml_flat", view)) for t, sql in DEFAULT_REPORTS])
+    total = select_one(spark, TOTAL_SQL.replace("ml_flat", view))
     long = as_long_table(res)
     tot = spark.range(1).select(F.lit("Total").alias("title"), F.lit(None).cast("string").alias("key"),
                                 F.lit(total).cast("long").alias("n"))
