@@ -53,13 +53,27 @@ def assign_messages(pages: DataFrame, is_first: Column, doc: str = "doc",
     return carried.filter(F.col("message_start").isNotNull())
 
 
+PAGE_CHUNK = 1024   # pages concatenated together before the per-message join
+
+
 def message_text(assigned: DataFrame, doc: str = "doc", page: str = "page",
-                 text: str = "text") -> DataFrame:
-    """Page texts of a message concatenated in page order."""
-    return (assigned.groupBy(doc, "message_start")
-            .agg(F.count(F.lit(1)).alias("pages"),
-                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, text))),
-                                          lambda s: s[text]), "").alias("full_text")))
+                 text: str = "text", chunk: int = PAGE_CHUNK) -> DataFrame:
+    """Page texts of a message concatenated in page order.
+
+    Two levels: pages are joined within chunks of ``chunk`` page numbers
+    (a huge message's chunks are spread over many tasks), then the chunk
+    texts are joined in chunk order, so no list ever holds more than
+    ``chunk`` pages or pages/``chunk`` chunk texts.
+    """
+    ck = assigned.withColumn("_chunk", F.floor(F.col(page) / F.lit(chunk)))
+    parts = (ck.groupBy(doc, "message_start", "_chunk")
+             .agg(F.count(F.lit(1)).alias("_n"),
+                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, text))),
+                                           lambda s: s[text]), "").alias("_t")))
+    return (parts.groupBy(doc, "message_start")
+            .agg(F.sum("_n").alias("pages"),
+                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_t"))),
+                                          lambda s: s["_t"]), "").alias("full_text")))
 
 
 def import_limit(assigned: DataFrame, limit: int, doc: str = "doc") -> DataFrame:

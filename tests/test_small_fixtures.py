@@ -182,6 +182,15 @@ def test_first_page_fields(spark):
                                                           "2020-06-01 20:00:00")
 
 
+def test_message_text_in_chunks(spark):
+    rows = [(1, p, f"<{p}>", "From:\nA" if p in (0, 2500) else "x") for p in range(5000)]
+    df = spark.createDataFrame(rows, "doc int, page int, text string, first_block string")
+    a = pages.assign_messages(df, pages.is_first_page(F.col("first_block")))
+    got = {r.message_start: (r.pages, r.full_text) for r in pages.message_text(a, chunk=100).collect()}
+    assert got == {0: (2500, "".join(f"<{p}>" for p in range(2500))),
+                   2500: (2500, "".join(f"<{p}>" for p in range(2500, 5000)))}
+
+
 def test_noun_runs(spark):
     df = spark.createDataFrame([("The team met Ann Smith in New York today. Bob saw "
                                  "Report Final.pdf twice. Then Carol ran.",)], "t string")
