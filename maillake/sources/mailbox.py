@@ -86,7 +86,14 @@ def read_rmail(spark: SparkSession, paths, glob: str | None = None) -> DataFrame
     header) is dropped; each segment loses its text through the first newline
     at index >= 2 (the label line)."""
     df = _delimited(spark, paths, RMAIL_SEP, glob, False)
-    first = (F.col("file_block_start") == 0) & (F.col("seq") == 0)
+    # Segment 0 of a file = the first record of its first split.  Several small
+    # files can share a Spark partition, so ``seq`` (index inside the split)
+    # is compared with the smallest one seen for that file's first split; the
+    # per-file table has one row per file (AQE broadcasts it when small).
+    starts = (df.filter(F.col("file_block_start") == 0)
+              .groupBy("path").agg(F.min("seq").alias("_s0")))
+    df = df.join(starts, "path", "left")
+    first = (F.col("file_block_start") == 0) & (F.col("seq") == F.col("_s0"))
     body = F.expr("substr(record, locate('\\n', record, 3) + 1)")
     # PDF files found while walking a mail folder are not mail.
     return (df.filter(~first & ~F.lower(F.col("path")).endswith(".pdf"))

@@ -63,6 +63,16 @@ def test_configured_mailboxes_and_pdf_skip(spark, tmp_path):
     assert mailbox.read_rmail(spark, str(tmp_path / "scan.pdf")).count() == 0
 
 
+def test_rmail_many_small_files_share_a_partition(spark, tmp_path):
+    d = tmp_path / "rm"
+    d.mkdir()
+    for f in ("one", "two", "three"):
+        (d / f"{f}.rmail").write_text("BABYL OPTIONS:\nVersion: 5\n" + "".join(
+            f"\x1f\x0c\n1,,\n{MSG.format(s=f + str(i))}" for i in range(2)))
+    df = mailbox.read_rmail(spark, str(d))
+    assert _ids(df) == sorted(f"<{f}{i}@x>" for f in ("one", "two", "three") for i in range(2))
+
+
 def test_crlf_mbox(spark, tmp_path):
     text = "".join(f"From a@x Mon Nov  1 08:00:00 2010\r\n{MSG.format(s=s)}".replace("\n", "\r\n")
                    .replace("\r\r\n", "\r\n") for s in ("c1", "c2"))
