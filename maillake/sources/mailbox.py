@@ -59,14 +59,6 @@ def read_mbox(spark: SparkSession, paths: str | Sequence[str], crlf: bool = Fals
     ``From `` itself.  ``envelope`` = that line, ``raw`` = the message.
     """
     df = _delimited(spark, paths, MBOX_SEP_CRLF if crlf else MBOX_SEP, glob, recursive)
-    # Text before a file's first "From " line is not a message: drop a file's
-    # first record when it does not start with "From " (see read_rmail for how
-    # the first record of a file is found when files share a partition).
-    starts = (df.filter(F.col("file_block_start") == 0)
-              .groupBy("path").agg(F.min("seq").alias("_s0")))
-    df = df.join(starts, "path", "left")
-    file_first = (F.col("file_block_start") == 0) & (F.col("seq") == F.col("_s0"))
-    df = df.filter(~(file_first & ~F.col("record").startswith("From "))).drop("_s0")
     rec = F.col("record")
     nl = "\r\n" if crlf else "\n"
     first_line = F.substring_index(rec, nl, 1)

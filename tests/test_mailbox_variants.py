@@ -21,13 +21,6 @@ def test_unescaped_and_escaped_from_lines(spark, tmp_path):
     assert ">From the escaped line" in m[0].body
 
 
-def test_text_before_first_from_line_is_not_mail(spark, tmp_path):
-    for name, prefix in (("a.mbox", "junk line\nmore junk\n"), ("b.mbox", ""), ("c.mbox", "x\n")):
-        (tmp_path / name).write_text(prefix + "From a Mon Nov  1 08:00:00 2010\nSubject: " + name + "\n\nb\n")
-    m = messages.parse_messages(mailbox.read_mbox(spark, str(tmp_path), glob="*.mbox"))
-    assert sorted(r.subject for r in m.collect()) == ["a.mbox", "b.mbox", "c.mbox"]
-
-
 def test_no_trailing_newline_and_missing_headers(spark, tmp_path):
     p = tmp_path / "v.mbox"
     p.write_text("From a Mon Nov  1 08:00:00 2010\nTo: x@y\n\nno newline at end")
