@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maillake.llm import bpe
+from maillake.llm import bpe, quality
 from maillake.llm.common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text of ``documents`` with a classifier learned from ``labels``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"),
+                         quality.score(model)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``; digests of the ids and of the decoded bytes."""
     import public_tokenizers
@@ -21,5 +30,5 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe,)}
+QUERIES = {f.__name__: f for f in (op1_quality, op5_byte_bpe)}
 ORACLE: dict[str, str] = {}
