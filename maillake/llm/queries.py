@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maillake.llm import bpe, quality
+from maillake.llm import bpe, quality, rules
 from maillake.llm.common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -30,5 +30,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op5_byte_bpe)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of weakly supervised rules on every whole text of ``documents``, below two fixed base rules."""
+    judged = rules.judge(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         failed.alias("base_failed"),
+                         (~failed & (F.col("quality_probability") >= 0.5)).alias("kept"), "quality_probability")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op5_byte_bpe, op6_quality_rules)}
 ORACLE: dict[str, str] = {}
