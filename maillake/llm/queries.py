@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maillake.llm import bpe, quality, rules
+from maillake.llm import bpe, licenses, quality, rules
 from maillake.llm.common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license signatures of every whole text of ``documents``."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``; digests of the ids and of the decoded bytes."""
     import public_tokenizers
@@ -39,5 +44,5 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (~failed & (F.col("quality_probability") >= 0.5)).alias("kept"), "quality_probability")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op5_byte_bpe, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_license_scan, op5_byte_bpe, op6_quality_rules)}
 ORACLE: dict[str, str] = {}
