@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maillake.llm import bpe, licenses, quality, rules
+from maillake.llm import bpe, licenses, lines, quality, rules, shards
 from maillake.llm.common import table
 
+ORACLE: dict[str, str] = {}
+
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -25,6 +27,37 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+N_SHARDS = 40
+
+
+def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 39 for all ``documents`` by the weighted hash tree; law ``key``."""
+    placed = shards.assign(table(spark, sf_dir, "documents"), N_SHARDS)
+    return placed.withColumn("law", F.lit("key"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without the lines that stand on more than a tenth of their source's pages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return lines.drop_boilerplate(docs, F.col("source"), counts=("n_lines", "n_dropped"))
+
+
+ORACLE["op4_line_dedup"] = f"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
+k AS (SELECT source, trim(line, ' ' || chr(9) || chr(13)) AS k, count(DISTINCT doc_id) AS pages FROM l
+      WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' GROUP BY ALL),
+t AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
+b AS (SELECT k.source, list(k.k) AS bad FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+      WHERE pages >= {lines.MIN_PAGES} AND pages > {lines.RATIO} * host_pages GROUP BY k.source),
+d AS (SELECT doc_id, d.source, text, string_split(text, chr(10)) AS ls, coalesce(b.bad, []) AS bad
+      FROM documents d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+f AS (SELECT *, list_filter(ls, x -> NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) AS kept FROM d)
+SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
+       CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_dropped
+FROM f
+"""
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``; digests of the ids and of the decoded bytes."""
     import public_tokenizers
@@ -44,5 +77,4 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (~failed & (F.col("quality_probability") >= 0.5)).alias("kept"), "quality_probability")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_license_scan, op5_byte_bpe, op6_quality_rules)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_license_scan, op3_hash_tree, op4_line_dedup, op5_byte_bpe, op6_quality_rules)}
