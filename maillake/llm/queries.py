@@ -51,7 +51,7 @@ b AS (SELECT k.source, list(k.k) AS bad FROM k JOIN t ON k.source IS NOT DISTINC
       WHERE pages >= {lines.MIN_PAGES} AND pages > {lines.RATIO} * host_pages GROUP BY k.source),
 d AS (SELECT doc_id, d.source, text, string_split(text, chr(10)) AS ls, coalesce(b.bad, []) AS bad
       FROM documents d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source),
-f AS (SELECT *, list_filter(ls, x -> NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) AS kept FROM d)
+f AS (SELECT *, [x FOR x IN ls IF NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))] AS kept FROM d)
 SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
        CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_dropped
 FROM f
