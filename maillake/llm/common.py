@@ -40,3 +40,19 @@ def process_cache() -> dict:
     what is costly to build (an encoder, a compiled rule set) is kept here instead.
     """
     return vars(sys.modules.setdefault("_maillake_process_cache", types.ModuleType("_maillake_process_cache")))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir`` (set up for local runs if unset)."""
+    from maillake.session import ensure_checkpoint_dir
+
+    return ensure_checkpoint_dir(spark)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write to a new Parquet table in the shared folder and read it back: cuts lineage, is read column by column."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

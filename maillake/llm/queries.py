@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maillake.llm import bpe, licenses, lines, quality, rules, shards
+from maillake.llm import bpe, licenses, lines, quality, rules, shards, substrings
 from maillake.llm.common import table
 
 ORACLE: dict[str, str] = {}
@@ -77,4 +77,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (~failed & (F.col("quality_probability") >= 0.5)).alias("kept"), "quality_probability")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_license_scan, op3_hash_tree, op4_line_dedup, op5_byte_bpe, op6_quality_rules)}
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without the bytes of 400-byte strings that start anywhere else as well."""
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_license_scan, op3_hash_tree, op4_line_dedup, op5_byte_bpe, op6_quality_rules, op10_repeated_bytes)}
