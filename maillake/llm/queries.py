@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maillake.llm import bpe, licenses, lines, quality, rules, shards, substrings
+from maillake.llm import bpe, licenses, lines, mixing, quality, rules, shards, substrings
 from maillake.llm.common import table
 
 ORACLE: dict[str, str] = {}
@@ -77,6 +77,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (~failed & (F.col("quality_probability") >= 0.5)).alias("kept"), "quality_probability")
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of 150% of all ``documents`` takes from each of them."""
+    plan = mixing.copies(table(spark, sf_dir, "documents"))
+    rows = plan.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
+                       (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without the bytes of 400-byte strings that start anywhere else as well."""
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
@@ -85,4 +93,4 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_license_scan, op3_hash_tree, op4_line_dedup, op5_byte_bpe, op6_quality_rules, op10_repeated_bytes)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_license_scan, op3_hash_tree, op4_line_dedup, op5_byte_bpe, op6_quality_rules, op8_mix, op10_repeated_bytes)}
