@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maillake.llm import bpe, licenses, lines, mixing, quality, rules, shards, substrings
+from maillake.llm import bpe, licenses, lines, mixing, neardup, quality, rules, shards, substrings
 from maillake.llm.common import table
 
 ORACLE: dict[str, str] = {}
@@ -77,6 +77,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (~failed & (F.col("quality_probability") >= 0.5)).alias("kept"), "quality_probability")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` whose sets of 3-word shingles share 85% of their union."""
+    found = neardup.components(table(spark, sf_dir, "documents"), 3, 85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
+                        F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of 150% of all ``documents`` takes from each of them."""
     plan = mixing.copies(table(spark, sf_dir, "documents"))
@@ -93,4 +100,4 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_license_scan, op3_hash_tree, op4_line_dedup, op5_byte_bpe, op6_quality_rules, op8_mix, op10_repeated_bytes)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_license_scan, op3_hash_tree, op4_line_dedup, op5_byte_bpe, op6_quality_rules, op7_near_duplicates, op8_mix, op10_repeated_bytes)}
