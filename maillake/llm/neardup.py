@@ -284,3 +284,34 @@ def _near(most: int):
     return run
 
 
+
+
+def keep_one(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near-duplicates: one row of every group, all columns as they were.
+
+    The row with the smallest id of the group stays (null ids last; of equal ids that with
+    the smallest text hash).  Texts without words belong to no group and stay.  Of rows with
+    equal id and text one stays, any of them.  Clashing column names do not matter.
+    """
+    groups = components(df, width, percent, id_col, text_col).filter("n_shingles > 0")
+    # a row with a null id has its own component unless it is linked: group those by node
+    group = F.struct("component", F.when(F.col("component").isNull(), F.col("node")).alias("node"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    rows = stored(groups.select(group.alias("group"), order.alias("row")).groupBy("group", "row").agg(F.count(F.lit(1)).alias("n")))
+    best = rows.groupBy("group").agg(F.min("row").alias("row"))
+    drops = stored(rows.join(best.select(F.col("row").alias("best"), F.col("group").alias("b_group")), F.col("group").eqNullSafe(F.col("b_group")))
+                   .select(F.col("row.none").alias("__none"), F.coalesce(F.col("row.id").cast("string"), F.lit("")).alias("__id"),
+                           F.col("row.text_key").alias("__text"), (~F.col("row").eqNullSafe(F.col("best"))).alias("__drop"), "n")
+                   .filter("__drop OR n > 1"))
+    text = text_or_empty(df[text_col])
+    name = [df[id_col].isNull(), F.coalesce(df[id_col].cast("string"), F.lit("")), F.xxhash64(text)]
+    gone = drops.filter("__drop").select("__none", "__id", "__text").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = df.join(gone, (name[0] == F.col("__none")) & (name[1] == F.col("__id")) & (name[2] == F.col("__text")), "left_anti")
+    if drops.filter("NOT __drop").isEmpty():
+        return kept
+    # rows that are there several times, id and text alike
+    again = kept.withColumns({"__none": name[0], "__id": name[1], "__text": name[2]})
+    worded = F.length(F.trim(text, F.lit(" \t\n\x0b\f\r"))) > 0
+    return (again.filter(worded).dropDuplicates(["__none", "__id", "__text"]).unionByName(again.filter(~worded))
+            .drop("__none", "__id", "__text"))
