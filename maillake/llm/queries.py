@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maillake.llm import bpe, licenses, lines, mixing, neardup, quality, rules, shards, substrings
+from maillake.llm import bpe, licenses, lines, mixing, neardup, quality, rules, shards, substrings, topk
 from maillake.llm.common import table
 
 ORACLE: dict[str, str] = {}
@@ -92,6 +92,23 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products with all ``embeddings`` for every vec_id divisible by 20."""
+    index = topk.Index(topk.whole_numbers(table(spark, sf_dir, "embeddings")))
+    return index.search(F.col("id") % 20 == 0, 20)
+
+
+ORACLE["op9_exact_top_k"] = """
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(v.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without the bytes of 400-byte strings that start anywhere else as well."""
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
@@ -100,4 +117,4 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_license_scan, op3_hash_tree, op4_line_dedup, op5_byte_bpe, op6_quality_rules, op7_near_duplicates, op8_mix, op10_repeated_bytes)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_license_scan, op3_hash_tree, op4_line_dedup, op5_byte_bpe, op6_quality_rules, op7_near_duplicates, op8_mix, op9_exact_top_k, op10_repeated_bytes)}
