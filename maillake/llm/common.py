@@ -42,6 +42,16 @@ def process_cache() -> dict:
     return vars(sys.modules.setdefault("_maillake_process_cache", types.ModuleType("_maillake_process_cache")))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The given names, lengthened until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir`` (set up for local runs if unset)."""
     from maillake.session import ensure_checkpoint_dir

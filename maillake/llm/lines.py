@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maillake.llm.common import free_names
 from maillake.session import ensure_checkpoint_dir
 
 RATIO = 0.1
@@ -55,9 +56,7 @@ def drop_boilerplate(df: DataFrame, host: Column, text_col: str = "text", ratio:
     ensure_checkpoint_dir(df.sparkSession)
     found = boilerplate(df, host, F.col(text_col), ratio, min_pages).select("host", "key").checkpoint()
     small = found.count() <= BROADCAST_LINES
-    # names that no column of the input has, as df may bring any
-    taken = set(df.columns) | {kept_col, *(counts or ())}
-    host_name, own, keys, bad = (_free(n, taken) for n in ("__host", "__own", "__keys", "__bad"))
+    host_name, own, keys, bad = free_names(df, "__host", "__own", "__keys", "__bad")
     lists = found.groupBy(F.col("host").alias(host_name)).agg(F.collect_list("key").alias(keys))
     joined = df.withColumn(own, host).join(F.broadcast(lists) if small else lists, F.col(own).eqNullSafe(F.col(host_name)), "left")
     text = F.col(text_col)
@@ -71,9 +70,3 @@ def drop_boilerplate(df: DataFrame, host: Column, text_col: str = "text", ratio:
         out[counts[0]] = F.coalesce(F.when(text.isNotNull(), F.size(lines)), F.lit(0)).cast("long")
         out[counts[1]] = F.when(hit, F.size(lines) - F.size(kept)).otherwise(0).cast("long")
     return joined.withColumns(out).drop(own, host_name, keys, bad)
-
-
-def _free(name: str, taken: set) -> str:
-    while name in taken:
-        name += "_"
-    return name

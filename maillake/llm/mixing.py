@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maillake.llm.common import stored
+from maillake.llm.common import free_names, stored
 from maillake.plans.sequential import global_row_number
 
 WEIGHTS = (5, 2, 1)             # of the sources in code point order, null last, repeating
@@ -186,8 +186,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
         weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The rows of ``df`` repeated as often as the mix takes them (some not at all), columns as they were."""
     plan = copies(df, id_col, source_col, text_col, weights, share, most).filter("copies > 0")
-    plan = plan.select(*(F.col(c).alias(f"__{c}") for c in ("id", "source", "text_key", "size", "copies")))
+    names = free_names(df, "__id", "__source", "__text_key", "__size", "__copies", "__copy")
+    own_id, own_source, key, size, times, copy = names
+    plan = plan.select(*(F.col(c).alias(n) for c, n in zip(("id", "source", "text_key", "size", "copies"), names, strict=False)))
     text = F.col(text_col).cast("string")
-    joined = df.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source"))
-                     & (F.xxhash64(text) == F.col("__text_key")) & (words(text) == F.col("__size")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(df[c] for c in df.columns))
+    joined = df.join(plan, F.col(id_col).eqNullSafe(F.col(own_id)) & F.col(source_col).eqNullSafe(F.col(own_source))
+                     & (F.xxhash64(text) == F.col(key)) & (words(text) == F.col(size)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(*names)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maillake.llm import shingles as sh
-from maillake.llm.common import stored, text_or_empty
+from maillake.llm.common import free_names, stored, text_or_empty
 from maillake.operators.wishes import connected_components
 
 BLOCK = 1024                    # nodes of a bucket in one block
@@ -299,19 +299,20 @@ def keep_one(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     order = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
     rows = stored(groups.select(group.alias("group"), order.alias("row")).groupBy("group", "row").agg(F.count(F.lit(1)).alias("n")))
     best = rows.groupBy("group").agg(F.min("row").alias("row"))
+    none, own_id, key = free_names(df, "__none", "__id", "__text")
     drops = stored(rows.join(best.select(F.col("row").alias("best"), F.col("group").alias("b_group")), F.col("group").eqNullSafe(F.col("b_group")))
-                   .select(F.col("row.none").alias("__none"), F.coalesce(F.col("row.id").cast("string"), F.lit("")).alias("__id"),
-                           F.col("row.text_key").alias("__text"), (~F.col("row").eqNullSafe(F.col("best"))).alias("__drop"), "n")
+                   .select(F.col("row.none").alias(none), F.coalesce(F.col("row.id").cast("string"), F.lit("")).alias(own_id),
+                           F.col("row.text_key").alias(key), (~F.col("row").eqNullSafe(F.col("best"))).alias("__drop"), "n")
                    .filter("__drop OR n > 1"))
     text = text_or_empty(df[text_col])
     name = [df[id_col].isNull(), F.coalesce(df[id_col].cast("string"), F.lit("")), F.xxhash64(text)]
-    gone = drops.filter("__drop").select("__none", "__id", "__text").distinct()
+    gone = drops.filter("__drop").select(none, own_id, key).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = df.join(gone, (name[0] == F.col("__none")) & (name[1] == F.col("__id")) & (name[2] == F.col("__text")), "left_anti")
+    kept = df.join(gone, (name[0] == F.col(none)) & (name[1] == F.col(own_id)) & (name[2] == F.col(key)), "left_anti")
     if drops.filter("NOT __drop").isEmpty():
         return kept
     # rows that are there several times, id and text alike
-    again = kept.withColumns({"__none": name[0], "__id": name[1], "__text": name[2]})
+    again = kept.withColumns({none: name[0], own_id: name[1], key: name[2]})
     worded = F.length(F.trim(text, F.lit(" \t\n\x0b\f\r"))) > 0
-    return (again.filter(worded).dropDuplicates(["__none", "__id", "__text"]).unionByName(again.filter(~worded))
-            .drop("__none", "__id", "__text"))
+    return (again.filter(worded).dropDuplicates([none, own_id, key]).unionByName(again.filter(~worded))
+            .drop(none, own_id, key))
