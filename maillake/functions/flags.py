@@ -47,7 +47,7 @@ def format_flags(flags: Column, fmt: str) -> Column:
 
 def add_flag(flags: Column, flag: str) -> Column:
     """P30 add: no ``\\Recent``, no doubles."""
-    if flag == RECENT:
+    if flag.lower() == RECENT.lower():
         return flags
     return F.array_distinct(F.array_union(F.coalesce(flags, F.array().cast("array<string>")),
                                           F.array(F.lit(flag))))
@@ -60,18 +60,18 @@ def remove_flag(flags: Column, flag: str) -> Column:
 
 def set_flags(new_flags: list[str]) -> Column:
     """P30 set: replace all (``\\Recent`` dropped, no doubles)."""
-    keep = [f for f in dict.fromkeys(new_flags) if f != RECENT]
+    keep = [f for f in dict.fromkeys(new_flags) if f.lower() != RECENT.lower()]
     return F.array(*[F.lit(f) for f in keep]).cast("array<string>")
 
 
 def clean_for_copy(flags: Column, keep_dollar: bool = False, drop_deleted: bool = False) -> Column:
-    """Drop ``\\Recent``; keep system ``\\...`` flags (and ``$...`` on request)."""
+    """Drop ``\\Recent`` (flags are compared without case); keep system ``\\...`` flags (and ``$...`` on request)."""
     def keep(f):
-        ok = f.startswith("\\") & (f != F.lit(RECENT))
+        ok = f.startswith("\\") & (F.lower(f) != RECENT.lower())
         if keep_dollar:
             ok = ok | f.startswith("$")
         if drop_deleted:
-            ok = ok & (f != F.lit("\\Deleted"))
+            ok = ok & (F.lower(f) != "\\deleted")
         return ok
     return F.filter(flags, keep)
 

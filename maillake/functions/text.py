@@ -127,18 +127,13 @@ ASCII_FOLD = [
     ("YEN SIGN", "yen", 0),
 ]
 
-# Named character references handled in the JVM (``&amp;`` is replaced last
-# so that ``&amp;lt;`` becomes ``&lt;``, as a single-pass unescape does).
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"),
-]
 # ----------------------------------------------------------------------------
 
-HTML_TAG_RE = r"""<[a-zA-Z/!?](?:"[^"]*"|'[^']*'|[^'">])*>"""
+# Possessive loops: Java's matcher runs them without a stack frame per character or quote.
+_TAG_REST = r"""(?:"[^"]*+"|'[^']*+'|[^'">]++)*+>"""
+HTML_TAG_RE = r"<[a-zA-Z/!?]" + _TAG_REST
 HTML_COMMENT_RE = r"(?s)<!--.*?-->"
-RAW_TEXT_SPLIT_RE = r"""(?i)<(?:script|style)\b(?:"[^"]*"|'[^']*'|[^'">])*>|</(?:script|style)\s*>"""
+RAW_TEXT_SPLIT_RE = r"(?i)<(?:script|style)\b" + _TAG_REST + r"|</(?:script|style)\s*>"
 
 
 def fold_pairs() -> list[tuple[str, str]]:
@@ -203,15 +198,61 @@ def ascii_fold(c: Column) -> Column:
     return F.when(c.rlike("[^\\x00-\\x7F]"), folded).otherwise(c)
 
 
+def _character_references() -> tuple[dict[str, str], str]:
+    """Named references of HTML 5 (from the standard library's table) and a pattern for those without ';'."""
+    from html.entities import html5
+
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+    return {k: v for k, v in html5.items()}, "|".join(bare)
+
+
+def _numbered(n: Column) -> Column:
+    """The character of a numeric reference, with HTML's replacements for numbers that are none."""
+    # 0x80 to 0x9F mean Windows-1252, as browsers read them
+    latin = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0))
+    bad = (n == 0) | ((n >= 0xD800) & (n <= 0xDFFF)) | (n > 0x10FFFF)
+    none = (((n >= 1) & (n <= 8)) | ((n >= 0xE) & (n <= 0x1F)) | (n == 0xB) | (n == 0x7F)
+            | ((n >= 0xFDD0) & (n <= 0xFDEF)) | (n.bitwiseAND(0xFFFE) == 0xFFFE))
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return (F.when(bad, F.lit("\ufffd")).when((n >= 0x80) & (n <= 0x9F), F.substring(F.lit(latin), n.cast("int") - 0x7F, F.lit(1)))
+            .when(none, F.lit("")).otherwise(char))
+
+
 def unescape_entities(c: Column) -> Column:
-    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), HTML_ENTITIES, c)
+    """Every named and numeric character reference of a text, as Python's ``html.unescape`` reads them.
+
+    The text is cut at '&'; what follows each is looked up (with ';', or the longest name
+    that may stand without one), in built-in functions.  Texts without '&' pass untouched.
+    """
+    names, bare = _character_references()
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+
+    def one(s: Column) -> Column:
+        number = F.regexp_extract(s, r"^#([0-9]+);?", 1)
+        hexa = F.regexp_extract(s, r"^#[xX]([0-9a-fA-F]+);?", 1)
+        named = F.regexp_extract(s, r"^([a-zA-Z][a-zA-Z0-9]{0,31};)", 1)
+        short = F.regexp_extract(s, f"^({bare})", 1)
+        # numbers too long for a character are replaced like any above the last one
+        value = F.when(hexa != "", F.when(F.length(F.ltrim(hexa, F.lit("0"))) > 8, F.lit(1 << 40))
+                       .otherwise(F.conv(F.concat(F.lit("0"), F.ltrim(hexa, F.lit("0"))), 16, 10).cast("long"))) \
+            .when(number != "", F.when(F.length(F.ltrim(number, F.lit("0"))) > 9, F.lit(1 << 40))
+                  .otherwise(F.concat(F.lit("0"), F.ltrim(number, F.lit("0"))).cast("long")))
+        width = F.length(F.regexp_extract(s, r"^(#(?:[xX][0-9a-fA-F]+|[0-9]+);?)", 1))
+        full = F.when(named != "", table[named])
+        return (F.when(value.isNotNull(), F.concat(_numbered(value), F.substr(s, width + 1)))
+                .when(full.isNotNull(), F.concat(full, F.substr(s, F.length(named) + 1)))
+                .when(short != "", F.concat(table[short], F.substr(s, F.length(short) + 1)))
+                .otherwise(F.concat(F.lit("&"), s)))
+
+    parts = F.transform(F.split(c, "&", -1), lambda s, i: F.when(i == 0, s).otherwise(one(s)))
+    return F.when(F.instr(c, "&") > 0, F.array_join(parts, "")).otherwise(c)
 
 
 def html_to_text(html: Column, accept_doctype: bool = False) -> Column:
     """P10: text of an HTML body, as an HTML parser's data callbacks give it.
 
-    Only texts that start with ``<html`` are converted (``accept_doctype``
-    also takes a leading ``<!DOCTYPE html``); others pass unchanged.  A
+    Only texts that start with ``<html``, in lower case, are converted (``accept_doctype``
+    also takes a leading ``<!DOCTYPE html`` in any case); others pass unchanged.  A
     newline goes after ``</div>`` and before ``<br``; comments and tags are
     dropped; script/style content is kept verbatim (raw text, no tag or
     entity processing), as the reference's parser keeps it.
@@ -222,18 +263,12 @@ def html_to_text(html: Column, accept_doctype: bool = False) -> Column:
     cleaned = F.transform(segs, lambda s, i: F.when(
         i % 2 == 1, s).otherwise(unescape_entities(F.regexp_replace(s, HTML_TAG_RE, ""))))
     text = F.array_join(cleaned, "")
-    head = F.lower(html)
-    starts = head.startswith("<html")
+    starts = html.startswith("<html")
     if accept_doctype:
-        starts = starts | head.startswith("<!doctype html")
+        starts = starts | F.lower(F.substring(html, 1, 14)).startswith("<!doctype html")
     return F.when(starts, text).otherwise(html)
 
 
-def form_lines(body: Column) -> Column:
-    """P11 input: the body's lines (Python ``split('\\n')``)."""
-    return F.split(body, "\n", -1)
-
-
 def form_key(line: Column) -> Column:
     return F.lower(F.regexp_extract(line, FORM_FIELD_RE, 1))
 
@@ -253,24 +288,6 @@ def template_fields(template: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(firsts, lambda f: f != "")))
 
 
-def render(template: Column, values: Mapping[str, Column], defaults: Mapping[str, str] | None = None
-           ) -> Column:
-    """Replace each ``%key%`` by its value, else the default.
-
-    Missing fields with no default are a plan-time error (the reference
-    raises before sending anything).
-    """
-    defaults = dict(defaults or {})
-    out = template
-    for key, col in values.items():
-        v = col if key not in defaults else F.coalesce(col, F.lit(defaults[key]))
-        out = F.replace(out, F.lit(f"%{key}%"), F.coalesce(v, F.lit("")))
-    for key, dval in defaults.items():
-        if key not in values:
-            out = F.replace(out, F.lit(f"%{key}%"), F.lit(dval))
-    return out
-
-
 def render_map(template: Column, variables: Column) -> Column:
     """P21 with a MAP<string,string> of variables (any number of keys)."""
     return F.aggregate(F.map_entries(variables), template,

@@ -105,9 +105,9 @@ def rename_folders(folders: DataFrame, mapping: DataFrame | None, name: str = "n
     return f.drop("_mapped") if mapping is not None else f
 
 
-def read_folder_map(spark, path: str) -> DataFrame:
-    """``src: dst`` lines, ``#`` comments."""
+def read_folder_map(spark, path: str, src_delim: str = "/", dst_delim: str = "/") -> DataFrame:
+    """``src: dst`` lines, ``#`` comments; ``/`` stands for each side's own delimiter."""
     t = spark.read.text(path)
     t = t.filter(~F.trim("value").startswith("#") & F.col("value").contains(":"))
-    return t.select(F.trim(F.substring_index("value", ":", 1)).alias("src"),
-                    F.trim(F.expr("substr(value, instr(value, ':') + 1)")).alias("dst"))
+    return t.select(F.replace(F.trim(F.substring_index("value", ":", 1)), F.lit("/"), F.lit(src_delim)).alias("src"),
+                    F.replace(F.trim(F.expr("substr(value, instr(value, ':') + 1)")), F.lit("/"), F.lit(dst_delim)).alias("dst"))

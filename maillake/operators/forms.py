@@ -40,15 +40,18 @@ def form_fields(df: DataFrame, id_col: str, body: str, keep: Sequence[str],
                 part: str | None = None) -> DataFrame:
     """P11 + F11: one row per request with the kept fields and ``status`` ok / error.
 
-    A request is usable when it has both ``email`` and ``name``.
+    A request is usable when it has both ``email`` and ``name`` and no ``Email`` line
+    without an address in it, whatever other lines hold.
     """
-    last = (form_pairs(df, id_col, body, part)
-            .groupBy(id_col, "key").agg(F.max_by("value", "pos").alias("value")))
+    pairs = form_pairs(df, id_col, body, part)
+    last = pairs.groupBy(id_col, "key").agg(
+        F.max_by("value", "pos").alias("value"), F.bool_or(F.col("value").isNull()).alias("bad"))
     wanted = sorted(set(keep) | {"email", "name"})
-    wide = last.groupBy(id_col).pivot("key", wanted).agg(F.first("value"))
+    wide = last.groupBy(id_col).agg(F.bool_or("bad").alias("_bad"), *[
+        F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in wanted])
     allreq = df.select(id_col).distinct()
     out = allreq.join(wide, id_col, "left")
-    ok = F.col("email").isNotNull() & F.col("name").isNotNull()
+    ok = F.col("email").isNotNull() & F.col("name").isNotNull() & ~F.coalesce("_bad", F.lit(False))
     return out.select(id_col, *[F.col(k) for k in wanted],
                       F.when(ok, F.lit("ok")).otherwise(F.lit("error")).alias("status"))
 

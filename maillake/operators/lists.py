@@ -18,19 +18,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_Q = 8                  # longest key gram; entries shorter than this use their length
-MAX_REGEX_ENTRIES = 5000   # regex lists are configuration; larger lists are refused
+REGEX_BATCH = 500          # patterns compiled into one expression
 
 
 def read_list_file(spark: SparkSession, path: str) -> DataFrame:
     """One entry per line; blank lines dropped; ``line_no`` keeps file order."""
     # Line numbers only need to follow file order (first / last entry wins),
-    # so no window is needed: split start x 10^8 + position inside the split
-    # (a split holds far fewer than 10^8 lines).  Every split is numbered by
-    # its own task, however long the list.
+    # so no window is needed: split start x 10^10 + position inside the task, as
+    # a decimal, which holds any file size.  Every split is numbered by its own
+    # task, however long the list.
     pid = F.spark_partition_id().cast("long")
     local = F.monotonically_increasing_id() - F.shiftleft(pid, 33)
     raw = spark.read.text(path).select(
-        "value", (F.col("_metadata.file_block_start") * F.lit(100_000_000) + local).alias("line_no"))
+        "value", (F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.lit(10 ** 10) + local).cast("decimal(38,0)").alias("line_no"))
     return (raw.select("line_no", F.trim(F.col("value")).alias("entry"))
             .filter(F.col("entry") != ""))
 
@@ -88,23 +88,18 @@ def list_contains(values: DataFrame, value_col: str, entries: DataFrame,
 
 
 def regex_list_expr(value: Column, patterns: list[str]) -> Column:
-    """J8 regex mode: some pattern matches at the start of the value."""
-    if len(patterns) > MAX_REGEX_ENTRIES:
-        raise ValueError(f"regex list of {len(patterns)} entries exceeds {MAX_REGEX_ENTRIES}")
-    if not patterns:
-        return F.lit(False)
-    combined = "^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
-    return F.coalesce(value.rlike(combined), F.lit(False))
+    """J8 regex mode: some pattern matches at the start of the value.  Lists of any length."""
+    hit = F.lit(False)
+    for i in range(0, len(patterns), REGEX_BATCH):
+        hit = hit | value.rlike("^(?:" + "|".join(f"(?:{p})" for p in patterns[i:i + REGEX_BATCH]) + ")")
+    return F.coalesce(hit, F.lit(False))
 
 
 def regex_first_match(value: Column, patterns: list[str]) -> Column:
     """Index (0-based, file order) of the first pattern matching at the start, else NULL."""
-    if len(patterns) > MAX_REGEX_ENTRIES:
-        raise ValueError(f"regex list of {len(patterns)} entries exceeds {MAX_REGEX_ENTRIES}")
-    out = F.lit(None).cast("int")
-    for i in reversed(range(len(patterns))):
-        out = F.when(value.rlike("^(?:" + patterns[i] + ")"), F.lit(i)).otherwise(out)
-    return out
+    if not patterns:
+        return F.lit(None).cast("int")
+    return F.coalesce(*[F.when(value.rlike("^(?:" + p + ")"), F.lit(i)) for i, p in enumerate(patterns)])
 
 
 def replace_lookup(values: DataFrame, value_col: str, repl: DataFrame, partial: bool = True,

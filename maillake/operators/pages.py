@@ -86,7 +86,8 @@ def import_limit(assigned: DataFrame, limit: int, doc: str = "doc") -> DataFrame
 
 def link_labels(links: DataFrame, spans: DataFrame) -> DataFrame:
     """Label of each mailto link = first span (document order) on the same page
-    whose [y0, y1] holds the link's mid-y; lower-cased, ':' removed.
+    whose [y0, y1] holds the link's mid-y; lower-cased, ':' removed; links whose label
+    is empty then are dropped.
 
     Equi-join on (doc, page) first, then the range condition, then min_by
     over the span position: a range join with an equi key, no cross product.
@@ -101,7 +102,7 @@ def link_labels(links: DataFrame, spans: DataFrame) -> DataFrame:
         F.min_by("_t", "span_pos").alias("_label"))
     return best.select("doc", "page", "link_pos", "uri",
                        F.replace(F.lower("_label"), F.lit(":"), F.lit("")).alias("label"),
-                       F.regexp_replace("uri", "mailto:", "").alias("address"))
+                       F.regexp_replace("uri", "mailto:", "").alias("address")).filter(F.col("label") != "")
 
 
 def link_fields(labelled: DataFrame) -> DataFrame:

@@ -185,31 +185,37 @@ def sentsince(d, cols: Cols = C) -> Column:
     return F.to_date(F.col(cols.date_sent)) >= _day(d)
 
 
-def uid(ids: str, cols: Cols = C) -> Column:
-    return sequence_set(ids, cols.uid)
+def uid(ids: str, cols: Cols = C, largest: Column | int | None = None) -> Column:
+    return sequence_set(ids, cols.uid, largest)
 
 
-def sequence_set(spec: str, col: str = "rowid") -> Column:
-    """IMAP sequence set ``1,4:7,10:*`` as a predicate on ``col``."""
+def sequence_set(spec: str, col: str = "rowid", largest: Column | int | None = None) -> Column:
+    """IMAP sequence set ``1,4:7,10:*`` as a predicate on ``col``.
+
+    ``*`` is the largest number in the folder: give it as ``largest`` (see
+    ``with_largest``); a range holds the numbers between its ends in either order, so
+    ``20:*`` of a folder of ten messages is message ten.
+    """
+    def number(text: str) -> Column:
+        if text.strip() != "*":
+            return F.lit(int(text))
+        if largest is None:
+            raise ValueError("a set with * needs the largest number: see with_largest")
+        return largest if isinstance(largest, Column) else F.lit(largest)
+
     parts = []
     for item in spec.split(","):
-        if ":" in item:
-            a, b = item.split(":", 1)
-            lo = None if a == "*" else int(a)
-            hi = None if b == "*" else int(b)
-            if lo is not None and hi is not None and lo > hi:
-                lo, hi = hi, lo
-            p = F.lit(True)
-            if lo is not None:
-                p = p & (F.col(col) >= lo)
-            if hi is not None:
-                p = p & (F.col(col) <= hi)
-            parts.append(p)
-        else:
-            parts.append(F.lit(True) if item == "*" else F.col(col) == int(item))
+        ends = [number(x) for x in item.split(":", 1)]
+        a, b = ends[0], ends[-1]
+        parts.append(F.col(col).between(F.least(a, b), F.greatest(a, b)) if len(ends) == 2 else F.col(col) == a)
     return reduce(lambda x, y: x | y, parts)
 
 
+def with_largest(df: DataFrame, col: str = "rowid", out: str = "largest") -> DataFrame:
+    """Add the largest number of the folder to every row (an aggregate of one row, broadcast)."""
+    return df.crossJoin(F.broadcast(df.agg(F.max(col).alias(out))))
+
+
 def not_(p: Column) -> Column:
     return ~p
 

@@ -161,27 +161,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .select("node", F.least(F.col("node"), F.coalesce("m", F.col("node"))).alias("label")))
 
 
-def lda_topics(df: DataFrame, id_col: str, text: str, k: int = 5, vocab: int = 2000,
+def lda_topics(df: DataFrame, id_col: str, text: str, k: int = 5, features: int = 1 << 16,
                max_iter: int = 10, seed: int = 1) -> DataFrame:
-    """Each document's dominant LDA topic (CountVectorizer + pyspark.ml LDA)."""
+    """Each document's dominant LDA topic (hashed term counts + pyspark.ml LDA).
+
+    Every term counts: terms are hashed to ``features`` columns, so there is no vocabulary to
+    cut or to gather.  ``max_iter`` passes of the online fit are its documented length.
+    """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
     words = df.select(id_col, F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({WORD_RE})"), 1)
                       .alias("words"))
-    cv = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab, minDF=2.0).fit(words)
-    feats = cv.transform(words)
+    feats = HashingTF(inputCol="words", outputCol="features", numFeatures=features).transform(words)
     model = LDA(k=k, maxIter=max_iter, seed=seed).fit(feats)
     dist = model.transform(feats).select(id_col, vector_to_array("topicDistribution").alias("p"))
     return dist.select(id_col, F.array_position(F.col("p"), F.array_max("p")).cast("int").alias("topic"),
                        F.array_max("p").alias("weight"))
 
 
-def months_back(ts: Column, n: int = 1) -> Column:
-    return F.add_months(F.to_date(ts), -n)
-
-
 # --- R3: more grid specs ---------------------------------------------------------
 def weekend(ts: Column) -> Column:
     """0 = weekday, 1 = weekend (Saturday/Sunday)."""

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from maillake.functions.text import (EMAIL_RE, FORM_FIELD_RE, HTML_COMMENT_RE, HTML_ENTITIES,
-                                     HTML_TAG_RE, RAW_TEXT_SPLIT_RE, fold_pairs)
 from maillake.plans import params as P
 from maillake.plans.oracle import oracle
 
+# Fixed values, written out apart from the operators' own patterns (searched, not anchored).
+FORM_FIELD_RE = "[> ]*([a-zA-Z ]+): *(.*)"
+EMAIL_RE = r"([._\-A-Za-z0-9_]+@[A-Za-z0-9_.\-]+)"
+HTML_TAG_RE = """<[a-zA-Z/!?]([^'">]|"[^"]*"|'[^']*')*>"""
+HTML_COMMENT_RE = "(?s)<!--.*?-->"
+RAW_TEXT_SPLIT_RE = """(?i)<(?:script|style)\\b(?:[^'">]|"[^"]*"|'[^']*')*>|</(?:script|style)\\s*>"""
+#: The references that the pages hold (``&amp;`` last).
+HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+                 ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"),
+                 ("&amp;", "&")]
+#: The characters of the data's languages that fold to ASCII; all others above 0x7F are dropped.
+FOLDED = {"à": "a", "á": "a", "â": "a", "ä": "ae", "ç": "c", "è": "e", "é": "e", "ê": "e", "í": "i", "ñ": "n", "ó": "o",
+          "ö": "oe", "ú": "u", "ü": "ue", "ß": "ss", "À": "A", "Á": "A", "Â": "A", "Ä": "Ae", "Ç": "C", "È": "E", "É": "E",
+          "Ê": "E", "Í": "I", "Ñ": "N", "Ó": "O", "Ö": "Oe", "Ú": "U", "Ü": "Ue"}
+
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -140,7 +153,8 @@ fields AS (
          max(CASE WHEN key = 'segment' THEN value END) AS segment
   FROM req r LEFT JOIN last l ON r.request_id = l.request_id GROUP BY r.request_id),
 status AS (
-  SELECT *, CASE WHEN email IS NOT NULL AND name IS NOT NULL THEN 'ok' ELSE 'error' END AS status
+  SELECT *, CASE WHEN email IS NOT NULL AND name IS NOT NULL AND request_id NOT IN (
+                       SELECT request_id FROM kv2 WHERE key = 'email' AND value IS NULL) THEN 'ok' ELSE 'error' END AS status
   FROM fields)""".format(frx=lit(FORM_FIELD_RE), erx=lit(EMAIL_RE),
                          val=py_strip(f"regexp_extract(line, {lit(FORM_FIELD_RE)}, 2)"))
 
@@ -176,7 +190,7 @@ def _():
     seg = unescape(f"regexp_replace(s, {lit(HTML_TAG_RE)}, '', 'g')")
     return f"""
 SELECT page_id,
-       CASE WHEN starts_with(lower(html), '<html') OR starts_with(lower(html), '<!doctype html')
+       CASE WHEN starts_with(html, '<html') OR starts_with(lower(html), '<!doctype html')
             THEN array_to_string(list_transform(string_split_regex({t}, {lit(RAW_TEXT_SPLIT_RE)}),
                    lambda s, i: CASE WHEN i % 2 = 0 THEN s ELSE {seg} END), '')
             ELSE html END AS text
@@ -186,7 +200,7 @@ FROM pages"""
 @oracle("ascii_fold")
 def _():
     x = "text"
-    for ch, repl in fold_pairs():
+    for ch, repl in FOLDED.items():
         x = f"replace({x}, {lit(ch)}, {lit(repl)})"
     return f"SELECT doc_id, regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g') AS text FROM documents"
 

@@ -89,8 +89,8 @@ def search_size(v: MailViews) -> DataFrame:
 @query("search_boolean")
 def search_boolean(v: MailViews) -> DataFrame:
     """OR (NOT SEEN) (DELETED SUBJECT re:), within UID 1:*."""
-    p = S.or_(S.not_(S.seen()), S.and_(S.deleted(), S.subject("re:"))) & S.uid("1:*")
-    return search_frame(v).filter(p).select("rowid")
+    p = S.or_(S.not_(S.seen()), S.and_(S.deleted(), S.subject("re:"))) & S.uid("1:*", largest=F.col("largest"))
+    return S.with_largest(search_frame(v)).filter(p).select("rowid")
 
 
 @query("since_date")

@@ -63,7 +63,7 @@ def read_mbox(spark: SparkSession, paths: str | Sequence[str], crlf: bool = Fals
     nl = "\r\n" if crlf else "\n"
     first_line = F.substring_index(rec, nl, 1)
     env = F.regexp_replace(first_line, "^From ", "")
-    raw = F.substring(rec, F.length(first_line) + len(nl) + 1, F.lit(1 << 30))
+    raw = F.substr(rec, F.length(first_line) + len(nl) + 1)
     return (df.filter(F.length(F.trim(rec)) > 0)
             .select("path", "file_block_start", "seq", env.alias("envelope"), raw.alias("raw")))
 
@@ -149,7 +149,7 @@ def read_emlx(spark: SparkSession, root: str) -> DataFrame:
     f = _files(spark, root, "*.emlx")
     txt = F.decode(F.col("content"), "UTF-8")
     first = F.substring_index(txt, "\n", 1)
-    rest = F.substring(txt, F.length(first) + 2, F.lit(1 << 30))
+    rest = F.substr(txt, F.length(first) + 2)
     n = F.trim(first).try_cast("int")
     raw = F.when(n.isNotNull(), F.decode(F.substring(F.encode(rest, "UTF-8"), F.lit(1), n), "UTF-8")
                  ).otherwise(rest)

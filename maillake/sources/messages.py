@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from maillake.functions import flags as FL
 from maillake.functions import headers as H
 from maillake.functions.dates import parse_header_date
-from maillake.functions.text import line_count, normalized_subject
+from maillake.functions.text import line_count
 from maillake.operators import model
 
 RECIPIENT_TYPES = {"to": 0, "cc": 1, "bcc": 2}
@@ -27,7 +27,8 @@ def parse_messages(raw: DataFrame, fmt: str = "mbox") -> DataFrame:
     date = parse_header_date(H.header(hd, "date"))
     cols = [
         "path", "file_block_start", "seq",
-        F.col("headers"),
+        # The status letters become flags below and leave the headers
+        (H.without_status(hd) if "imap_flags" not in raw.columns and fmt in ("mbox", "mmdf") else hd).alias("headers"),
         H.header(hd, "from").alias("from_"),
         H.header(hd, "to").alias("to"),
         H.header(hd, "cc").alias("cc"),
@@ -101,6 +102,3 @@ def star_schema(msgs: DataFrame) -> dict[str, DataFrame]:
     return {"messages": star["messages"], "subjects": subjects, "addresses": new_addr,
             "recipients": rcpt}
 
-
-def subjects_normalized(msgs: DataFrame) -> DataFrame:
-    return msgs.select("subject", normalized_subject(F.col("subject")).alias("normalized_subject"))

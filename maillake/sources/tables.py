@@ -3,9 +3,9 @@ column subsets are pruned at the scan."""
 
 from __future__ import annotations
 
-import glob as _glob
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +24,9 @@ def read_store(spark: SparkSession, root: str, tables: Sequence[str] = STAR_TABL
         path = f"{root.rstrip('/')}/{t}"
         try:
             out[t] = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - a store need not have every table
-            continue
+        except AnalysisException as e:        # a store need not have every table; any other error is one
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return out
 
 
@@ -40,7 +41,9 @@ def read_address_books(spark: SparkSession, pattern: str, fmt: str = "parquet"
     ``records`` (pk, first, last) and ``emails`` (address, owner, seq) tables),
     in sorted path order; feed them to ``contacts.book_emails`` with their ordinal."""
     books = []
-    for root in sorted(_glob.glob(pattern)):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    for root in sorted(x.getPath().toString() for x in found or ()):
         rec = spark.read.format(fmt).load(f"{root}/records")
         em = spark.read.format(fmt).load(f"{root}/emails")
         books.append((rec, em))
