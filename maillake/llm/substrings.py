@@ -257,29 +257,36 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     rows repeat each other.  Ids may be null or repeated; other columns are not read.  An
     empty table gives an empty result.
     """
-    starts = stored(repeated_starts(df, length, text_col).groupBy("a", "b")
-                    .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("starts")))
-    total = starts.agg(F.sum(F.size("starts"))).first()[0] or 0
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def merged_runs(batches):
+        for batch in batches:
+            spans = [[{"start": s, "end": e} for s, e in merge([(x["first"], x["last"] + length) for x in found.as_py()])]
+                     for found in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span)], names=["a", "b", "spans"])
+
+    spans = stored(repeated_starts(df, length, text_col).groupBy("a", "b")
+                   .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("starts"))
+                   .mapInArrow(merged_runs, "a long, b int, spans array<struct<start:long,end:long>>"))
+    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
 
     def run(batches):
         for batch in batches:
-            sizes, spans, kept = [], [], []
+            sizes, cut, kept = [], [], []
             for data, found in zip(_octets(batch, "text"), batch.column(2), strict=True):
-                merged = merge([(x["first"], x["last"] + length) for x in found.as_py() or ()])
+                runs = found.as_py() or []
                 sizes.append(len(data))
-                spans.append([{"start": s, "end": e} for s, e in merged])
-                keep = zip([0, *(e for _, e in merged)], [*(s for s, _ in merged), len(data)], strict=True)
+                cut.append(runs)
+                keep = zip([0, *(x["end"] for x in runs)], [*(x["start"] for x in runs), len(data)], strict=True)
                 kept.append(b"".join(data[s:e].tobytes() for s, e in keep))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                 pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(cut, span), pa.array(kept, pa.binary())],
+                                             names=[id_col, "n_bytes", "spans", "kept"])
 
     text = text_or_empty(df[text_col])
     docs = df.select(F.col(id_col).alias("__id"), text.alias("text"), F.xxhash64(text).alias("a"),
                      F.pmod(F.xxhash64(text, F.lit("second")), F.lit(1 << 31)).cast("int").alias("b"))
-    with_starts = docs.join(F.broadcast(starts) if total <= BROADCAST_ROWS else starts, ["a", "b"], "left")
-    return with_starts.select("__id", "text", "starts").mapInArrow(
+    with_spans = docs.join(F.broadcast(spans) if total <= BROADCAST_ROWS else spans, ["a", "b"], "left")
+    return with_spans.select("__id", "text", "spans").mapInArrow(
         run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, "
              "spans array<struct<start:long,end:long>>, kept binary")
 
