@@ -36,7 +36,7 @@ from maillake.operators.wishes import connected_components
 
 BLOCK = 1024                    # nodes of a bucket in one block
 STAR_PART = 8192                # nodes compared with one star in one group
-BROADCAST_ROWS = 1_000_000      # of ids (16 bytes each); shuffled join beyond
+BROADCAST_ROWS = 500_000        # of ids (16 bytes each); shuffled join beyond
 
 
 def _signatures(df: DataFrame, width: int) -> DataFrame:

@@ -40,7 +40,7 @@ LENGTH = 400
 CELLS = (16, 1)                 # starts in a cell, round by round
 PIECE = 1 << 20                 # bytes hashed at a time
 #: Rows (anchors or spans) up to which a table of them is broadcast to the texts; shuffled join beyond.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 _BASE = 0x9E3779B97F4A7C15 | 3
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
