@@ -36,7 +36,7 @@ SAMPLE_PER_CLASS = 1500
 HELD_OUT_FOLDS = 5              # rows whose crc32(id) mod 5 is 0 are never trained on
 THRESHOLD = 0.3
 NEUTRAL = 0.5                   # the score when there is nothing to learn from
-PIECE_CHARS = 1 << 22           # characters hashed at a time
+PIECE_CHARS = 1 << 18           # characters hashed at a time
 _PAD = max(NGRAMS) - 1
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
