@@ -8,11 +8,14 @@ on the rows that need it (a ``when`` guard), as Arrow-batched pandas UDFs.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from maillake.functions.text import fold_weights, html_to_text
 
@@ -44,28 +47,28 @@ def only_where(df: DataFrame, need: Column, python_cols: dict, jvm_cols: dict) -
     return py.unionByName(jvm)
 
 
-def decode_words(value: Column) -> Column:
-    """P8 as a Column: decode ``=?charset?Q|B?...?=`` words.  Python sees every row
-    of the frame; prefer ``with_decoded_words`` on large frames."""
-    return F.when(value.contains("=?"), _decode_rfc2047(value)).otherwise(value)
-
-
 def with_decoded_words(df: DataFrame, col: str, out: str) -> DataFrame:
     """``out`` = ``col`` with RFC 2047 words decoded; only values holding ``=?`` go to Python."""
     return only_where(df, F.col(col).contains("=?"), {out: _decode_rfc2047(F.col(col))},
                       {out: F.col(col)})
 
 
+# Charsets that built-in functions decode; parts in others go to Python.
+JVM_CHARSETS = ("utf-8", "utf8", "us-ascii", "ascii", "iso-8859-1", "latin-1", "latin1")
+_LATIN_CHARSETS = ("iso-8859-1", "latin-1", "latin1")
+
+
 @pandas_udf(StringType())
-def _decode_qp(values: pd.Series, charsets: pd.Series) -> pd.Series:
+def _decode_bytes(values: pd.Series, encodings: pd.Series, charsets: pd.Series) -> pd.Series:
+    """Text of part bodies: undo quoted-printable, then the charset (unknown ones and bad bytes as UTF-8 with marks)."""
     import quopri
 
     out = []
-    for v, cs in zip(values, charsets):
+    for v, enc, cs in zip(values, encodings, charsets):
         if v is None:
             out.append(None)
             continue
-        raw = quopri.decodestring(v.encode("latin-1", "replace"))
+        raw = quopri.decodestring(bytes(v)) if enc == "quoted-printable" else bytes(v)
         try:
             out.append(raw.decode(cs or "utf-8", "replace"))
         except LookupError:
@@ -73,16 +76,21 @@ def _decode_qp(values: pd.Series, charsets: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def decode_part(body: Column, encoding: Column, charset: Column) -> Column:
-    """Content-Transfer-Encoding as a Column: base64 in the JVM, quoted-printable via
-    pandas UDF.  Python sees every row of the frame; ``mime_parts`` routes only
-    quoted-printable parts to Python."""
-    enc = F.lower(F.trim(F.coalesce(encoding, F.lit(""))))
-    cs = F.coalesce(charset, F.lit("utf-8"))
-    b64 = F.try_validate_utf8(F.unbase64(F.regexp_replace(body, r"\s", "")).cast("string"))
-    return (F.when(enc == "base64", b64)
-            .when(enc == "quoted-printable", _decode_qp(body, cs))
-            .otherwise(body))
+def octets(text: Column) -> Column:
+    """The bytes behind a text of a raw message.
+
+    Readers keep what is valid UTF-8 and give other mail as ISO-8859-1, one character per
+    byte; so characters up to U+00FF only, some above U+007F, in a text that has no others
+    stand for bytes if they are no valid UTF-8 text of their own -- which ``as_text`` decides
+    for the whole message.  Here a body without characters above U+00FF is taken as bytes.
+    """
+    return F.when(text.rlike(r"[^\x{00}-\x{FF}]"), F.encode(text, "UTF-8")).otherwise(F.encode(text, "ISO-8859-1"))
+
+
+def as_text(raw: Column) -> Column:
+    """Raw mail bytes as text: UTF-8 if they are valid, else ISO-8859-1 (lossless, one character per byte)."""
+    text = raw.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(raw, "ISO-8859-1"))
 
 
 def content_type(headers_value: Column) -> Column:
@@ -94,29 +102,29 @@ def param(headers_value: Column, name: str) -> Column:
     return F.when(v != "", v)
 
 
-MAX_MIME_DEPTH = 4   # multipart nesting levels walked (mixed > alternative > related > leaf)
+LAZY_DEPTH = 4       # nesting levels planned without a look at the data; deeper mail is followed to its end
 
 
-def mime_leaves(df: DataFrame, id_col: str, headers: str, body: str,
-                max_depth: int = MAX_MIME_DEPTH) -> DataFrame:
-    """All leaf parts of each message, depth first like ``Message.walk()``.
+def mime_leaves(df: DataFrame, id_col: str, headers: str, body: str) -> DataFrame:
+    """All leaf parts of each message, depth first like ``Message.walk()``, at any depth.
 
     Output: (id, part_path ARRAY<INT>, part_no, content_type, charset,
     disposition, filename, encoding, raw_body).  Each level is one explode:
     a multipart node's body is split on its boundary (``\\Q..\\E`` quoting),
     the preamble and the closing delimiter are dropped, and each child's own
-    headers decide whether it is a leaf or the next level.
+    headers decide whether it is a leaf or the next level.  Mail nested deeper
+    than ``LAZY_DEPTH`` names as many boundaries; only if there is such mail
+    are further levels run, one by one (checkpointed), until none is left.
     """
     from maillake.functions.headers import body_text, header, parse_headers
+    from maillake.session import ensure_checkpoint_dir
 
     level = df.select(F.col(id_col), F.array().cast("array<int>").alias("part_path"),
                       F.col(headers).alias("_h"), F.col(body).alias("_b"))
-    leaves = None
-    for depth in range(max_depth + 1):
-        ct_val = header(F.col("_h"), "content-type")
-        multi = content_type(ct_val).startswith("multipart/") & param(ct_val, "boundary").isNotNull()
-        if depth == max_depth:
-            multi = F.lit(False)
+    leaves, depth = None, 0
+    ct_val = header(F.col("_h"), "content-type")
+    multi = content_type(ct_val).startswith("multipart/") & param(ct_val, "boundary").isNotNull()
+    while True:
         disp = header(F.col("_h"), "content-disposition")
         leaf = level.filter(~multi).select(
             id_col, "part_path",
@@ -127,43 +135,67 @@ def mime_leaves(df: DataFrame, id_col: str, headers: str, body: str,
             header(F.col("_h"), "content-transfer-encoding").alias("encoding"),
             F.col("_b").alias("raw_body"))
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        if depth == max_depth:
+        if depth == LAZY_DEPTH and df.filter(F.regexp_count(F.col(body), F.lit("(?i)boundary=")) >= LAZY_DEPTH).isEmpty():
+            break
+        if depth >= LAZY_DEPTH and level.filter(multi).isEmpty():
             break
         boundary = param(ct_val, "boundary")
         pieces = F.split(F.col("_b"), F.concat(F.lit("\\Q--"), boundary, F.lit("\\E")))
         kids = (level.filter(multi)
-                .select(id_col, "part_path", F.posexplode(F.slice(pieces, 2, 1 << 20)).alias("_i", "_p"))
+                .select(id_col, "part_path", F.posexplode(F.slice(pieces, F.lit(2), F.size(pieces))).alias("_i", "_p"))
                 .filter(~F.col("_p").startswith("--")))
         part = F.regexp_replace(F.col("_p"), r"^\r?\n", "")
         level = kids.select(id_col, F.concat("part_path", F.array(F.col("_i"))).alias("part_path"),
                             parse_headers(part).alias("_h"), body_text(part).alias("_b"))
+        depth += 1
+        if depth > LAZY_DEPTH:
+            ensure_checkpoint_dir(df.sparkSession)
+            level = level.checkpoint()
     return leaves.withColumn("part_no", F.array_join(F.col("part_path").cast("array<string>"), "."))
 
 
+def _transfer(encoding: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(encoding, F.lit(""))))
+
+
+def _unbase64(body: Column) -> Column:
+    return F.unbase64(F.regexp_replace(body, r"\s", ""))
+
+
 def mime_parts(df: DataFrame, id_col: str, headers: str, body: str) -> DataFrame:
     """P9 input: text of every leaf part (id, part_path, part_no, content_type, charset, text).
 
-    base64 and 7bit/8bit parts are decoded in the JVM; only quoted-printable
-    parts are routed (by a filter) to the Python decoder.
+    Parts are decoded by their charset.  7bit, 8bit and base64 parts in UTF-8, ASCII or
+    ISO-8859-1 stay in the JVM; quoted-printable parts and other charsets are routed (by a
+    filter) to Python.
     """
-    leaves = mime_leaves(df, id_col, headers, body)
-    enc = F.lower(F.trim(F.coalesce(F.col("encoding"), F.lit(""))))
-    cs = F.coalesce(F.col("charset"), F.lit("utf-8"))
-    b64 = F.try_validate_utf8(F.unbase64(F.regexp_replace("raw_body", r"\s", "")).cast("string"))
-    jvm_text = F.when(enc == "base64", b64).otherwise(F.col("raw_body"))
-    out = only_where(leaves, enc == "quoted-printable", {"text": _decode_qp(F.col("raw_body"), cs)},
-                     {"text": jvm_text})
+    leaves = mime_leaves(df, id_col, headers, body).withColumn("_enc", _transfer(F.col("encoding")))
+    cs = F.lower(F.trim(F.coalesce(F.col("charset"), F.lit("utf-8"))))
+    data = F.when(F.col("_enc") == "base64", _unbase64(F.col("raw_body"))).otherwise(octets(F.col("raw_body")))
+    latin = cs.isin(*_LATIN_CHARSETS)
+    # text whose characters are not bytes was UTF-8 and is decoded; bytes that are no UTF-8 are read as ISO-8859-1
+    plain = F.when(F.col("_enc") != "base64", F.col("raw_body").rlike(r"[^\x{00}-\x{FF}]"))
+    jvm_text = F.when(F.coalesce(plain, F.lit(False)), F.col("raw_body")).when(latin, F.decode(data, "ISO-8859-1")).otherwise(as_text(data))
+    python = (F.col("_enc") == "quoted-printable") | (~cs.isin(*JVM_CHARSETS) & ~F.coalesce(plain, F.lit(False)))
+    out = only_where(leaves, python, {"text": _decode_bytes(data, F.col("_enc"), cs)}, {"text": jvm_text})
     return out.select(id_col, "part_path", "part_no", "content_type", "charset", "text")
 
 
+@pandas_udf(BinaryType())
+def _unquote(values: pd.Series) -> pd.Series:
+    import quopri
+
+    return values.map(lambda v: None if v is None else quopri.decodestring(bytes(v)))
+
+
 def attachments(df: DataFrame, id_col: str, headers: str, body: str) -> DataFrame:
     """Attachment leaves with their decoded bytes (R13 input): (id, part_no, filename, content)."""
     leaves = mime_leaves(df, id_col, headers, body)
-    att = leaves.filter((F.col("disposition") == "attachment") | F.col("filename").isNotNull())
-    enc = F.lower(F.trim(F.coalesce(F.col("encoding"), F.lit(""))))
-    content = F.when(enc == "base64", F.unbase64(F.regexp_replace("raw_body", r"\s", ""))) \
-        .otherwise(F.encode("raw_body", "UTF-8"))
-    return att.select(id_col, "part_no", "filename", content.alias("content"))
+    att = leaves.filter((F.col("disposition") == "attachment") | F.col("filename").isNotNull()).withColumn("_enc", _transfer(F.col("encoding")))
+    data = octets(F.col("raw_body"))
+    content = F.when(F.col("_enc") == "base64", _unbase64(F.col("raw_body"))).otherwise(data)
+    out = only_where(att, F.col("_enc") == "quoted-printable", {"content": _unquote(data)}, {"content": content})
+    return out.select(id_col, "part_no", "filename", "content")
 
 
 def choose_body(parts: DataFrame, id_col: str) -> DataFrame:
@@ -188,29 +220,51 @@ GUESS_ENCODINGS = ["utf8", "latin_1", "cp037", "cp437", "cp850", "cp852", "cp863
 GUESS_ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ :!,"
 
 
-def _guess_one(b: bytes, weights: dict[str, int]) -> tuple[str, str]:
+def _score_tables(weights: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """For each single-byte encoding: the score of every byte, and whether the byte means a character."""
+    single = [e for e in GUESS_ENCODINGS if e not in ("utf8", "utf_16")]
+    score, known = np.zeros((len(single), 256)), np.ones((len(single), 256), dtype=bool)
+    for n, enc in enumerate(single):
+        for b in range(256):
+            ch = bytes([b]).decode(enc, "ignore")
+            known[n, b] = bool(ch)
+            score[n, b] = weights.get(ch, 0) + (2 if ch and ch in GUESS_ALPHABET else 0)
+    return single, score, known
+
+
+def guess_charsets(values: list[bytes], weights: dict[str, int]) -> list[str]:
+    """The candidate encoding whose text scores most per character, of each value (none above 0: ascii).
+
+    Single-byte encodings are scored for all values at once: the values' byte counts times
+    the table of byte scores.  UTF-8 and UTF-16 texts are decoded and scored on their own.
+    """
+    single, score, known = _score_tables(weights)
+    counts = np.stack([np.bincount(np.frombuffer(v, np.uint8), minlength=256) for v in values]) if values else np.zeros((0, 256))
+    lengths = np.maximum(counts.sum(axis=1), 1)
+    means = np.where(counts @ (~known).T > 0, -1.0, (counts @ score.T) / lengths[:, None])
+    column = {enc: means[:, n] for n, enc in enumerate(single)}
+    for enc in ("utf8", "utf_16"):
+        column[enc] = np.array([_mean_score(v, enc, weights) for v in values])
+    table = np.stack([column[enc] for enc in GUESS_ENCODINGS], axis=1)
+    best = table.argmax(axis=1)                 # the first of equals, in the candidates' order
+    ascii_only = (counts[:, 128:].sum(axis=1) == 0) | (table.max(axis=1) <= 0)
+    return ["ascii" if a else GUESS_ENCODINGS[k] for a, k in zip(ascii_only, best)]
+
+
+def _mean_score(value: bytes, enc: str, weights: dict[str, int]) -> float:
     try:
-        return "ascii", b.decode("ascii")
+        text = value.decode(enc)
     except UnicodeDecodeError:
-        pass
-    best, best_score = "ascii", 0.0
-    for enc in GUESS_ENCODINGS:
-        try:
-            s = b.decode(enc)
-        except UnicodeDecodeError:
-            continue
-        if not s:
-            continue
-        score = sum(weights.get(ch, 0) + (2 if ch in GUESS_ALPHABET else 0) for ch in s) / len(s)
-        if score > best_score:
-            best, best_score = enc, score
-    return best, b.decode(best, "replace")
+        return -1.0
+    found = Counter(text)
+    return sum(n * (weights.get(c, 0) + (2 if c in GUESS_ALPHABET else 0)) for c, n in found.items()) / len(text) if text else -1.0
 
 
 @pandas_udf(StructType([StructField("charset", StringType()), StructField("text", StringType())]))
 def _guess(values: pd.Series) -> pd.DataFrame:
-    weights = fold_weights()
-    rows = [(None, None) if v is None else _guess_one(bytes(v), weights) for v in values]
+    data = [b"" if v is None else bytes(v) for v in values]
+    rows = [(None, None) if v is None else (enc, b.decode(enc, "replace"))
+            for v, b, enc in zip(values, data, guess_charsets(data, fold_weights()))]
     return pd.DataFrame(rows, columns=["charset", "text"])
 
 
@@ -226,18 +280,3 @@ def with_guessed_charset(df: DataFrame, raw_col: str, out: str) -> DataFrame:
         F.struct(F.lit("utf8").alias("charset"), decoded.alias("text")))
     return only_where(df, raw.isNotNull() & ~utf8_ok, {out: _guess(raw)}, {out: jvm})
 
-
-def guess_charset(raw: Column) -> Column:
-    """P18 as a Column: struct(charset, text) of binary text.  Python sees every
-    row of the frame; ``with_guessed_charset`` routes only undecided rows.
-
-    ASCII and valid UTF-8 are settled in the JVM (a lossless decode/encode
-    round trip); only the other rows reach the Python scorer.
-    """
-    decoded = raw.cast("string")          # no validation; checked next
-    utf8_ok = F.is_valid_utf8(decoded)
-    ascii_ok = ~decoded.rlike("[^\\x00-\\x7F]")
-    return (F.when(raw.isNull(), F.lit(None))
-            .when(utf8_ok & ascii_ok, F.struct(F.lit("ascii").alias("charset"), decoded.alias("text")))
-            .when(utf8_ok, F.struct(F.lit("utf8").alias("charset"), decoded.alias("text")))
-            .otherwise(_guess(raw)))

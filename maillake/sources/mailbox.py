@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maillake.functions import flags as FL
+from maillake.functions.mime import as_text
 
 # --- fixed values: record separators of the delimited formats ----------------
 MBOX_SEP = "\nFrom "
@@ -47,7 +48,9 @@ def _delimited(spark: SparkSession, paths, sep: str, glob: str | None,
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("file_block_start"),
         (F.monotonically_increasing_id() - F.shiftleft(pid, 33)).alias("seq"),
-        F.col("value").alias("record"))
+        # the text source passes bytes through; those that are no UTF-8 become ISO-8859-1
+        F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+        .alias("record"))
 
 
 def read_mbox(spark: SparkSession, paths: str | Sequence[str], crlf: bool = False,
@@ -61,6 +64,13 @@ def read_mbox(spark: SparkSession, paths: str | Sequence[str], crlf: bool = Fals
     df = _delimited(spark, paths, MBOX_SEP_CRLF if crlf else MBOX_SEP, glob, recursive)
     rec = F.col("record")
     nl = "\r\n" if crlf else "\n"
+    # Text before a file's first ``From `` line is no message.  Only the first record of a
+    # file's first split can be such text, and it then lacks the ``From `` that a file's
+    # first message still has.  Splits are read in order, so it has that split's lowest number.
+    starts = (df.filter(F.col("file_block_start") == 0).groupBy(F.col("path").alias("_path")).agg(F.min("seq").alias("_s0"),
+              F.min_by(rec.startswith("From "), "seq").alias("_ok")).filter(~F.col("_ok")))
+    odd = (F.col("path") == F.col("_path")) & (F.col("seq") == F.col("_s0")) & (F.col("file_block_start") == 0)
+    df = df.join(starts, odd, "left_anti")
     first_line = F.substring_index(rec, nl, 1)
     env = F.regexp_replace(first_line, "^From ", "")
     raw = F.substr(rec, F.length(first_line) + len(nl) + 1)
@@ -124,7 +134,7 @@ def read_maildir(spark: SparkSession, root: str) -> DataFrame:
                    F.array_union(flags, F.array(F.lit(FL.RECENT)))).otherwise(flags)
     return f.select(F.col("path"), F.lit(0).cast("long").alias("file_block_start"),
                     F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("envelope"),
-                    F.decode(F.col("content"), "UTF-8").alias("raw"),
+                    as_text(F.col("content")).alias("raw"),
                     F.col("modificationTime").cast("timestamp_ntz").alias("file_time"),
                     flags.alias("imap_flags"))
 
@@ -136,7 +146,7 @@ def read_mh(spark: SparkSession, root: str) -> DataFrame:
     return f.select("path", F.lit(0).cast("long").alias("file_block_start"),
                     F.regexp_extract("path", r"/([0-9]+)$", 1).cast("long").alias("seq"),
                     F.lit(None).cast("string").alias("envelope"),
-                    F.decode(F.col("content"), "UTF-8").alias("raw"),
+                    as_text(F.col("content")).alias("raw"),
                     F.col("modificationTime").cast("timestamp_ntz").alias("file_time"))
 
 
@@ -147,12 +157,12 @@ def read_emlx(spark: SparkSession, root: str) -> DataFrame:
     when the count parses (the trailing property list is not mail text).
     """
     f = _files(spark, root, "*.emlx")
-    txt = F.decode(F.col("content"), "UTF-8")
-    first = F.substring_index(txt, "\n", 1)
-    rest = F.substr(txt, F.length(first) + 2)
+    data = F.col("content")
+    # the count line is ASCII, so its length in characters is that in bytes
+    first = F.substring_index(F.decode(F.substring(data, 1, 64), "ISO-8859-1"), "\n", 1)
+    rest = F.substring(data, F.length(first) + 2, F.length(data))
     n = F.trim(first).try_cast("int")
-    raw = F.when(n.isNotNull(), F.decode(F.substring(F.encode(rest, "UTF-8"), F.lit(1), n), "UTF-8")
-                 ).otherwise(rest)
+    raw = as_text(F.when(n.isNotNull(), F.substring(rest, F.lit(1), n)).otherwise(rest))
     return f.select("path", F.lit(0).cast("long").alias("file_block_start"),
                     F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("envelope"),
                     raw.alias("raw"),

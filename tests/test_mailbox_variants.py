@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from maillake.functions import headers as H
-from maillake.functions.mime import choose_body, decode_words, mime_parts
+from maillake.functions.mime import choose_body, mime_parts, with_decoded_words
 from maillake.sources import mailbox, messages
 
 
@@ -90,7 +90,7 @@ def test_rfc2047_latin1_html_and_bad_date(spark, tmp_path):
          "From b Mon Nov  1 08:00:00 2010\nSubject: plain\nContent-Type: text/plain; charset=ISO-8859-1\n"
          "Content-Transfer-Encoding: quoted-printable\n\nna=EFve caf=E9\n").encode("latin-1"))
     m = _parse(spark, p)
-    rows = m.select("seq", decode_words(F.col("subject")).alias("s"), "date_sent").collect()
+    rows = with_decoded_words(m, "subject", "s").select("seq", "s", "date_sent").collect()
     assert rows[0].s == "Café crème" and rows[0].date_sent is None
     parts = mime_parts(m.select("file_block_start", "seq", "headers", "body")
                        .withColumn("id", F.concat_ws(":", "file_block_start", "seq")), "id", "headers", "body")
