@@ -28,17 +28,17 @@ FROM mr WHERE flags & 2 = 0"""
 
 @oracle("stream_triage")
 def _():
+    # mail that arrives deleted has no row; what a rule deletes goes to the trash
     return MAIL_ROWS + """
 SELECT rowid,
-       CASE WHEN flags & 2 <> 0 THEN 'Trash'
+       CASE WHEN priority = '5-LOW' THEN 'Trash'
             WHEN priority = '1-URGENT' THEN 'Urgent'
             WHEN starts_with(subject, 'Re: ') THEN 'Replies' ELSE 'INBOX' END AS target_folder,
-       array_to_string(list_sort(list_distinct(list_concat(
-           list_filter([CASE WHEN flags & 1 <> 0 THEN '\\Seen' END, CASE WHEN flags & 2 <> 0 THEN '\\Deleted' END],
-                       lambda x: x IS NOT NULL),
-           CASE WHEN priority = '1-URGENT' THEN ['\\Flagged'] ELSE [] END))), ',') AS flags,
+       array_to_string(list_sort(list_filter(
+           [CASE WHEN flags & 1 <> 0 THEN '\\Seen' END, CASE WHEN priority = '1-URGENT' THEN '\\Flagged' END,
+            CASE WHEN priority = '5-LOW' THEN '\\Deleted' END], lambda x: x IS NOT NULL)), ',') AS flags,
        priority = '2-HIGH' AS wants_full
-FROM mr"""
+FROM mr WHERE flags & 2 = 0"""
 
 
 @oracle("stream_counters")

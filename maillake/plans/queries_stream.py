@@ -39,9 +39,9 @@ def stream_archive(v: MailViews) -> DataFrame:
     """T1 + T2 + T4: archive each arriving message once (deleted skipped)."""
     s = _mail_rows(_orders_stream(v))
     h = F.sha2(F.concat_ws("|", "subject", F.col("date_sent").cast("string"), F.col("bytes").cast("string")), 256)
-    arch = jobs.archive_once(s, "date_sent", "message_id", h, watermark="3650 days")
+    arch = jobs.archive_once(s, "message_id", h)
     out = jobs.scratch_dir(v.spark, "archive")
-    jobs.run_available_now(arch.drop("_event"), out + "/_checkpoint", out_dir=out + "/data")
+    jobs.run_available_now(arch, out + "/_checkpoint", out_dir=out + "/data")
     # Which copy of a duplicate arrives first is not defined; the archived keys are.
     return v.spark.read.parquet(out + "/data").select("message_id", "dedup_key")
 
@@ -52,6 +52,7 @@ def stream_triage(v: MailViews) -> DataFrame:
     s = _mail_rows(_orders_stream(v)).withColumn("imap_flags", FL.flags_from_bits(F.col("flags")))
     rules = [jobs.Rule(F.col("priority") == "1-URGENT", folder="Urgent", add_flags=["\\Flagged"]),
              jobs.Rule(F.col("subject").startswith("Re: "), folder="Replies"),
+            jobs.Rule(F.col("priority") == "5-LOW", add_flags=["\\Deleted"]),
              jobs.Rule(F.col("priority") == "2-HIGH", full=True)]
     out = jobs.scratch_dir(v.spark, "triage")
     jobs.run_available_now(s, out + "/_checkpoint", writer=jobs.triage_batch_writer(out + "/data", rules))
@@ -72,7 +73,7 @@ def stream_counters(v: MailViews) -> DataFrame:
     out = jobs.scratch_dir(v.spark, "counters")
     jobs.run_available_now(s, out + "/_checkpoint",
                            writer=jobs.counters_batch_writer(out + "/state", out + "/counters"))
-    return v.spark.read.parquet(out + "/counters/current")
+    return jobs.current_counters(v.spark, out + "/state", out + "/counters")
 
 
 @query("stream_requests")
@@ -89,12 +90,11 @@ def stream_requests(v: MailViews) -> DataFrame:
             addresses = v.addresses
         bodies = request_bodies(_V)
         fields = forms.form_fields(bodies, "request_id", "body", ["name", "email", "segment"])
-        fields.write.mode("append").partitionBy("status").parquet(out + "/fields")
-        done = batch.sparkSession.read.parquet(out + "/fields").filter(F.col("status") == "ok")
-        replies = forms.reply_render(done.join(bodies.select("request_id"), "request_id", "left_semi"),
-                                     "request_id", P.REPLY_TEMPLATE, ["name", "email", "segment"],
+        jobs.write_epoch(fields, out + "/fields", epoch, "status")
+        done = batch.sparkSession.read.parquet(f"{out}/fields/epoch={epoch}").filter(F.col("status") == "ok")
+        replies = forms.reply_render(done, "request_id", P.REPLY_TEMPLATE, ["name", "email", "segment"],
                                      P.RESPONDER_ADDRESS, P.CC_ADDRESS)
-        replies.write.mode("append").parquet(out + "/replies")
+        jobs.write_epoch(replies, out + "/replies", epoch)
 
     jobs.run_available_now(cust, out + "/_checkpoint", writer=write)
-    return v.spark.read.parquet(out + "/fields")
+    return v.spark.read.parquet(out + "/fields").drop("epoch")

@@ -6,8 +6,8 @@ IMAP/SMTP clients are not part of this library).  Each job is
 checkpoint giving exactly-once progress (T4: the reference's "processed"
 marker; clearing the marker = starting from a new checkpoint).
 
-* T1 archive once: skip deleted, drop repeated ids inside a watermark
-  (``dropDuplicatesWithinWatermark``), append to the archive.
+* T1 archive once: skip deleted, drop repeated ids (``dropDuplicates`` over the
+  whole stream, as mail may be late by any time), append to the archive.
 * T3 triage: an ordered rule list -> target folder / flags per message,
   written partitioned by folder in ``foreachBatch``.
 * T5 live counters: latest state per message upserted per micro-batch,
@@ -21,7 +21,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -62,18 +64,17 @@ def landing_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet
 
 
 # --- T1 -------------------------------------------------------------------------
-def archive_once(stream: DataFrame, event_time: str, id_col: str, raw_hash: Column,
-                 flags: str = "flags", watermark: str = "30 days") -> DataFrame:
+def archive_once(stream: DataFrame, id_col: str, raw_hash: Column, flags: str = "flags") -> DataFrame:
     """Deleted mail skipped; each id archived once; id-less mail keyed by its hash.
 
-    The watermark bounds the de-duplication state (the reference keeps seen
-    ids in memory forever); a batch ``left_anti`` against the archive gives
-    the unbounded form.
+    Every key seen stays in the stream's state, as the reference keeps seen ids for good:
+    mail with an old date is archived like any other, however late it lands.  The state
+    holds keys only, partitioned like any stream state and kept with the checkpoint (use the
+    RocksDB state store where keys outgrow executor memory).
     """
-    s = (stream.filter(~is_deleted(F.col(flags)))
-         .withColumn("_event", F.col(event_time).cast("timestamp"))
-         .withColumn("dedup_key", F.coalesce(F.col(id_col), F.concat(F.lit("#"), raw_hash))))
-    return s.withWatermark("_event", watermark).dropDuplicatesWithinWatermark(["dedup_key"])
+    return (stream.filter(~is_deleted(F.col(flags)))
+            .withColumn("dedup_key", F.coalesce(F.col(id_col), F.concat(F.lit("#"), raw_hash)))
+            .dropDuplicates(["dedup_key"]))
 
 
 # --- T3 / X2 ----------------------------------------------------------------------
@@ -89,8 +90,9 @@ class Rule:
 def apply_rules(df: DataFrame, rules: Sequence[Rule], default_folder: str = "INBOX",
                 flags: str = "imap_flags", deleted_folder: str = "Trash") -> DataFrame:
     """First matching rule (list order) decides the folder; flags of all matching
-    rules are added; deleted mail goes to ``deleted_folder``; ``wants_full`` marks
-    messages whose full text the next pass needs (late materialisation)."""
+    rules are added.  Mail that arrives deleted is skipped (no row); mail that a rule marks
+    deleted goes to ``deleted_folder``.  ``wants_full`` marks messages whose full text the
+    next pass needs (late materialisation)."""
     folder = F.lit(default_folder)
     for r in reversed(rules):
         if r.folder is not None:
@@ -105,10 +107,13 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], default_folder: str = "INB
         if r.full:
             full = full | F.coalesce(r.when, F.lit(False))
     cur = F.coalesce(F.col(flags), F.array().cast("array<string>"))
-    deleted = F.array_contains(cur, "\\Deleted")
-    return df.withColumn("target_folder", F.when(deleted, F.lit(deleted_folder)).otherwise(folder)) \
-             .withColumn(flags, F.array_distinct(F.array_union(cur, added))) \
-             .withColumn("wants_full", full)
+    def deleted(c):
+        return F.exists(c, lambda f: F.lower(f) == "\\deleted")
+
+    return df.filter(~deleted(cur)) \
+             .withColumn("target_folder", F.when(deleted(added), F.lit(deleted_folder)).otherwise(folder)) \
+             .withColumn("wants_full", full) \
+             .withColumn(flags, F.array_distinct(F.array_union(cur, added)))
 
 
 def full_pass(triaged: DataFrame, bodies: DataFrame, key: str,
@@ -119,10 +124,15 @@ def full_pass(triaged: DataFrame, bodies: DataFrame, key: str,
     return transform(bodies.join(wanted, key, "left_semi"))
 
 
+def write_epoch(df: DataFrame, out_dir: str, epoch: int, *partitions: str) -> None:
+    """Write a batch's rows to the epoch's own folder: a batch that is tried again replaces itself."""
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{out_dir.rstrip('/')}/epoch={epoch}")
+
+
 def triage_batch_writer(out_dir: str, rules: Sequence[Rule], **kw) -> Callable[[DataFrame, int], None]:
-    """T3 sink: each micro-batch is triaged and appended partitioned by folder."""
+    """T3 sink: each micro-batch is triaged and written to its epoch's folder, partitioned by target folder."""
     def write(batch: DataFrame, epoch: int) -> None:
-        apply_rules(batch, rules, **kw).write.mode("append").partitionBy("target_folder").parquet(out_dir)
+        write_epoch(apply_rules(batch, rules, **kw), out_dir, epoch, "target_folder")
     return write
 
 
@@ -139,74 +149,96 @@ def _contribution(rows: DataFrame, sign: int) -> DataFrame:
                                     for v, n in zip(vals, COUNTER_NAMES)])
 
 
+STATE_BUCKETS = 64      # of a new state table; an existing one keeps its own number
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None if it is not there; any other error is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def counters_batch_writer(state_dir: str, counters_dir: str, key: str = "rowid",
-                          ts: str = "event_ts", buckets: int | None = None
+                          ts: str = "event_ts", buckets: int = STATE_BUCKETS
                           ) -> Callable[[DataFrame, int], None]:
     """T5: counters kept incrementally, as the store's triggers keep them.
 
     Per micro-batch: the latest event per message (max event time); the old
     rows of those messages, read only from the touched hash buckets of the
     state table; each folder's delta = new contributions - old ones, added to
-    the per-folder counters (a table with one row per folder); then only the
-    touched state buckets are rewritten (dynamic partition overwrite).  The
-    cost follows the batch, not the whole state.  ``counters_dir/current``
-    holds the counters; ``counters_dir/log`` gets the touched folders' values
-    per epoch.
+    the per-folder counters (a table with one row per folder).  The cost
+    follows the batch, not the whole state.
+
+    Nothing is overwritten that a later step still needs: an epoch writes its
+    touched buckets, the counters and last its manifest, each into a folder of its
+    own.  The manifest (one row a bucket: the epoch that holds its rows, and the
+    table's number of buckets) makes the epoch count.  A batch that is tried again
+    starts from the last epoch with a manifest and replaces what it wrote before;
+    an epoch that has one is skipped.  ``current_counters`` reads the last counters,
+    ``counters_dir/log`` the touched folders' values per epoch.
     """
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        # State buckets: fixed for the life of the state table (default: the
-        # cluster's total cores, so bucket files grow with the deployment).
-        n_buckets = buckets or max(spark.sparkContext.defaultParallelism, 1)
+        manifest = _table(spark, f"{state_dir}/manifest")
+        last, held, n_buckets = None, {}, buckets
+        if manifest is not None:
+            last = manifest.agg(F.max("epoch")).first()[0]
+            if last >= epoch:
+                return
+            # one row a bucket: a bounded list
+            rows = manifest.filter(F.col("epoch") == last).collect()
+            held, n_buckets = {r["bucket"]: r["at_epoch"] for r in rows}, rows[0]["n_buckets"]
         bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
         latest = (batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), ts).alias("_r"))
                   .select("_r.*").withColumn("_bucket", bucket))
-        # Bucket ids are at most ``buckets`` values: a bounded list for pruning.
-        touched_buckets = [r[0] for r in latest.select("_bucket").distinct().collect()]
-        try:
-            state = spark.read.parquet(state_dir).filter(F.col("_bucket").isin(touched_buckets))
+        touched = [r[0] for r in latest.select("_bucket").distinct().collect()]
+        if not touched:
+            return
+        where = [(F.col("epoch") == held[b]) & (F.col("_bucket") == b) for b in touched if b in held]
+        state = None
+        if where:
+            state = spark.read.parquet(f"{state_dir}/rows").filter(reduce(lambda x, y: x | y, where)).drop("epoch")
             old = state.join(latest.select(key), key, "left_semi")
-        except Exception:  # noqa: BLE001 - first batch: no state yet
-            state, old = None, None
-        if old is not None:
             # keep an old row when it is newer than the batch's (late events)
             newer = (latest.alias("n").join(old.alias("o"), F.col(f"n.{key}") == F.col(f"o.{key}"), "left")
                      .filter(F.col(f"o.{ts}").isNull() | (F.col(f"n.{ts}") >= F.col(f"o.{ts}")))
                      .select("n.*"))
-            changed_old = old.join(newer.select(key), key, "left_semi")
+            delta = _contribution(newer, 1).unionByName(_contribution(old.join(newer.select(key), key, "left_semi"), -1))
+            new_state = state.join(newer.select(key), key, "left_anti")
+            new_state = new_state.unionByName(newer.select(*new_state.columns))
         else:
-            newer, changed_old = latest, None
-        delta = _contribution(newer, 1)
-        if changed_old is not None:
-            delta = delta.unionByName(_contribution(changed_old, -1))
+            delta, new_state = _contribution(latest, 1), latest
         delta = delta.groupBy("mailbox").agg(*[F.sum(n).alias(n) for n in COUNTER_NAMES])
-        try:
-            current = spark.read.parquet(f"{counters_dir}/current")
-        except Exception:  # noqa: BLE001 - first batch
+        current = None if last is None else _counters_at(spark, counters_dir, last)
+        if current is None:
             current = spark.createDataFrame([], "mailbox string, " + ", ".join(f"{n} long" for n in COUNTER_NAMES))
         j = current.join(delta.select("mailbox", *[F.col(n).alias(f"_d_{n}") for n in COUNTER_NAMES]),
                          "mailbox", "full")
         updated = j.select("mailbox", *[(F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_d_{n}"), F.lit(0)))
                                         .cast("long").alias(n) for n in COUNTER_NAMES])
-        # Small table (one row per folder): write beside, then swap.
-        updated.write.mode("overwrite").parquet(f"{counters_dir}/next-{epoch}")
-        fresh_counts = spark.read.parquet(f"{counters_dir}/next-{epoch}")
-        fresh_counts.join(delta.select("mailbox"), "mailbox", "left_semi") \
-            .withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{counters_dir}/log")
-        fresh_counts.write.mode("overwrite").parquet(f"{counters_dir}/current")
-        # State: rewrite only the touched buckets.
-        if state is not None:
-            keep = state.join(newer.select(key), key, "left_anti")
-            new_state = keep.unionByName(newer.select(*keep.columns))
-        else:
-            new_state = newer
-        staged = f"{state_dir}.stage-{epoch}"
-        new_state.write.mode("overwrite").partitionBy("_bucket").parquet(staged)
-        (spark.read.parquet(staged).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(state_dir))
+        write_epoch(new_state, f"{state_dir}/rows", epoch, "_bucket")
+        updated.write.mode("overwrite").parquet(f"{counters_dir}/all/epoch={epoch}")
+        fresh = spark.read.parquet(f"{counters_dir}/all/epoch={epoch}")
+        fresh.join(delta.select("mailbox"), "mailbox", "left_semi").write.mode("overwrite").parquet(f"{counters_dir}/log/epoch={epoch}")
+        held |= dict.fromkeys(touched, epoch)
+        (spark.createDataFrame([(b, e, n_buckets) for b, e in held.items()], "bucket int, at_epoch long, n_buckets int")
+         .coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/manifest/epoch={epoch}"))
     return write
 
 
+def _counters_at(spark: SparkSession, counters_dir: str, epoch: int) -> DataFrame:
+    return spark.read.parquet(f"{counters_dir}/all/epoch={epoch}")
+
+
+def current_counters(spark: SparkSession, state_dir: str, counters_dir: str) -> DataFrame:
+    """The counters (one row per folder) of the last finished epoch."""
+    return _counters_at(spark, counters_dir, spark.read.parquet(f"{state_dir}/manifest").agg(F.max("epoch")).first()[0])
+
+
 def run_available_now(df: DataFrame, checkpoint: str, writer: Callable | None = None,
                       out_dir: str | None = None, output_mode: str = "append",
                       state_partitions: int | None = None) -> StreamingQuery:

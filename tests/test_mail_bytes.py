@@ -84,6 +84,8 @@ def test_charset_guess_scores_every_encoding(spark):
                 s = b.decode(enc)
             except UnicodeDecodeError:
                 continue
+            if not s:
+                continue
             score = sum(weights.get(c, 0) + (2 if c in mime.GUESS_ALPHABET else 0) for c in s) / len(s)
             if score > top:
                 best, top = enc, score
