@@ -92,18 +92,19 @@ def top_flows(messages: DataFrame, recipients: DataFrame, addresses: DataFrame,
                       F.col("dst").desc_nulls_last()).limit(n))
 
 
-def header_counts(from_values: DataFrame, subject_values: DataFrame,
-                  receiver_values: DataFrame) -> DataFrame:
+def header_counts(messages: DataFrame, recipients: DataFrame, addresses: DataFrame) -> DataFrame:
     """A1: counts of From text, Subject text and To-or-Cc text (U2 = bag union).
 
-    Each input has one string column ``value``; the result is the long form
-    ``(header, value, n)``.
+    Long form ``(header, value, n)``.  Senders and recipients are counted by id, so only
+    distinct ids meet the address text; ids with the same text are added up.
     """
-    parts = [from_values.select(F.lit("from").alias("header"), "value"),
-             subject_values.select(F.lit("subject").alias("header"), "value"),
-             receiver_values.select(F.lit("to_cc").alias("header"), "value")]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.groupBy("header", "value").agg(F.count(F.lit(1)).alias("n"))
+    senders = messages.groupBy(F.col("sender").alias("id")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("from").alias("header"), "id", "n")
+    rcpts = (recipients.filter(F.col("type").isin(0, 1)).groupBy(F.col("address_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+             .select(F.lit("to_cc").alias("header"), "id", "n"))
+    a = addresses.select(F.col("rowid").alias("id"), F.col("address").alias("value"))
+    named = senders.unionByName(rcpts).join(a, "id", "left").groupBy("header", "value").agg(F.sum("n").alias("n"))
+    subjects = messages.groupBy(F.col("subject").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return named.unionByName(subjects.select(F.lit("subject").alias("header"), "value", "n"))
 
 
 def me_ids(addresses: DataFrame, me: Sequence[str], not_me: Sequence[str]) -> DataFrame:
@@ -129,12 +130,13 @@ def message_listing(messages: DataFrame, addresses: DataFrame, asof: str,
                     days: int = 365, n: int = 100) -> DataFrame:
     """J1 + W2: date, sender address and subject of recent mail, by date, first n.
 
-    The reference orders by date only; rowid is added so ties are stable.
+    The reference orders by date only; rowid is added so ties are stable.  The first n are
+    taken before they meet the addresses.
     """
     recent = messages.filter(within_days(F.col("date_sent"), asof, days))
-    j = with_sender_address(recent, addresses, "address")
-    return (j.select("rowid", F.to_date("date_sent").alias("date"), "address", "subject")
-            .orderBy("date", "rowid").limit(n))
+    first = (recent.select("rowid", F.to_date("date_sent").alias("date"), "sender", "subject")
+             .orderBy("date", "rowid").limit(n))
+    return with_sender_address(first, addresses, "address").select("rowid", "date", "address", "subject").orderBy("date", "rowid")
 
 
 def folder_status(messages: DataFrame) -> DataFrame:

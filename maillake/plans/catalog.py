@@ -59,12 +59,7 @@ def top_flows(v: MailViews) -> DataFrame:
 
 @query("header_counts")
 def header_counts(v: MailViews) -> DataFrame:
-    a = v.addresses
-    m = v.messages
-    frm = stats.with_sender_address(m.select("sender"), a, "value").select("value")
-    subj = m.select(F.col("subject").alias("value"))
-    rcpt = stats.recipient_addresses(v.recipients, a).select(F.col("rcpt_email").alias("value"))
-    return stats.header_counts(frm, subj, rcpt)
+    return stats.header_counts(v.messages, v.recipients, v.addresses)
 
 
 @query("messages_per_day")

@@ -53,8 +53,12 @@ def replace_lookup(v: MailViews) -> DataFrame:
 
 
 def search_frame(v: MailViews) -> DataFrame:
-    """Messages with the columns the search keys read."""
-    a = v.addresses.select(F.col("rowid").alias("sender"), F.col("address").alias("from_"))
+    """Messages with the columns the search keys read.
+
+    The address side is grouped on its key, which makes it unique: a search that does not
+    read the sender's text loses the join.
+    """
+    a = v.addresses.groupBy(F.col("rowid").alias("sender")).agg(F.max("address").alias("from_"))
     m = v.messages.join(a, "sender", "left")
     return m.select("rowid", "from_", "subject", "date_sent", "bytes", "flags",
                     F.col("date_sent").alias("internal_date"),

@@ -45,11 +45,13 @@ def test_p1_unfolding(spark, mbox_file):
 
 def test_a1_receivers_raw(spark, mbox_file):
     m = _msgs(spark, mbox_file)
+    receivers = m.select(F.lit(0).alias("type"), F.explode(F.concat(
+        H.header_all(F.col("headers"), "to"), H.header_all(F.col("headers"), "cc"))).alias("address_id"))
+    # raw header texts are their own ids here
+    names = (m.select(F.col("from_").alias("rowid")).union(receivers.select("address_id")).distinct()
+             .withColumn("address", F.col("rowid")))
     got = {r.value: r.n for r in stats.header_counts(
-        m.select(F.col("from_").alias("value")), m.select(F.col("subject").alias("value")),
-        m.select(F.explode(F.concat(H.header_all(F.col("headers"), "to"),
-                                    H.header_all(F.col("headers"), "cc"))).alias("value"))
-    ).filter("header = 'to_cc'").collect()}
+        m.select(F.col("from_").alias("sender"), "subject"), receivers, names).filter("header = 'to_cc'").collect()}
     assert got == {"list@l.example": 2, "list user <list@l.example>": 1,
                    "list-group <list@l.example>": 1}
 

@@ -31,3 +31,11 @@ def test_no_python_in_plan(spark, name):
     txt = plan_text(E.queries()[name](spark, SF))
     for node in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
         assert node not in txt, (name, node)
+
+
+def test_searches_read_no_addresses(spark):
+    from maillake.plans.registry import CATALOG
+
+    for name in ("search_flag", "search_date", "search_size", "search_boolean", "since_date"):
+        plan = CATALOG[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "c_name" not in plan and "s_name" not in plan, name
