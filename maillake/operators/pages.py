@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maillake.plans.sequential import carry_forward, global_row_number
+from maillake.session import ensure_checkpoint_dir
 
 MAILTO_KIND = 2          # link kind of an external URI link
 TERM_MAX_PAGES = 50      # F12: a term is indexed only when it is on fewer pages
@@ -202,7 +203,9 @@ def term_index(pages: DataFrame, page: str = "page", text: str = "text",
     """
     terms = pages.select(page, F.explode(noun_runs(F.col(text))).alias("form"))
     terms = terms.withColumn("term", F.lower("form"))
-    tp = terms.groupBy("term", page).agg(F.max("form").alias("form"))
+    # texts are tagged once: the narrow (term, page, form) rows feed both branches below
+    ensure_checkpoint_dir(pages.sparkSession)
+    tp = terms.groupBy("term", page).agg(F.max("form").alias("form")).checkpoint()
     counts = tp.groupBy("term").agg(F.count(F.lit(1)).alias("n_pages"))
     rare = counts.filter(F.col("n_pages") < max_pages)
     return (tp.join(rare, "term")

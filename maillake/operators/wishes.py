@@ -92,18 +92,32 @@ def search_ranked(df: DataFrame, id_col: str, text: str, terms: Sequence[str], k
                   ) -> DataFrame:
     """Tf-idf score of the query terms per document, best ``k``.
 
-    idf = ln(N / df); only the query terms' postings are scored (a semi join
-    to the term list), so the cost is one pass over the tokens.
+    idf = ln(N / df).  One pass over the texts counts the query terms of each document
+    (a number a term, no token rows); N, df and the scores come from that narrow table,
+    checkpointed so that texts are read once.
     """
-    tk = tokens(df, id_col, text)
-    n_docs = df.select(id_col).distinct().count()
-    q = df.sparkSession.createDataFrame([(t.lower(),) for t in terms], "term string")
-    post = tk.join(q, "term", "left_semi")
-    dfreq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = (post.join(dfreq, "term")
-              .withColumn("w", F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df")))
-              .groupBy(id_col).agg(F.sum("w").alias("score")))
-    return (scored.select(id_col, F.round("score", 6).alias("score"))
+    from maillake.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({WORD_RE})"), 1)
+    # only the query's words are kept, then each is counted
+    wanted = list(dict.fromkeys(t.lower() for t in terms))
+    hits = df.select(F.col(id_col), F.filter(words, lambda w: w.isin(wanted)).alias("_hits"))
+
+    def times(term: str) -> Column:
+        return F.size(F.filter(F.col("_hits"), lambda w: w == term))
+
+    counts = [F.sum(times(t)).alias(f"_tf{i}") for i, t in enumerate(wanted)]
+    per = hits.groupBy(id_col).agg(*counts).checkpoint()
+    row = per.agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(wanted))]).first()
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        if row[f"d{i}"]:
+            score = score + F.col(f"_tf{i}") * F.log(F.lit(float(row["n"])) / F.lit(float(row[f"d{i}"])))
+    found = F.lit(False)
+    for i in range(len(wanted)):
+        found = found | (F.col(f"_tf{i}") > 0)
+    return (per.filter(found).select(id_col, F.round(score, 6).alias("score"))
             .orderBy(F.col("score").desc(), F.col(id_col)).limit(k))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maillake.operators import pages
 from maillake.plans.catalog import query
 from maillake.plans.sequential import global_row_number
+from maillake.session import ensure_checkpoint_dir
 from maillake.sources.driver import MailViews
 
 IMPORT_LIMIT = 200
@@ -104,7 +105,8 @@ def message_keywords(v: MailViews) -> DataFrame:
     """Distinct (keyword id, message) pairs; a document body is a message, its
     keywords are its noun runs; keyword ids are dense in keyword order."""
     kw = v.bodies.select(F.col("doc_id").alias("message_rowid"),
-                         F.explode(pages.noun_runs(F.col("text"))).alias("keyword"))
+                         F.explode(pages.noun_runs(F.col("text"))).alias("keyword")).distinct()
+    ensure_checkpoint_dir(v.spark)
+    kw = kw.checkpoint()        # narrow rows, so that texts are tagged once
     ids = global_row_number(kw.select("keyword").distinct(), ["keyword"], name="keyword_id")
-    return (kw.join(ids, "keyword").select("keyword_id", "keyword", "message_rowid")
-            .dropDuplicates(["keyword_id", "message_rowid"]))
+    return kw.join(ids, "keyword").select("keyword_id", "keyword", "message_rowid")
