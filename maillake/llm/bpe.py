@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from maillake.llm.common import process_cache, text_or_empty
+from maillake.llm.common import process_cache, text_or_empty, tidy
 
 MAX_RANK_FILE_BYTES = 64 << 20
 PIECE_CHARS = 1 << 16
@@ -95,7 +95,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", te
                     start, ids, decoded, size = i + 1, [], [], 0
 
     src = df.select(df[id_col], text_or_empty(df[text_col]).alias("__text"))
-    return src.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, "
+    return src.mapInArrow(tidy(run), f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, "
                                "ids_le binary, decoded binary")
 
 
@@ -109,4 +109,4 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", id
                 names=[id_col, "decoded"])
 
     return df.select(id_col, ids_col).mapInArrow(
-        run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, decoded binary")
+        tidy(run), f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, decoded binary")

@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maillake.llm import shingles as sh
-from maillake.llm.common import free_names, stored, text_or_empty
+from maillake.llm.common import free_names, stored, text_or_empty, tidy
 from maillake.operators.wishes import connected_components
 
 BLOCK = 1024                    # nodes of a bucket in one block
-STAR_PART = 8192                # nodes compared with one star in one group
+STAR_PART = 2048                # nodes compared with one star in one group
 BROADCAST_ROWS = 500_000        # of ids (16 bytes each); shuffled join beyond
 
 
@@ -52,7 +52,7 @@ def _signatures(df: DataFrame, width: int) -> DataFrame:
                                               pa.array(sig, pa.binary())], names=["id", "text_key", "node", "n_shingles", "signature"])
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, text_key long, node long, n_shingles long, signature binary")
+    return df.mapInArrow(tidy(run), f"id {kind}, text_key long, node long, n_shingles long, signature binary")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -64,7 +64,7 @@ def _sets(df: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     found = df.select("text_key", "text").join(wanted, "text_key").select("node", "text")
-    return stored(found.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, shingles binary"))
+    return stored(found.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(tidy(run), "node long, shingles binary"))
 
 
 def _groups(batches, width: int) -> Iterator[dict]:
@@ -219,7 +219,7 @@ def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataF
     m = sh.chunk_count(percent / 100)
     signs = nodes.select("node", "signature")
     numbers = [n * 1000 + j for n, (a, b) in enumerate(sh.chunks(m)) for j in range(b - a)]
-    keyed = signs.repartition("node").mapInArrow(_numbered_keys(m, numbers), "key long, key_no int, node long")
+    keyed = signs.repartition("node").mapInArrow(tidy(_numbered_keys(m, numbers)), "key long, key_no int, node long")
     keyed = stored(keyed)
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("star")).filter("size > 1")
     members = stored(keyed.join(buckets, "key").select("key", "key_no", "node", "star", "size"))
@@ -227,7 +227,7 @@ def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataF
     # 2. every node with the stars of its buckets, as far as signatures allow
     pairs = members.filter("node != star").select("node", "star").distinct()
     pairs = (pairs.join(signs, "node").join(signs.select(F.col("node").alias("star"), F.col("signature").alias("star_signature")), "star")
-             .mapInArrow(_near(2 * m - 1), "node long, star long"))
+             .mapInArrow(tidy(_near(2 * m - 1)), "node long, star long"))
     pairs = stored(pairs)
     wanted = pairs.select("node").union(pairs.select("star")).distinct()
     sets = _sets(docs, nodes.select("node", "text_key").join(wanted, "node"), width)
@@ -236,7 +236,7 @@ def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataF
     rows = (pairs.join(parts, "star").select("star", part.cast("int").alias("part"), "node")
             .unionByName(parts.select("star", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("star").alias("node"))))
     linked = stored(rows.join(sets, "node").select("star", "part", "node", "shingles").repartition("star", "part")
-                    .sortWithinPartitions("star", "part").mapInArrow(_star_links(percent), "src long, dst long"))
+                    .sortWithinPartitions("star", "part").mapInArrow(tidy(_star_links(percent)), "src long, dst long"))
 
     # 3. buckets that still hold several components
     label = connected_components(linked).select(F.col("node").alias("l_node"), "label")
@@ -251,13 +251,13 @@ def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataF
               .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "block", "comp", "key_no"))
     schema = "key long, low int, high int, node long, block int, comp long, key_no int"
     left = stored(spread.join(signs, "node").select(*_MEMBER, "signature").repartition("key", "low", "high")
-                  .sortWithinPartitions("key", "low", "high").mapInArrow(_survivors(m), schema))
+                  .sortWithinPartitions("key", "low", "high").mapInArrow(tidy(_survivors(m)), schema))
     wanted = left.select("node").distinct()
     known = sets.join(wanted, "node", "left_semi")
     missing = wanted.join(sets.select("node"), "node", "left_anti")
     all_sets = known.unionByName(_sets(docs, nodes.select("node", "text_key").join(missing, "node"), width))
     more = (left.join(all_sets, "node").join(signs, "node").select(*_MEMBER, "signature", "shingles").repartition("key", "low", "high")
-            .sortWithinPartitions("key", "low", "high").mapInArrow(_block_links(m, percent), "src long, dst long"))
+            .sortWithinPartitions("key", "low", "high").mapInArrow(tidy(_block_links(m, percent)), "src long, dst long"))
     return stored(linked.unionByName(more))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maillake.llm.common import text_or_empty
+from maillake.llm.common import release_memory, text_or_empty
 
 BUCKETS = 1 << 16
 NGRAMS = (3, 4)
@@ -229,7 +229,9 @@ def score(model: Model):
     """Function from a text column to its score column; a null text scores as an empty one."""
     @F.pandas_udf("double")
     def quality_score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(text.fillna("").tolist()))
+        scores = pd.Series(model.scores(text.fillna("").tolist()))
+        release_memory()
+        return scores
 
     return quality_score
 

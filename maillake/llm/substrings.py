@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maillake.llm.common import process_cache, stored, text_or_empty
+from maillake.llm.common import process_cache, stored, text_or_empty, tidy
 
 LENGTH = 400
 CELLS = (16, 1)                 # starts in a cell, round by round
@@ -230,7 +230,7 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeated_starts(df: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
     """``a, b`` (identity of a text) and ranges ``first..last`` of its starts of repeated strings."""
     texts = _texts(df, text_col)
-    sampled = stored(texts.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), _ROW))
+    sampled = stored(texts.filter(F.octet_length("text") >= length).mapInArrow(tidy(_anchor_rows(length)), _ROW))
     shared = sampled.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rank")
     rows = stored(sampled.join(shared, "rank", "left_semi").withColumn("weight", F.lit(1)))
     found, further = _settle(rows)
@@ -239,7 +239,7 @@ def repeated_starts(df: DataFrame, length: int = LENGTH, text_col: str = "text")
         lists = further.groupBy("a", "b").agg(F.collect_list(F.struct("p", "near", "far", "rank", "weight")).alias("open"))
         lists = F.broadcast(lists) if further.count() <= BROADCAST_ROWS else lists
         opened = texts.join(lists, ["a", "b"]).select("a", "b", "text", "open")
-        rows = stored(opened.mapInArrow(_cell_rows(length, cell), _ROW + ", weight int").distinct())
+        rows = stored(opened.mapInArrow(tidy(_cell_rows(length, cell)), _ROW + ", weight int").distinct())
         found, further = _settle(rows)
         parts.append(found)
     every = parts[0]
@@ -267,7 +267,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     spans = stored(repeated_starts(df, length, text_col).groupBy("a", "b")
                    .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("starts"))
-                   .mapInArrow(merged_runs, "a long, b int, spans array<struct<start:long,end:long>>"))
+                   .mapInArrow(tidy(merged_runs), "a long, b int, spans array<struct<start:long,end:long>>"))
     total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
 
     def run(batches):
@@ -287,7 +287,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                      F.pmod(F.xxhash64(text, F.lit("second")), F.lit(1 << 31)).cast("int").alias("b"))
     with_spans = docs.join(F.broadcast(spans) if total <= BROADCAST_ROWS else spans, ["a", "b"], "left")
     return with_spans.select("__id", "text", "spans").mapInArrow(
-        run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, "
+        tidy(run), f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, "
              "spans array<struct<start:long,end:long>>, kept binary")
 
 
