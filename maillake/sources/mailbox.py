@@ -30,6 +30,9 @@ MMDF_SEP = "\x01\x01\x01\x01\n"
 RMAIL_SEP = "\x1f\x0c"
 # ----------------------------------------------------------------------------
 
+#: Files up to which a table of one short row per file is broadcast to the records.
+MAX_BROADCAST_FILES = 100_000
+
 RAW_COLUMNS = ["path", "file_block_start", "seq", "envelope", "raw"]
 
 
@@ -53,6 +56,11 @@ def _delimited(spark: SparkSession, paths, sep: str, glob: str | None,
         .alias("record"))
 
 
+def _per_file(table: DataFrame, records: DataFrame) -> DataFrame:
+    """A table of at most one row per file read, marked for broadcast if the file listing bounds it."""
+    return F.broadcast(table) if len(records.inputFiles()) <= MAX_BROADCAST_FILES else table
+
+
 def read_mbox(spark: SparkSession, paths: str | Sequence[str], crlf: bool = False,
               glob: str | None = None, recursive: bool = False) -> DataFrame:
     """One row per message; split on lines that start with ``From ``.
@@ -70,7 +78,7 @@ def read_mbox(spark: SparkSession, paths: str | Sequence[str], crlf: bool = Fals
     starts = (df.filter(F.col("file_block_start") == 0).groupBy(F.col("path").alias("_path")).agg(F.min("seq").alias("_s0"),
               F.min_by(rec.startswith("From "), "seq").alias("_ok")).filter(~F.col("_ok")))
     odd = (F.col("path") == F.col("_path")) & (F.col("seq") == F.col("_s0")) & (F.col("file_block_start") == 0)
-    df = df.join(starts, odd, "left_anti")
+    df = df.join(_per_file(starts, df), odd, "left_anti")
     first_line = F.substring_index(rec, nl, 1)
     env = F.regexp_replace(first_line, "^From ", "")
     raw = F.substr(rec, F.length(first_line) + len(nl) + 1)
@@ -99,10 +107,10 @@ def read_rmail(spark: SparkSession, paths, glob: str | None = None) -> DataFrame
     # Segment 0 of a file = the first record of its first split.  Several small
     # files can share a Spark partition, so ``seq`` (index inside the split)
     # is compared with the smallest one seen for that file's first split; the
-    # per-file table has one row per file (AQE broadcasts it when small).
+    # per-file table has one row per file.
     starts = (df.filter(F.col("file_block_start") == 0)
               .groupBy("path").agg(F.min("seq").alias("_s0")))
-    df = df.join(starts, "path", "left")
+    df = df.join(_per_file(starts, df), "path", "left")
     first = (F.col("file_block_start") == 0) & (F.col("seq") == F.col("_s0"))
     body = F.expr("substr(record, locate('\\n', record, 3) + 1)")
     # PDF files found while walking a mail folder are not mail.
