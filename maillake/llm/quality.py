@@ -222,7 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids, ys = sample.column("id").to_pylist(), sample.column("y").to_pylist()
     b, c = sample.column("buckets").combine_chunks(), sample.column("counts").combine_chunks()
     order = sorted(range(len(ids)), key=lambda i: ids[i])
-    return train([(b[i].values.to_numpy(), c[i].values.to_numpy(), ys[i]) for i in order], share)
+    model = train([(b[i].values.to_numpy(), c[i].values.to_numpy(), ys[i]) for i in order], share)
+    del sample, b, c
+    release_memory()            # the driver outlives its training data
+    return model
 
 
 def score(model: Model):
