@@ -225,7 +225,8 @@ def unescape_entities(c: Column) -> Column:
     that may stand without one), in built-in functions.  Texts without '&' pass untouched.
     """
     names, bare = _character_references()
-    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    # one literal, folded to a map when the plan is optimised
+    table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in names.items())), F.lit("\x02"), F.lit("\x01"))
 
     def one(s: Column) -> Column:
         number = F.regexp_extract(s, r"^#([0-9]+);?", 1)
@@ -245,7 +246,12 @@ def unescape_entities(c: Column) -> Column:
                 .otherwise(F.concat(F.lit("&"), s)))
 
     parts = F.transform(F.split(c, "&", -1), lambda s, i: F.when(i == 0, s).otherwise(one(s)))
-    return F.when(F.instr(c, "&") > 0, F.array_join(parts, "")).otherwise(c)
+    # most texts hold none but these, which plain replacement reads alike (&amp; last)
+    usual = c
+    for name in ("lt;", "gt;", "quot;", "nbsp;", "amp;"):
+        usual = F.replace(usual, F.lit("&" + name), F.lit(names[name]))
+    return (F.when(F.instr(c, "&") == 0, c).when(~c.rlike("&(?!(?:lt|gt|quot|nbsp|amp);)"), usual)
+            .otherwise(F.array_join(parts, "")))
 
 
 def html_to_text(html: Column, accept_doctype: bool = False) -> Column:
