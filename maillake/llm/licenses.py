@@ -101,7 +101,7 @@ SINGLES = [
     ("non-commercial", r"(?:for )?non-?commercial (?:use|purposes) only", "commercial", 3, 0.8),
     ("non-commercial", r"not for commercial use", "commercial", 3, 0.8),
     ("personal-use", r"for personal use only", "personal", 3, 0.7),
-    ("research-only", r"for (?:academic|research|educational) (?:use|purposes) only", "purposes", 3, 0.7),
+    ("research-only", r"for (?:academic|research|educational) (?:use|purposes) only", "academic|research|educational", 3, 0.7),
     ("no-ai-training", r"(?:may not|must not|not) be used (?:to train|for training)", "train", 2, 0.9),
     ("warranty-disclaimer", r"without warranty of any kind", "warranty", 4, 0.6),
     ("warranty-disclaimer", r"provided \"?as[- ]is\"?", "provided", 4, 0.6),
@@ -139,11 +139,12 @@ def default_rules() -> list[Rule]:
     """All rules in order: identifiers, grants and addresses, bare names, single phrases."""
     out = []
     grant = r"(?:licen[cs]ed|released|distributed|published|available|provided|covered|governed|offered) (?:under|by) (?:the )?(?:terms of (?:the )?)?(?:an? )?"
+    verbs = "licensed|licenced|released|distributed|published|available|provided|covered|governed|offered"
     for label, name, spdx in FAMILIES:
         if spdx:
             out.append(Rule(label, rf"spdx-license-identifier: ?(?:{spdx})(?![\w.+-])", "spdx", 0, 0.99))
             out.append(Rule(label, rf"\blicen[cs]e(?:\"|')? ?[:=] ?(?:\"|')?(?:{spdx})(?![\w.+-])", "licen", 1, 0.9))
-        out.append(Rule(label, rf"{grant}(?:{name})(?: licen[cs]es?)?(?!\w)", "under|covered|governed", 1, 0.95))
+        out.append(Rule(label, rf"{grant}(?:{name})(?: licen[cs]es?)?(?!\w)", verbs, 1, 0.95))
         out.append(Rule(label, rf"\b(?:{name})(?:[ -]style)? licen[cs]e\b", "licen", 3, 0.8))
         out.append(Rule(label, rf"\bsubject to (?:the )?(?:terms of (?:the )?)?(?:{name})(?!\w)", "subject", 1, 0.9))
     for code, (short, long) in CC_TERMS.items():

@@ -104,6 +104,50 @@ def test_keyword_gates_every_rule():
         assert found <= reached
 
 
+def _matches(pattern):
+    """Strings the parsed pattern matches: the shortest choice everywhere, and every other branch, option and character in turn."""
+    parts = []
+    for op, arg in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(arg)])
+        elif name == "IN":
+            parts.append([c for kind, x in arg for c in {"LITERAL": lambda x: [chr(x)], "RANGE": lambda x: [chr(x[0]), chr(x[1])],
+                                                         "CATEGORY": lambda x: [" "]}[str(kind)](x)])
+        elif name == "BRANCH":
+            parts.append([m for branch in arg[1] for m in _matches(branch)])
+        elif name == "SUBPATTERN":
+            parts.append(_matches(arg[3]))
+        elif name == "MAX_REPEAT":
+            low, high, inner = arg
+            own = _matches(inner)
+            parts.append([own[0] * low] + [m * max(low, 1) for m in own if high > 0])
+        else:
+            assert name in ("AT", "ASSERT_NOT"), name
+    first = "".join(x[0] for x in parts)
+    return list(dict.fromkeys([first] + ["".join(x[0] for x in parts[:i]) + m + "".join(x[0] for x in parts[i + 1:])
+                                         for i, own in enumerate(parts) for m in own[1:]]))
+
+
+def test_keyword_gate_lets_every_branch_of_every_rule_through():
+    scanner = licenses.Scanner(licenses.default_rules())
+    n = 0
+    for i, (rule, compiled) in enumerate(zip(scanner.rules, scanner.compiled, strict=True)):
+        for text in _matches(re._parser.parse(licenses._loosen(rule.pattern), re.ASCII)):
+            assert compiled.search(text), (rule, text)
+            assert any(i in numbers for _, (_, numbers) in scanner.automaton.iter(text)), (rule, text)
+            n += 1
+    assert n > 5 * len(scanner.rules)
+
+
+@pytest.mark.parametrize("text, label", [
+    ("released by the terms of the GPL", "gpl"), ("Licensed by MIT", "mit"), ("for research use only", "research-only"),
+    ("For academic use only", "research-only"), ("for educational use only", "research-only")])
+def test_license_rules_without_the_words_of_other_rules(text, label):
+    s = licenses.Scanner(licenses.default_rules())
+    assert label in {s.rules[i].label for _, _, i in s.scan(text)["detections"]}
+
+
 def _measures(text):
     text = text or ""
     words = re.findall(SPACE, text)
