@@ -53,6 +53,19 @@ def with_decoded_words(df: DataFrame, col: str, out: str) -> DataFrame:
                       {out: F.col(col)})
 
 
+def utf8_words(text: Column) -> Column:
+    """A text of any length as UTF-8 base64 words, each of whole characters and 75 long at most, on folded lines."""
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,11}"), F.lit(0))      # 44 bytes at most: one line of base64
+    words = F.transform(pieces, lambda x: F.concat(F.lit("=?UTF-8?B?"), F.base64(F.encode(x, "UTF-8")), F.lit("?=")))
+    return F.array_join(words, "\r\n ")
+
+
+def decoded_utf8_words(words: Column) -> Column:
+    """The text of ``utf8_words`` without Python: for values of such words only, others go to ``with_decoded_words``."""
+    pieces = F.regexp_extract_all(words, F.lit(r"=\?UTF-8\?B\?([A-Za-z0-9+/=]*)\?="), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda x: F.decode(F.unbase64(x), "UTF-8")), "")
+
+
 # Charsets that built-in functions decode; parts in others go to Python.
 JVM_CHARSETS = ("utf-8", "utf8", "us-ascii", "ascii", "iso-8859-1", "latin-1", "latin1")
 _LATIN_CHARSETS = ("iso-8859-1", "latin-1", "latin1")

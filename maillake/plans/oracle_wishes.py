@@ -112,3 +112,8 @@ SELECT node, min(label) AS label FROM reach GROUP BY node"""
 @oracle("rfc2047")
 def _():
     return "SELECT doc_id, split_part(text, chr(10), 1) AS subject FROM documents"
+
+
+@oracle("rfc2047_text")
+def _():
+    return "SELECT doc_id, text FROM documents"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maillake.functions.mime import with_decoded_words, with_guessed_charset
+from maillake.functions.mime import decoded_utf8_words, utf8_words, with_decoded_words, with_guessed_charset
 from maillake.operators import stats, wishes
 from maillake.plans import params as P
 from maillake.plans.catalog import query
@@ -111,6 +111,12 @@ def rfc2047(v: MailViews) -> DataFrame:
     return with_decoded_words(encoded, "encoded", "subject").select("doc_id", "subject")
 
 
+@query("rfc2047_text")
+def rfc2047_text(v: MailViews) -> DataFrame:
+    """Whole documents sent as RFC 2047 base64 words (as many as needed), decoded back."""
+    return v.bodies.select("doc_id", decoded_utf8_words(utf8_words(F.col("text"))).alias("text"))
+
+
 @query("charset_guess")
 def charset_guess(v: MailViews) -> DataFrame:
     """Bodies stored in UTF-16 (non-English) or UTF-8; the guess picks the encoding."""

@@ -96,3 +96,18 @@ def test_rfc2047_latin1_html_and_bad_date(spark, tmp_path):
                        .withColumn("id", F.concat_ws(":", "file_block_start", "seq")), "id", "headers", "body")
     texts = sorted(r.text.strip() for r in choose_body(parts, "id").collect())
     assert texts == ["Hello & bye", "naïve café"]
+
+
+def test_rfc2047_words_hold_the_whole_text(spark):
+    import __spark_entry__ as E
+    from maillake.functions.mime import decoded_utf8_words, utf8_words
+
+    texts = ["one line", "first\nsecond\r\n\tthird  \n", "Größe 東京\n" * 300, "🙂" * 100, "=?UTF-8?B?YQ==?= ?=\n=?", "", None, "\n\n", "x" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("words", utf8_words(F.col("text")))
+    rows = with_decoded_words(df.withColumn("here", decoded_utf8_words(F.col("words"))), "words", "python").collect()
+    assert {r.id: r.here for r in rows} == {r.id: r.python for r in rows} == dict(enumerate(texts))
+    assert all(len(w) <= 75 and w.startswith("=?UTF-8?B?") for r in rows if r.words for w in r.words.split("\r\n "))
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r.doc_id: r.text for r in E.queries()["rfc2047_text"](spark, sf).collect()} == docs
+    assert any("\n" in t for t in docs.values())
