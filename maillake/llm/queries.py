@@ -93,7 +93,10 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best inner products with all ``embeddings`` for every vec_id divisible by 20."""
+    """The 20 best inner products with all other rows of ``embeddings`` for every row with a vec_id divisible by 20.
+
+    Rows that repeat a vec_id have a list each; the SQL twin holds for unique ids, as the given tables have.
+    """
     index = topk.Index(topk.whole_numbers(table(spark, sf_dir, "embeddings")))
     return index.search(F.col("id") % 20 == 0, 20)
 

@@ -16,6 +16,10 @@ of their id); every vector is indexed.  The table of rings has at most ``PIVOTS
 rows, so it travels with the tasks.  A ring is split into blocks of about ``BLOCK`` vectors
 by hash, so equal vectors do not gather in one task; a task holds one block and streams the
 queries past it.
+
+Every row has a number of its own, given when the vectors are first stored.  A query is a row,
+not an id: of rows that repeat an id each is searched for alone and is itself a neighbour of
+the others.
 """
 
 from __future__ import annotations
@@ -80,10 +84,10 @@ def choose(sample: np.ndarray, pivots: int = PIVOTS, rings: int = RINGS) -> tupl
 
 
 class Index:
-    """``rows`` (id, vec, cell, ring, block) of every vector, the pivots, and the bounded table of rings."""
+    """``rows`` (row, id, vec, cell, ring, block) of every vector, the pivots, and the bounded table of rings."""
 
     def __init__(self, numbers: DataFrame):
-        numbers = stored(numbers)
+        numbers = stored(numbers.withColumn("row", F.monotonically_increasing_id()))
         sample = numbers.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
         self.size = len(sample[0]["vec"]) if sample else 8
         numbers = numbers.filter(F.octet_length("vec") == self.size)        # vectors of another length take no part
@@ -94,14 +98,14 @@ class Index:
             self.pivots, self.edges = np.zeros((1, self.dim)), np.zeros((1, RINGS - 1))
         else:
             self.pivots, self.edges = choose(_matrix([x["vec"] for x in sample], self.dim))
-        keyed = stored(numbers.mapInArrow(self._keyed(), "id long, vec binary, cell int, ring int, dist double, norm double"))
+        keyed = stored(numbers.select("row", "id", "vec").mapInArrow(self._keyed(), "row long, id long, vec binary, cell int, ring int, dist double, norm double"))
         self.rings = [tuple(r) for r in keyed.groupBy("cell", "ring").agg(
             F.min("dist").alias("low"), F.max("dist").alias("high"), F.max("norm").alias("norm"),
             F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).collect()]
         schema = "cell int, ring int, low double, high double, norm double, blocks int"
         table = F.broadcast(keyed.sparkSession.createDataFrame(self.rings, schema).select("cell", "ring", "blocks"))
         self.rows = (keyed.join(table, ["cell", "ring"])
-                     .select("id", "vec", "cell", "ring", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
+                     .select("row", "id", "vec", "cell", "ring", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block")))
 
     def _keyed(self):
         pivots, edges, dim = self.pivots, self.edges, self.dim
@@ -109,18 +113,21 @@ class Index:
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    x = _matrix(batch.column(1).to_pylist(), dim)
+                    x = _matrix(batch.column(2).to_pylist(), dim)
                     d = _distances(x, pivots)
                     cell, own = d.argmin(axis=1), d.min(axis=1)
                     ring = (own[:, None] > edges[cell]).sum(axis=1)
                     norm = (x.astype(np.float64) ** 2).sum(axis=1)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(ring.astype(np.int32)),
-                         pa.array(own), pa.array(norm)], names=["id", "vec", "cell", "ring", "dist", "norm"])
+                        [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(ring.astype(np.int32)),
+                         pa.array(own), pa.array(norm)], names=["row", "id", "vec", "cell", "ring", "dist", "norm"])
         return run
 
     def _visits(self, own_ring_only: bool):
-        """Rows (query, block to visit): the query's own ring, or every ring whose bound reaches the score to beat."""
+        """Rows (query, block to visit): the query's own ring, or every ring whose bound reaches the score to beat.
+
+        The first column of the queries names them; it is only handed on.
+        """
         pivots, dim, rings = self.pivots, self.dim, self.rings
         place = {(r[0], r[1]): r for r in rings}
 
@@ -155,28 +162,34 @@ class Index:
         return run
 
     def search(self, is_query: Column, k: int) -> DataFrame:
-        """``query_id, rank, vec_id, score``: the k best of all other vectors for each query, ties to the smaller id."""
+        """``query_id, rank, vec_id, score``: the k best of all other rows for each query row, ties to the smaller id.
+
+        Only the query's own row is no neighbour of it.  An id that stands on n query rows has n
+        lists of ranks 1 to k under that id, one for each row's own vector.
+        """
         queries = self.rows.filter(is_query)
         visit = "id long, vec binary, cell int, ring int, block int, beat long"
-        first = queries.mapInArrow(self._visits(True), visit)
-        beat = (self._met(first, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-                .select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("beat")))
-        known = stored(queries.join(beat, queries["id"] == beat["query_id"], "left").select("id", "vec", "cell", "ring", "beat"))
-        found = self._met(known.mapInArrow(self._visits(False), visit), k)
-        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        first = queries.select("row", "vec", "cell", "ring").mapInArrow(self._visits(True), visit)
+        beat = (self._met(first, k).groupBy("query").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+                .select("query", F.when(F.col("n") >= k, F.col("least")).alias("beat")))
+        known = stored(queries.join(beat, queries["row"] == beat["query"], "left").select("row", "vec", "cell", "ring", "beat", "id"))
+        found = self._met(known.drop("id").mapInArrow(self._visits(False), visit), k)
+        best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id"))
+        return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+                .join(known.select(F.col("row").alias("query"), F.col("id").alias("query_id")), "query")
+                .select("query_id", "rank", "vec_id", "score"))
 
     def _met(self, visits: DataFrame, k: int) -> DataFrame:
-        """The k best of each visited block for each visit (query_id, vec_id, score), at least the score to beat."""
-        rows = self.rows.select("cell", "ring", "block", F.lit(0).alias("query"), "id", "vec", F.lit(None).cast("long").alias("beat"))
-        both = rows.unionByName(visits.withColumn("query", F.lit(1)))
+        """The k best of each visited block for each visit (query, vec_id, score), at least the score to beat."""
+        rows = self.rows.select("cell", "ring", "block", F.lit(0).alias("query"), "row", "vec", F.lit(None).cast("long").alias("beat"), "id")
+        both = rows.unionByName(visits.withColumnRenamed("id", "row").withColumns({"query": F.lit(1), "id": F.lit(None).cast("long")}))
         return (both.repartition("cell", "ring", "block").sortWithinPartitions("cell", "ring", "block", "query")
-                .mapInArrow(_met_blocks(self.dim, k), "query_id long, vec_id long, score long"))
+                .mapInArrow(_met_blocks(self.dim, k), "query long, vec_id long, score long"))
 
 
 def _met_blocks(dim: int, k: int):
     def run(batches):
-        at, ids, vecs, x = None, [], [], None
+        at, rows, ids, vecs, x = None, [], [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -185,23 +198,24 @@ def _met_blocks(dim: int, k: int):
             out = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if tuple(marks[a, :3].tolist()) != at:
-                    at, ids, vecs, x = tuple(marks[a, :3].tolist()), [], [], None
+                    at, rows, ids, vecs, x = tuple(marks[a, :3].tolist()), [], [], [], None
                 part = batch.slice(a, b - a)
                 own, own_vecs = part.column(4).to_numpy(), part.column(5).to_pylist()
                 if marks[a, 3] == 0:
-                    ids.append(own)
+                    rows.append(own)
+                    ids.append(part.column(7).to_numpy())
                     vecs.append(_matrix(own_vecs, dim))
                 elif ids:
                     if x is None:
-                        x, names = np.concatenate(vecs), np.concatenate(ids)
-                    out += _best(own, _matrix(own_vecs, dim), part.column(6).to_pylist(), names, x, k)
+                        x, names, numbers = np.concatenate(vecs), np.concatenate(ids), np.concatenate(rows)
+                    out += _best(own, _matrix(own_vecs, dim), part.column(6).to_pylist(), numbers, names, x, k)
             got = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in got], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in got], names=["query", "vec_id", "score"])
     return run
 
 
-def _best(own: np.ndarray, q: np.ndarray, beat: list, names: np.ndarray, x: np.ndarray, k: int) -> list:
-    """(query ids, vector ids, scores) of the k best vectors for each query of a batch."""
+def _best(own: np.ndarray, q: np.ndarray, beat: list, numbers: np.ndarray, names: np.ndarray, x: np.ndarray, k: int) -> list:
+    """(query rows, vector ids, scores) of the k best vectors, other than its own row, for each query of a batch."""
     exact = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0 ** 53      # sums fit a double
     out = []
     for s in range(0, len(q), 256):
@@ -209,7 +223,7 @@ def _best(own: np.ndarray, q: np.ndarray, beat: list, names: np.ndarray, x: np.n
         scores = (part.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if exact else part @ x.T
         for i in range(len(part)):
             query, row = own[s + i], scores[i]
-            fit = names != query
+            fit = numbers != query
             if beat[s + i] is not None:
                 fit &= row >= beat[s + i]
             at = np.flatnonzero(fit)

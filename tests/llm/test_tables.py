@@ -274,6 +274,25 @@ def test_top_k_is_brute_force(spark, monkeypatch):
     assert topk.Index(topk.whole_numbers(df.limit(0))).search(F.col("id") % 20 == 0, 20).collect() == []
 
 
+def test_top_k_of_repeated_rows(spark, monkeypatch):
+    """Every query row has a list of its own, whatever other rows have its id or its vector."""
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    rng = np.random.default_rng(5)
+    v = rng.integers(-40, 40, (200, 5))
+    ids = list(range(200))
+    ids[150:160], v[150:160] = ids[20:21] * 10, v[20]       # a query row repeated as a whole
+    ids[160:163] = [40, 40, 60]                             # other vectors under query ids
+    ids[170:180], v[170:180] = [7] * 10, v[7]               # a candidate repeated
+    df = spark.createDataFrame([(i, (x / 64).tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    got = topk.Index(topk.whole_numbers(df)).search(F.col("id") % 20 == 0, 20).collect()
+    want = Counter()
+    for q in range(200):
+        if ids[q] % 20 == 0:
+            best = sorted((-int(v[i] @ v[q]), ids[i]) for i in range(200) if i != q)[:20]
+            want.update((ids[q], k + 1, i, -n) for k, (n, i) in enumerate(best))
+    assert Counter(map(tuple, got)) == want
+
+
 def test_rings_are_skipped_where_the_bound_allows(spark):
     x = np.concatenate([np.tile([0.0, 0.0], (500, 1)), np.tile([9.0, 9.0], (500, 1))]) + np.random.default_rng(0).normal(0, .01, (1000, 2))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
