@@ -20,6 +20,10 @@ queries past it.
 Every row has a number of its own, given when the vectors are first stored.  A query is a row,
 not an id: of rows that repeat an id each is searched for alone and is itself a neighbour of
 the others.
+
+Scores are exact whatever the size of the components: whole numbers kept as doubles, Python
+integers where a double cannot hold the sums.  A score among the k best that does not fit the
+64-bit result column is an error, as it is in SQL; so are vectors of different lengths.
 """
 
 from __future__ import annotations
@@ -36,13 +40,13 @@ RINGS = 4
 SAMPLE = 2048
 BLOCK = 8192
 SCALE = 64
+LEAST = -2 ** 63                # stands for all scores below the 64-bit numbers
 
 
 def whole_numbers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``id, vec`` (little-endian 64-bit integers floor(scale * x)) of the vectors that take part.
+    """``id, vec`` (little-endian doubles, the whole numbers floor(scale * x)) of the vectors that take part.
 
-    Left out: null ids, null or empty vectors, vectors with a null or non-finite component or
-    one beyond 2^31 after scaling.
+    Left out: null ids, null or empty vectors, vectors with a null or non-finite component.
     """
     def run(batches):
         for batch in batches:
@@ -50,17 +54,20 @@ def whole_numbers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if i is None or not x.is_valid or not len(x.values) or x.values.null_count:
                     continue
-                v = np.floor(scale * x.values.to_numpy(zero_copy_only=False).astype(np.float64))
-                if np.isfinite(v).all() and (np.abs(v) < 2.0 ** 31).all():
+                v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if np.isfinite(v).all():
+                    v = np.floor(scale * v)
+                    if not np.isfinite(v).all():
+                        raise OverflowError(f"vector {i}: {scale} times a component is beyond the doubles")
                     ids.append(i)
-                    out.append(v.astype("<i8").tobytes())
+                    out.append(v.astype("<f8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "vec"])
 
     return vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(run, "id long, vec binary")
 
 
 def _matrix(column, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<i8").reshape(-1, size)
+    return np.frombuffer(b"".join(column), dtype="<f8").reshape(-1, size)
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -73,7 +80,7 @@ def choose(sample: np.ndarray, pivots: int = PIVOTS, rings: int = RINGS) -> tupl
     x = sample.astype(np.float64)
     picked = [0]
     near = np.linalg.norm(x - x[0], axis=1)
-    while len(picked) < min(pivots, len(x)):
+    while len(picked) < min(pivots, len(x)) and near.max() > 0:        # equal pivots would have empty cells
         picked.append(int(near.argmax()))
         near = np.minimum(near, np.linalg.norm(x - x[picked[-1]], axis=1))
     points = x[picked]
@@ -90,8 +97,9 @@ class Index:
         numbers = stored(numbers.withColumn("row", F.monotonically_increasing_id()))
         sample = numbers.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
         self.size = len(sample[0]["vec"]) if sample else 8
-        numbers = numbers.filter(F.octet_length("vec") == self.size)        # vectors of another length take no part
-        sample = [x for x in sample if len(x["vec"]) == self.size]
+        short, long = numbers.agg(F.min(F.octet_length("vec")), F.max(F.octet_length("vec"))).first()
+        if short != long:
+            raise ValueError(f"vectors of different lengths ({short // 8} to {long // 8}) have no inner products")
         self.dim = self.size // 8
         self.rings: list = []
         if not sample:
@@ -147,8 +155,9 @@ class Index:
                     for i in range(len(ids)):
                         bounds = []
                         for c, r, low, high, norm, blocks in rings:
-                            gap = max(0.0, low - d[i, c], d[i, c] - high)
-                            bounds.append(((own[i] + norm - gap * gap) / 2 + 1e-9 * (own[i] + norm) + 1e-6, c, r, blocks))
+                            gap = max(0.0, max(low - d[i, c], d[i, c] - high) - 1e-12 * (d[i, c] + high))      # less rounding
+                            bound = (own[i] + norm - gap * gap) / 2 + 1e-9 * (own[i] + norm) + 1e-6
+                            bounds.append((np.inf if np.isnan(bound) else bound, c, r, blocks))
                         for bound, c, r, blocks in sorted(bounds, reverse=True):
                             if beat[i] is not None and bound < beat[i]:
                                 break
@@ -170,17 +179,17 @@ class Index:
         queries = self.rows.filter(is_query)
         visit = "id long, vec binary, cell int, ring int, block int, beat long"
         first = queries.select("row", "vec", "cell", "ring").mapInArrow(self._visits(True), visit)
-        beat = (self._met(first, k).groupBy("query").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+        beat = (self._met(first, k).groupBy("query").agg(F.min("score").alias("least"), F.count("score").alias("n"))
                 .select("query", F.when(F.col("n") >= k, F.col("least")).alias("beat")))
         known = stored(queries.join(beat, queries["row"] == beat["query"], "left").select("row", "vec", "cell", "ring", "beat", "id"))
         found = self._met(known.drop("id").mapInArrow(self._visits(False), visit), k)
         best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id"))
         return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
                 .join(known.select(F.col("row").alias("query"), F.col("id").alias("query_id")), "query")
-                .select("query_id", "rank", "vec_id", "score"))
+                .select("query_id", "rank", "vec_id", F.coalesce("score", F.raise_error(F.lit("a score is below the 64-bit numbers")).cast("long")).alias("score")))
 
     def _met(self, visits: DataFrame, k: int) -> DataFrame:
-        """The k best of each visited block for each visit (query, vec_id, score), at least the score to beat."""
+        """The k best of each visited block for each visit (query, vec_id, score), at least the score to beat; null: below 64 bits."""
         rows = self.rows.select("cell", "ring", "block", F.lit(0).alias("query"), "row", "vec", F.lit(None).cast("long").alias("beat"), "id")
         both = rows.unionByName(visits.withColumnRenamed("id", "row").withColumns({"query": F.lit(1), "id": F.lit(None).cast("long")}))
         return (both.repartition("cell", "ring", "block").sortWithinPartitions("cell", "ring", "block", "query")
@@ -210,20 +219,25 @@ def _met_blocks(dim: int, k: int):
                         x, names, numbers = np.concatenate(vecs), np.concatenate(ids), np.concatenate(rows)
                     out += _best(own, _matrix(own_vecs, dim), part.column(6).to_pylist(), numbers, names, x, k)
             got = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in got], names=["query", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in got[:2]), pa.array(got[2], pa.int64(), mask=got[2] == LEAST)], names=["query", "vec_id", "score"])
     return run
 
 
 def _best(own: np.ndarray, q: np.ndarray, beat: list, numbers: np.ndarray, names: np.ndarray, x: np.ndarray, k: int) -> list:
     """(query rows, vector ids, scores) of the k best vectors, other than its own row, for each query of a batch."""
-    exact = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0 ** 53      # sums fit a double
+    size, wide = np.abs(x).max(axis=1), {}
     out = []
     for s in range(0, len(q), 256):
         part = q[s:s + 256]
-        scores = (part.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if exact else part @ x.T
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = part @ x.T
+            exact = np.abs(part).max() * size.max() * x.shape[1] < 2.0 ** 53      # sums fit a double
+        scores = scores.astype(np.int64) if exact else scores
         for i in range(len(part)):
             query, row = own[s + i], scores[i]
             fit = numbers != query
+            if not exact:
+                row = _wide_scores(part[i], x, size, wide, row, fit)
             if beat[s + i] is not None:
                 fit &= row >= beat[s + i]
             at = np.flatnonzero(fit)
@@ -233,3 +247,19 @@ def _best(own: np.ndarray, q: np.ndarray, beat: list, numbers: np.ndarray, names
             at = at[np.lexsort((names[at], -row[at]))][:k]
             out.append((np.full(len(at), query), names[at], row[at]))
     return out
+
+
+def _wide_scores(q: np.ndarray, x: np.ndarray, size: np.ndarray, wide: dict, rough: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """The 64-bit scores of a query, in Python integers where doubles (``rough``) may round; ``wide`` keeps rows in these."""
+    with np.errstate(over="ignore"):
+        plain = np.abs(q).max() * size * x.shape[1] < 2.0 ** 53
+    out = np.where(plain, rough, 0).astype(np.int64)
+    numbers = [int(c) for c in q]
+    for j in np.flatnonzero(~plain & fit):
+        if j not in wide:
+            wide[j] = [int(c) for c in x[j]]
+        score = sum(a * b for a, b in zip(numbers, wide[j], strict=True))
+        if score >= 2 ** 63:
+            raise OverflowError(f"a score of {score} is above the 64-bit numbers")
+        out[j] = max(score, LEAST)
+    return out

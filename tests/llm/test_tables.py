@@ -293,6 +293,39 @@ def test_top_k_of_repeated_rows(spark, monkeypatch):
     assert Counter(map(tuple, got)) == want
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    """No finite vector is left out, and no sum is rounded; what 64 bits cannot hold is an error."""
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    v = np.random.default_rng(6).integers(-90, 90, (300, 4)).astype(np.float64)
+    v[40:60] += [2.0 ** 33, 0, 0, 0]                                            # inner products of about 2^66 among them, but ...
+    v[40:60] *= np.where(np.arange(20)[:, None] == 0, 1, [2.0 ** -9, 1, 1, 1])  # ... 2^57 and less
+    v[40:60] = np.floor(v[40:60])
+    v[100:110, 1] = -(2.0 ** 70)                                                # far down in every list, unless they meet
+    v[::20, 1] = np.abs(v[::20, 1])
+    v[100] = [5, 5, 5, 5]
+
+    def search(rows):
+        df = spark.createDataFrame([(i, (np.asarray(x) / 64).tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+        return topk.Index(topk.whole_numbers(df)).search(F.col("id") % 20 == 0, 20).collect()
+
+    whole = [[int(c) for c in x] for x in v]
+    want = set()
+    for q in range(0, 300, 20):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in range(300) if i != q)[:20]
+        want.update((q, k + 1, i, -n) for k, (n, i) in enumerate(best))
+    assert {tuple(r) for r in search(v)} == want and max(n for *_, n in want) > 2 ** 53
+    assert any(i in range(40, 60) for _, _, i, _ in want)
+    for other in (2.0 ** 40, -(2.0 ** 40)):
+        with pytest.raises(Exception, match="64-bit numbers"):
+            search([[2.0 ** 40], [other], [0.0]])
+
+
+def test_top_k_refuses_vectors_of_different_lengths(spark):
+    df = spark.createDataFrame([(i, [1.0] * (3 if i == 7 else 4)) for i in range(50)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="different lengths"):
+        topk.Index(topk.whole_numbers(df))
+
+
 def test_rings_are_skipped_where_the_bound_allows(spark):
     x = np.concatenate([np.tile([0.0, 0.0], (500, 1)), np.tile([9.0, 9.0], (500, 1))]) + np.random.default_rng(0).normal(0, .01, (1000, 2))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
