@@ -56,10 +56,10 @@ def _signatures(df: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(df: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node, shingles`` (sorted 32-bit numbers, binary) of the wanted (text_key, node) rows, from whole texts."""
+    """``node, shingles`` (sorted 64-bit hashes, binary) of the wanted (text_key, node) rows, from whole texts."""
     def run(batches):
         for batch in batches:
-            out = [np.unique((sh.shingle_set(t.as_py(), width) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1)]
+            out = [sh.shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "shingles"])
 
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
@@ -111,9 +111,9 @@ def _star_links(percent: int):
         found = []
         for g in _groups(batches, 2):
             star = g["star"][0]
-            own = next(np.frombuffer(s, np.uint32) for n, s in zip(g["node"], g["shingles"], strict=True) if n == star)
+            own = next(np.frombuffer(s, np.uint64) for n, s in zip(g["node"], g["shingles"], strict=True) if n == star)
             found += [(int(n), int(star)) for n, s in zip(g["node"], g["shingles"], strict=True)
-                      if n != star and similar(np.frombuffer(s, np.uint32), own, percent)]
+                      if n != star and similar(np.frombuffer(s, np.uint64), own, percent)]
             if len(found) > 10_000:
                 yield _edges(found)
                 found = []
@@ -172,7 +172,7 @@ def _block_links(m: int, percent: int):
     def run(batches):
         for g in _groups(batches, 3):
             r, c = _open_pairs(g, m)
-            sets = [np.frombuffer(s, np.uint32) for s in g["shingles"]]
+            sets = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
             comps, number = np.unique(g["comp"], return_inverse=True)
             parent = list(range(len(comps)))
             found = []

@@ -203,6 +203,16 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, width, percent):
     assert len({c for _, _, c in want}) > 35
 
 
+def test_long_pairs_exactly_at_the_threshold_are_linked(spark):
+    """Sets of 185 000 shingles, 85 percent of their union in common: one false count would part them."""
+    common = [f"c{i}" for i in range(170_002)]
+    texts = [" ".join(common + [f"{side}{i}" for i in range(n)]) for side, n in (("a", 15_000), ("b", 15_000))]
+    sets = [_sets(t, 3) for t in texts]
+    assert 100 * len(sets[0] & sets[1]) == 85 * len(sets[0] | sets[1])
+    got = {r["id"]: (r["n_shingles"], r["component"]) for r in neardup.components(frame(spark, texts), 3, 85).collect()}
+    assert got == {0: (185_000, 0), 1: (185_000, 0)}
+
+
 def test_near_duplicates_of_awkward_tables(awkward, nothing):
     docs = [(r[0], r[1]) for r in rows()]
     want, group = _components(docs, 5, 80)
