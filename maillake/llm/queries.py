@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maillake.llm import bpe, licenses, lines, mixing, neardup, quality, rules, shards, substrings, topk
+from maillake.llm import bpe, divergence, licenses, lines, manifest, mixing, neardup, quality, rules, shards, substrings, tokencount, topk
 from maillake.llm.common import table
 
 ORACLE: dict[str, str] = {}
@@ -120,4 +120,108 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_license_scan, op3_hash_tree, op4_line_dedup, op5_byte_bpe, op6_quality_rules, op7_near_duplicates, op8_mix, op9_exact_top_k, op10_repeated_bytes)}
+COUNTED_FILE = "byte_bpe_50k.json"
+TOKEN_LIMIT = 1024
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text of ``documents`` in the vocabulary of ``COUNTED_FILE``."""
+    import public_tokenizers
+
+    counted = tokencount.count(table(spark, sf_dir, "documents"), tokencount.read_tokenizer(public_tokenizers.path(COUNTED_FILE)))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+TAMPER_EVERY = 5
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of ``documents`` with every row's proof, checked against a copy in which some texts are lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % TAMPER_EVERY == 0
+    claimed = F.when(tampered, manifest.leaf_digest(*fields, F.translate("text", UPPER, UPPER.lower())))
+    proofs = manifest.prove(docs, manifest.leaf_digest(*fields, F.col("text")), claimed)
+    siblings = F.col("siblings")
+    return (proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.proof_text(siblings), 256).alias("proof_sha256"),
+                          manifest.folded(siblings, F.col("claimed")).alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+def _tree_sql(name: str, leaves: str, key: str) -> str:
+    """Nodes of all levels and their runs of 16, for trees over ``leaves`` (key, idx, h, n)."""
+    return f"""
+{name}_nodes AS (SELECT {key}, 0 AS lvl, idx, h, n FROM {leaves}
+  UNION ALL SELECT {key}, lvl + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 15) // 16
+  FROM {name}_nodes WHERE n > 1 GROUP BY {key}, lvl, idx // 16),
+{name}_runs AS (SELECT {key}, lvl, idx // 16 AS run, list(h ORDER BY idx) AS hs FROM {name}_nodes WHERE n > 1 GROUP BY ALL)"""
+
+
+def _fold_sql(name: str, start: str, tree: str, key: str) -> str:
+    """Walk from leaves up: the proof so far and the digest folded so far."""
+    return f"""
+{name} AS (SELECT rid, {key}, 0 AS lvl, idx, n, proof, cur FROM {start}
+  UNION ALL SELECT rid, {key}, lvl + 1, idx // 16, (n + 15) // 16,
+         proof || array_to_string(hs[:idx % 16], '') || array_to_string(hs[idx % 16 + 2:], ''),
+         sha256(array_to_string(hs[:idx % 16], '') || cur || array_to_string(hs[idx % 16 + 2:], ''))
+  FROM {name} JOIN {tree}_runs USING ({key}, lvl) WHERE n > 1 AND run = idx // 16)"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+ORACLE["op12_manifest"] = f"""
+WITH RECURSIVE crc AS (SELECT [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                     FOR i IN range(256)] AS tab),
+doc AS (SELECT row_number() OVER () AS rid, *,
+          xor(list_reduce(list_concat([4294967295], [ascii(c) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+                          lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc FROM documents, crc),
+leaf AS (SELECT rid, doc_id, coalesce('s' || source, '') AS k, {_leaf_sql("text")} AS h,
+         CASE WHEN crc % 5 = 0 THEN {_leaf_sql(f"translate(text, '{UPPER}', '{UPPER.lower()}')")} ELSE {_leaf_sql("text")} END AS claimed FROM doc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY k) AS n FROM leaf),
+{_tree_sql("g", "placed", "k")},
+top AS (SELECT k, h AS subroot FROM g_nodes WHERE n = 1),
+over AS (SELECT 0 AS z, k, subroot AS h, row_number() OVER (ORDER BY k) - 1 AS idx, count(*) OVER () AS n FROM top),
+{_tree_sql("r", "over", "z")},
+{_fold_sql("up", "(SELECT rid, k, idx, n, '' AS proof, claimed AS cur FROM placed)", "g", "k")},
+{_fold_sql("whole", "(SELECT rid, z, over.idx, over.n, proof, cur FROM up JOIN over USING (k) WHERE up.n = 1)", "r", "z")}
+SELECT doc_id, placed.h AS leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root.h AS verified
+FROM placed JOIN top USING (k) JOIN whole ON whole.rid = placed.rid AND whole.n = 1, (SELECT h FROM r_nodes WHERE n = 1) AS root
+"""
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the words of every source of ``documents`` are from other sources and from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_divergence"] = rf"""
+WITH doc AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT rid, lang, source, unnest(ts) AS term FROM doc),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= {divergence.MIN_DOCS}),
+v AS (SELECT g.lang, count(term) AS v FROM (SELECT DISTINCT lang FROM doc) AS g LEFT JOIN kept USING (lang) GROUP BY g.lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM doc) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n,
+       CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 2)) // (total + 2 * v) AS HUGEINT) AS p
+      FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(sum(n), 0) + 2)) // (any_value(total) + 2 * any_value(v)) AS HUGEINT) AS q
+      FROM p JOIN (SELECT lang, sum(total) AS total FROM g GROUP BY lang) USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT x.lang, x.source AS xs, y.source AS ys, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS s
+                    FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) AS f
+         ON f.lang = a.lang AND xs = a.source AND ys = b.source),
+every AS (SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pair
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every
+QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_license_scan, op3_hash_tree, op4_line_dedup, op5_byte_bpe, op6_quality_rules, op7_near_duplicates, op8_mix,
+    op9_exact_top_k, op10_repeated_bytes, op11_token_counts, op12_manifest, op13_divergence)}
