@@ -89,15 +89,14 @@ def _decode_bytes(values: pd.Series, encodings: pd.Series, charsets: pd.Series)
     return pd.Series(out)
 
 
-def octets(text: Column) -> Column:
-    """The bytes behind a text of a raw message.
+def octets(text: Column, is_bytes: Column) -> Column:
+    """The bytes behind a text of a raw message; ``is_bytes``: it has one character for each byte, as the readers say."""
+    return F.when(is_bytes, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
 
-    Readers keep what is valid UTF-8 and give other mail as ISO-8859-1, one character per
-    byte; so characters up to U+00FF only, some above U+007F, in a text that has no others
-    stand for bytes if they are no valid UTF-8 text of their own -- which ``as_text`` decides
-    for the whole message.  Here a body without characters above U+00FF is taken as bytes.
-    """
-    return F.when(text.rlike(r"[^\x{00}-\x{FF}]"), F.encode(text, "UTF-8")).otherwise(F.encode(text, "ISO-8859-1"))
+
+def is_no_text(raw: Column) -> Column:
+    """Whether raw mail bytes are no valid UTF-8, so that ``as_text`` gives one character for each byte."""
+    return ~F.is_valid_utf8(raw.cast("string"))
 
 
 def as_text(raw: Column) -> Column:
@@ -115,56 +114,73 @@ def param(headers_value: Column, name: str) -> Column:
     return F.when(v != "", v)
 
 
-LAZY_DEPTH = 4       # nesting levels planned without a look at the data; deeper mail is followed to its end
+LAZY_DEPTH = 4       # nesting levels opened within the row; deeper mail is followed to its end
+
+
+def _is_open(node: Column) -> Column:
+    """Whether a node is a multipart with a boundary."""
+    from maillake.functions.headers import header
+
+    ct = header(node["h"], "content-type")
+    return content_type(ct).startswith("multipart/") & param(ct, "boundary").isNotNull()
+
+
+def _children(node: Column) -> Column:
+    """The parts between a multipart node's boundaries; preamble and text after the closing boundary are none."""
+    from maillake.functions.headers import body_text, header, parse_headers
+
+    boundary = param(header(node["h"], "content-type"), "boundary")
+    pieces = F.split(node["b"], F.concat(F.lit("\\Q--"), boundary, F.lit("\\E")))
+    numbered = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+
+    def child(x):
+        part = F.regexp_replace(x["p"], r"^\r?\n", "")
+        return F.struct(F.concat(node["path"], F.array(x["i"])).alias("path"), parse_headers(part).alias("h"), body_text(part).alias("b"))
+
+    return F.transform(F.filter(numbered, lambda x: ~x["p"].startswith("--")), child)
 
 
 def mime_leaves(df: DataFrame, id_col: str, headers: str, body: str) -> DataFrame:
     """All leaf parts of each message, depth first like ``Message.walk()``, at any depth.
 
     Output: (id, part_path ARRAY<INT>, part_no, content_type, charset,
-    disposition, filename, encoding, raw_body).  Each level is one explode:
-    a multipart node's body is split on its boundary (``\\Q..\\E`` quoting),
-    the preamble and the closing delimiter are dropped, and each child's own
-    headers decide whether it is a leaf or the next level.  Mail nested deeper
-    than ``LAZY_DEPTH`` names as many boundaries; only if there is such mail
-    are further levels run, one by one (checkpointed), until none is left.
+    disposition, filename, encoding, raw_body, raw_is_bytes).  ``LAZY_DEPTH`` levels are opened as
+    expressions within the row, then one explode gives the leaves: one scan, no shuffle.
+    A multipart node's body is split on its boundary (``\\Q..\\E`` quoting).  Mail nested deeper
+    names as many boundaries; only if there is such mail are further levels opened, one
+    by one (checkpointed), until none is left.  ``raw_is_bytes`` comes from the readers;
+    without that column raw mail is text.
     """
-    from maillake.functions.headers import body_text, header, parse_headers
+    from maillake.functions.headers import header
     from maillake.session import ensure_checkpoint_dir
 
-    level = df.select(F.col(id_col), F.array().cast("array<int>").alias("part_path"),
-                      F.col(headers).alias("_h"), F.col(body).alias("_b"))
-    leaves, depth = None, 0
-    ct_val = header(F.col("_h"), "content-type")
-    multi = content_type(ct_val).startswith("multipart/") & param(ct_val, "boundary").isNotNull()
-    while True:
-        disp = header(F.col("_h"), "content-disposition")
-        leaf = level.filter(~multi).select(
-            id_col, "part_path",
-            content_type(ct_val).alias("content_type"),
-            param(ct_val, "charset").alias("charset"),
-            F.lower(F.trim(F.substring_index(F.coalesce(disp, F.lit("")), ";", 1))).alias("disposition"),
-            F.coalesce(param(disp, "filename"), param(ct_val, "name")).alias("filename"),
-            header(F.col("_h"), "content-transfer-encoding").alias("encoding"),
-            F.col("_b").alias("raw_body"))
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        if depth == LAZY_DEPTH and df.filter(F.regexp_count(F.col(body), F.lit("(?i)boundary=")) >= LAZY_DEPTH).isEmpty():
-            break
-        if depth >= LAZY_DEPTH and level.filter(multi).isEmpty():
-            break
-        boundary = param(ct_val, "boundary")
-        pieces = F.split(F.col("_b"), F.concat(F.lit("\\Q--"), boundary, F.lit("\\E")))
-        kids = (level.filter(multi)
-                .select(id_col, "part_path", F.posexplode(F.slice(pieces, F.lit(2), F.size(pieces))).alias("_i", "_p"))
-                .filter(~F.col("_p").startswith("--")))
-        part = F.regexp_replace(F.col("_p"), r"^\r?\n", "")
-        level = kids.select(id_col, F.concat("part_path", F.array(F.col("_i"))).alias("part_path"),
-                            parse_headers(part).alias("_h"), body_text(part).alias("_b"))
-        depth += 1
-        if depth > LAZY_DEPTH:
-            ensure_checkpoint_dir(df.sparkSession)
-            level = level.checkpoint()
-    return leaves.withColumn("part_no", F.array_join(F.col("part_path").cast("array<string>"), "."))
+    is_bytes = F.coalesce(F.col("raw_is_bytes"), F.lit(False)) if "raw_is_bytes" in df.columns else F.lit(False)
+    node = F.struct(F.array().cast("array<int>").alias("path"), F.col(headers).alias("h"), F.col(body).alias("b"))
+
+    def opened(nodes: Column) -> Column:
+        return F.flatten(F.transform(nodes, lambda x: F.when(_is_open(x), _children(x)).otherwise(F.array(x))))
+
+    nodes = F.array(node)
+    for _ in range(LAZY_DEPTH):
+        nodes = opened(nodes)
+    found = df.select(F.col(id_col), is_bytes.alias("raw_is_bytes"), F.explode(nodes).alias("x"))
+    if not df.filter(F.regexp_count(F.col(body), F.lit("(?i)boundary=")) >= LAZY_DEPTH).isEmpty():
+        ensure_checkpoint_dir(df.sparkSession)
+        level, found = found.checkpoint(), None
+        while True:
+            done = level.filter(~_is_open(F.col("x")))
+            found = done if found is None else found.unionByName(done)
+            more = level.filter(_is_open(F.col("x")))
+            if more.isEmpty():
+                break
+            level = more.select(id_col, "raw_is_bytes", F.explode(_children(F.col("x"))).alias("x")).checkpoint()
+    ct_val, disp = header(F.col("x.h"), "content-type"), header(F.col("x.h"), "content-disposition")
+    return found.select(
+        id_col, F.col("x.path").alias("part_path"), F.array_join(F.col("x.path").cast("array<string>"), ".").alias("part_no"),
+        content_type(ct_val).alias("content_type"), param(ct_val, "charset").alias("charset"),
+        F.lower(F.trim(F.substring_index(F.coalesce(disp, F.lit("")), ";", 1))).alias("disposition"),
+        F.coalesce(param(disp, "filename"), param(ct_val, "name")).alias("filename"),
+        header(F.col("x.h"), "content-transfer-encoding").alias("encoding"), F.col("x.b").alias("raw_body"), "raw_is_bytes")
 
 
 def _transfer(encoding: Column) -> Column:
@@ -179,18 +195,16 @@ def mime_parts(df: DataFrame, id_col: str, headers: str, body: str) -> DataFrame
     """P9 input: text of every leaf part (id, part_path, part_no, content_type, charset, text).
 
     Parts are decoded by their charset.  7bit, 8bit and base64 parts in UTF-8, ASCII or
-    ISO-8859-1 stay in the JVM; quoted-printable parts and other charsets are routed (by a
-    filter) to Python.
+    ISO-8859-1 stay in the JVM (bytes that are no UTF-8 are read as ISO-8859-1).  Quoted-printable parts
+    and other charsets go to Python; the other rows send it a null, so that the texts are read once.
     """
     leaves = mime_leaves(df, id_col, headers, body).withColumn("_enc", _transfer(F.col("encoding")))
     cs = F.lower(F.trim(F.coalesce(F.col("charset"), F.lit("utf-8"))))
-    data = F.when(F.col("_enc") == "base64", _unbase64(F.col("raw_body"))).otherwise(octets(F.col("raw_body")))
-    latin = cs.isin(*_LATIN_CHARSETS)
-    # text whose characters are not bytes was UTF-8 and is decoded; bytes that are no UTF-8 are read as ISO-8859-1
-    plain = F.when(F.col("_enc") != "base64", F.col("raw_body").rlike(r"[^\x{00}-\x{FF}]"))
-    jvm_text = F.when(F.coalesce(plain, F.lit(False)), F.col("raw_body")).when(latin, F.decode(data, "ISO-8859-1")).otherwise(as_text(data))
-    python = (F.col("_enc") == "quoted-printable") | (~cs.isin(*JVM_CHARSETS) & ~F.coalesce(plain, F.lit(False)))
-    out = only_where(leaves, python, {"text": _decode_bytes(data, F.col("_enc"), cs)}, {"text": jvm_text})
+    data = F.when(F.col("_enc") == "base64", _unbase64(F.col("raw_body"))).otherwise(octets(F.col("raw_body"), F.col("raw_is_bytes")))
+    python = (F.col("_enc") == "quoted-printable") | ~cs.isin(*JVM_CHARSETS)
+    jvm_text = F.when(cs.isin(*_LATIN_CHARSETS), F.decode(data, "ISO-8859-1")).otherwise(as_text(data))
+    out = (leaves.withColumn("_jvm", F.when(~python, jvm_text))
+           .withColumn("text", F.coalesce("_jvm", _decode_bytes(F.when(python, data), F.col("_enc"), cs))))
     return out.select(id_col, "part_path", "part_no", "content_type", "charset", "text")
 
 
@@ -205,7 +219,7 @@ def attachments(df: DataFrame, id_col: str, headers: str, body: str) -> DataFram
     """Attachment leaves with their decoded bytes (R13 input): (id, part_no, filename, content)."""
     leaves = mime_leaves(df, id_col, headers, body)
     att = leaves.filter((F.col("disposition") == "attachment") | F.col("filename").isNotNull()).withColumn("_enc", _transfer(F.col("encoding")))
-    data = octets(F.col("raw_body"))
+    data = octets(F.col("raw_body"), F.col("raw_is_bytes"))
     content = F.when(F.col("_enc") == "base64", _unbase64(F.col("raw_body"))).otherwise(data)
     out = only_where(att, F.col("_enc") == "quoted-printable", {"content": _unquote(data)}, {"content": content})
     return out.select(id_col, "part_no", "filename", "content")

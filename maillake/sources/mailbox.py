@@ -1,7 +1,7 @@
 """Mailbox files as splittable Spark sources.
 
 Every reader returns the raw record frame
-``raw_messages(path, file_block_start, seq, envelope, raw, ...)``:
+``raw_messages(path, file_block_start, seq, envelope, raw, raw_is_bytes, ...)``:
 
 * mbox / MMDF / RMAIL / Babyl are read with Spark's text source and a
   custom record separator, so a single large mailbox file is split across
@@ -11,6 +11,9 @@ Every reader returns the raw record frame
 
 ``seq`` is the record's index inside its split; ``(path, file_block_start,
 seq)`` orders records within a file without any one-partition window.
+
+``raw`` is text if the record's bytes are valid UTF-8.  Other records have one character
+for each byte (ISO-8859-1), and ``raw_is_bytes`` says so.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maillake.functions import flags as FL
-from maillake.functions.mime import as_text
+from maillake.functions.mime import as_text, is_no_text
 
 # --- fixed values: record separators of the delimited formats ----------------
 MBOX_SEP = "\nFrom "
@@ -33,7 +36,7 @@ RMAIL_SEP = "\x1f\x0c"
 #: Files up to which a table of one short row per file is broadcast to the records.
 MAX_BROADCAST_FILES = 100_000
 
-RAW_COLUMNS = ["path", "file_block_start", "seq", "envelope", "raw"]
+RAW_COLUMNS = ["path", "file_block_start", "seq", "envelope", "raw", "raw_is_bytes"]
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -53,7 +56,7 @@ def _delimited(spark: SparkSession, paths, sep: str, glob: str | None,
         (F.monotonically_increasing_id() - F.shiftleft(pid, 33)).alias("seq"),
         # the text source passes bytes through; those that are no UTF-8 become ISO-8859-1
         F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
-        .alias("record"))
+        .alias("record"), (~F.is_valid_utf8("value")).alias("raw_is_bytes"))
 
 
 def _per_file(table: DataFrame, records: DataFrame) -> DataFrame:
@@ -83,7 +86,7 @@ def read_mbox(spark: SparkSession, paths: str | Sequence[str], crlf: bool = Fals
     env = F.regexp_replace(first_line, "^From ", "")
     raw = F.substr(rec, F.length(first_line) + len(nl) + 1)
     return (df.filter(F.length(F.trim(rec)) > 0)
-            .select("path", "file_block_start", "seq", env.alias("envelope"), raw.alias("raw")))
+            .select("path", "file_block_start", "seq", env.alias("envelope"), raw.alias("raw"), "raw_is_bytes"))
 
 
 def scan_directory(spark: SparkSession, root: str) -> DataFrame:
@@ -96,7 +99,7 @@ def read_mmdf(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
     df = _delimited(spark, paths, MMDF_SEP, glob, False)
     return (df.filter(F.length(F.trim(F.col("record"))) > 0)
             .select("path", "file_block_start", "seq", F.lit(None).cast("string").alias("envelope"),
-                    F.col("record").alias("raw")))
+                    F.col("record").alias("raw"), "raw_is_bytes"))
 
 
 def read_rmail(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
@@ -116,7 +119,7 @@ def read_rmail(spark: SparkSession, paths, glob: str | None = None) -> DataFrame
     # PDF files found while walking a mail folder are not mail.
     return (df.filter(~first & ~F.lower(F.col("path")).endswith(".pdf"))
             .select("path", "file_block_start", "seq",
-                    F.lit(None).cast("string").alias("envelope"), body.alias("raw")))
+                    F.lit(None).cast("string").alias("envelope"), body.alias("raw"), "raw_is_bytes"))
 
 
 def _files(spark: SparkSession, paths, glob: str | None, recursive: bool = True) -> DataFrame:
@@ -126,12 +129,14 @@ def _files(spark: SparkSession, paths, glob: str | None, recursive: bool = True)
     return r.load(_paths(paths))
 
 
-def read_maildir(spark: SparkSession, root: str) -> DataFrame:
-    """S3: one file per message under ``cur/`` and ``new/``; flags from ``:2,<letters>``.
+def _one_message(f: DataFrame, raw: Column, seq: Column, content: Column, *more: Column) -> DataFrame:
+    return f.select("path", F.lit(0).cast("long").alias("file_block_start"), seq.cast("long").alias("seq"),
+                    F.lit(None).cast("string").alias("envelope"), raw.alias("raw"), is_no_text(content).alias("raw_is_bytes"),
+                    F.col("modificationTime").cast("timestamp_ntz").alias("file_time"), *more)
 
-    Empty files are skipped (the reference skips unparsable messages).
-    """
-    f = _files(spark, root, None)
+
+def maildir_rows(f: DataFrame) -> DataFrame:
+    """Messages of Maildir files (batch or stream): flags from ``:2,<letters>``; empty files are skipped."""
     f = f.filter(F.col("path").rlike(r"/(cur|new)/[^/]+$") & (F.col("length") > 0))
     # Hadoop paths cannot contain ':', so maildirs kept on distributed storage
     # use ';' or '!' as the info separator (a common maildir setting); all
@@ -140,42 +145,47 @@ def read_maildir(spark: SparkSession, root: str) -> DataFrame:
     flags = FL.imap_flags(letters, "maildir")
     flags = F.when(F.col("path").rlike(r"/new/[^/]+$"),
                    F.array_union(flags, F.array(F.lit(FL.RECENT)))).otherwise(flags)
-    return f.select(F.col("path"), F.lit(0).cast("long").alias("file_block_start"),
-                    F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("envelope"),
-                    as_text(F.col("content")).alias("raw"),
-                    F.col("modificationTime").cast("timestamp_ntz").alias("file_time"),
-                    flags.alias("imap_flags"))
+    return _one_message(f, as_text(F.col("content")), F.lit(0), F.col("content"), flags.alias("imap_flags"))
 
 
-def read_mh(spark: SparkSession, root: str) -> DataFrame:
-    """S6 MH: numbered files, one message each."""
-    f = _files(spark, root, None)
+def mh_rows(f: DataFrame) -> DataFrame:
+    """Messages of MH files (batch or stream): the file's number is its place."""
     f = f.filter(F.col("path").rlike(r"/[0-9]+$") & (F.col("length") > 0))
-    return f.select("path", F.lit(0).cast("long").alias("file_block_start"),
-                    F.regexp_extract("path", r"/([0-9]+)$", 1).cast("long").alias("seq"),
-                    F.lit(None).cast("string").alias("envelope"),
-                    as_text(F.col("content")).alias("raw"),
-                    F.col("modificationTime").cast("timestamp_ntz").alias("file_time"))
+    return _one_message(f, as_text(F.col("content")), F.regexp_extract("path", r"/([0-9]+)$", 1), F.col("content"))
 
 
-def read_emlx(spark: SparkSession, root: str) -> DataFrame:
-    """``.emlx`` = a byte-count line, the message, then a property list.
+def emlx_rows(f: DataFrame) -> DataFrame:
+    """Messages of .emlx files (batch or stream).
 
     The first line is dropped; the message is cut at the stated byte count
     when the count parses (the trailing property list is not mail text).
     """
-    f = _files(spark, root, "*.emlx")
     data = F.col("content")
     # the count line is ASCII, so its length in characters is that in bytes
     first = F.substring_index(F.decode(F.substring(data, 1, 64), "ISO-8859-1"), "\n", 1)
     rest = F.substring(data, F.length(first) + 2, F.length(data))
     n = F.trim(first).try_cast("int")
-    raw = as_text(F.when(n.isNotNull(), F.substring(rest, F.lit(1), n)).otherwise(rest))
-    return f.select("path", F.lit(0).cast("long").alias("file_block_start"),
-                    F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("envelope"),
-                    raw.alias("raw"),
-                    F.col("modificationTime").cast("timestamp_ntz").alias("file_time"))
+    mail = F.when(n.isNotNull(), F.substring(rest, F.lit(1), n)).otherwise(rest)
+    return _one_message(f, as_text(mail), F.lit(0), mail)
+
+
+def read_maildir(spark: SparkSession, root: str) -> DataFrame:
+    """S3: one file per message under ``cur/`` and ``new/``."""
+    return maildir_rows(_files(spark, root, None))
+
+
+def read_mh(spark: SparkSession, root: str) -> DataFrame:
+    """S6 MH: numbered files, one message each."""
+    return mh_rows(_files(spark, root, None))
+
+
+def read_emlx(spark: SparkSession, root: str) -> DataFrame:
+    """``.emlx`` = a byte-count line, the message, then a property list."""
+    return emlx_rows(_files(spark, root, "*.emlx"))
+
 
+#: Formats with a file for every message: file name pattern, and files -> messages.
+FILE_ROWS = {"maildir": (None, maildir_rows), "mh": (None, mh_rows), "emlx": ("*.emlx", emlx_rows)}
 
 READERS = {
     "mbox": read_mbox, "mmdf": read_mmdf, "rmail": read_rmail, "babyl": read_rmail,

@@ -51,7 +51,7 @@ def parse_messages(raw: DataFrame, fmt: str = "mbox") -> DataFrame:
         cols.append(FL.imap_flags(H.status_letters(hd), "mbox").alias("imap_flags"))
     else:
         cols.append(F.array().cast("array<string>").alias("imap_flags"))
-    cols += [F.col(c) for c in ("file_time", "rowid") if c in raw.columns]
+    cols += [F.col(c) for c in ("raw_is_bytes", "file_time", "rowid") if c in raw.columns]
     return df.select(*cols)
 
 

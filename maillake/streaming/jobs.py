@@ -239,10 +239,9 @@ def current_counters(spark: SparkSession, state_dir: str, counters_dir: str) ->
     return _counters_at(spark, counters_dir, spark.read.parquet(f"{state_dir}/manifest").agg(F.max("epoch")).first()[0])
 
 
-def run_available_now(df: DataFrame, checkpoint: str, writer: Callable | None = None,
-                      out_dir: str | None = None, output_mode: str = "append",
-                      state_partitions: int | None = None) -> StreamingQuery:
-    """Start a stream that drains what has landed and stops (T2 ``availableNow``).
+def _started(df: DataFrame, checkpoint: str, writer: Callable | None, out_dir: str | None, output_mode: str,
+             state_partitions: int | None, trigger: dict) -> StreamingQuery:
+    """Start a stream.
 
     A stateful stream fixes its number of state partitions when it first
     starts (it is kept in the checkpoint); ``state_partitions`` sets it
@@ -259,8 +258,21 @@ def run_available_now(df: DataFrame, checkpoint: str, writer: Callable | None =
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     try:
-        q = w.trigger(availableNow=True).start()
+        return w.trigger(**trigger).start()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def run_available_now(df: DataFrame, checkpoint: str, writer: Callable | None = None,
+                      out_dir: str | None = None, output_mode: str = "append",
+                      state_partitions: int | None = None) -> StreamingQuery:
+    """T2, cron-style: a stream that drains what has landed and stops."""
+    q = _started(df, checkpoint, writer, out_dir, output_mode, state_partitions, trigger_options("available_now"))
     q.awaitTermination()
     return q
+
+
+def run_polling(df: DataFrame, checkpoint: str, writer: Callable | None = None, out_dir: str | None = None,
+                output_mode: str = "append", state_partitions: int | None = None, seconds: int = POLL_SECONDS) -> StreamingQuery:
+    """T2, watching: a stream that looks for new mail every ``seconds`` until it is stopped."""
+    return _started(df, checkpoint, writer, out_dir, output_mode, state_partitions, trigger_options("poll", seconds))
