@@ -79,7 +79,7 @@ TEXT_COLUMNS = {
     "messages_per_day": ["date"], "message_listing": ["date"], "holiday_counts": ["day"],
     "epoch_dates": ["utc_ts", "utc_date"], "pdf_dates": ["parsed"], "internal_date": ["internal_date"],
     "activity_per_day": ["day"], "top_per_month": ["month"], "mail_gaps": ["date"],
-    "since_date": ["internal_date"], "parse_roundtrip": ["date_utc"], "send_schedule": ["send_at"],
+    "since_date": ["internal_date"], "parse_roundtrip": ["date_utc"], "stream_mailbox": ["date_utc"], "send_schedule": ["send_at"],
 }
 
 

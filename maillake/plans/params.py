@@ -34,3 +34,8 @@ MERGE_TEMPLATE = ("To: %to%\nFrom: %from%\nSubject: Your account\n\n"
 MERGE_DEFAULTS = {"from": "accounts@mail.example.org"}
 SEND_START = "2001-09-01 08:00:00"
 SEND_DELAY_SECONDS = 45
+
+# Live mail: files, and the times at which mail or events had arrived by the first look.
+MAILBOX_FILES = 8
+ARRIVED = "1998-01-01 00:00:00"
+FIRST_EVENTS = "2024-01-12 00:00:00"

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maillake.operators.discovery import report_frame
@@ -34,16 +34,19 @@ def write_star(tables: dict[str, DataFrame], root: str, zap: bool = False) -> No
         df.write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
 
 
+def mbox_record(raw: Column, sender: Column, date: Column) -> Column:
+    """K3: one mbox record: ``From <sender> <asctime date>`` line, then the message with body lines
+    that start with ``From `` escaped as ``>From ``, ending in a line feed."""
+    env = F.concat(F.lit("From "), F.coalesce(sender.cast("string"), F.lit("MAILER-DAEMON")), F.lit(" "),
+                   F.coalesce(F.date_format(date, "EEE MMM dd HH:mm:ss yyyy"), F.lit("Thu Jan 01 00:00:00 1970")))
+    body = F.regexp_replace(raw, r"(?m)^From ", ">From ")
+    return F.concat(env, F.lit("\n"), F.regexp_replace(body, r"\n?$", "\n"))
+
+
 def mbox_text(df: DataFrame, raw: str = "raw", sender: str = "envelope_from",
               date: str = "envelope_date") -> DataFrame:
-    """K3: mbox records: ``From <sender> <asctime date>`` line, body lines that start
-    with ``From `` escaped as ``>From ``, a blank line after each message."""
-    env = F.concat(F.lit("From "), F.coalesce(F.col(sender), F.lit("MAILER-DAEMON")), F.lit(" "),
-                   F.coalesce(F.date_format(F.col(date), "EEE MMM dd HH:mm:ss yyyy"),
-                              F.lit("Thu Jan 01 00:00:00 1970")))
-    body = F.regexp_replace(F.col(raw), r"(?m)^From ", ">From ")
-    body = F.regexp_replace(body, r"\n?$", "\n")
-    return df.select(F.concat(env, F.lit("\n"), body).alias("value"))
+    """K3: mbox records (``value``), each to be followed by a blank line."""
+    return df.select(mbox_record(F.col(raw), F.col(sender), F.col(date)).alias("value"))
 
 
 def write_mbox(df: DataFrame, path: str, **kw) -> None:

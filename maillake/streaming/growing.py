@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from maillake.sources import mailbox
+from maillake.sources.paths import open_fs
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])     # executors need no copy of this module
 
@@ -111,11 +112,6 @@ class _Reader(DataSourceStreamReader):
         self.settle = float(options["settle_seconds"]) if options.get("settle_seconds") else None
         self.known: dict[str, dict] = {}        # the last answer for a file, with the size it was given for
 
-    def _fs(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-
     def initialOffset(self) -> dict:
         return {}
 
@@ -123,7 +119,7 @@ class _Reader(DataSourceStreamReader):
         """{path: {end, settled}} of every mailbox with whole mail; only files that changed are opened, at their ends."""
         from pyarrow import fs
 
-        system, root = self._fs()
+        system, root = open_fs(self.path)
         info = system.get_file_info(root)
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         files = [x for x in found if x.is_file and (info.is_file or fnmatch(x.base_name, self.glob)) and x.size]
@@ -159,7 +155,7 @@ class _Reader(DataSourceStreamReader):
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-        system, _ = self._fs()
+        system, _ = open_fs(self.path)
         p, rows, size = partition, [], 0
         with system.open_input_file(p.path) as f:
             for offset, mail in messages(f, p.begin, p.start, p.stop, p.end, p.settled):

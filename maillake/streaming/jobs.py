@@ -3,15 +3,13 @@
 New mail lands as files in a landing folder (an external fetcher fills it:
 IMAP/SMTP clients are not part of this library).  Each job is
 ``readStream`` -> DataFrame transformations -> sink, with the stream
-checkpoint giving exactly-once progress (T4: the reference's "processed"
-marker; clearing the marker = starting from a new checkpoint).
+checkpoint giving exactly-once progress.  ``growing`` has the sources of mail formats (S7), ``live`` the processed
+marks (T4) and the live counters (T5).
 
 * T1 archive once: skip deleted, drop repeated ids (``dropDuplicates`` over the
   whole stream, as mail may be late by any time), append to the archive.
 * T3 triage: an ordered rule list -> target folder / flags per message,
   written partitioned by folder in ``foreachBatch``.
-* T5 live counters: latest state per message upserted per micro-batch,
-  counters recomputed for the touched folders only.
 * T6 requests: form fields per message -> ok / error / reply tables.
 * T2 wake-up: ``trigger(processingTime=...)`` or ``availableNow``.
 """
@@ -21,15 +19,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from maillake.functions.predicates import is_deleted, is_seen, is_unread
+from maillake.functions.predicates import is_deleted
 from maillake.session import ensure_checkpoint_dir
+from maillake.streaming.live import counters_batch_writer, current_counters  # noqa: F401 - T5 among the jobs
 
 # Reference settings kept as defaults (wake-up cadence of the watchers).
 POLL_SECONDS = 5
@@ -136,109 +133,6 @@ def triage_batch_writer(out_dir: str, rules: Sequence[Rule], **kw) -> Callable[[
     return write
 
 
-# --- T5 ---------------------------------------------------------------------------------
-COUNTER_NAMES = ["total_count", "unseen_count", "deleted_count", "unread_count"]
-
-
-def _contribution(rows: DataFrame, sign: int) -> DataFrame:
-    """Counter contribution of message rows (removed rows count nothing)."""
-    f = F.col("flags")
-    live = ~F.col("removed")
-    vals = [live, live & ~is_seen(f), live & is_deleted(f), live & is_unread(f)]
-    return rows.select("mailbox", *[(F.when(v, F.lit(sign)).otherwise(F.lit(0))).cast("long").alias(n)
-                                    for v, n in zip(vals, COUNTER_NAMES)])
-
-
-STATE_BUCKETS = 64      # of a new state table; an existing one keeps its own number
-
-
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A Parquet table, or None if it is not there; any other error is raised."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def counters_batch_writer(state_dir: str, counters_dir: str, key: str = "rowid",
-                          ts: str = "event_ts", buckets: int = STATE_BUCKETS
-                          ) -> Callable[[DataFrame, int], None]:
-    """T5: counters kept incrementally, as the store's triggers keep them.
-
-    Per micro-batch: the latest event per message (max event time); the old
-    rows of those messages, read only from the touched hash buckets of the
-    state table; each folder's delta = new contributions - old ones, added to
-    the per-folder counters (a table with one row per folder).  The cost
-    follows the batch, not the whole state.
-
-    Nothing is overwritten that a later step still needs: an epoch writes its
-    touched buckets, the counters and last its manifest, each into a folder of its
-    own.  The manifest (one row a bucket: the epoch that holds its rows, and the
-    table's number of buckets) makes the epoch count.  A batch that is tried again
-    starts from the last epoch with a manifest and replaces what it wrote before;
-    an epoch that has one is skipped.  ``current_counters`` reads the last counters,
-    ``counters_dir/log`` the touched folders' values per epoch.
-    """
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        manifest = _table(spark, f"{state_dir}/manifest")
-        last, held, n_buckets = None, {}, buckets
-        if manifest is not None:
-            last = manifest.agg(F.max("epoch")).first()[0]
-            if last >= epoch:
-                return
-            # one row a bucket: a bounded list
-            rows = manifest.filter(F.col("epoch") == last).collect()
-            held, n_buckets = {r["bucket"]: r["at_epoch"] for r in rows}, rows[0]["n_buckets"]
-        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
-        latest = (batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), ts).alias("_r"))
-                  .select("_r.*").withColumn("_bucket", bucket))
-        touched = [r[0] for r in latest.select("_bucket").distinct().collect()]
-        if not touched:
-            return
-        where = [(F.col("epoch") == held[b]) & (F.col("_bucket") == b) for b in touched if b in held]
-        state = None
-        if where:
-            state = spark.read.parquet(f"{state_dir}/rows").filter(reduce(lambda x, y: x | y, where)).drop("epoch")
-            old = state.join(latest.select(key), key, "left_semi")
-            # keep an old row when it is newer than the batch's (late events)
-            newer = (latest.alias("n").join(old.alias("o"), F.col(f"n.{key}") == F.col(f"o.{key}"), "left")
-                     .filter(F.col(f"o.{ts}").isNull() | (F.col(f"n.{ts}") >= F.col(f"o.{ts}")))
-                     .select("n.*"))
-            delta = _contribution(newer, 1).unionByName(_contribution(old.join(newer.select(key), key, "left_semi"), -1))
-            new_state = state.join(newer.select(key), key, "left_anti")
-            new_state = new_state.unionByName(newer.select(*new_state.columns))
-        else:
-            delta, new_state = _contribution(latest, 1), latest
-        delta = delta.groupBy("mailbox").agg(*[F.sum(n).alias(n) for n in COUNTER_NAMES])
-        current = None if last is None else _counters_at(spark, counters_dir, last)
-        if current is None:
-            current = spark.createDataFrame([], "mailbox string, " + ", ".join(f"{n} long" for n in COUNTER_NAMES))
-        j = current.join(delta.select("mailbox", *[F.col(n).alias(f"_d_{n}") for n in COUNTER_NAMES]),
-                         "mailbox", "full")
-        updated = j.select("mailbox", *[(F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_d_{n}"), F.lit(0)))
-                                        .cast("long").alias(n) for n in COUNTER_NAMES])
-        write_epoch(new_state, f"{state_dir}/rows", epoch, "_bucket")
-        updated.write.mode("overwrite").parquet(f"{counters_dir}/all/epoch={epoch}")
-        fresh = spark.read.parquet(f"{counters_dir}/all/epoch={epoch}")
-        fresh.join(delta.select("mailbox"), "mailbox", "left_semi").write.mode("overwrite").parquet(f"{counters_dir}/log/epoch={epoch}")
-        held |= dict.fromkeys(touched, epoch)
-        (spark.createDataFrame([(b, e, n_buckets) for b, e in held.items()], "bucket int, at_epoch long, n_buckets int")
-         .coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/manifest/epoch={epoch}"))
-    return write
-
-
-def _counters_at(spark: SparkSession, counters_dir: str, epoch: int) -> DataFrame:
-    return spark.read.parquet(f"{counters_dir}/all/epoch={epoch}")
-
-
-def current_counters(spark: SparkSession, state_dir: str, counters_dir: str) -> DataFrame:
-    """The counters (one row per folder) of the last finished epoch."""
-    return _counters_at(spark, counters_dir, spark.read.parquet(f"{state_dir}/manifest").agg(F.max("epoch")).first()[0])
-
-
 def _started(df: DataFrame, checkpoint: str, writer: Callable | None, out_dir: str | None, output_mode: str,
              state_partitions: int | None, trigger: dict) -> StreamingQuery:
     """Start a stream.
