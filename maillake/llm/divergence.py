@@ -16,7 +16,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -98,35 +98,47 @@ class Builder:
 
 
 class Transducer:
-    """Reads a term as its ordinal, and an ordinal as its term."""
+    """Reads terms as their ordinals, and an ordinal as its term."""
 
     def __init__(self, data: bytes):
-        flat = memoryview(data).cast("i")
-        states, steps = flat[0], flat[1]
-        self.root, at = states - 1, 2
-        self.first, at = flat[at:at + states + 1], at + states + 1
-        self.byte, self.target, self.output, self.ends = (
-            flat[at:at + steps], flat[at + steps:at + 2 * steps], flat[at + 2 * steps:at + 3 * steps], flat[at + 3 * steps:at + 3 * steps + states])
-
-    def ordinal(self, term: bytes) -> int:
-        """The term's place among the terms, from 0; -1 if it is none of them."""
-        first, byte, target, output = self.first, self.byte, self.target, self.output
-        state, total = self.root, 0
-        for b in term:
-            end = first[state + 1]
-            i = bisect_left(byte, b, first[state], end)
-            if i == end or byte[i] != b:
-                return -1
-            total += output[i]
-            state = target[i]
-        return total if self.ends[state] else -1
+        flat = np.frombuffer(data, dtype="<i4").astype(np.int64)
+        states, steps = flat[:2]
+        self.root = int(states) - 1
+        self.first = flat[2:3 + states]
+        byte, self.target, self.output, ends = (flat[a:b] for a, b in zip(
+            3 + states + np.array([0, steps, 2 * steps, 3 * steps]), 3 + states + np.array([steps, 2 * steps, 3 * steps, 3 * steps + states])))
+        self.ends = ends.astype(bool)
+        self.key = np.repeat(np.arange(states) << 8, np.diff(self.first)) + byte       # ascending: steps are in order of state and byte
+
+    def ordinals(self, terms: list[bytes]) -> np.ndarray:
+        """The place of each term among the terms, from 0; -1 for what is none of them.  All terms advance by one byte at a time."""
+        octets = np.frombuffer(b"".join(terms), dtype=np.uint8)
+        length = np.fromiter(map(len, terms), dtype=np.int64, count=len(terms))
+        start = np.cumsum(length) - length
+        total, out = np.zeros(len(terms), dtype=np.int64), np.full(len(terms), -1, dtype=np.int64)
+        state, on, depth = np.full(len(terms), self.root), np.arange(len(terms)), 0
+        while len(on):
+            done = length[on] == depth
+            ended = on[done]
+            good = self.ends[state[ended]]
+            out[ended[good]] = total[ended[good]]
+            on = on[~done]
+            key = (state[on] << 8) + octets[start[on] + depth]
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            found = self.key[at] == key if len(self.key) else np.zeros(len(on), dtype=bool)
+            on, at = on[found], at[found]
+            total[on] += self.output[at]
+            state[on] = self.target[at]
+            depth += 1
+        return out
 
     def term(self, ordinal: int) -> bytes:
         """The term at a place."""
         state, out = self.root, bytearray()
         while not (self.ends[state] and ordinal == 0):
-            i = bisect_right(self.output, ordinal, self.first[state], self.first[state + 1]) - 1
-            out.append(self.byte[i])
+            lo, hi = self.first[state], self.first[state + 1]
+            i = lo + np.searchsorted(self.output[lo:hi], ordinal, "right") - 1
+            out.append(self.key[i] & 255)
             ordinal -= self.output[i]
             state = self.target[i]
         return bytes(out)
@@ -141,11 +153,16 @@ class Vocabulary:
             for have, x in zip(self.langs.setdefault(lang, ([], [], [], [])), (bytes(first), base, n, Transducer(data)), strict=True):
                 have.append(x)
 
-    def ordinal(self, lang: str, term: bytes) -> int:
+    def ordinals(self, lang: str, terms: list[bytes]) -> np.ndarray:
+        """The ordinal of each term in its language; -1 for what the pack has not."""
         firsts, bases, _, made = self.langs[lang]
-        i = bisect_right(firsts, term) - 1
-        at = made[i].ordinal(term) if i >= 0 else -1
-        return -1 if at < 0 else bases[i] + at
+        block = np.array([bisect_right(firsts, t) - 1 for t in terms]) if len(firsts) > 1 else np.zeros(len(terms), dtype=np.int64)
+        out = np.full(len(terms), -1, dtype=np.int64)
+        for i in np.unique(block[block >= 0]):
+            here = np.flatnonzero(block == i)
+            at = made[i].ordinals([terms[k] for k in here])
+            out[here] = np.where(at < 0, -1, at + bases[i])
+        return out
 
     def term(self, lang: str, ordinal: int) -> str | None:
         """The term of an ordinal, if the pack has it."""
@@ -233,16 +250,16 @@ def _recount(blocks):
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if lang in known.langs:
                     seen[lang, source].update(terms(text.as_buffer().to_pybytes()))
-            ordinals: dict[str, dict[bytes, int]] = defaultdict(dict)       # of this batch's distinct terms
-            for (lang, source), counts in seen.items():
-                read = ordinals[lang]
-                for term in counts.keys() - read.keys():
-                    read[term] = known.ordinal(lang, term)
-                at = np.array([read[t] for t in counts], dtype=np.int64)
-                n = np.array(list(counts.values()), dtype=np.int64)
-                at, n = at[at >= 0], n[at >= 0]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()),
-                                                  pa.array(at), pa.array(n)], names=["lang", "source", "ordinal", "n"])
+            for lang in {lang for lang, _ in seen}:
+                groups = [(source, counts) for (at, source), counts in seen.items() if at == lang]
+                distinct = list(set().union(*(counts for _, counts in groups)))
+                ordinal = dict(zip(distinct, known.ordinals(lang, distinct).tolist(), strict=True))
+                for source, counts in groups:
+                    at = np.fromiter(map(ordinal.__getitem__, counts), dtype=np.int64, count=len(counts))
+                    n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+                    at, n = at[at >= 0], n[at >= 0]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(at)), pa.repeat(pa.scalar(source), len(at)),
+                                                      pa.array(at), pa.array(n)], names=["lang", "source", "ordinal", "n"])
     return run
 
 
@@ -256,10 +273,23 @@ def recount(rows: DataFrame, blocks: DataFrame, pack_bytes: int = PACK_BYTES) ->
     return rows.sparkSession.createDataFrame([], schema) if found is None else found
 
 
+#: Counts up to which 10^9 (count + 2) stays below 2^63; larger ones are reckoned in decimals or Python's whole numbers.
+PLAIN_COUNT = (1 << 63) // SCALE - 3
+
+
 def share(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(10^9 (count + 2) / (total + 2 kept)), on whole numbers."""
-    big = [c.cast("decimal(38,0)") for c in (count + F.lit(2), total + F.lit(2) * kept)]
-    return F.lit(1).cast("long") + F.call_function("div", big[0] * F.lit(SCALE).cast("decimal(10,0)"), big[1])
+    above, below = count + F.lit(2), total + F.lit(2) * kept
+    plain = F.call_function("div", above * F.lit(SCALE), below)
+    wide = F.call_function("div", above.cast("decimal(38,0)") * F.lit(SCALE).cast("decimal(10,0)"), below.cast("decimal(38,0)"))
+    return F.lit(1).cast("long") + F.when(count <= PLAIN_COUNT, plain).otherwise(wide)
+
+
+def shares(count: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """``share`` of numpy counts; ``below`` is total + 2 kept."""
+    if len(count) and count.max() > PLAIN_COUNT:
+        return np.array([1 + (int(c) + 2) * SCALE // int(b) for c, b in zip(count, below)], dtype=np.int64)
+    return 1 + (count + 2) * SCALE // below
 
 
 def gap(p: Column, q: Column) -> Column:
@@ -269,21 +299,22 @@ def gap(p: Column, q: Column) -> Column:
 
 def _tile_sums(batches):
     """Sums of ``gap`` over the terms of each tile, for pairs of sources with the smaller number first."""
-    width = 1 << TILE_TERMS_BITS
+    width, mask = 1 << TILE_TERMS_BITS, (1 << TILE_SOURCES_BITS) - 1
     for tile in in_blocks(batches, "number"):
         head, rows = tile.slice(0, 1).to_pylist()[0], tile.slice(1)
-        base = {s: (head[s], np.array(head[c], dtype=np.int64)) for s, c in (("a", "base_a"), ("b", "base_b"))}
-        number, place, p = (rows[c].to_numpy() for c in ("number", "place", "p"))
-        shares = {}
-        for s, (block, empty) in base.items():
-            full = np.repeat(empty[:, None], min(width, head["n_terms"]), axis=1)
-            own = number >> TILE_SOURCES_BITS == block
-            full[number[own] & ((1 << TILE_SOURCES_BITS) - 1), place[own]] = p[own]
-            shares[s] = full
+        number, place, n = (rows[c].to_numpy() for c in ("number", "place", "n"))
+        dense = {}
+        for s in ("a", "b"):
+            below = np.array(head["below_" + s], dtype=np.int64)        # of each source of the block
+            full = np.repeat(shares(np.zeros(len(below), dtype=np.int64), below)[:, None], min(width, head["n_terms"]), axis=1)
+            own = number >> TILE_SOURCES_BITS == head[s]
+            at = number[own] & mask
+            full[at, place[own]] = shares(n[own], below[at])
+            dense[s] = full
         first, second, value = [], [], []
-        for i, x in enumerate(shares["a"]):
+        for i, x in enumerate(dense["a"]):
             start = i + 1 if head["a"] == head["b"] else 0
-            other = shares["b"][start:]
+            other = dense["b"][start:]
             d = other - x
             value.append((d * d // (other + x)).sum(axis=1))
             first.append(np.full(len(other), (head["a"] << TILE_SOURCES_BITS) + i))
@@ -296,10 +327,10 @@ def _tile_sums(batches):
 def _pairs(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """``lang, i, j, value`` for the numbered sources of each language, i < j."""
     by_block = groups.groupBy("lang", F.shiftright("number", TILE_SOURCES_BITS).alias("s")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("number", "empty"))), lambda x: x["empty"]).alias("empty"),
-        F.first("kept").alias("kept"))
-    a = by_block.select("lang", "kept", F.col("s").alias("a"), F.col("empty").alias("base_a"))
-    b = by_block.select("lang", F.col("s").alias("b"), F.col("empty").alias("base_b"))
+        F.transform(F.sort_array(F.collect_list(F.struct("number", (F.col("total") + 2 * F.col("kept")).alias("below")))), lambda x: x["below"])
+        .alias("below"), F.first("kept").alias("kept"))
+    a = by_block.select("lang", "kept", F.col("s").alias("a"), F.col("below").alias("below_a"))
+    b = by_block.select("lang", F.col("s").alias("b"), F.col("below").alias("below_b"))
     stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("kept") - 1, TILE_TERMS_BITS)))
     headers = (a.filter("kept > 0").join(b, "lang").filter("a <= b").withColumn("t", stretch)
                .withColumn("n_terms", F.col("kept") - F.shiftleft("t", TILE_TERMS_BITS)).withColumn("number", F.lit(-1)).drop("kept"))
@@ -307,7 +338,7 @@ def _pairs(groups: DataFrame, counts: DataFrame) -> DataFrame:
     own = F.shiftright("number", TILE_SOURCES_BITS)
     spread = (counts.withColumn("o", F.explode(F.sequence(F.lit(0), F.shiftright(F.col("sources") - 1, TILE_SOURCES_BITS).cast("int"))))
               .select("lang", F.shiftright("ordinal", TILE_TERMS_BITS).alias("t"), F.least(own, "o").alias("a"), F.greatest(own, "o").alias("b"),
-                      "number", F.col("ordinal").bitwiseAND((1 << TILE_TERMS_BITS) - 1).alias("place"), "p"))
+                      "number", F.col("ordinal").bitwiseAND((1 << TILE_TERMS_BITS) - 1).cast("int").alias("place"), "n"))
     sums = dealt(headers, spread, ["lang", "t", "a", "b"], "number").mapInArrow(tidy(_tile_sums), "lang string, i long, j long, value long")
     return sums.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
 
@@ -344,10 +375,8 @@ def audit(df: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, lang_co
     langs = blocks.groupBy("lang").agg(F.sum("n").alias("kept"))
     groups = (names.join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
               .select("lang", "source", "number", "sources", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept")))
-    groups = stored(groups.withColumn("empty", F.when(F.col("kept") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("kept"))))
-                    .withColumn("lang_total", F.sum("total").over(Window.partitionBy("lang"))))
-    of_group = (counts.join(groups, ["lang", "source"])
-                .withColumn("p", share(F.col("n"), F.col("total"), F.col("kept"))))
+    groups = stored(groups.withColumn("lang_total", F.sum("total").over(Window.partitionBy("lang"))))
+    of_group = counts.join(groups, ["lang", "source"])
 
     one_way = stored(_pairs(groups, of_group))
     both = one_way.unionByName(one_way.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), "value"))
@@ -360,6 +389,7 @@ def audit(df: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, lang_co
 
     everywhere = counts.groupBy("lang", "ordinal").agg(F.sum("n").alias("in_lang"))
     used = (of_group.join(everywhere, ["lang", "ordinal"])
+            .withColumn("p", share(F.col("n"), F.col("total"), F.col("kept")))
             .withColumn("q", share(F.col("in_lang"), F.col("lang_total"), F.col("kept"))).filter("p > q")
             .select("lang", "source", "ordinal", gap(F.col("p"), F.col("q")).alias("value"), F.pmod("ordinal", F.lit(TOP_PARTS)).alias("part_no")))
     best = [F.desc("value"), F.col("ordinal")]

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,8 +190,18 @@ def test_transducer_reads_terms_as_ordinals_and_back():
     for w in words:
         builder.add(w)
     t = divergence.Transducer(builder.pack())
-    assert [t.ordinal(w) for w in words] == list(range(len(words))) and [t.term(i) for i in range(len(words))] == words
-    assert all(t.ordinal(x) == -1 for x in (b"", b"zz", words[5] + b"!", words[-1] + b"a") if x not in set(words))
+    assert t.ordinals(words).tolist() == list(range(len(words))) and [t.term(i) for i in range(len(words))] == words
+    others = [x for x in (b"", b"zz", words[5] + b"!", words[-1] + b"a", b"a" * 100_000) if x not in set(words)]
+    assert t.ordinals(others).tolist() == [-1] * len(others) and t.ordinals([]).tolist() == []
+
+
+def test_shares_of_counts_beyond_64_bits(spark):
+    counts, below = [0, 5, divergence.PLAIN_COUNT, divergence.PLAIN_COUNT + 1, 10 ** 15], 2 * 10 ** 15 + 7
+    want = [1 + 10 ** 9 * (c + 2) // below for c in counts]
+    assert divergence.shares(np.array(counts), np.full(len(counts), below)).tolist() == want
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(counts)], "i int, c long")
+    got = df.select(divergence.share(F.col("c"), F.lit(below - 6).cast("long"), F.lit(3)).alias("p")).orderBy("i").collect()
+    assert [r.p for r in got] == want
 
 
 def test_transducer_is_minimal():
