@@ -300,7 +300,7 @@ def gap(p: Column, q: Column) -> Column:
 def _tile_sums(batches):
     """Sums of ``gap`` over the terms of each tile, for pairs of sources with the smaller number first."""
     width, mask = 1 << TILE_TERMS_BITS, (1 << TILE_SOURCES_BITS) - 1
-    for tile in in_blocks(batches, "number"):
+    for tile in in_blocks(batches, ["lang", "t", "a", "b"], "number"):
         head, rows = tile.slice(0, 1).to_pylist()[0], tile.slice(1)
         number, place, n = (rows[c].to_numpy() for c in ("number", "place", "n"))
         dense = {}

@@ -77,7 +77,7 @@ def _levels(n: Column, step: int) -> Column:
 
 def _tops(batches):
     """The top of each block."""
-    for block in in_blocks(batches, "pos"):
+    for block in in_blocks(batches, ["k", "block"], "pos"):
         digests = _hexes(block["h"][1:])
         for _ in range(block["levels"][0].as_py()):
             digests = _parents(digests)
@@ -87,7 +87,7 @@ def _tops(batches):
 
 def _proofs(batches):
     """The nodes of each block with their siblings up to the root."""
-    for block in in_blocks(batches, "pos"):
+    for block in in_blocks(batches, ["k", "block"], "pos"):
         head, rows = block.slice(0, 1).to_pylist()[0], block.slice(1).combine_chunks()
         above = [(x["left"], x["right"]) for x in head["siblings"]]
         levels = [_hexes(rows["h"])]
