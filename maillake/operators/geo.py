@@ -2,16 +2,17 @@
 
 The reference asks a web geocoder for each point; here the places are a
 table (a gazetteer) and the nearest one is found with an exact multi-level
-grid join: at each level a point is joined (equi-join on grid cell) to the
-places of its 3x3 cell block, and its best candidate is accepted when it is
-closer than any place outside the block can be.  Points not settled go to
-the next, coarser level; the last level is one cell, which settles every
-point (its 3x3 block covers the globe).  Only points with no place near
-them ever meet the whole gazetteer.
+grid join.  Points and places are cells of (x, y, z) on the unit sphere, so no meridian and no
+pole is special.  At each level a point is joined (equi-join on the cell) to the
+places of its 3x3x3 block, and its best candidate is accepted when it is
+no farther than one cell's side: any place outside the block is.  Points not settled go to
+the next, coarser level; at the last, eight cells hold the sphere and every block all of it.  Only points
+with no place within half the sphere's radius of them get there.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from maillake.functions.text import chop, is_number
 
 EARTH_KM = 6371.0
-LEVELS_DEG = (1.0, 4.0, 16.0, 64.0)   # cell sizes tried before the global level
-GLOBAL_CELL_DEG = 360.0              # its 3x3 block covers the globe: settles every point
+LEVELS = (2.0 ** -7, 2.0 ** -5, 2.0 ** -3, 2.0 ** -1)   # cell sides tried, as parts of the Earth's radius
+WHOLE = 2.0                                             # the block of such a cell holds the sphere: settles every point
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -34,32 +35,19 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def _cells(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
-    return F.floor((lat + 90.0) / size).cast("long"), F.floor((lon + 180.0) / size).cast("long")
+def _cells(lat: Column, lon: Column, side: float) -> list[Column]:
+    r = math.pi / 180.0
+    flat = F.cos(lat * r)
+    return [F.floor(c / side).cast("int") for c in (flat * F.cos(lon * r), flat * F.sin(lon * r), F.sin(lat * r))]
 
 
-def _block_bound_km(lat: Column, lon: Column, size: float) -> Column:
-    """Lower bound of the distance from the point to anything outside its 3x3 block."""
-    cy, cx = _cells(lat, lon, size)
-    south = (cy - 1) * size - 90.0
-    north = (cy + 2) * size - 90.0
-    west = (cx - 1) * size - 180.0
-    east = (cx + 2) * size - 180.0
-    rad = F.lit(math.pi / 180.0)
-    dlat = F.least(lat - south, north - lat) * rad
-    # A place beyond an edge meridian is at least as far as that meridian's
-    # great circle: asin(cos(lat) * sin(dlon)); the block's most polar
-    # latitude gives the smallest cos, hence a lower bound for every place.
-    polar = F.least(F.greatest(F.abs(south), F.abs(north)), F.lit(90.0))
-    dlon_deg = F.least(F.least(lon - west, east - lon), F.lit(90.0))
-    dlon = F.asin(F.cos(polar * rad) * F.sin(dlon_deg * rad))
-    ang = F.greatest(F.least(dlat, dlon), F.lit(0.0))
-    wraps = (west < -180.0) | (east > 180.0) | (south < -90.0) | (north > 90.0)
-    return F.when(wraps, F.lit(0.0)).otherwise(ang * F.lit(EARTH_KM))
+def _sure_km(side: float) -> float:
+    """A distance on the ground whose chord is a cell's side (a hair less, for rounding)."""
+    return 2 * EARTH_KM * math.asin(min(1.0, side / 2)) * (1 - 1e-9)
 
 
 def nearest_place(points: DataFrame, places: DataFrame, pid: str = "point_id",
-                  levels: Sequence[float] = LEVELS_DEG) -> DataFrame:
+                  levels: Sequence[float] = LEVELS) -> DataFrame:
     """For each point (pid, lat, lon) the nearest place (place, plat, plon).
 
     Output: pid, place, distance_km.  Ties go to the smaller place name.
@@ -69,28 +57,21 @@ def nearest_place(points: DataFrame, places: DataFrame, pid: str = "point_id",
     ensure_checkpoint_dir(points.sparkSession)
     todo = points.select(pid, "lat", "lon").checkpoint()
     pl = places.select("place", "plat", "plon")
+    step = F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(ds, ("dx", "dy", "dz"))])
+                     for ds in itertools.product((-1, 0, 1), repeat=3)])
     out = None
-    all_levels = list(levels) + [GLOBAL_CELL_DEG]
-    for size in all_levels:
-        last = size == GLOBAL_CELL_DEG
-        py, px = _cells(F.col("plat"), F.col("plon"), size)
-        pcells = pl.select("*", py.alias("_cy"), px.alias("_cx"))
-        qy, qx = _cells(F.col("lat"), F.col("lon"), size)
-        offs = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"))
-                         for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        q = todo.select(pid, "lat", "lon", F.explode(offs).alias("_o"))
-        q = q.select(pid, "lat", "lon", (qy + F.col("_o.dy")).alias("_cy"),
-                     (qx + F.col("_o.dx")).alias("_cx"))
-        cand = q.join(pcells, ["_cy", "_cx"])
+    for side in (*levels, WHOLE):
+        last = side == WHOLE
+        cx, cy, cz = _cells(F.col("plat"), F.col("plon"), side)
+        pcells = pl.select("*", cx.alias("_cx"), cy.alias("_cy"), cz.alias("_cz"))
+        qx, qy, qz = _cells(F.col("lat"), F.col("lon"), side)
+        q = (todo.select(pid, "lat", "lon", qx.alias("_x"), qy.alias("_y"), qz.alias("_z"), F.explode(step).alias("_o"))
+             .select(pid, "lat", "lon", (F.col("_x") + F.col("_o.dx")).alias("_cx"), (F.col("_y") + F.col("_o.dy")).alias("_cy"),
+                     (F.col("_z") + F.col("_o.dz")).alias("_cz")))
         d = haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-        best = (cand.withColumn("_d", d)
-                .groupBy(pid, "lat", "lon")
-                .agg(F.min(F.struct("_d", "place")).alias("_b")))
-        if last:
-            ok = best
-        else:
-            bound = _block_bound_km(F.col("lat"), F.col("lon"), size)
-            ok = best.filter(F.col("_b._d") <= bound)
+        best = (q.join(pcells, ["_cx", "_cy", "_cz"]).withColumn("_d", d)
+                .groupBy(pid, "lat", "lon").agg(F.min(F.struct("_d", "place")).alias("_b")))
+        ok = best if last else best.filter(F.col("_b._d") <= _sure_km(side))
         got = ok.select(pid, F.col("_b.place").alias("place"), F.col("_b._d").alias("distance_km"))
         out = got if out is None else out.unionByName(got)
         if not last:

@@ -5,7 +5,8 @@ replacement)``).  Containment "some entry is a substring of the value" is a
 theta condition; instead of a nested-loop join it runs as an exact q-gram
 equi-join: every entry is keyed by one of its q-grams (the one rarest among
 the entries), every value is exploded to all its q-grams, the equi-join
-yields candidates, and ``instr`` verifies them.  Any occurrence of an entry
+yields candidates, and ``instr`` verifies them.  q depends on the entry's length (``GRAMS``), so
+a short entry does not make the grams of long ones short.  Any occurrence of an entry
 in a value contains that entry's key gram, so no match is lost; the list is
 never collected, and AQE broadcasts the entry side when its runtime size is
 small.  Regex lists (match at the start) are small configuration: their
@@ -14,10 +15,12 @@ size is checked before they are compiled into one expression.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_Q = 8                  # longest key gram; entries shorter than this use their length
+GRAMS = (8, 4, 2, 1)       # lengths of key grams: an entry has the longest that is not beyond its own
 REGEX_BATCH = 500          # patterns compiled into one expression
 
 
@@ -43,16 +46,22 @@ def read_replacement_file(spark: SparkSession, path: str) -> DataFrame:
                         F.trim(F.expr("substr(entry, instr(entry, '::') + 2)")).alias("replacement"))
 
 
-def _key_grams(entries: DataFrame, entry: str, q: int) -> DataFrame:
+def _grams(col: str, q: Column) -> Column:
+    """All grams of a length of a string; none if it is shorter."""
+    c = F.col(col)
+    return F.when(F.length(c) >= q, F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda p: F.substring(c, p, q))).otherwise(F.array().cast("array<string>"))
+
+
+def _gram_length(entry: Column) -> Column:
+    return F.coalesce(*[F.when(F.length(entry) >= q, F.lit(q)) for q in GRAMS])
+
+
+def _key_grams(entries: DataFrame, entry: str) -> DataFrame:
     """One key gram per entry: the gram least frequent among all entries' grams."""
-    grams = entries.select(
-        "*", F.posexplode(F.expr(f"transform(sequence(1, length({entry}) - {q} + 1), "
-                                 f"p -> substr({entry}, p, {q}))")).alias("_gpos", "_gram"))
+    grams = entries.select("*", F.posexplode(_grams(entry, _gram_length(F.col(entry)))).alias("_gpos", "_gram"))
     freq = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_gfreq"))
     ranked = grams.join(freq, "_gram")
-    best = ranked.groupBy(*entries.columns).agg(
-        F.min_by("_gram", F.struct("_gfreq", "_gpos")).alias("_gram"))
-    return best
+    return ranked.groupBy(*entries.columns).agg(F.min_by("_gram", F.struct("_gfreq", "_gpos")).alias("_gram"))
 
 
 def substring_matches(values: DataFrame, value_col: str, entries: DataFrame,
@@ -61,20 +70,15 @@ def substring_matches(values: DataFrame, value_col: str, entries: DataFrame,
 
     Output columns: ``value_col`` + the entries' columns.  Callers join the
     per-value result back on the value text (an equi-join; AQE splits a hot
-    value).
+    value).  Values are read once, for the grams of all lengths that the entries have.
     """
     e = entries.filter(F.col(entry_col).isNotNull() & (F.length(entry_col) > 0))
-    q = e.agg(F.min(F.length(entry_col))).first()[0]
+    used = e.agg(F.collect_set(_gram_length(F.col(entry_col)))).first()[0]      # four lengths at most
     dv = values.select(value_col).filter(F.col(value_col).isNotNull()).distinct()
-    if q is None:
+    if not used:
         return dv.join(e, F.lit(False), "inner")
-    q = min(int(q), MAX_Q)
-    keyed = _key_grams(e, entry_col, q)
-    vg = dv.select(value_col, F.explode(F.array_distinct(F.expr(
-        f"transform(sequence(1, greatest(length({value_col}) - {q} + 1, 1)), "
-        f"p -> substr({value_col}, p, {q}))"))).alias("_gram"))
-    vg = vg.filter(F.length("_gram") == q)
-    cand = vg.join(keyed, "_gram").drop("_gram")
+    every = F.array_distinct(F.concat(*[_grams(value_col, F.lit(q)) for q in sorted(used)]))
+    cand = dv.select(value_col, F.explode(every).alias("_gram")).join(_key_grams(e, entry_col), "_gram").drop("_gram")
     return cand.filter(F.instr(F.col(value_col), F.col(entry_col)) > 0)
 
 
@@ -87,11 +91,23 @@ def list_contains(values: DataFrame, value_col: str, entries: DataFrame,
             .withColumn(out, F.coalesce(F.col(out), F.lit(False))))
 
 
+#: What a pattern may hold that reaches beyond it in a joined one: group numbers and names, flags, quoting.
+_OWN_SCOPE = re.compile(r"\\[1-9kQE]|\(\?[a-zA-Z<-]")
+
+
 def regex_list_expr(value: Column, patterns: list[str]) -> Column:
-    """J8 regex mode: some pattern matches at the start of the value.  Lists of any length."""
+    """J8 regex mode: some pattern matches at the start of the value.  Lists of any length.
+
+    Patterns are joined into few expressions; one with a back-reference, a named group, inline flags or quoting is
+    matched by itself.
+    """
+    alone = [p for p in patterns if _OWN_SCOPE.search(p)]
+    joined = [p for p in patterns if not _OWN_SCOPE.search(p)]
     hit = F.lit(False)
-    for i in range(0, len(patterns), REGEX_BATCH):
-        hit = hit | value.rlike("^(?:" + "|".join(f"(?:{p})" for p in patterns[i:i + REGEX_BATCH]) + ")")
+    for i in range(0, len(joined), REGEX_BATCH):
+        hit = hit | value.rlike("^(?:" + "|".join(f"(?:{p})" for p in joined[i:i + REGEX_BATCH]) + ")")
+    for p in alone:
+        hit = hit | value.rlike(f"^(?:{p})")
     return F.coalesce(hit, F.lit(False))
 
 

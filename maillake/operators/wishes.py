@@ -210,54 +210,25 @@ def grid_mean(df: DataFrame, ts: str, ring, division, value: str) -> DataFrame:
 
 # --- R4: calendar entries -----------------------------------------------------------
 VEVENT_RE = r"(?s)BEGIN:VEVENT(.*?)END:VEVENT"
+#: Parameters between a property's name and its value; a quoted one may hold colons.
+_PARAMETERS = r'(?:;(?:"[^"\r\n]*"|[^":\r\n])*)?'
 
 
 def calendar_events(parts: DataFrame, id_col: str, text: str = "text") -> DataFrame:
-    """One row per VEVENT block of a part: summary, start, end, location."""
-    ev = parts.select(id_col, F.explode(F.regexp_extract_all(F.col(text), F.lit(VEVENT_RE), 1)).alias("ev"))
+    """One row per VEVENT block of a part: summary, start, end, location.
+
+    Folded lines (a line feed, then a blank or tab) are joined first.
+    """
+    unfolded = F.regexp_replace(F.col(text), r"\r?\n[ \t]", "")
+    ev = parts.select(id_col, F.explode(F.regexp_extract_all(unfolded, F.lit(VEVENT_RE), 1)).alias("ev"))
 
     def prop(name):
-        v = F.regexp_extract(F.col("ev"), rf"(?m)^{name}[^:\r\n]*:(.*?)\r?$", 1)
+        v = F.regexp_extract(F.col("ev"), rf"(?mi)^{name}{_PARAMETERS}:(.*?)\r?$", 1)
         return F.when(v != "", v)
     return ev.select(id_col, prop("SUMMARY").alias("summary"), prop("DTSTART").alias("dtstart"),
                      prop("DTEND").alias("dtend"), prop("LOCATION").alias("location"))
 
 
-# --- R10 / R11: Received headers ----------------------------------------------------
-IPV4_RE = r"\[?((?:\d{1,3}\.){3}\d{1,3})\]?"
-
-
-def routing_table(msgs: DataFrame, id_col: str = "rowid", headers: str = "headers") -> DataFrame:
-    """One row per Received hop (hop 0 = nearest to the recipient) with
-    from-host, by-host, IP and the hop's date text."""
-    rec = msgs.select(id_col, F.posexplode(F.filter(F.col(headers),
-                                                     lambda h: F.lower(h["name"]) == "received")).alias("hop", "h"))
-    v = F.col("h.value")
-
-    def grab(rx):
-        x = F.regexp_extract(v, rx, 1)
-        return F.when(x != "", x)
-    return rec.select(id_col, "hop", grab(r"from\s+(\S+)").alias("from_host"),
-                      grab(r"by\s+(\S+)").alias("by_host"), grab(IPV4_RE).alias("ip"),
-                      grab(r";\s*(.*)$").alias("date_text"))
-
-
-def ips_per_person(routes: DataFrame, msgs: DataFrame, id_col: str = "rowid",
-                   person: str = "sender_email", ts: str = "date_sent") -> DataFrame:
-    """Per person and month the dominant /16 of their first-hop IPs and whether it
-    changed from the previous month ("has moved")."""
-    from pyspark.sql import Window
-    first_hop = routes.groupBy(id_col).agg(F.max_by("ip", "hop").alias("ip"))
-    j = first_hop.join(msgs.select(id_col, person, ts), id_col).filter(F.col("ip").isNotNull())
-    j = j.withColumn("net16", F.regexp_extract("ip", r"^(\d+\.\d+)\.", 1)) \
-         .withColumn("month", F.trunc(F.to_date(ts), "month"))
-    cnt = j.groupBy(person, "month", "net16").agg(F.count(F.lit(1)).alias("n"))
-    dom = cnt.groupBy(person, "month").agg(F.max_by("net16", F.struct("n", "net16")).alias("net16"))
-    w = Window.partitionBy(person).orderBy("month")
-    prev = F.lag("net16").over(w)
-    return dom.withColumn("moved", F.coalesce(prev != F.col("net16"), F.lit(False)))
-
-
 def ip_clusters(routes: DataFrame, k: int = 8, seed: int = 1) -> DataFrame:
     """K-means over the IPv4 octets of the hops (pyspark.ml KMeans)."""
     from pyspark.ml.clustering import KMeans
@@ -304,11 +275,40 @@ URL_RE = r"(https?://[^\s\"'<>]+)"
 
 
 def urls(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Every URL of the whole text with its host."""
+    """Every URL of the whole text with its host.
+
+    Punctuation that closes a sentence or a bracket is no part of a URL; a closing round bracket stays if the URL
+    has an opening one.
+    """
     u = df.select(id_col, F.explode(F.regexp_extract_all(F.col(text), F.lit(URL_RE), 1)).alias("url"))
+    bare = F.regexp_replace("url", r"[.,;:!?\])}]+$", "")
+    bracketed = F.regexp_replace("url", r"[.,;:!?\]}]+$", "")
+    u = u.withColumn("url", F.when(F.col("url").contains("("), bracketed).otherwise(bare))
     return u.withColumn("host", F.lower(F.regexp_extract("url", r"https?://([^/:?#]+)", 1)))
 
 
+def parent_domains(host: Column) -> Column:
+    """A host and the domains above it: ``a.b.c`` -> ``a.b.c, b.c, c``."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def suspicious(df: DataFrame, id_col: str, text: str, domains: DataFrame, keywords: Sequence[str]) -> DataFrame:
+    """(id, kind, entry, n): listed domains that a text's URLs belong to (``n`` URLs), and keywords it holds (any case).
+
+    ``domains`` (``entry``) is a table of any size: hosts are exploded to their parent domains and meet it by an
+    equi-join, so ``evil.example`` covers its subdomains.  Keywords are configuration.
+    """
+    named = urls(df, id_col, text).select(id_col, F.explode(parent_domains(F.col("host"))).alias("entry"))
+    listed = domains.select(F.lower("entry").alias("entry")).distinct()
+    hits = named.join(listed, "entry").groupBy(id_col, "entry").agg(F.count(F.lit(1)).alias("n"))
+    low = F.lower(F.col(text))
+    times = F.array(*[F.struct(F.lit(k).alias("entry"), F.regexp_count(low, F.lit("\\Q" + k.lower() + "\\E")).cast("long").alias("n")) for k in keywords])
+    words = df.select(id_col, F.explode(F.filter(times, lambda x: x["n"] > 0)).alias("x")).select(id_col, "x.entry", "x.n")
+    return (hits.select(id_col, F.lit("url").alias("kind"), "entry", "n")
+            .unionByName(words.select(id_col, F.lit("keyword").alias("kind"), "entry", "n")))
+
+
 # --- R17: digest assembly --------------------------------------------------------------
 def digest(msgs: DataFrame, issued: DataFrame, keywords: Sequence[str], delete_keywords: Sequence[str],
            id_col: str = "rowid", subject: str = "subject", body: str = "body") -> DataFrame:

@@ -39,3 +39,7 @@ SEND_DELAY_SECONDS = 45
 MAILBOX_FILES = 8
 ARRIVED = "1998-01-01 00:00:00"
 FIRST_EVENTS = "2024-01-12 00:00:00"
+
+# Suspicious mail (R14): listed domains cover their subdomains; words in lower case.
+SUSPICIOUS_DOMAINS = ["tionsh.example.net", "thther.example.org", "example.com", "le.com"]
+SUSPICIOUS_WORDS = ["script", "nicht aulich"]

@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from maillake.functions import headers as H
-from maillake.operators import wishes
+from maillake.operators import routes, wishes
 from maillake.plans import hooks
 from maillake.sources import mailbox, messages, tables
 
@@ -120,9 +120,9 @@ def test_received_routing_and_header_flags(spark, tmp_path):
            "BEGIN:VCALENDAR\nBEGIN:VEVENT\nSUMMARY:Lunch\nDTSTART:20101102T120000Z\nEND:VEVENT\nEND:VCALENDAR\n"
            "see https://www.c.example/path?q=1 and http://d.example\n")
     df = spark.createDataFrame([(1, raw)], "rowid long, raw string").withColumn("headers", H.parse_headers(F.col("raw")))
-    routes = {r.hop: (r.from_host, r.by_host, r.ip) for r in wishes.routing_table(df).collect()}
-    assert routes == {0: ("mx1.a.example", "mx2.b.example;", "192.0.2.10"),
-                      1: ("client.c.example", "mx1.a.example;", "198.51.100.7")}
+    got = {r.hop: (r.from_host, r.by_host, r.ip) for r in routes.routing_table(df).collect()}
+    assert got == {0: ("mx1.a.example", "mx2.b.example", "192.0.2.10"),
+                   1: ("client.c.example", "mx1.a.example", "198.51.100.7")}
     r = df.select(wishes.lacks_spf(F.col("headers")).alias("nospf"),
                   wishes.flagged_spam(F.col("headers")).alias("spam")).first()
     assert (r.nospf, r.spam) == (False, True)
