@@ -66,13 +66,17 @@ def with_network(df: DataFrame, ip: str, networks: DataFrame, cidr: str = "netwo
     Each distinct address is exploded to its prefixes of the lengths that the list has (129 + 33 at most), these meet the
     list by an equi-join, and the longest wins.  Of a network listed twice, the least row wins.
     """
+    from maillake.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     own = [c for c in networks.columns if c != cidr]
-    nets = (networks.withColumn("_net", network_bits(F.col(cidr))).filter("_net IS NOT NULL")
+    nets = (networks.withColumn("_net", network_bits(F.col(cidr))).checkpoint().filter("_net IS NOT NULL")
             .groupBy("_net").agg(F.min(F.struct(F.col(cidr), *own)).alias("_row")))
     lengths = [r[0] for r in nets.select(F.length("_net")).distinct().collect()]         # 162 at most
     bits = address_bits(F.col(ip))
     whole = F.concat(F.when(F.length(bits) == 32, F.lit("4")).otherwise(F.lit("6")), bits)
-    each = df.select(ip).distinct().withColumn("_bits", whole).filter("_bits IS NOT NULL")
+    # checkpointed: the digits are long to work out, and each of the lengths asks for them
+    each = df.select(ip).distinct().withColumn("_bits", whole).checkpoint().filter("_bits IS NOT NULL")
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("_bits")),
                            lambda n: F.substring(F.col("_bits"), F.lit(1), n))
     best = (each.select(ip, F.explode(prefixes).alias("_net")).join(nets, "_net")
