@@ -32,12 +32,13 @@ def search_hits(df: DataFrame, raw: str, pattern: str) -> DataFrame:
 def discovery(df: DataFrame, *, raw: str, to: Column, cc: Column, from_: Column,
               subject: Column, date: Column, message_id: Column, original_file: Column,
               order: Sequence[str], search_pattern: str, privileged_pattern: str,
-              min_id_len: int = 6) -> DataFrame:
+              min_id_len: int = 6, keep: Sequence[str] = ()) -> DataFrame:
     """F3 + F4 + W7 + W6 + K5 columns.
 
     Hits are de-duplicated on Message-ID (ids of ``min_id_len`` chars or
     fewer never de-duplicate), numbered 1..n in scan ``order`` and split into
-    privileged / regular by a case-sensitive search on To, From or Cc.
+    privileged / regular by a case-sensitive search on To, From or Cc.  ``keep`` names columns of
+    ``df`` that the result has as well, such as the raw text for ``write_discovery``.
     """
     hits = search_hits(df, raw, search_pattern)
     cols = hits.select(
@@ -45,7 +46,7 @@ def discovery(df: DataFrame, *, raw: str, to: Column, cc: Column, from_: Column,
         F.col("query"),
         to.alias("_to"), cc.alias("_cc"), from_.alias("_from"), subject.alias("_subject"),
         date.alias("_date"), message_id.alias("_mid"), line_count(F.col(raw)).cast("long").alias("_lines"),
-        original_file.alias("_file"))
+        original_file.alias("_file"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     # The hits are a (small, narrow) subset of the mail: checkpoint them once so
     # the de-dup branches and the numbering do not re-run the text search.
     ensure_checkpoint_dir(df.sparkSession)
@@ -59,7 +60,7 @@ def discovery(df: DataFrame, *, raw: str, to: Column, cc: Column, from_: Column,
         F.col("_from").alias("from"), F.col("_subject").alias("subject"),
         F.col("_date").alias("date"), F.col("_mid").alias("message_id"),
         F.col("_lines").alias("lines"), F.col("_file").alias("original_file"),
-        priv.alias("privileged"))
+        priv.alias("privileged"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
 def report_frame(hits: DataFrame) -> DataFrame:

@@ -181,14 +181,14 @@ def term_index_with_senders(pages: DataFrame, page_sender: DataFrame, page: str
                             text: str = "text", max_pages: int = TERM_MAX_PAGES) -> DataFrame:
     """A9 as the reference prints it: per term also the sender of each listed page's
     message (``page_sender(page, sender)``, e.g. from ``assign_messages`` joined to the
-    first pages' From field), aligned with ``pages``; '?' when unknown."""
+    first pages' From field), aligned with ``pages``; '?' when unknown.  ``senders`` is one text, ``sender_list`` the same as a list."""
     idx = term_index(pages, page, text, max_pages)
     exploded = idx.select("term", F.posexplode(F.split("pages", ",")).alias("_i", "_p"))
     ps = page_sender.select(F.col(page).cast("string").alias("_p"), F.col("sender").alias("_s"))
     j = exploded.join(ps, "_p", "left")
-    froms = j.groupBy("term").agg(F.array_join(F.transform(
+    froms = j.groupBy("term").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_s", F.lit("?")).alias("s")))),
-        lambda x: x["s"]), ",").alias("senders"))
+        lambda x: x["s"]).alias("sender_list")).withColumn("senders", F.array_join("sender_list", ","))
     return idx.join(froms, "term", "left")
 
 

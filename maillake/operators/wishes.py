@@ -321,3 +321,20 @@ def digest(msgs: DataFrame, issued: DataFrame, keywords: Sequence[str], delete_k
                        & ~contains_any(s, [k.lower() for k in delete_keywords]))
     fresh = pick.join(issued.select(id_col), id_col, "left_anti")
     return global_row_number(fresh.select(id_col, subject, body), [id_col], name="item")
+
+
+def inferred_source(subject: Column, body: Column, publications: dict[str, str]) -> Column:
+    """A message's source: what its subject has in brackets at the end, else the publication named by the first
+    keyword (in the given order, any case) that its body holds, else the host of the body's first URL."""
+    bracketed = F.regexp_extract(subject, r"\(([^()]+)\)\s*$", 1)
+    low = F.lower(body)
+    named = [F.when(low.contains(k.lower()), F.lit(v)) for k, v in publications.items()]
+    host = F.lower(F.regexp_extract(body, r"https?://([^/:?#\s\"'<>]+)", 1))
+    return F.coalesce(F.when(bracketed != "", bracketed), *named, F.when(host != "", host))
+
+
+def digest_with_bodies(msgs: DataFrame, issued: DataFrame, keywords: Sequence[str], delete_keywords: Sequence[str],
+                       publications: dict[str, str], id_col: str = "rowid", subject: str = "subject", body: str = "body") -> DataFrame:
+    """The digest's items with their source and body: ``item, id_col, subject, source, body``."""
+    d = digest(msgs, issued, keywords, delete_keywords, id_col, subject, body)
+    return d.select("item", id_col, subject, inferred_source(F.col(subject), F.coalesce(F.col(body), F.lit("")), publications).alias("source"), body)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from maillake.plans.oracle import oracle
+from maillake.plans import oracle_pages, oracle_text  # noqa: F401 - their twins are used below
+from maillake.plans import params as P
+from maillake.plans.oracle import ORACLE, oracle
+from maillake.plans.oracle_text import REQUESTS_SQL
 
 
 @oracle("stream_mailbox")
@@ -40,3 +43,52 @@ SELECT t.mailbox, count(*) FILTER (NOT removed) AS total_count, count(*) FILTER
        count(DISTINCT message_id) FILTER (NOT removed AND flags = 0)
          + count(*) FILTER (NOT removed AND flags = 0 AND message_id IS NULL AND m.mailbox IS NOT NULL) AS unread_count_adjusted_for_duplicates
 FROM (SELECT DISTINCT mailbox FROM r) AS t LEFT JOIN m ON t.mailbox = m.mailbox GROUP BY t.mailbox"""
+
+
+@oracle("stream_two_pass")
+def _():
+    return """
+WITH to_ AS (SELECT DISTINCT r.message_rowid FROM recipients r JOIN addresses a ON r.address_id = a.rowid WHERE r.type = 0)
+SELECT m.rowid, 'High' AS target_folder, CASE WHEN t.message_rowid IS NULL THEN 9 ELSE 10 END AS lines,
+       '<' || CAST(m.rowid AS VARCHAR) || '@mail.example>' AS message_id
+FROM messages m LEFT JOIN to_ t ON m.rowid = t.message_rowid WHERE m.priority = '2-HIGH' AND m.flags & 2 = 0"""
+
+
+@oracle("stream_request_mail")
+def _():
+    size = "length('" + P.REPLY_TEMPLATE.replace("'", "''").replace("\n", "' || chr(10) || '") + "')"
+    for key, value in (("%name%", "name"), ("%email%", "email"), ("%segment%", "segment"), ("%from_address%", f"'{P.RESPONDER_ADDRESS}'"),
+                       ("%cc_address%", f"'{P.CC_ADDRESS}'")):
+        size += f" + {P.REPLY_TEMPLATE.count(key)} * (length({value}) - {len(key)})"
+    return REQUESTS_SQL + f"""
+SELECT request_id, name, email, segment, status, CASE WHEN status = 'ok' THEN CAST({size} AS INTEGER) END AS reply_chars,
+       CASE WHEN status = 'ok' THEN count(*) FILTER (WHERE status = 'ok') OVER (PARTITION BY email) END AS tallied FROM status"""
+
+
+@oracle("discovery_files")
+def _():
+    return f"""
+WITH h AS ({ORACLE["discovery_hits"]})
+SELECT CASE WHEN privileged THEN 'priv' ELSE 'reg' END || '/s' || lpad(CAST(snum AS VARCHAR), 6, '0') || '.eml' AS name, message_id AS sha256,
+       CASE WHEN privileged THEN 'priv' ELSE 'reg' END AS listed FROM h"""
+
+
+@oracle("term_index_html")
+def _():
+    return f"""
+WITH x AS ({ORACLE["term_index"]}),
+p AS (SELECT term, unnest(string_split(pages, ',')) AS page, unnest(range(len(string_split(pages, ',')))) AS i FROM x)
+SELECT term AS k, 0 AS i, '<h3>' || title || '</h3>' AS value FROM x
+UNION ALL SELECT term, i + 1, '&nbsp;&nbsp;&nbsp;<a href=''page/' || page || '''>[page ' || page || ']</a> ' || coalesce(source, '?') || '<br>'
+FROM p LEFT JOIN documents ON doc_id = CAST(page AS BIGINT)"""
+
+
+@oracle("digest_bodies")
+def _():
+    named = " ".join(f"WHEN contains(lower(body), '{k}') THEN '{v}'" for k, v in P.PUBLICATIONS.items())
+    return f"""
+WITH m AS (SELECT page_id AS rowid, 'News ' || page_id || CASE WHEN page_id % 3 = 0 THEN ' (The Daily)' WHEN page_id % 7 = 0 THEN ' spam' ELSE '' END AS subject,
+                  'see ' || url || ' for' || chr(10) || html AS body FROM pages)
+SELECT row_number() OVER (ORDER BY rowid) AS item, rowid, subject,
+       CASE WHEN rowid % 3 = 0 THEN 'The Daily' {named} ELSE lower(regexp_extract(body, 'https?://([^/:?#\\s"''<>]+)', 1)) END AS source, sha256(body) AS body_sha256
+FROM m WHERE rowid % 5 <> 0 AND NOT contains(subject, 'spam')"""

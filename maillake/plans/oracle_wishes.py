@@ -117,3 +117,8 @@ def _():
 @oracle("rfc2047_text")
 def _():
     return "SELECT doc_id, text FROM documents"
+
+
+@oracle("rfc2047_words")
+def _():
+    return "SELECT doc_id, text FROM documents"

@@ -43,3 +43,7 @@ FIRST_EVENTS = "2024-01-12 00:00:00"
 # Suspicious mail (R14): listed domains cover their subdomains; words in lower case.
 SUSPICIOUS_DOMAINS = ["tionsh.example.net", "thther.example.org", "example.com", "le.com"]
 SUSPICIOUS_WORDS = ["script", "nicht aulich"]
+
+# Tally of request mail (K9) and publications of the digest (R17), keywords in lower case.
+TALLY_DATE = "2001-08-02"
+PUBLICATIONS = {"nicht aulich": "Aulich Post", "thheouble": "The Ouble"}

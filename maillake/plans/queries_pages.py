@@ -29,7 +29,8 @@ def _assigned(v: MailViews) -> DataFrame:
 def first_pages(v: MailViews) -> DataFrame:
     """The pages that open a message."""
     p = conversation_pages(v)
-    return p.filter(F.col("role") == "user").select("doc", "page")
+    first_block = F.concat(F.when(F.col("role") == "user", F.lit("From:\n")).otherwise(F.lit("")), F.col("text"))
+    return p.filter(pages.is_first_page(first_block)).select("doc", "page")
 
 
 @query("page_to_message")

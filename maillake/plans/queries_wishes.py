@@ -117,6 +117,13 @@ def rfc2047_text(v: MailViews) -> DataFrame:
     return v.bodies.select("doc_id", decoded_utf8_words(utf8_words(F.col("text"))).alias("text"))
 
 
+@query("rfc2047_words")
+def rfc2047_words(v: MailViews) -> DataFrame:
+    """Whole documents sent as RFC 2047 words, decoded by the decoder for words of any charset and encoding."""
+    words = v.bodies.select("doc_id", utf8_words(F.col("text")).alias("words"))
+    return with_decoded_words(words, "words", "text").select("doc_id", "text")
+
+
 @query("charset_guess")
 def charset_guess(v: MailViews) -> DataFrame:
     """Bodies stored in UTF-16 (non-English) or UTF-8; the guess picks the encoding."""

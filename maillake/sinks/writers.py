@@ -55,11 +55,17 @@ def write_mbox(df: DataFrame, path: str, **kw) -> None:
 
 
 def write_discovery(hits: DataFrame, root: str, raw: str = "raw") -> None:
-    """K4 + K5: kept messages partitioned by privileged (reg / priv); the serial number
-    is a column; an existing output is never overwritten (``errorifexists``).
-    Reports: ``report`` (regular) and ``preport`` (privileged) CSVs with the ten columns."""
-    (hits.select("snum", "privileged", raw).write.mode("errorifexists")
-     .partitionBy("privileged").parquet(f"{root}/messages"))
+    """K4 + K5: each kept message as a file ``reg/sNNNNNN.eml`` or ``priv/sNNNNNN.eml`` with its original bytes, and the
+    reports ``report`` (regular) and ``preport`` (privileged) as CSV with the ten columns.
+
+    ``hits`` comes from ``discovery(..., keep=[raw])``, with ``raw_is_bytes`` kept as well where the readers gave it.
+    Files with other bytes are not overwritten, nor are reports.
+    """
+    from maillake.sinks.mailfiles import mail_octets, write_files
+
+    name = F.concat(F.when(F.col("privileged"), F.lit("priv")).otherwise(F.lit("reg")), F.format_string("/s%06d.eml", "snum"))
+    is_bytes = F.col("raw_is_bytes") if "raw_is_bytes" in hits.columns else F.lit(False)
+    write_files(hits, root, name, mail_octets(F.col(raw), is_bytes))
     rep = report_frame(hits)
     rep.filter(~hits["privileged"]).write.mode("errorifexists").option("header", True).csv(f"{root}/report")
     rep.filter(hits["privileged"]).write.mode("errorifexists").option("header", True).csv(f"{root}/preport")
@@ -91,14 +97,18 @@ def write_dot(edges: DataFrame, path: str) -> None:
 
 def term_index_html(index: DataFrame, page_link: str = "page/{}") -> DataFrame:
     """K8: per term a heading line and one link line per page, in term order
-    (the ordering key column ``k`` lets ``orderBy`` produce a sorted file)."""
+    (the ordering key column ``k`` lets ``orderBy`` produce a sorted file).
+
+    An index of ``term_index_with_senders`` has each page's sender after its link.
+    """
     head = index.select(F.col("term").alias("k"), F.lit(0).alias("i"),
                         F.format_string("<h3>%s</h3>", F.col("title")).alias("value"))
-    pages = index.select(F.col("term").alias("k"),
-                         F.posexplode(F.split("pages", ",")).alias("i", "p"))
+    senders = F.col("sender_list") if "sender_list" in index.columns else F.array().cast("array<string>")
+    pages = index.select(F.col("term").alias("k"), senders.alias("s"), F.posexplode(F.split("pages", ",")).alias("i", "p"))
+    who = F.coalesce(F.concat(F.lit(" "), F.try_element_at("s", F.col("i") + 1)), F.lit(""))
     link = pages.select("k", (F.col("i") + 1).alias("i"), F.format_string(
-        "&nbsp;&nbsp;&nbsp;<a href='%s'>[page %s]</a><br>",
-        F.replace(F.lit(page_link), F.lit("{}"), F.col("p")), F.col("p")).alias("value"))
+        "&nbsp;&nbsp;&nbsp;<a href='%s'>[page %s]</a>%s<br>",
+        F.replace(F.lit(page_link), F.lit("{}"), F.col("p")), F.col("p"), who).alias("value"))
     return head.unionByName(link)
 
 
@@ -106,11 +116,15 @@ def write_term_index(index: DataFrame, path: str) -> None:
     term_index_html(index).orderBy("k", "i").select("value").write.mode("overwrite").text(path)
 
 
+def tally_rows(fields: DataFrame, cols: Sequence[str], date: str | None = None) -> DataFrame:
+    """K9: the date and the kept columns."""
+    d = F.lit(date).cast("date") if date else F.current_date()
+    return fields.select(d.alias("date"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols])
+
+
 def append_tally(fields: DataFrame, path: str, cols: Sequence[str], date: str | None = None) -> None:
     """K9: tab-separated tally rows (date + kept columns), appended; header names the date."""
-    d = F.lit(date).cast("date") if date else F.current_date()
-    fields.select(d.alias("date"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols]) \
-        .write.mode("append").option("sep", "\t").option("header", True).csv(path)
+    tally_rows(fields, cols, date).write.mode("append").option("sep", "\t").option("header", True).csv(path)
 
 
 def write_day_counts(day_counts: DataFrame, path: str) -> None:

@@ -94,6 +94,21 @@ def scan_directory(spark: SparkSession, root: str) -> DataFrame:
     return read_mbox(spark, root, glob="*.mbox", recursive=True)
 
 
+#: What the first bytes or the name of a file that is no mbox say about it.
+_KINDS = ((r"(?i)\.pdf$", "pdf"), (r"(?i)\.emlx?$", "single message"), (r"(?i)\.(zip|gz|tgz|bz2|xz|7z)$", "archive"),
+          (r"(?i)\.(jpe?g|png|gif|tiff?|bmp)$", "image"), (r"(?i)\.(csv|tsv|txt|html?|json|xml)$", "text"))
+
+
+def unknown_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files below ``root`` that ``scan_directory`` does not read: ``path, length, kind`` ('unknown' for other names).
+
+    Names and sizes only: no file is opened.
+    """
+    f = _files(spark, root, None).select("path", "length")
+    kind = F.coalesce(*[F.when(F.col("path").rlike(rx), F.lit(k)) for rx, k in _KINDS], F.lit("unknown"))
+    return f.filter(~F.col("path").endswith(".mbox")).withColumn("kind", kind)
+
+
 def read_mmdf(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
     """S6 MMDF: messages between ``^A^A^A^A`` lines."""
     df = _delimited(spark, paths, MMDF_SEP, glob, False)
@@ -198,13 +213,13 @@ def register_format(name: str, reader) -> None:
     READERS[name] = reader
 
 
-def read_mail(spark: SparkSession, path: str | Sequence[str], fmt: str = "mbox") -> DataFrame:
-    """Read a mailbox in the named format."""
+def read_mail(spark: SparkSession, path: str | Sequence[str], fmt: str = "mbox", **options) -> DataFrame:
+    """Read a mailbox in the named format; ``options`` are the reader's (``crlf``, ``glob``, ``recursive``)."""
     try:
         reader = READERS[fmt]
     except KeyError:
         raise ValueError(f"unknown mailbox format {fmt!r}; known: {sorted(READERS)}") from None
-    return reader(spark, path)
+    return reader(spark, path, **options)
 
 
 def read_configured(spark: SparkSession, mailboxes: dict[str, tuple[str, str]]) -> DataFrame:

@@ -79,6 +79,6 @@ def read_page_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def read_tally(spark: SparkSession, path: str, name_col: str = "name", email_col: str = "email"
                ) -> DataFrame:
-    """Tab-separated tally -> ``name <email>`` lines."""
+    """Tab-separated tally -> ``name <email>`` lines, and their two parts."""
     t = spark.read.option("sep", "\t").option("header", True).csv(path)
-    return t.select(F.format_string("%s <%s>", F.col(name_col), F.col(email_col)).alias("line"))
+    return t.select(F.format_string("%s <%s>", F.col(name_col), F.col(email_col)).alias("line"), F.col(name_col).alias("name"), F.col(email_col).alias("email"))

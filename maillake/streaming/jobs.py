@@ -126,6 +126,14 @@ def write_epoch(df: DataFrame, out_dir: str, epoch: int, *partitions: str) -> No
     df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{out_dir.rstrip('/')}/epoch={epoch}")
 
 
+def write_tally(fields: DataFrame, out_dir: str, epoch: int, cols: Sequence[str], date: str) -> None:
+    """K9 for a stream: a batch's tally rows (date and columns, tab-separated) in the epoch's own folder."""
+    from maillake.sinks.writers import tally_rows
+
+    (tally_rows(fields, cols, date).write.mode("overwrite").option("sep", "\t").option("header", True)
+     .csv(f"{out_dir.rstrip('/')}/epoch={epoch}"))
+
+
 def triage_batch_writer(out_dir: str, rules: Sequence[Rule], **kw) -> Callable[[DataFrame, int], None]:
     """T3 sink: each micro-batch is triaged and written to its epoch's folder, partitioned by target folder."""
     def write(batch: DataFrame, epoch: int) -> None:

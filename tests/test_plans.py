@@ -6,7 +6,7 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.01"
 # Queries whose operator needs Python inside tasks (pandas UDF / ML fit).
-PYTHON_QUERIES = {"rfc2047", "charset_guess", "topics", "mime_bodies"}
+PYTHON_QUERIES = {"rfc2047", "rfc2047_words", "charset_guess", "topics", "mime_bodies"}
 # Queries that run jobs while building (streams, checkpoints) are planned after those jobs.
 
 
