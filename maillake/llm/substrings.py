@@ -22,16 +22,21 @@ rows whose rank is shared but whose surroundings differ go on, with one row stan
 those found, until the string is unique or past the threshold.
 
 Ranks are 64-bit names (hashes) instead of dense numbers, compared within their anchor's rank,
-so that a round needs no total order.  Texts are read three times, and rows are a few numbers
-each; counts are combined map-side and hot ranks split by adaptive execution, so a passage in a
-third of all texts is neither one task nor a list of pairs.
+so that a round needs no total order.  Equal hashes are taken for equal strings: odds of one wrong pair are about
+n^2 / 2^65 for n sampled rows (2e-6 for 9 million, the rows of half a GB), and no bytes are compared afterwards.
+
+Texts are read four times.  Rows go to their texts by a shuffled join at every size; texts without such rows stay out of
+it, as a filter of fixed size (``FILTER_BITS``) tells before the shuffle.  Counts are combined map-side.  A rank that
+holds more than one in ``HEAVY_SHARE`` of the rows is heavy: there are fewer than ``HEAVY_SHARE`` of these, so they meet
+their rows by broadcast, and the others by a shuffle in which no key is large.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maillake.llm.common import process_cache, stored, text_or_empty, tidy
@@ -39,8 +44,10 @@ from maillake.llm.common import process_cache, stored, text_or_empty, tidy
 LENGTH = 400
 CELLS = (16, 1)                 # starts in a cell, round by round
 PIECE = 1 << 20                 # bytes hashed at a time
-#: Rows (anchors or spans) up to which a table of them is broadcast to the texts; shuffled join beyond.
-BROADCAST_ROWS = 500_000
+FILTER_BITS = 26                # the filter of text identities is 8 MB
+HEAVY_SHARE = 50_000            # heavy keys, at most
+HEAVY_ROWS = 2_000              # of a key that may be heavy
+FINAL_SALTS = 8                 # parts of the copies of one text when they meet their spans
 
 _BASE = 0x9E3779B97F4A7C15 | 3
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -209,36 +216,65 @@ def _cells(hashes: Hashes, n: int, length: int, cell: int, widest: int, p, near,
             pair.view(np.int64), whole.view(np.int64), weight.astype(np.int32))
 
 
+def _met(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> list[DataFrame]:
+    """``rows`` joined with ``facts`` (one row a key, ``count`` rows of it) in two parts: light keys by a shuffle, heavy ones by broadcast."""
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) > max(HEAVY_ROWS, total // HEAVY_SHARE)        # below HEAVY_SHARE keys
+    few = F.broadcast(facts.filter(heavy))
+    return [rows.join(few.select(*keys), keys, "left_anti").join(facts.filter(~heavy), keys), rows.join(few, keys)]
+
+
 def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split ranked rows into (ranges of repeated starts, rows that go on)."""
-    same = (rows.groupBy("rank", "whole")
-            .agg(F.sum("weight").alias("n"), F.min(F.struct("a", "b", "p", "near")).alias("stand_in")))
-    kinds = same.groupBy("rank").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
-    known = (same.join(kinds.filter(F.col("all") > 1), "rank")
-             .select(F.col("rank").alias("k_rank"), F.col("whole").alias("k_whole"), "n", "kinds", "stand_in"))
-    judged = stored(rows.join(known, (F.col("rank") == F.col("k_rank")) & (F.col("whole") == F.col("k_whole")))
-                    .select("a", "b", "p", "near", "far", "rank", "n",
-                            ((F.col("n") > 1) & (F.col("weight") == 1)).alias("found"),
-                            ((F.col("kinds") > 1) & (F.struct("a", "b", "p", "near") == F.col("stand_in"))).alias("goes_on"))
-                    .filter("found OR goes_on"))
+    here = F.struct("a", "b", "p", "near")
+    ranks = stored(rows.groupBy("rank").agg(F.count(F.lit(1)).alias("c"), F.sum("weight").alias("_all"), F.min("whole").alias("_lo"),
+                                            F.max("whole").alias("_hi"))
+                   .filter("_all > 1").select("rank", "c", (F.col("_lo") != F.col("_hi")).alias("several")))
+    shared = None
+    for part in _met(rows, ranks, ["rank"], "c"):
+        part = part.drop("c")
+        shared = part if shared is None else shared.unionByName(part)
+    shared = stored(shared)
+    same = stored(shared.groupBy("rank", "whole").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("c"), F.min(here).alias("stand_in")))
+    judged = None
+    for part in _met(shared, same, ["rank", "whole"], "c"):
+        part = (part.select("a", "b", "p", "near", "far", "rank", "n", ((F.col("n") > 1) & (F.col("weight") == 1)).alias("found"),
+                            (F.col("several") & (here == F.col("stand_in"))).alias("goes_on")).filter("found OR goes_on"))
+        judged = part if judged is None else judged.unionByName(part)
+    judged = stored(judged)
     found = judged.filter("found").select("a", "b", "p", "near", "far").distinct()
     further = (judged.filter("goes_on").select("a", "b", "p", "near", "far", "rank", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
                .distinct())
     return found, further
 
 
+def _named(identities: DataFrame) -> Column:
+    """Whether the text identity ``a`` may be among ``identities``: a filter of ``FILTER_BITS``, built by Spark, gathered as 64-bit words."""
+    bit = F.col("a").bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long"))
+    words = (identities.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63).cast("long")).cast("int")).alias("one"))
+             .groupBy("word").agg(F.bit_or("one").alias("bits")).toArrow())         # at most 2^20 rows of two numbers
+    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    mask = (1 << FILTER_BITS) - 1
+
+    @F.pandas_udf("boolean")
+    def named(a: pd.Series) -> pd.Series:
+        at = a.to_numpy() & mask
+        return pd.Series((bits[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return named(F.col("a"))
+
+
 def repeated_starts(df: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
     """``a, b`` (identity of a text) and ranges ``first..last`` of its starts of repeated strings."""
     texts = _texts(df, text_col)
     sampled = stored(texts.filter(F.octet_length("text") >= length).mapInArrow(tidy(_anchor_rows(length)), _ROW))
-    shared = sampled.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rank")
-    rows = stored(sampled.join(shared, "rank", "left_semi").withColumn("weight", F.lit(1)))
-    found, further = _settle(rows)
+    found, further = _settle(sampled.withColumn("weight", F.lit(1)))
     parts = [found]
     for cell in CELLS:
+        further = stored(further)
         lists = further.groupBy("a", "b").agg(F.collect_list(F.struct("p", "near", "far", "rank", "weight")).alias("open"))
-        lists = F.broadcast(lists) if further.count() <= BROADCAST_ROWS else lists
-        opened = texts.join(lists, ["a", "b"]).select("a", "b", "text", "open")
+        opened = texts.filter(_named(further)).join(lists, ["a", "b"]).select("a", "b", "text", "open")
         rows = stored(opened.mapInArrow(tidy(_cell_rows(length, cell)), _ROW + ", weight int").distinct())
         found, further = _settle(rows)
         parts.append(found)
@@ -268,7 +304,6 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     spans = stored(repeated_starts(df, length, text_col).groupBy("a", "b")
                    .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("starts"))
                    .mapInArrow(tidy(merged_runs), "a long, b int, spans array<struct<start:long,end:long>>"))
-    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
 
     def run(batches):
         for batch in batches:
@@ -285,7 +320,12 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     text = text_or_empty(df[text_col])
     docs = df.select(F.col(id_col).alias("__id"), text.alias("text"), F.xxhash64(text).alias("a"),
                      F.pmod(F.xxhash64(text, F.lit("second")), F.lit(1 << 31)).cast("int").alias("b"))
-    with_spans = docs.join(F.broadcast(spans) if total <= BROADCAST_ROWS else spans, ["a", "b"], "left")
+    none = F.array().cast(spans.schema["spans"].dataType)       # no nulls: Spark measures Arrow batches row by row, and walks the nulls of a list
+    # texts without spans stay where they are; copies of one text meet its spans in several parts
+    docs = docs.withColumn("named", _named(spans)).withColumn("salt", F.pmod(F.xxhash64("__id"), F.lit(FINAL_SALTS)).cast("int"))
+    salted = spans.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(FINAL_SALTS)])))
+    with_spans = (docs.filter("named").join(salted, ["a", "b", "salt"], "left").select("__id", "text", F.coalesce("spans", none).alias("spans"))
+                  .unionByName(docs.filter("NOT named").select("__id", "text", none.alias("spans"))))
     return with_spans.select("__id", "text", "spans").mapInArrow(
         tidy(run), f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, "
              "spans array<struct<start:long,end:long>>, kept binary")
