@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 def dealt(headers: DataFrame, rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """Headers (``order`` below 0) and rows, each block of ``key`` in one task, header first, its rows in any order.
 
-    Columns that only one side has are null on the other.  Blocks are bounded by their makers.  Rows are sorted by one
+    Columns that only one side has are null on the other; they must not be lists (Spark measures every Arrow batch row by
+    row, and a list column walks all its nulls each time): a list travels as JSON.  Blocks are bounded by their makers.  Rows are sorted by one
     whole number, a hash of the key with the header's mark as its last bit: such a sort compares no rows.  Two blocks of
     a task share a hash with odds of n^2 / 2^64 for n blocks; ``in_blocks`` raises an error then.
     """

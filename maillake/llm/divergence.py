@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from collections import Counter, defaultdict
 
@@ -305,7 +306,7 @@ def _tile_sums(batches):
         number, place, n = (rows[c].to_numpy() for c in ("number", "place", "n"))
         dense = {}
         for s in ("a", "b"):
-            below = np.array(head["below_" + s], dtype=np.int64)        # of each source of the block
+            below = np.array(json.loads(head["below_" + s]), dtype=np.int64)        # of each source of the block
             full = np.repeat(shares(np.zeros(len(below), dtype=np.int64), below)[:, None], min(width, head["n_terms"]), axis=1)
             own = number >> TILE_SOURCES_BITS == head[s]
             at = number[own] & mask
@@ -326,9 +327,9 @@ def _tile_sums(batches):
 
 def _pairs(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """``lang, i, j, value`` for the numbered sources of each language, i < j."""
+    each = F.sort_array(F.collect_list(F.struct("number", (F.col("total") + 2 * F.col("kept")).alias("below"))))
     by_block = groups.groupBy("lang", F.shiftright("number", TILE_SOURCES_BITS).alias("s")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("number", (F.col("total") + 2 * F.col("kept")).alias("below")))), lambda x: x["below"])
-        .alias("below"), F.first("kept").alias("kept"))
+        F.to_json(F.transform(each, lambda x: x["below"])).alias("below"), F.first("kept").alias("kept"))
     a = by_block.select("lang", "kept", F.col("s").alias("a"), F.col("below").alias("below_a"))
     b = by_block.select("lang", F.col("s").alias("b"), F.col("below").alias("below_b"))
     stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("kept") - 1, TILE_TERMS_BITS)))

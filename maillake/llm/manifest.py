@@ -18,6 +18,7 @@ the number of leaves of the largest group.
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -89,7 +90,7 @@ def _proofs(batches):
     """The nodes of each block with their siblings up to the root."""
     for block in in_blocks(batches, ["k", "block"], "pos"):
         head, rows = block.slice(0, 1).to_pylist()[0], block.slice(1).combine_chunks()
-        above = [(x["left"], x["right"]) for x in head["siblings"]]
+        above = [(x["left"], x["right"]) for x in json.loads(head["siblings"])]
         levels = [_hexes(rows["h"])]
         for _ in range(head["levels"]):
             levels.append(_parents(levels[-1]))
@@ -132,7 +133,7 @@ class Trees:
         paths = (self.levels[-1].select("k", "pos").join(self.counts, "k").join(above, "k")
                  .select("k", "pos", "n", "top", "root", "siblings"))
         for step in range(len(self.levels) - 2, -1, -1):
-            headers = paths.select("k", F.col("pos").alias("block"), F.lit(-1).cast("long").alias("pos"), "n", "top", "root", "siblings",
+            headers = paths.select("k", F.col("pos").alias("block"), F.lit(-1).cast("long").alias("pos"), "n", "top", "root", F.to_json("siblings").alias("siblings"),
                                    _levels(F.col("n"), step).alias("levels"))
             below = self.levels[step].withColumn("block", F.shiftright("pos", BLOCK_BITS))
             fields = [f"`{c}` {below.schema[c].dataType.simpleString()}" for c in ("k", "pos", "h", "id", "claimed") if c in below.columns]
