@@ -195,13 +195,27 @@ class Scanner:
         self.word_byte[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
     def detections(self, low: str, numbers: list[int]) -> list[tuple[int, int, int]]:
-        """Kept (start, end, rule number), by start; offsets are bytes of the UTF-8 text."""
-        found = [(r.priority, m.start() - m.end(), m.start(), i, m.end())
-                 for i in numbers for r in (self.rules[i],) for m in self.compiled[i].finditer(low)]
+        """Kept (start, end, rule number), by start; offsets are bytes of the UTF-8 text.
+
+        A detection inside one kept before it goes.  A tree over the starts holds the largest end of those
+        kept up to each, so n detections take n log n steps.
+        """
+        found = sorted((r.priority, m.start() - m.end(), m.start(), i, m.end())
+                       for i in numbers for r in (self.rules[i],) for m in self.compiled[i].finditer(low))
+        place = {s: k + 1 for k, s in enumerate(sorted({x[2] for x in found}))}
+        reach = [-1] * (len(place) + 1)
         kept: list[tuple[int, int, int]] = []
-        for _, _, start, i, end in sorted(found):
-            if not any(s <= start and end <= e for s, e, _ in kept):
+        for _, _, start, i, end in found:
+            k, furthest = place[start], -1
+            while k:
+                furthest = max(furthest, reach[k])
+                k &= k - 1
+            if furthest < end:
                 kept.append((start, end, i))
+                k = place[start]
+                while k < len(reach):
+                    reach[k] = max(reach[k], end)
+                    k += k & -k
         return sorted(kept)
 
     def scan(self, text: str) -> dict:
