@@ -2,14 +2,18 @@
 
 Every leaf draws an exponential race time -ln(u) / weight from the hash of its name and the
 row's key, and a subtree's draw is the earliest of its children's, which is distributed as a
-draw with the subtree's whole weight.  A row descends from the root into the region with the
-earliest draw, then into that region's rack and that rack's shard with the earliest.
+draw with the subtree's whole weight.  A row is in the region with the earliest draw, in that
+region's rack and in that rack's shard with the earliest: a nested race, which the earliest leaf of all
+wins.  So every leaf is hashed for every row; nothing is left out on the way down.  Draws of a subtree's
+own, without its leaves', would save hashes but not the law: a row that a grown subtree wins would be drawn
+among all its leaves, old ones included.
 
 Draws depend on nothing but the key and the leaf, so when weights change, rows move only
 into the subtrees whose weight grew or out of those whose weight shrank; a new shard takes
 rows only into itself, from everywhere in proportion.
 
-All of it is one expression per row (one 8-byte hash for each leaf), without a shuffle.
+The shard is one expression per row (one 8-byte hash for each leaf), without a shuffle.  Slots take a range
+sort by shard and row, in which a shard and any number of equal rows are spread over tasks.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maillake.plans.sequential import running_sum
+
 RACKS_PER_REGION = 4
 SHARDS_PER_RACK = 5
 SIZE_OVERHEAD = 16
-SLOT_BUCKETS = 64               # parts of a shard numbered apart
 
 
 @dataclass(frozen=True)
@@ -75,7 +80,7 @@ def assign(df: DataFrame, n: int, weights: Sequence[float] | None = None, id_col
     Law ``key``: the id and the shards alone decide.  ``grown_shard`` is the shard with one
     more shard of weight 1.  ``size`` is the text's UTF-8 bytes plus 16 (a null text has
     none), ``text_crc32`` the unsigned CRC-32 of those bytes (0 for none).  ``slot`` numbers
-    the rows of a shard from 0 without gaps, by hashed part, id, checksum and size.  Rows
+    the rows of a shard from 0 without gaps, by id, checksum and size.  Rows
     with equal or null ids share a shard.  Other columns are not read.  An empty table gives
     an empty result.
     """
@@ -88,24 +93,18 @@ def assign(df: DataFrame, n: int, weights: Sequence[float] | None = None, id_col
               .withColumn("__at", place(F.col("__key"), leaves))
               .withColumn("__grown", F.least("__at", place(F.col("__key"), grown[-1:])))
               .select(id_col, "size", "text_crc32", "__at.region", "__at.rack", "__at.shard",
-                      F.col("__grown.shard").alias("grown_shard"),
-                      F.pmod(F.xxhash64(F.lit("slot"), "__key"), F.lit(SLOT_BUCKETS)).cast("int").alias("__part")))
+                      F.col("__grown.shard").alias("grown_shard")))
     return with_slots(placed, id_col)
 
 
 def with_slots(placed: DataFrame, id_col: str) -> DataFrame:
-    """Add ``slot``: a number within each (shard, part), plus the rows of the shard's earlier parts.
+    """Add ``slot``: a row's number within its shard, from 0.
 
-    The table of counts has one row for each shard and part, so it is small by
-    construction and broadcast.
+    The running number is taken over ranges of (shard, id, checksum, size), equal rows told apart by where they were
+    read; the ranged rows are checkpointed, so that which of equal rows has which number is settled once.
     """
-    from pyspark.sql import Window
-
-    earlier = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    first = (placed.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("n"))
-             .select("shard", "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__first")))
-    within = Window.partitionBy("shard", "__part").orderBy(id_col, "text_crc32", "size")
-    numbered = placed.withColumn("__n", F.row_number().over(within).cast("long") - 1)
-    return (numbered.join(F.broadcast(first), ["shard", "__part"])
-            .select(id_col, "size", "text_crc32", "region", "rack", "shard", (F.col("__first") + F.col("__n")).alias("slot"),
-                    "grown_shard"))
+    rows = placed.select(F.col(id_col).alias("__id"), *[c for c in placed.columns if c != id_col],
+                         F.coalesce("shard", F.lit(-1)).alias("__in"), F.monotonically_increasing_id().alias("__read"))
+    numbered = running_sum(rows, ["__in"], ["__id", "text_crc32", "size", "__read"], F.lit(1), "__slot")
+    return numbered.select(F.col("__id").alias(id_col), "size", "text_crc32", "region", "rack", "shard",
+                           (F.col("__slot").cast("long") - 1).alias("slot"), "grown_shard")
