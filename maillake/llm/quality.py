@@ -39,6 +39,7 @@ NEUTRAL = 0.5                   # the score when there is nothing to learn from
 PIECE_CHARS = 1 << 18           # characters hashed at a time
 _PAD = max(NGRAMS) - 1
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x100000001B3
 
 
 def held_out(id_col: Column) -> Column:
@@ -52,6 +53,16 @@ def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
     return ((h * _MULT) >> np.uint64(48)).astype(np.uint16)
 
 
+def _words(codes: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last + 1 of each run without white space, and a hash of its characters alone."""
+    begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+    power = np.cumprod(np.full(len(codes), _BASE, dtype=np.uint64))
+    inverse = np.cumprod(np.full(len(codes), pow(_BASE, -1, 1 << 64), dtype=np.uint64))
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * power, dtype=np.uint64)])
+    return begin, end, (run[end] - run[begin]) * inverse[begin]
+
+
 def features(texts: list[str]):
     """(buckets, document number) arrays for each kind of feature of some texts.
 
@@ -63,6 +74,8 @@ def features(texts: list[str]):
     lens = np.array([len(t) for t in texts], dtype=np.int64) + _PAD
     starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), lens)
+    inside = np.ones(len(codes), dtype=bool)            # n-grams begin in a text, not in the blanks between two
+    inside[(starts + lens)[:, None] - np.arange(1, _PAD + 1)] = False
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
     codes[space] = 32
     out = []
@@ -73,17 +86,13 @@ def features(texts: list[str]):
         h = np.zeros(m, dtype=np.uint64)
         inked = np.zeros(m, dtype=bool)
         for j in range(n):
-            h = h * np.uint64(0x100000001B3) + codes[j:j + m]
+            h = h * np.uint64(_BASE) + codes[j:j + m]
             inked |= ~space[j:j + m]
+        inked &= inside[:m]
         out.append((_bucket(h, n)[inked], doc[:m][inked]))
     first = ~space & np.concatenate([[True], space[:-1]])
     if first.any():
-        begin = np.flatnonzero(first)
-        power = np.cumprod(np.full(len(codes), 0x100000001B3, dtype=np.uint64))
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * power, dtype=np.uint64)])
-        ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
-        inverse = np.cumprod(np.full(len(codes), pow(0x100000001B3, -1, 1 << 64), dtype=np.uint64))
-        words = (run[ends] - run[begin]) * inverse[begin]
+        begin, _, words = _words(codes, space)
         out.append((_bucket(words, 99), doc[begin]))
         # a pair of words is hashed by the difference of its words, so that all words said twice share a vector
         pair = doc[begin][1:] == doc[begin][:-1]
@@ -91,27 +100,52 @@ def features(texts: list[str]):
     return out, starts
 
 
+def long_features(text: str):
+    """Bucket arrays of all features of one text, hashed ``PIECE_CHARS`` characters at a time.
+
+    The features are those of ``features([text])``: n-grams look past a piece's end, and a word or a pair of words
+    that a piece ends in is carried on.
+    """
+    last, open_hash, open_chars = None, 0, 0        # hash of the word before; the unfinished word's hash and length
+    mask = (1 << 64) - 1
+    for start in range(0, len(text), PIECE_CHARS):
+        own = min(PIECE_CHARS, len(text) - start)
+        piece = text[start:start + own + _PAD]
+        codes = np.frombuffer((piece + " " * (own + _PAD - len(piece))).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        codes[space] = 32
+        for n in NGRAMS:
+            h, inked = np.zeros(own, dtype=np.uint64), np.zeros(own, dtype=bool)
+            for j in range(n):
+                h = h * np.uint64(_BASE) + codes[j:j + own]
+                inked |= ~space[j:j + own]
+            yield _bucket(h, n)[inked]
+        goes_on = start + own < len(text) and not space[own - 1] and not space[own]
+        codes, space = codes[:own], space[:own]
+        begin, end, words = _words(codes, space)
+        if open_chars:          # the first run is the rest of a word
+            words[0] = np.uint64((open_hash + pow(_BASE, open_chars, 1 << 64) * int(words[0])) & mask)
+        if goes_on:
+            open_chars = int(end[-1] - begin[-1]) + (open_chars if len(words) == 1 else 0)
+            open_hash, words = int(words[-1]), words[:-1]
+        else:
+            open_chars = 0
+        yield _bucket(words, 99)
+        chain = words if last is None else np.concatenate([np.array([last], dtype=np.uint64), words])
+        yield _bucket(chain[1:] - chain[:-1], 98)
+        if len(words):
+            last = words[-1]
+
+
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct buckets of a text and how often each occurs."""
     total = np.zeros(BUCKETS, dtype=np.int64)
-    for piece in _pieces(text):
-        for buckets, _ in features([piece])[0]:
-            total += np.bincount(buckets, minlength=BUCKETS)
+    for buckets in long_features(text) if len(text) > PIECE_CHARS else (b for b, _ in features([text])[0]):
+        total += np.bincount(buckets, minlength=BUCKETS)
     used = np.flatnonzero(total)
     return used, total[used]
 
 
-def _pieces(text: str):
-    """A text in pieces of about ``PIECE_CHARS``, cut at a blank if there is one; n-grams end at a cut."""
-    start = 0
-    while len(text) - start > PIECE_CHARS:
-        cut = text.find(" ", start + PIECE_CHARS, start + 2 * PIECE_CHARS)
-        cut = cut if cut > 0 else start + PIECE_CHARS
-        yield text[start:cut]
-        start = cut
-    yield text[start:]
-
-
 @dataclass
 class Model:
     """Projected logit of every bucket (class 1 minus class 0) and the bias; scoring needs no more."""
@@ -125,12 +159,14 @@ class Model:
         group, size = [], 0
         for i, text in enumerate([*texts, None]):
             if text is None or size > PIECE_CHARS:
-                for at, piece_group in self._grouped(group, texts):
-                    for buckets, doc in features(piece_group)[0]:
-                        value = np.bincount(doc, self.logits[buckets], len(piece_group))
-                        n = np.bincount(doc, minlength=len(piece_group))
-                        np.add.at(total, at, value)
-                        np.add.at(seen, at, n)
+                short = [k for k in group if len(texts[k]) <= PIECE_CHARS]
+                for buckets, doc in features([texts[k] for k in short])[0] if short else ():
+                    total[short] += np.bincount(doc, self.logits[buckets], len(short))
+                    seen[short] += np.bincount(doc, minlength=len(short))
+                for k in set(group).difference(short):
+                    for buckets in long_features(texts[k]):
+                        total[k] += self.logits[buckets].sum(dtype=np.float64)
+                        seen[k] += len(buckets)
                 group, size = [], 0
             if text is not None:
                 group.append(i)
@@ -138,16 +174,6 @@ class Model:
         z = total / np.maximum(seen, 1) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
-    @staticmethod
-    def _grouped(group: list[int], texts: list[str]):
-        short = [i for i in group if len(texts[i]) <= PIECE_CHARS]
-        if short:
-            yield short, [texts[i] for i in short]
-        for i in group:
-            if len(texts[i]) > PIECE_CHARS:
-                for piece in _pieces(texts[i]):
-                    yield [i], [piece]
-
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], share: float, seed: int = 1) -> Model:
     """Fit on (buckets, counts, class) examples; ``share`` is class 1's share of all training rows.

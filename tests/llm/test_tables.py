@@ -21,13 +21,52 @@ def frame(spark, texts, source="s"):
 
 # ---- sharding
 
-def test_a_new_shard_takes_rows_only_into_itself():
-    """Brute force over the leaves' draws, which are XXH64 of the leaf's name and the key."""
+def test_a_new_shard_leaves_the_tree_as_it_is():
     for n in (1, 5, 19, 20, 39, 40):
-        assert [x.shard for x in shards.tree(n + 1)[:n]] == [x.shard for x in shards.tree(n)]
         assert shards.tree(n + 1)[:n] == shards.tree(n)
 
 
+def _race(doc_id, leaves):
+    """The leaf with the earliest draw, each from XXH64 of the leaf's name and the key."""
+    import math
+
+    import xxhash
+
+    def h(data, seed):
+        return xxhash.xxh64(data, seed=seed).intdigest()
+
+    key = h(str(doc_id).encode() if doc_id is not None else b"", 42)
+
+    def draw(x):
+        seed = 42
+        for part in (x.region, x.rack, x.shard):
+            seed = h(part.to_bytes(4, "little"), seed)
+        return -math.log(((h(key.to_bytes(8, "little"), seed) >> 11) + 0.5) / (1 << 53)) / x.weight
+
+    return min((x for x in leaves if x.weight > 0), key=draw).shard
+
+
+def test_rows_are_where_the_earliest_draw_is(spark):
+    ids = [*range(500), -7, None]
+    docs = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
+    for weights in (None, [float(1 + i % 4) for i in range(23)]):
+        got = {r["doc_id"]: r["shard"] for r in shards.assign(docs, 23, weights).collect()}
+        assert got == {i: _race(i, shards.tree(23, weights)) for i in ids}
+
+
+def test_slots_of_one_id_are_spread_over_tasks(spark):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+        out = shards.assign(docs, 40).withColumn("task", F.spark_partition_id()).collect()
+        assert len({r["shard"] for r in out}) == 1 and sorted(r["slot"] for r in out) == list(range(20_000))
+        tasks = Counter(r["task"] for r in out)
+        assert len(tasks) > 2 and max(tasks.values()) < 12_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
 def test_shards_slots_and_growth(spark, awkward, nothing):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("tëxt "), "id").alias("text"))
     got = shards.assign(docs, 40).collect()
@@ -376,8 +415,8 @@ def test_repeats_are_those_of_every_position(spark, monkeypatch, length, piece):
 
 
 def test_repeats_in_awkward_tables(awkward, nothing, monkeypatch):
-    for limit in (substrings.BROADCAST_ROWS, -1):
-        monkeypatch.setattr(substrings, "BROADCAST_ROWS", limit)
+    for limit in (substrings.HEAVY_ROWS, 0):       # light and heavy ranks
+        monkeypatch.setattr(substrings, "HEAVY_ROWS", limit)
         got = Counter((r["doc_id"], hashlib.sha256(r["kept"]).hexdigest()) for r in substrings.remove_repeats(awkward).collect())
         want = _cut([r[1] for r in rows()], 400)
         assert got == Counter((r[0], hashlib.sha256(w[2]).hexdigest()) for r, w in zip(rows(), want, strict=True))

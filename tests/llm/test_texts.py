@@ -56,6 +56,25 @@ def _base(text):
     return (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
 
 
+def test_many_detections_in_one_text():
+    """200,000 detections take seconds; containment is that of comparing each with all kept ones."""
+    import time
+
+    scanner = licenses.Scanner(licenses.default_rules())
+    begin = time.time()
+    got = scanner.scan("licensed under cc by-sa 4.0. spdx-license-identifier: mit\n" * 70_000)["detections"]
+    assert len(got) >= 140_000 and time.time() - begin < 60
+    text = "licensed under the mit license, cc by-nc 4.0. gpl v3 or later; (c) 2019 x. released under cc by 4.0 license\n" * 3
+    numbers = list(range(len(scanner.rules)))
+    low = text.encode().decode("latin-1")
+    found = sorted((scanner.rules[i].priority, m.start() - m.end(), m.start(), i, m.end()) for i in numbers for m in scanner.compiled[i].finditer(low))
+    kept = []
+    for _, _, start, i, end in found:
+        if not any(s <= start and end <= e for s, e, _ in kept):
+            kept.append((start, end, i))
+    assert scanner.detections(low, numbers) == sorted(kept) and len(kept) < len(found)
+
+
 def test_license_base_columns(spark, awkward, nothing):
     texts = ["CC  by; cc-by,cc BY", "accc by", "cc by-nc 4.0 cc0", "general\npublic -- LICENSE, all rights reserved!", "ccé by", "",
              None, "xcc by all rights reserved all rights reserved"]
@@ -215,12 +234,44 @@ def test_classifier_never_trains_on_held_out_rows_and_takes_awkward_tables(spark
     assert nothing.select(quality.score(model)("text")).collect() == []
 
 
-def test_classifier_pieces_lose_no_text(monkeypatch):
-    text = prose(1, 500)
-    whole = quality.counts(text)[1].sum()
-    monkeypatch.setattr(quality, "PIECE_CHARS", 300)
-    assert "".join(quality._pieces(text)) == text
-    assert abs(quality.counts(text)[1].sum() - whole) < 0.05 * whole
+def _plain_features(text):
+    """Buckets of all n-grams, words and pairs of words, in whole numbers."""
+    mask = (1 << 64) - 1
+
+    def bucket(h, salt):
+        h = (h ^ salt) * int(quality._MULT) & mask
+        h ^= h >> 32
+        return (h * int(quality._MULT) & mask) >> 48
+
+    codes = [32 if c in " \t\n\v\f\r" else ord(c) for c in text] + [32] * 3
+    out = Counter()
+    for n in (3, 4):
+        for i in range(len(codes) - n + 1):
+            part, h = codes[i:i + n], 0
+            for c in part:
+                h = (h * 0x100000001B3 + c) & mask
+            if set(part) != {32}:
+                out[bucket(h, n)] += 1
+    words = [sum((ord(c) + 1) * pow(0x100000001B3, j, 1 << 64) for j, c in enumerate(w)) & mask for w in re.findall(r"[^ \t\n\v\f\r]+", text)]
+    out.update(bucket(w, 99) for w in words)
+    out.update(bucket((b - a) & mask, 98) for a, b in zip(words, words[1:]))
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "a", "  ab  c ", "one two\ttwo one\n", prose(1, 60), "Größe 東京 🙂\n" * 9, "x" * 900, "word\n" * 90, " " * 700])
+def test_classifier_features_and_score_against_plain_python(text, monkeypatch):
+    """Whole or in pieces of any size: the same features, and the score is the logistic of their mean logit."""
+    want = _plain_features(text)
+    logits = np.random.default_rng(4).normal(size=quality.BUCKETS).astype(np.float32)
+    n = sum(want.values())
+    z = sum(float(logits[b]) * k for b, k in want.items()) / max(n, 1) - 0.2
+    for size in (1 << 18, 300, 64, 7, 1):
+        monkeypatch.setattr(quality, "PIECE_CHARS", size)
+        buckets, count = quality.counts(text)
+        assert dict(zip(buckets.tolist(), count.tolist())) == dict(want), size
+        got = quality.Model(logits, -0.2).scores(["other text", text, "", text])
+        assert got[1] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6) and got[3] == pytest.approx(got[1], abs=1e-9)
+        assert got[2] == pytest.approx(1 / (1 + np.exp(0.2)))
 
 
 def test_decoded_digest_is_that_of_the_text(spark, ranks):
