@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def apply(df: DataFrame, *fns: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -38,16 +39,22 @@ def per_message(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
 
 def per_mailbox(df: DataFrame, folder: str,
                 partial: Callable[[pd.DataFrame], pd.DataFrame], partial_schema,
-                combine: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+                combine: Callable[[pd.DataFrame], pd.DataFrame], schema,
+                merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None, parts: int = 256) -> DataFrame:
     """Per-folder summary (e.g. a mailbox statistics class).
 
     ``partial(batch)`` returns one row per folder present in the batch (with
     the ``folder`` column); ``combine(rows)`` gets all partial rows of one
-    folder and returns its final row(s).
+    folder and returns its final row(s).  With ``merge`` (partial rows of one folder -> one partial row) the
+    rows of a folder are merged in ``parts`` parts first, so that no task has all of them and ``combine`` has that many at most.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 yield partial(b)
     partials = df.mapInPandas(run, partial_schema)
+    if merge is not None:
+        part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("_part")
+        partials = (partials.select("*", part).groupBy(folder, "_part")
+                    .applyInPandas(lambda rows: merge(rows.drop(columns="_part")), partial_schema))
     return partials.groupBy(folder).applyInPandas(combine, schema)

@@ -93,3 +93,33 @@ def test_only_wanted_mail_meets_its_body(spark):
     bodies = spark.createDataFrame([(i, f"body {i}") for i in (1, 2, 4)], "rowid int, raw string")
     got = jobs.full_pass(triaged, bodies, "rowid", lambda b: b.withColumn("sha", F.sha2("raw", 256)))
     assert [tuple(r) for r in got.collect()] == [(1, "body 1", hashlib.sha256(b"body 1").hexdigest())]
+
+
+def test_a_folder_is_summed_in_parts(spark):
+    import pandas as pd
+
+    from maillake.plans import hooks
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def partial(p):
+        return p.groupby("folder")["size"].agg(["count", "sum"]).reset_index().rename(columns={"count": "n", "sum": "bytes"})
+
+    def merge(p):
+        seen.add(1)
+        return pd.DataFrame({"folder": [p["folder"].iloc[0]], "n": [int(p["n"].sum())], "bytes": [int(p["bytes"].sum())]})
+
+    schema = "folder string, n long, bytes long"
+    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("f"), F.col("id") % 7)).alias("folder"), F.col("id").alias("size"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r.folder: (r.n, r.bytes) for r in hooks.per_mailbox(df.repartition(4), "folder", partial, schema, merge, schema, merge, parts=8).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for i in range(4000):
+        f = "hot" if i % 3 == 0 else f"f{i % 7}"
+        n, b = want.get(f, (0, 0))
+        want[f] = (n + 1, b + i)
+    assert got == want and seen.value > len(want)
