@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STAR_TABLES = ["messages", "subjects", "addresses", "recipients", "mailboxes", "labels", "threads",
@@ -50,6 +50,23 @@ def read_address_books(spark: SparkSession, pattern: str, fmt: str = "parquet"
     return books
 
 
+def read_all_books(spark: SparkSession, pattern: str) -> DataFrame:
+    """S9 + J4: the entries of every Parquet book matching ``pattern``, in two reads whatever their number.
+
+    The columns are those of ``contacts.book_emails``; a book's number is its place among the folders in path order.
+    """
+    def read(table: str) -> DataFrame:
+        df = spark.read.parquet(f"{pattern.rstrip('/')}/{table}")
+        return df.withColumn("_root", F.regexp_replace("_metadata.file_path", f"/{table}/[^/]*$", ""))
+
+    records, emails = read("records"), read("emails")
+    books = records.select("_root").union(emails.select("_root")).distinct()        # a row a book
+    books = books.withColumn("book", F.row_number().over(Window.orderBy("_root")) - 1)
+    e = emails.select("_root", F.col("address").alias("email"), F.col("owner").alias("pk"), "seq")
+    return (records.select("_root", "pk", "first", "last").join(e, ["_root", "pk"]).join(books, "_root")
+            .select("first", "last", "email", F.struct("book", "pk", "seq").alias("ord")))
+
+
 def read_geotags(spark: SparkSession, path: str) -> DataFrame:
     """The four used columns of a geotag CSV, as strings (checked later by P26)."""
     df = spark.read.option("header", True).schema(GEOTAG_SCHEMA).csv(path)

@@ -123,3 +123,27 @@ def test_a_folder_is_summed_in_parts(spark):
         n, b = want.get(f, (0, 0))
         want[f] = (n + 1, b + i)
     assert got == want and seen.value > len(want)
+
+
+def test_address_books_in_one_read(spark, tmp_path):
+    from maillake.operators import contacts
+    from maillake.sources import tables
+
+    for b, n in (("b2", 3), ("a1", 2), ("c3", 1)):
+        spark.createDataFrame([(i, f"F{b}{i}", None if i else "L") for i in range(n)], "pk long, first string, last string").write.parquet(f"{tmp_path}/{b}/records")
+        spark.createDataFrame([(f"{b}{i}@x", i % n, i) for i in range(4)], "address string, owner long, seq long").write.parquet(f"{tmp_path}/{b}/emails")
+    (tmp_path / "zz").mkdir()
+    books = tables.read_address_books(spark, f"{tmp_path}/[a-c]*")
+    want = contacts.union_books([contacts.book_emails(r, e, i) for i, (r, e) in enumerate(books)])
+    got = tables.read_all_books(spark, f"{tmp_path}/[a-c]*")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == 12
+
+
+def test_page_tables_and_day_counts(spark, tmp_path):
+    from maillake.sources import tables
+
+    for i, t in enumerate(("pages", "page_spans", "page_links")):
+        spark.range(i + 1).write.parquet(f"{tmp_path}/{t}")
+    assert {k: v.count() for k, v in tables.read_page_tables(spark, f"{tmp_path}/").items()} == {"pages": 1, "page_spans": 2, "page_links": 3}
+    writers.write_day_counts(spark.createDataFrame([("2020-01-01", 3), ("2020-01-02", 0)], "date string, n long"), f"{tmp_path}/days")
+    assert sorted(map(tuple, spark.read.option("header", True).csv(f"{tmp_path}/days").collect())) == [("2020-01-01", "3"), ("2020-01-02", "0")]
