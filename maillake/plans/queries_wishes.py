@@ -74,7 +74,7 @@ def address_components(v: MailViews) -> DataFrame:
     """Addresses linked by mail (sender - recipient) grouped into components."""
     e = (v.messages.select(F.col("rowid").alias("message_rowid"), F.col("sender").alias("src"))
          .join(v.recipients.select("message_rowid", F.col("address_id").alias("dst")), "message_rowid")
-         .select("src", "dst").distinct())
+         .select("src", "dst"))
     return wishes.connected_components(e).select("node", "label")
 
 
