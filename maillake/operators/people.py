@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maillake.functions.text import ascii_fold
 from maillake.operators.wishes import connected_components
+from maillake.session import ensure_checkpoint_dir
 
 MAX_ADDRESSES = 8       # of a name that still tells a person
 MAX_NAMES = 8           # of an address that still is one person's
@@ -28,8 +29,9 @@ def persons(evidence: DataFrame, name: str = "name", address: str = "address", m
     Addresses are compared in lower case; null and empty ones are left out, and an address without telling names is
     a person of its own.
     """
+    ensure_checkpoint_dir(evidence.sparkSession)
     used = (evidence.select(name_key(F.col(name)).alias("n"), F.lower(F.trim(F.col(address))).alias("a"))
-            .filter("a IS NOT NULL AND a <> ''").distinct())
+            .filter("a IS NOT NULL AND a <> ''").distinct().checkpoint())      # names are made once, for four uses
     named = used.filter(F.col("n").isNotNull() & (F.size(F.split("n", " ")) >= least_words))
     telling = named.groupBy("n").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c").between(2, max_addresses)).select("n")
     own = named.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= max_names).select("a")

@@ -1,6 +1,6 @@
 """Operators read their input once, and carry no more than they need through their shuffles."""
 
-from maillake.operators import wishes
+from maillake.operators import people, wishes
 
 
 def counted(spark, rows, schema):
@@ -20,3 +20,10 @@ def test_components_read_edges_once(spark):
     got = {(r.node, r.label) for r in wishes.connected_components(df).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (7, 7), (9, 9), (11, 11), (None, None)}
     assert read.value == len(rows)
+
+
+def test_persons_read_evidence_once(spark):
+    rows = [("Doe, Ann", "b@a"), ("ann doe", "a@a"), ("Info", "i@a"), (None, "n@a"), ("Ann Doe", None)]
+    df, read = counted(spark, rows, "name string, address string")
+    assert {(r.address, r.person) for r in people.persons(df).collect()} == {("a@a", "a@a"), ("b@a", "a@a"), ("i@a", "i@a"), ("n@a", "n@a")}
+    assert read.value == len(rows)
