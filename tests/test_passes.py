@@ -1,6 +1,7 @@
 """Operators read their input once, and carry no more than they need through their shuffles."""
 
-from maillake.operators import people, wishes
+from maillake.operators import people, stats, wishes
+from maillake.sinks import mailfiles
 
 
 def counted(spark, rows, schema):
@@ -27,3 +28,33 @@ def test_persons_read_evidence_once(spark):
     df, read = counted(spark, rows, "name string, address string")
     assert {(r.address, r.person) for r in people.persons(df).collect()} == {("a@a", "a@a"), ("b@a", "a@a"), ("i@a", "i@a"), ("n@a", "n@a")}
     assert read.value == len(rows)
+
+
+def test_only_the_first_flows_meet_their_addresses(spark):
+    messages = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 9), (5, None), (6, 3), (6, 3)], "rowid long, sender long")
+    recipients = spark.createDataFrame([(1, 0, 4), (2, 1, 4), (3, 0, 5), (4, 0, 8), (5, 0, 4), (6, 0, 5), (1, 2, 5), (7, 0, 4)],
+                                       "message_rowid long, type int, address_id long")
+    addresses = spark.createDataFrame([(1, "a"), (2, "a"), (3, "c"), (4, "d"), (5, "d"), (5, "d"), (8, None)], "rowid long, address string")
+    want = sorted(((r.n, r.src or "", r.dst or "", r) for r in stats.flows(messages, recipients, addresses).collect()), reverse=True)
+    top = stats.top_flows(messages, recipients, addresses, 3)
+    assert [tuple(r) for r in top.collect()] == [tuple(r) for *_, r in want[:3]] and len(want) == 4
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("src#") < plan.index("GlobalLimit", plan.index("Join"))        # names are joined above the limit
+
+
+def test_mailbox_of_many_ranges_is_one_file(spark, tmp_path):
+    rows = [(("big", "small")[i % 50 == 0] + ".mbox", (i * 7919) % 3001, f"From x\n{i} " + "ü" * (i % 40)) for i in range(3001)]
+    df = spark.createDataFrame(rows, "box string, at int, value string").repartition(5)
+    sizes = mailfiles.write_mailboxes(df, str(tmp_path / "boxes"), "box", ["at"], "value", drop_last=3)
+    for box in ("big.mbox", "small.mbox"):
+        want = "".join(v + "\n" for _, _, v in sorted((b, at, v) for b, at, v in rows if b == box)).encode()[:-3]
+        assert (tmp_path / "boxes" / box).read_bytes() == want
+        assert [(r.messages, r.bytes) for r in sizes.collect() if r.file == box] == [(sum(b == box for b, *_ in rows), len(want))]
+    assert [p.name for p in tmp_path.iterdir()] == ["boxes"]
+
+
+def test_topics_cut_texts_into_words_once(spark):
+    rows = [(i, "apple pear plum" if i % 2 else "wheel brake motor") for i in range(40)]
+    df, read = counted(spark, rows, "doc_id long, text string")
+    wishes.lda_topics(df, "doc_id", "text", k=2, features=64).collect()
+    assert read.value == len(rows)
