@@ -21,6 +21,8 @@ from maillake.sources.paths import open_fs
 cloudpickle.register_pickle_by_value(sys.modules[__name__])     # executors need no copy of this module
 
 STAGED = 512                    # files that a task writes before it publishes them
+PIECES = "-pieces-"             # ends the name of the folder of mailboxes' pieces, beside the mailboxes'
+BLOCK = 1 << 20                 # bytes copied at a time
 
 
 class _Written(WriterCommitMessage):
@@ -129,34 +131,65 @@ def write_files(df: DataFrame, path: str, name: Column, content: Column) -> None
 def write_mailboxes(df: DataFrame, path: str, name: str, order: Sequence[str], record: str, drop_last: int = 0) -> DataFrame:
     """K3: one mbox for each ``name``, its records (``mbox_text``'s ``value``) in ``order``; returns (file, messages, bytes).
 
-    A mailbox is one file and so one task's work, but it is written as it is read: a task holds one batch.
-    A task that is tried again writes its files anew.  ``drop_last`` leaves that many bytes off each file's end, as
-    of a mailbox whose last message is still being written.  Runs at once.
+    Records are sorted over all tasks, so that one of a large mailbox sorts no more than its range: each range writes
+    its piece of every mailbox that it meets, then a task for each mailbox copies the pieces together, a block at a time.
+    A task that is tried again writes pieces of its own, and the file anew.  ``drop_last`` leaves that many bytes off
+    each file's end, as of a mailbox whose last message is still being written.  Runs at once.
     """
-    def run(batches):
-        system, base = open_fs(path)
-        system.create_dir(base, recursive=True)
-        out, now, held, counts = None, None, b"", {}
+    from maillake.session import ensure_checkpoint_dir
 
-        def close():
-            if out is not None:
-                out.write(held[:len(held) - drop_last])
-                out.close()
+    ensure_checkpoint_dir(df.sparkSession)
+    pieces = f"{path.rstrip('/')}{PIECES}{uuid.uuid4().hex}"        # beside the folder, as readers look through the folder
 
+    def write(batches):
+        system, base = open_fs(pieces)
+        system.create_dir(base, recursive=True)
+        out, now, at, box_at, n, size, done = None, None, None, 0, 0, 0, []
         for batch in batches:
             for box, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if box != now:
-                    close()
-                    now, held, out = box, b"", system.open_output_stream(f"{base.rstrip('/')}/{box}")
-                out.write(held)
-                held = value.encode() + b"\n"
-                n, size = counts.get(box, (0, 0))
-                counts[box] = (n + 1, size + len(held))
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([n for n, _ in counts.values()], pa.int64()),
-                                          pa.array([s - drop_last for _, s in counts.values()], pa.int64())], names=["file", "messages", "bytes"])
-
-    boxes = (df.select(F.col(name).alias("_box"), F.col(record).alias("_value"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-             .repartition("_box").sortWithinPartitions("_box", *[f"_o{i}" for i in range(len(order))]).select("_box", "_value"))
-    done = boxes.mapInArrow(run, "file string, messages long, bytes long").collect()        # one row a file
-    return df.sparkSession.createDataFrame(done, "file string, messages long, bytes long")
+                if box != now or out is None:
+                    if out is not None:
+                        out.close()
+                        done.append((now, box_at, at, n, size))
+                        box_at += 1
+                    now, at, n, size = box, uuid.uuid4().hex, 0, 0
+                    out = system.open_output_stream(f"{base.rstrip('/')}/{at}")
+                data = value.encode() + b"\n"
+                out.write(data)
+                n, size = n + 1, size + len(data)
+        if out is not None:
+            out.close()
+            done.append((now, box_at, at, n, size))
+        if done:
+            columns = zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["file", "box_at", "piece", "messages", "bytes"])
+
+    def join(batches):
+        system, base = open_fs(path)
+        source, staged = open_fs(pieces)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for box, size, found in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                left = size - drop_last
+                with system.open_output_stream(f"{base.rstrip('/')}/{box}") as out:
+                    for piece in found:
+                        with source.open_input_stream(f"{staged.rstrip('/')}/{piece['piece']}") as f:
+                            while left > 0 and (block := f.read(min(BLOCK, left))):
+                                out.write(block)
+                                left -= len(block)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s - drop_last for s in batch.column(2).to_pylist()], pa.int64())],
+                                             names=["file", "messages", "bytes"])
+
+    keys = ["_box", *[f"_o{i}" for i in range(len(order))]]
+    ranged = (df.select(F.col(name).alias("_box"), F.col(record).alias("_value"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+              .repartitionByRange(*keys).sortWithinPartitions(*keys).select("_box", "_value"))
+    # a piece's place: its range, then its place in the range (one mailbox is one piece of a range)
+    done = (ranged.mapInArrow(write, "file string, box_at long, piece string, messages long, bytes long")
+            .withColumn("range", F.spark_partition_id()).checkpoint())
+    boxes = done.groupBy("file").agg(F.sum("messages").alias("messages"), F.sum("bytes").alias("bytes"),
+                                     F.array_sort(F.collect_list(F.struct("range", "box_at", "piece"))).alias("pieces"))
+    rows = boxes.repartition("file").mapInArrow(join, "file string, messages long, bytes long").collect()       # one row a file
+    system, base = open_fs(pieces)
+    if rows:
+        system.delete_dir(base)
+    return df.sparkSession.createDataFrame(rows, "file string, messages long, bytes long")
