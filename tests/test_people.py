@@ -6,6 +6,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,24 @@ def test_truss_numbers_by_peeling(spark):
     assert cohesion.truss_numbers(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("listed", [40, 10**6])
+def test_truss_numbers_over_blocks(spark, monkeypatch, listed):
+    """Parts of the graph cut into blocks, worked on in rounds, and parts that share a task; long lists in several looks; text ids."""
+    monkeypatch.setattr(cohesion, "LISTED", listed)
+    rnd, pairs = random.Random(11), []
+    for part in range(3):
+        pairs += [tuple(100 * part + x for x in rnd.sample(range(40), 2)) for _ in range(260)]
+    pairs += list(itertools.combinations(range(500, 506), 2)) + [(600, 601), (601, 602)]
+    df = spark.createDataFrame([(f"p{a:03d}", f"p{b:03d}") for a, b in pairs], "src string, dst string")
+    assert {(int(r.a[1:]), int(r.b[1:])): r.truss for r in cohesion.truss_numbers(df).collect()} == trusses(pairs)
+
+
+def test_levels_between_two_numbers():
+    for old, new in [(5, 5), (6, 5), (70, 60), (64, 63), (63, 0), (64, 0), (200, 3), (128, 127), (2**31 - 1, 9), (2**31 - 1, 2**31 - 1)]:
+        got = int(cohesion._levels(np.array([old], np.int32), np.array([new], np.int32))[0])
+        assert got == sum(1 << b for b in {x % 64 for x in range(new + 1, min(old, new + 64) + 1)})
+
+
 def test_no_one_has_many_outgoing_links(spark):
     pairs = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1, 399)]
     links = cohesion.simple_links(spark.createDataFrame(pairs, "src long, dst long"))
