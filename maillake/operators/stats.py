@@ -105,18 +105,11 @@ def _with_names(numbered: DataFrame, names: DataFrame) -> DataFrame:
 def flows(messages: DataFrame, recipients: DataFrame, addresses: DataFrame) -> DataFrame:
     """A3: (sender address, recipient address) -> message count.
 
-    Counted on integer ids first so the wide join to the address text runs on
-    the aggregated edge list, not on every recipient row.
+    Counted by the numbers of the addresses, so that each flow is counted once and then meets its two texts.
     """
-    m = messages.select(F.col("rowid").alias("message_rowid"), "sender")
-    r = recipients.filter(F.col("type").isin(0, 1)).select("message_rowid", "address_id")
-    edges = (m.join(r, "message_rowid")
-             .groupBy("sender", "address_id").agg(F.count(F.lit(1)).alias("n")))
-    a = addresses.select("rowid", "address")
-    src = a.select(F.col("rowid").alias("sender"), F.col("address").alias("src"))
-    dst = a.select(F.col("rowid").alias("address_id"), F.col("address").alias("dst"))
-    return (edges.join(src, "sender", "left").join(dst, "address_id", "left")
-            .groupBy("src", "dst").agg(F.sum("n").cast("long").alias("n")))
+    ensure_checkpoint_dir(messages.sparkSession)
+    ids, names = _numbered_addresses(addresses)
+    return _with_names(_numbered_flows(messages, recipients, ids), names)
 
 
 def top_flows(messages: DataFrame, recipients: DataFrame, addresses: DataFrame,

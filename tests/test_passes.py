@@ -1,5 +1,7 @@
 """Operators read their input once, and carry no more than they need through their shuffles."""
 
+from collections import Counter
+
 from maillake.operators import people, stats, wishes
 from maillake.sinks import mailfiles
 
@@ -58,3 +60,17 @@ def test_topics_cut_texts_into_words_once(spark):
     df, read = counted(spark, rows, "doc_id long, text string")
     wishes.lda_topics(df, "doc_id", "text", k=2, features=64).collect()
     assert read.value == len(rows)
+
+
+def test_flows_are_grouped_by_numbers_only(spark):
+    """Shared, missing and doubled addresses against a plain count; no text is a key of an aggregate."""
+    a = [(1, "x"), (2, "y"), (3, "x"), (4, None), (5, "z"), (5, "w")]
+    m = [(i, i % 7 or None) for i in range(40)]
+    r = [(i, t, (i * 3 + t) % 7) for i in range(42) for t in (0, 1, 2)]
+    f = stats.flows(spark.createDataFrame(m, "rowid long, sender long"), spark.createDataFrame(r, "message_rowid long, type int, address_id long"),
+                    spark.createDataFrame(a, "rowid long, address string"))
+    named = lambda i: [t for k, t in a if k == i] or [None]
+    want = Counter((s, d) for i, sender in m for j, t, to in r if i == j and t < 2 for s in named(sender) for d in named(to))
+    assert {(x.src, x.dst): x.n for x in f.collect()} == want and f.count() == len(want)
+    plan = f._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate" in x and ("src#" in x or "dst#" in x)]
