@@ -116,7 +116,10 @@ def stream_request_mail(v: MailViews) -> DataFrame:
                                   mbox_record(F.col("raw"), F.lit("form@mail.example"), F.lit(None).cast("timestamp_ntz")).alias("value"))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        best = choose_body(mime_parts(batch, "message_id", "headers", "body"), "message_id")
+        # the mail is stored first: the mailbox is read once, and no other Python step runs beside its readers
+        jobs.write_epoch(batch, out + "/mail", epoch)
+        mail = batch.sparkSession.read.parquet(f"{out}/mail/epoch={epoch}")
+        best = choose_body(mime_parts(mail, "message_id", "headers", "body"), "message_id")
         request = F.regexp_extract("message_id", r"<(\d+)@", 1).cast("long")
         fields = forms.form_fields(best.select(request.alias("request_id"), F.col("text").alias("body")), "request_id", "body", keys)
         jobs.write_epoch(fields, out + "/fields", epoch, "status")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from maillake.plans.registry import CATALOG
 from maillake.sources import mailbox, messages
 from maillake.streaming import growing, jobs
 
@@ -122,6 +123,40 @@ def test_polling_follows_a_mailbox(spark, tmp_path):
         q.stop()
 
 
+def test_request_mail_is_read_once_a_batch(spark, tmp_path, monkeypatch):
+    """The steps on a batch take its stored mail: none reads the mailbox anew, or runs in the stage of its readers."""
+    d, reads = str(tmp_path / "tables"), tmp_path / "reads"
+    reads.mkdir()
+    tables = {"customer": [(i, f"Customer#{i}", 0, "MACHINERY" if i % 3 else "BUILDING", 1.0) for i in range(1, 9)],
+              "supplier": [(1, "Supplier#1", 0)], "nation": [(0, "PERU")]}
+    schemas = {"customer": "c_custkey long, c_name string, c_nationkey int, c_mktsegment string, c_acctbal double",
+               "supplier": "s_suppkey long, s_name string, s_nationkey int", "nation": "n_nationkey int, n_name string"}
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, schemas[name]).write.parquet(f"{d}/{name}.parquet")
+    read, folder = growing._Reader.read, str(reads)
+
+    def counted(self, partition):
+        import uuid
+
+        open(f"{folder}/{partition.begin}-{uuid.uuid4().hex}", "w").close()
+        yield from read(self, partition)
+
+    monkeypatch.setattr(growing._Reader, "read", counted)
+    got = CATALOG["stream_request_mail"](spark, d).collect()
+    assert sorted((r.request_id, r.status) for r in got) == [(i, "ok" if i % 3 else "error") for i in range(1, 9)]
+    assert len(os.listdir(reads)) == len({x.split("-")[0] for x in os.listdir(reads)}) == 2       # two batches
+
+
+def test_a_reader_holds_little_mail(tmp_path):
+    """Mail of any size leaves the reader in batches of about 1 MB, so its memory does not follow the range."""
+    box = tmp_path / "a.mbox"
+    box.write_text("".join(mail(i, "x" * 900) for i in range(4000)))
+    size = box.stat().st_size
+    batches = list(growing._Reader({"path": str(box)}).read(growing._Range(str(box), 0, size, 0, size, True)))
+    assert sum(b.num_rows for b in batches) == 4000
+    assert all(sum(len(x) for x in b.column(4).to_pylist()) <= 1 << 20 for b in batches)
+
+
 def test_formats_with_a_file_for_every_message(spark, tmp_path):
     box, out = tmp_path / "box", str(tmp_path / "out")
     (box / "cur").mkdir(parents=True)
