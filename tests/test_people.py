@@ -56,6 +56,49 @@ def test_truss_numbers_over_blocks(spark, monkeypatch, listed):
     assert {(int(r.a[1:]), int(r.b[1:])): r.truss for r in cohesion.truss_numbers(df).collect()} == trusses(pairs)
 
 
+@pytest.mark.parametrize("busy", [0, 3, 10**6])
+def test_peeling_with_lists_and_with_bits(monkeypatch, busy):
+    """No one, some or all are busy; a hub, a clique, parts, ids far apart; links leave together and lists are made anew."""
+    monkeypatch.setattr(cohesion, "BUSY", busy)
+    monkeypatch.setattr(cohesion, "LOOKED_UP", 50)
+    rnd = random.Random(busy)
+    pairs = [(0, 10**12 + i) for i in range(120)] + list(itertools.combinations(range(1000, 1012), 2)) + [(0, 1000), (0, 1001)]
+    pairs += [tuple(10**12 + x for x in rnd.sample(range(90), 2)) for _ in range(700)] + [tuple(rnd.sample(range(-40, -10), 2)) for _ in range(150)]
+    links = np.array(sorted({(min(p), max(p)) for p in pairs}))
+    got = cohesion._peeled(links[:, 0], links[:, 1]) + 2
+    assert dict(zip(map(tuple, links.tolist()), got.tolist())) == trusses(pairs)
+    assert len(cohesion._peeled(links[:0, 0], links[:0, 1])) == 0
+
+
+def test_parts_are_found_from_few_links_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(cohesion, "LISTED", 30)
+    rnd = random.Random(3)
+    pairs = {tuple(sorted(rnd.sample(range(50 * p, 50 * p + 50), 2))) for p in range(5) for _ in range(60)}
+    got = cohesion._labelled(spark.createDataFrame(sorted(pairs), "x long, y long").repartition(3)).collect()
+    want = _components({x for p in pairs for x in p}, pairs)
+    assert {r.node: r.label for r in got} == want and len(got) == len(want)
+    assert sum(r.n for r in got if r.label < 50) == sum(a < 50 for a, _ in pairs if want[a] < 50)
+
+
+def test_truss_numbers_leave_little_on_disk(spark):
+    """Only the result stays in the shared folder, not the tables between the steps."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from maillake.session import ensure_checkpoint_dir
+
+    folder = Path(urlparse(ensure_checkpoint_dir(spark)).path)
+
+    def held():
+        return {p: p.stat().st_size for p in folder.rglob("*") if p.is_file()}
+
+    before, n = held(), 60_000
+    edges = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1 + F.col("id") % 3).alias("dst"))
+    out = cohesion.truss_numbers(edges)
+    assert out.count() == n
+    assert sum(size for p, size in held().items() if p not in before) < 40 * n
+
+
 def test_levels_between_two_numbers():
     for old, new in [(5, 5), (6, 5), (70, 60), (64, 63), (63, 0), (64, 0), (200, 3), (128, 127), (2**31 - 1, 9), (2**31 - 1, 2**31 - 1)]:
         got = int(cohesion._levels(np.array([old], np.int32), np.array([new], np.int32))[0])
