@@ -99,6 +99,29 @@ def test_truss_numbers_leave_little_on_disk(spark):
     assert sum(size for p, size in held().items() if p not in before) < 40 * n
 
 
+def test_links_of_mail_from_one_reading_of_recipients(spark, tmp_path, monkeypatch):
+    """Senders and neighbours on the list; equal and missing positions, ids and messages, a message that comes twice."""
+    from maillake.plans import queries_people
+    from maillake.sources.driver import SUPPLIER_ID_OFFSET, MailViews
+
+    rnd = random.Random(9)
+    orders = [(1, 5), (2, 6), (2, 7), (3, None), (None, 8), (4, 9)]
+    lines = [(rnd.choice([1, 2, 3, 4, 77, None]), rnd.choice([1, 2, 3, 4, 5, 6, None]), rnd.choice([1, 2, 3, 4, None])) for _ in range(45)]
+    day = dt.datetime(2020, 1, 1)
+    spark.createDataFrame([(k, c, "F", 1.0, day, "5-LOW") for k, c in orders], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                          "o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, s, n, "O", day) for k, s, n in lines], "l_orderkey long, l_suppkey long, l_linenumber int, l_linestatus string, "
+                          "l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(c, 1) for _, c in orders], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(cohesion, "truss_numbers", lambda edges: edges)
+    edges = queries_people.cohesive_groups(MailViews(spark, str(tmp_path)))
+    rows = [(k, s + SUPPLIER_ID_OFFSET, n) for k, s, n in lines if k and s]
+    want = {(c, s) for o, c in orders for k, s, _ in rows if o == k and c}
+    want |= {(s, t) for k, s, n in rows for j, t, m in rows if j == k and n and m and n + 1 == m and s != t}
+    assert {(r.a, r.b) for r in cohesion.simple_links(edges).collect()} == {(min(p), max(p)) for p in want}
+    assert edges._jdf.queryExecution().executedPlan().toString().count("FileScan parquet [l_orderkey") == 1
+
+
 def test_levels_between_two_numbers():
     for old, new in [(5, 5), (6, 5), (70, 60), (64, 63), (63, 0), (64, 0), (200, 3), (128, 127), (2**31 - 1, 9), (2**31 - 1, 2**31 - 1)]:
         got = int(cohesion._levels(np.array([old], np.int32), np.array([new], np.int32))[0])
